@@ -6,7 +6,9 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,3 +97,29 @@ def without(docs: DataFrame, drops: DataFrame, most: int = 500_000) -> DataFrame
 
 def partitions_for(rows: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / each))
+
+
+#: Odd base of the words' polynomial hash modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** k and BASE ** -k modulo 2**64 for k below size."""
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.array([1] + [b] * (size - 1), np.uint64), dtype=np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64)))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word (between bytes of white space \\x20 and \\x09-\\x0D): the sum of (byte + 1) BASE ** k over
+    its bytes, modulo 2**64, which a running sum over the whole text gives for all words at once."""
+    b = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(b) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[b]
+    edge = np.diff(inside)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _powers(max(1 << 16, 1 << len(b).bit_length()))
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=total[1:])
+    return (total[ends] - total[starts]) * down[starts]

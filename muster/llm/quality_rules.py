@@ -14,7 +14,6 @@ whatever their names (``_verdict`` and ``_trusted`` are reserved).
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,62 +22,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_texts, table, text_bytes
+from .common import BASE, bounded_batches, map_texts, table, text_bytes, word_hashes
 
 BUCKETS, PRIOR, LEAST, MICRO = 1 << 16, 16, -0.075, 1_000_000
-#: Words that a worker remembers the hashes of; the bits of a word's number in a text.
-REMEMBERED, WORD_BITS = 250_000, 21
+#: Multipliers that tell the places in a window apart.
+MIX = tuple(np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64))
 SPACE, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 
 
-class Words(dict):
-    """Numbers for words in the order in which they come, and the words' hashes by number."""
-
-    def __init__(self) -> None:
-        self.hashes: list[int] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self.hashes.append(int(hashlib.md5(word).hexdigest()[:7], 16))
-        self[word] = n = len(self)
-        return n
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.hashes.clear()
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(self) != getattr(self, "size", -1):
-            self.array, self.size = np.array(self.hashes, np.int64), len(self)
-        return ids, self.array[ids]
-
-
-def buckets(h: np.ndarray) -> np.ndarray:
-    """Of the 1-grams and then the 2-grams of words with the hashes h."""
+def buckets(words: np.ndarray) -> np.ndarray:
+    """Of the 1-grams and then the 2-grams of words with these hashes."""
+    h = (words >> np.uint64(33)).astype(np.int64)
     return np.concatenate((h % BUCKETS, (h[:-1] * 1000003 + h[1:] + 1) % BUCKETS))
 
 
-def repeat_words(ids: np.ndarray) -> int:
+def repeat_words(words: np.ndarray) -> int:
     """Words in 3-word windows found twice or more."""
-    if len(ids) < 4:
+    if len(words) < 4:
+        return 0
+    a, b, c = MIX
+    window = words[:-2] * a + words[1:-1] * b + words[2:] * c
+    ordered = np.sort(window)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
         return 0
-    if ids.max() >> WORD_BITS:
-        ids = np.unique(ids, return_inverse=True)[1]
-    pair = ids[:-2] << WORD_BITS | ids[1:-1]
-    if ids.max() >> WORD_BITS:
-        pair = np.unique(ids[:-2] * (ids.max() + 1) + ids[1:-1], return_inverse=True)[1]
-        window = np.unique(pair * (ids.max() + 1) + ids[2:], return_inverse=True)[1]
-    else:
-        window = pair << WORD_BITS | ids[2:]
-    order = np.argsort(window, kind="stable")
-    same = window[order][1:] == window[order][:-1]
-    twice = np.zeros(len(ids), bool)
+    at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, window), len(twice) - 1)] == window)
+    covered = np.zeros(len(words), bool)
     for k in range(3):
-        twice[order[1:][same] + k] = True
-        twice[order[:-1][same] + k] = True
-    return int(twice.sum())
+        covered[at + k] = True
+    return int(covered.sum())
 
 
-def counts(text: bytes, words: list[bytes], ids: np.ndarray) -> tuple[int, int, int, int, int]:
+def counts(text: bytes, words: np.ndarray) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     seen, dup = set(), 0
     for line in text.split(b"\n"):
@@ -86,7 +61,7 @@ def counts(text: bytes, words: list[bytes], ids: np.ndarray) -> tuple[int, int,
             dup += 1
         elif line.strip():
             seen.add(line)
-    return len(words), len(text.translate(None, SPACE).decode()), len(text) - len(text.translate(None, SYMBOLS)), dup, repeat_words(ids)
+    return len(words), len(text.translate(None, SPACE).decode()), len(text) - len(text.translate(None, SYMBOLS)), dup, repeat_words(words)
 
 
 def with_trusted(docs: DataFrame, labels: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -101,18 +76,13 @@ def weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, total = Words(), np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
             for trusted, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = np.bincount(buckets(number(text.split())[1]), minlength=BUCKETS) if len(text) > 1 << 17 else None
-                if n is None:
-                    at = buckets(number(text.split())[1])
-                    np.add.at(total[0], at, 1)
-                    if trusted:
-                        np.add.at(total[1], at, 1)
-                else:
-                    total[0] += n
-                    total[1] += n * trusted
+                at = buckets(word_hashes(text))
+                np.add.at(total[0], at, 1)
+                if trusted:
+                    np.add.at(total[1], at, 1)
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], names=["b", "raw", "target"])
 
@@ -125,12 +95,11 @@ def weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.rint(MICRO * np.log((target + PRIOR) / (raw * target.sum() / max(1, raw.sum()) + PRIOR))).astype(np.int64)
 
 
-def judged(text: bytes, number: Words, weight: np.ndarray) -> tuple:
+def judged(text: bytes, weight: np.ndarray) -> tuple:
     """The counts, base_failed, kept, the sum of the weights in micro-nats and the number of n-grams."""
-    words = text.split()
-    ids, h = number(words)
-    n, chars, symbols, dup, repeated = counts(text, words, ids)
-    at = buckets(h)
+    words = word_hashes(text)
+    n, chars, symbols, dup, repeated = counts(text, words)
+    at = buckets(words)
     total = int(weight[at].sum())
     failed = n < 50 or 100 * repeated > 50 * n
     return n, chars, symbols, dup, repeated, failed, not failed and total >= LEAST * MICRO * len(at), total, len(at)
@@ -144,8 +113,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weight = weights(docs, labels)
 
     def run(ids: list, texts: list) -> dict:
-        number = Words()
-        rows = [judged(t, number, weight) for t in texts]
+        rows = [judged(t, weight) for t in texts]
         return {"doc_id": ids} | {name: [r[k] for r in rows] for k, name in enumerate(NAMES)}
 
     kinds = ", ".join(f"{n} {'boolean' if n in ('base_failed', 'kept') else 'bigint'}" for n in NAMES)
@@ -158,8 +126,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
-        number = Words()
-        return pd.Series([judged(t, number, weight)[6] for t in texts], dtype=bool)
+        return pd.Series([judged(t, weight)[6] for t in texts], dtype=bool)
 
     return docs.withColumn("_verdict", good(text_bytes())).filter("_verdict").drop("_verdict")
 
@@ -172,7 +139,9 @@ SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
 each AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
-hashed AS (SELECT word, ('0x' || substr(md5(word), 1, 7))::BIGINT AS h FROM (SELECT DISTINCT word FROM each)),
+hexed AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM each)),
+bytes AS (SELECT word, list_reverse(list_transform(range(0, length(x), 2), lambda k: ('0x' || substr(x, k + 1, 2))::UHUGEINT + 1)) AS b FROM hexed),
+hashed AS (SELECT word, (list_reduce(b, lambda a, c: (a * {BASE}::UHUGEINT + c) % 18446744073709551616::UHUGEINT) // 8589934592::UHUGEINT)::BIGINT AS h FROM bytes),
 seq AS (SELECT r, i, word, h,
                lead(h) OVER p AS h2, lead(word) OVER p AS word2, lead(word, 2) OVER p AS word3
         FROM each JOIN hashed USING (word) WINDOW p AS (PARTITION BY r ORDER BY i)),

@@ -37,12 +37,9 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     w = text.lower().split()
     if not w:
         return 0
-    joined = b" ".join(w)
-    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     k = min(words, len(w))
-    stops = ends[k - 1 :]
-    starts = np.concatenate(([0], ends[: len(stops) - 1] + 1))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, starts.tolist(), stops.tolist())), repeat(seed)), "<u8", len(stops))
+    grams = map(b" ".join, zip(*[w[i:] for i in range(k)]))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), "<u8", len(w) - k + 1)
     set_bits = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 16):  # a very long text is taken in pieces, for the memory
         set_bits += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
