@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, mixing, quality_gbt, quality_rules, simhash, token_counts, url_filter
+from . import bpe, exact_dedup, hpylm, license_scan, mixing, quality_gbt, quality_rules, simhash, token_counts, url_filter
 
 MODULES = {
     "op1_license_scan": license_scan,
     "op2_quality_rules": quality_rules,
     "op3_url_filter": url_filter,
+    "op4_hpylm": hpylm,
     "op5_mixing": mixing,
     "op6_byte_bpe": bpe,
     "op7_exact_dedup": exact_dedup,
