@@ -100,10 +100,12 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def run(keys: list, texts: list) -> dict:
         t = tokenizer(ranks_path, pattern)
-        ids = [t.encode(x.decode()) for x in texts]
-        decoded = [t.decode(x) for x in ids]
-        flat = np.concatenate([np.zeros(0, np.int32), *[np.array(x, np.int32) for x in ids]])
-        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        parts, decoded = [np.zeros(0, np.int32)], []
+        for x in texts:
+            ids = t.encode(x.decode())
+            decoded.append(t.decode(ids))
+            parts.append(np.array(ids, np.int32))  # 4 bytes a token instead of a Python number
+        flat, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts], dtype=np.int32)
         return {"id": keys, "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "decoded": decoded}
 
     return map_texts(docs, run, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary", text_col, id_col)
