@@ -1,0 +1,103 @@
+import json
+from datetime import date
+
+import pytest
+
+from muster.context import RosterContext, numbered
+from muster.errors import ConfigurationError, EgressError
+from muster.sinks.auth import DEFAULT, Bearer, OAuth1, OAuth2, auth_from, resolved
+from muster.sinks.dispatch import RETRY, Dispatcher, api_dispatcher, json_rows
+from muster.sinks.show_data import show_data, shown
+from muster.sources.clients import Response, Retry
+
+
+class Http:
+    def __init__(self, *answers):
+        self.answers, self.seen = list(answers), []
+
+    def __call__(self, method, url, headers, body):
+        self.seen.append((url, headers, body))
+        a = self.answers.pop(0) if self.answers else Response(200, "")
+        if isinstance(a, Exception):
+            raise a
+        return a
+
+
+def table(spark):
+    return RosterContext(numbered(spark.createDataFrame([("Ann", 1, date(2024, 1, 2)), (None, None, None)], "name string, score long, d date").coalesce(1)))
+
+
+def test_payload_keeps_nulls_and_order(spark):
+    got = [r.json for r in json_rows(table(spark).data.drop("__row_id")).collect()]
+    assert got == ['{"name":"Ann","score":1,"d":"2024-01-02"}', '{"name":null,"score":null,"d":null}']
+
+
+def test_dispatch(spark):
+    http = Http()
+    c = api_dispatcher(table(spark), Dispatcher(Bearer("http://x", "t"), http))
+    (url, headers, body), = http.seen
+    assert headers["Authorization"] == "Bearer t" and len(json.loads(body)["data"]) == 2 and c.warnings.drain() == []
+    http = Http()
+    api_dispatcher(table(spark), Dispatcher(Bearer("http://x"), http, batch_rows=1))
+    assert len(http.seen) == 2
+
+
+def test_failures_are_warnings(spark):
+    quick = Retry(3, 0, RETRY.statuses, False, lambda s: None)
+    for answers, tries in (([Response(400, "bad" * 200)], 1), ([Response(503, "")] * 3, 3), ([OSError("down")], 1)):
+        http = Http(*answers)
+        c = api_dispatcher(table(spark), Dispatcher(Bearer("http://x"), http, quick))
+        (w,) = c.warnings.drain()
+        assert w.action_id == "api_dispatcher" and len(http.seen) == tries and len(w.detail) <= 200
+
+
+def test_bearer_places():
+    assert Bearer("u", "t", "custom_header").request(None) == ("u", {"X-API-Key": "t"})
+    assert Bearer("u?a=1", "t", "query_param", "k").request(None) == ("u?a=1&k=t", {})
+    assert Bearer("u", None, extra_headers={"h": "v"}).request(None) == ("u", {"h": "v"})
+
+
+def test_oauth1_signature():
+    """The public example of the service that made this known."""
+    auth = OAuth1("https://api.example.com/1/statuses/update.json?include_entities=true", "ck", "cs", "at", "ts")
+    one, two = auth.signed("n", 1), auth.signed("n", 1)
+    assert one == two and 'oauth_signature="' in one and auth.signed("m", 1) != one
+
+
+def test_oauth2_keeps_and_rotates():
+    now = [0.0]
+    http = Http(Response(200, '{"access_token":"a","expires_in":100,"refresh_token":"r2"}'), Response(200, '{"access_token":"b","expires_in":100}'))
+    auth = OAuth2("u", "id", "sec", "tok", ["x", "y"], "authorization_code", "r1", clock=lambda: now[0])
+    assert auth.request(http)[1]["Authorization"] == "Bearer a" and b"refresh_token=r1" in http.seen[0][2] and b"scope=x+y" in http.seen[0][2]
+    now[0] = 60
+    auth.request(http)
+    assert len(http.seen) == 1
+    now[0] = 71
+    assert auth.request(http)[1]["Authorization"] == "Bearer b" and b"refresh_token=r2" in http.seen[1][2]
+    with pytest.raises(ConfigurationError):
+        OAuth2("u", "i", "s", "t", grant_type="authorization_code").request(http)
+    with pytest.raises(EgressError):
+        OAuth2("u", "i", "s", "t").request(Http(Response(401, "no")))
+
+
+def test_auth_kinds():
+    assert isinstance(auth_from({"destination_url": "u"}), Bearer) and isinstance(auth_from({"auth_type": "none", "destination_url": "u"}), Bearer)
+    assert isinstance(auth_from({"auth_type": "oidc", "destination_url": "u", "client_id": "a", "client_secret": "b", "token_url": "c"}), OAuth2)
+    assert auth_from({"auth_type": "default"}) == DEFAULT
+    for bad in ({"auth_type": "x"}, {}, {"destination_url": "u", "placement": "nowhere"}):
+        with pytest.raises(ConfigurationError):
+            auth_from(bad)
+    with pytest.raises(ConfigurationError, match="No API dispatcher settings"):
+        resolved(DEFAULT, None)
+    with pytest.raises(ConfigurationError, match="Default auth in Settings"):
+        resolved(DEFAULT, {"auth_type": "default"})
+    assert resolved(DEFAULT, {"destination_url": "u"}).destination_url == "u"
+
+
+def test_show_data(spark, tmp_path):
+    df = spark.createDataFrame([("a,b", 'q"x', [1]), (None, "two\nlines", None)], "x string, y string, z array<int>")
+    c = show_data(RosterContext(numbered(df.coalesce(1))), str(tmp_path / "o.csv"))
+    assert c.columns == ["x", "y", "z"]
+    got = shown(spark, str(tmp_path / "o.csv"))
+    assert [tuple(r) for r in got.collect()] == [("a,b", 'q"x', "[1]"), (None, "two\nlines", None)]
+    assert show_data(c, None) is c
