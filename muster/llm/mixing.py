@@ -88,7 +88,7 @@ def scheduled(docs: DataFrame, target: dict[str, int] = TARGET, other: int = OTH
     return rows.drop("_mix_s", "_mix_h", "_mix_r", "_mix_o", "_mix_k", "_mix_w", "_mix_j", "_mix_i", "_mix_before")
 
 
-def interleaved(docs: DataFrame, rows_per_file: int = 20_000, **options) -> DataFrame:
+def interleaved(docs: DataFrame, rows_per_file: int = 8192, **options) -> DataFrame:
     """docs in the scheduled order: partition after partition, each sorted."""
     n = max(1, math.ceil(docs.count() / rows_per_file))
     rows = scheduled(docs, **options)
