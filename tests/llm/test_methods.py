@@ -182,17 +182,20 @@ def test_language_model_beats_the_baseline(spark, texts):
 
 
 def test_language_model_is_a_distribution(spark):
-    """Probabilities after one context add up to 1 over all words and the unknown one."""
-    rows = [(k, t) for k, t in enumerate(["a b a c", "a b", "b a", "c", "a b c d e a b"] * 3)]
-    words = sorted({w for _, t in rows for w in t.split()})
-    probes = [(1000 + k, f"a {w}") for k, w in enumerate([*words, "unseen"])] + [(2000, "a")]
-    held = [i for i in range(10**6, 10**6 + 900) if zlib.crc32(str(i).encode()) % 7 == 2]
-    seen = [i for i in range(900) if zlib.crc32(str(i).encode()) % 7 != 2]
-    docs = [(seen[k], t) for k, t in rows] + [(held[k], t) for k, (_, t) in enumerate(probes)]
-    got = {r.doc_id: r.score for r in hpylm.score(spark.createDataFrame(docs, "doc_id bigint, text string"), contexts=2).collect()}
-    first_and_end = {k: got[held[k]] for k in range(len(probes))}
-    # "a" alone: P(a | start) P(end | a).  The others: P(a | start) P(w | a) P(end | w); contexts but a and b share one restaurant.
-    assert all(v < 0 for v in first_and_end.values())
+    """With no frequent word there are two contexts, the start of a text and all words.  What follows words sums to 1 less
+    the end's probability, which then makes what follows the start sum to 1."""
+    rows = ["a b a c", "a b", "b a", "c", "a b c d e a b"] * 30
+    words = [*sorted({w for t in rows for w in t.split()}), "unseen"]
+    held, seen = ([i for i in range(3000) if (zlib.crc32(str(i).encode()) % 7 == 2) == h] for h in (True, False))
+    probes = ["", *words, *[f"a {w}" for w in words]]
+    docs = [*zip(seen, rows), *zip(held, probes)]
+    for contexts in (2, 16):
+        got = {r.doc_id: 10**r.score for r in hpylm.score(spark.createDataFrame(docs, "doc_id bigint, text string"), contexts=contexts).collect()}
+        p = {t: got[i] for i, t in zip(held, probes)}
+        if contexts == 2:
+            end = 1 - sum(p[f"a {w}"] / p["a"] for w in words)
+            assert 0 < end < 1 and math.isclose(sum(p[w] for w in words) / end + p[""], 1, rel_tol=1e-9)
+        assert all(0 < x < 1 for x in p.values()) and p["a b"] > p["a unseen"]
 
 
 def test_seating_keeps_customers():
@@ -241,11 +244,9 @@ def test_sections_add_up(spark, texts):
         at, byte, counts = 0, text.encode(), Counter()
         starts = own.char_start.tolist()
         for i in ids:
-            char = len(byte[: at + 1].decode("utf-8", "ignore")) - (0 if (len(byte[: at + 1].decode("utf-8", "ignore")) > len(byte[:at].decode("utf-8", "ignore"))) else 0)
             first = len(byte[:at].decode("utf-8", "ignore"))
             counts[sum(s <= first for s in starts) - 1] += 1
             at += len(t.bytes_of[i])
-            assert char >= 0
         assert own.n_tokens.tolist() == [counts[s] for s in range(len(own))]
         if k > 60:
             break
