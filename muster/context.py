@@ -88,3 +88,8 @@ def numbered(df: DataFrame) -> DataFrame:
 
 def visible(df: DataFrame) -> DataFrame:
     return df.drop(ROW_ID)
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """The visible columns in the order of rows, if it is known."""
+    return visible(df.orderBy(ROW_ID) if ROW_ID in df.columns else df)

@@ -12,8 +12,8 @@ from ..errors import LogicError
 def scd_type_2(ctx: RosterContext, entity_column: str = "employee_id", date_column: str = "start_date", tie_break: list[str] | None = None, ordered: bool = False, dry_run: bool = False) -> RosterContext:
     """date_column becomes effective_from; effective_to is the entity's next date; is_current if there is none.
 
-    Nulls come first; ties go by tie_break, then by the order of rows.  One shuffle by entity; ordered=True also sorts all
-    rows, which later steps don't need, as the order of rows is renumbered in any case."""
+    Nulls come first; ties go by tie_break, then by the order of rows.  One shuffle by entity: the new order of rows (entity,
+    date, ties) is kept in the hidden row id, and only sinks sort by it; ordered=True sorts here."""
     missing = [c for c in (entity_column, date_column) if c not in ctx.data.columns]
     if missing:
         raise LogicError(f"scd_type_2: column(s) not found: {', '.join(missing)}")
@@ -24,10 +24,10 @@ def scd_type_2(ctx: RosterContext, entity_column: str = "employee_id", date_colu
     data = ctx.data.drop(*[c for c in ("effective_to", "is_current") if c != date_column and c != entity_column])
     w = Window.partitionBy(quoted(entity_column)).orderBy(*order)
     data = data.withColumn("effective_to", F.lead(quoted(date_column)).over(w))
-    if ordered or ROW_ID in data.columns:
+    if ordered:
         data = data.orderBy(quoted(entity_column).asc_nulls_first(), *order)
     if ROW_ID in data.columns:
-        data = data.withColumn(ROW_ID, F.monotonically_increasing_id())
+        data = data.withColumn(ROW_ID, F.struct(quoted(entity_column).alias("e"), quoted(date_column).alias("d"), *[t.alias(f"t{k}") for k, t in enumerate(ties)]))
     data = data.select(*[quoted(c).alias("effective_from" if c == date_column else c) for c in data.columns]).withColumn("is_current", F.col("effective_to").isNull())
     if dry_run:
         data = data.withColumn("effective_to", F.col("effective_to").cast("string"))

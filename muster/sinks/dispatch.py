@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, NullType, NumericType, StringType
 
-from ..context import RosterContext, Warning_, quoted, visible
+from ..context import RosterContext, Warning_, in_order, quoted
 from ..errors import EgressError
 from ..sources.clients import Response, Retry
 from .auth import Auth, Send, http
@@ -66,7 +66,7 @@ def api_dispatcher(ctx: RosterContext, dispatcher: Dispatcher, dry_run: bool = F
         return ctx
     data = ctx.data.persist()
     try:
-        sent, got = dispatcher.send(visible(data))
+        sent, got = dispatcher.send(in_order(data))
         for r in got:
             if r.status >= 400:
                 ctx.warnings.add(Warning_("api_dispatcher", f"dispatch failed with HTTP {r.status}", sent, r.body[:200]))

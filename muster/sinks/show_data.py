@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..context import RosterContext, quoted, visible
+from ..context import RosterContext, in_order, quoted
 
 CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": ""}
 
@@ -17,12 +17,18 @@ def show_data(ctx: RosterContext, path: str | None, single_file: bool = True, dr
     if dry_run or path is None:
         return ctx
     data = ctx.data.persist()
-    out = visible(data)
+    out = in_order(data)
     out = out.select(*[(F.to_json(quoted(f.name)).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else quoted(f.name)) for f in out.schema])
     (out.coalesce(1) if single_file else out).write.mode("overwrite").options(**CSV).csv(path)
     return ctx.with_data(data)
 
 
+def shown_page(spark: SparkSession, path: str, most: int = 1000) -> dict:
+    """A snapshot's columns and its first rows, for display."""
+    got = shown(spark, path)
+    return {"columns": got.columns, "rows": [r.asDict() for r in got.limit(most).collect()]}
+
+
 def shown(spark: SparkSession, path: str) -> DataFrame:
     """A snapshot, all columns as trimmed strings."""
     rows = spark.read.options(multiLine=True, **CSV).csv(path)

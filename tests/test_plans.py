@@ -117,6 +117,30 @@ def test_sinks_in_a_run(env, spark):
     assert spark.read.option("header", True).csv(env.location.output("s11")).columns == FINAL
 
 
+def test_dedup_after_history_goes_by_the_sorted_order(env):
+    steps = (FULL[0], ("scd_type_2", {"entity_column": "country_raw", "date_column": "start_date"}), ("identity_deduplicator", {"columns": ["effective_from"]}), ("show_data", {}))
+    got = visible(run_steps(manifest(*steps), env).data).collect()
+    first = {}
+    for r in sorted(got, key=lambda r: (r.country_raw, r.effective_from, r.employee_id)):
+        assert r.is_duplicate == (r.effective_from in first) and r.canonical_id == first.setdefault(r.effective_from, r.employee_id)
+    shown = [(r.country_raw, r.effective_from) for r in env.spark.read.option("header", True).csv(env.location.output("s3")).collect()]
+    assert shown == sorted(shown) and len(shown) == 200
+
+
+def test_command_line(env, spark, tmp_path, capsys):
+    from muster.__main__ import main
+    from muster.plans.schemas import SCHEMAS, action_schema
+
+    (tmp_path / "m.json").write_text(manifest(*FULL, ("show_data", {})).to_json())
+    where = [str(tmp_path / "m.json"), "--base", str(tmp_path), "--organization", "org", "--company", "co"]
+    assert main(["validate", *where]) == 0 and json.loads(capsys.readouterr().out)["final_columns"] == FINAL
+    assert main(["run", *where]) == 0 and json.loads(capsys.readouterr().out)["rows"] == 200
+    assert main(["schema"]) == 0 and "drop_column" in capsys.readouterr().out
+    assert set(SCHEMAS) == set(REGISTRY) and action_schema("drop_column")["required"] == ["columns"]
+    with pytest.raises(ConfigurationError):
+        action_schema("nope")
+
+
 def test_config_store(spark, tmp_path):
     store = ConfigStore(spark, str(tmp_path))
     store.put("o", "c1", "one", "rate(1 day)", "{}")
