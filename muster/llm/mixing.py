@@ -29,7 +29,7 @@ from .common import table
 TARGET = {"src0": 20} | {f"src{i}": 4 for i in range(1, 20)}
 OTHER, BLOCK = 4, 64
 #: Documents in a range of hashes, about; ranges of a source at most.
-RANGE_ROWS, RANGE_BITS = 4096, 16
+RANGE_ROWS, RANGE_BITS = 1024, 16
 
 
 def period(weights: list[int]) -> list[tuple[int, int, int]]:
@@ -58,8 +58,9 @@ def scheduled(docs: DataFrame, target: dict[str, int] = TARGET, other: int = OTH
         none = F.lit(None).cast("bigint")
         return docs.withColumns({f"_mix_{n}": none for n in ("block", "slot", "release", "deadline", "position")})
 
-    bits = min(RANGE_BITS, max(0, math.ceil(math.log2(max(1, sum(held.values()) / RANGE_ROWS)))))
-    rows = rows.withColumn("_mix_r", F.shiftright(F.conv(F.substring("_mix_h", 1, 4), 16, 10).cast("int"), 16 - bits))
+    bits = {s: min(RANGE_BITS, math.ceil(math.log2(max(1, n / RANGE_ROWS)))) for s, n in held.items()}  # a large source has more ranges
+    away = F.element_at(F.create_map(*[F.lit(x) for s, b in bits.items() for x in (s, 16 - b)]), F.col("_mix_s"))
+    rows = rows.withColumn("_mix_r", F.call_function("shiftright", F.conv(F.substring("_mix_h", 1, 4), 16, 10).cast("int"), away))
     sizes = rows.groupBy("_mix_s", "_mix_r").agg(F.count("*").alias("_mix_n"))
     before = Window.partitionBy("_mix_s").orderBy("_mix_r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_mix_s", "_mix_r", F.coalesce(F.sum("_mix_n").over(before), F.lit(0)).alias("_mix_o"))

@@ -131,6 +131,18 @@ def test_dedup_checks_bytes_behind_a_weak_digest(spark, texts):
     assert got == {k: (max(v), len(v), k == max(v)) for v in by.values() for k in v}
 
 
+def test_without_broadcasts(spark):
+    """What is broadcast when it is small is joined by a shuffle when it is not."""
+    from muster.llm.common import without
+
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    few, many = (sorted(map(str, exact_dedup.classes(located(docs), most_broadcast=m).select("id", "n", "kept").collect())) for m in (10**6, 0))
+    assert few == many
+    drops = located(docs).filter("doc_id % 3 = 0").select("_at_file", "_at_row")
+    assert without(located(docs), drops, most=0).count() == without(located(docs), drops).count() == docs.filter("doc_id % 3 != 0").count()
+    assert quality_rules.with_trusted(docs, labels, most_broadcast=0).filter("_trusted").count() == labels.filter("quality = 1").count()
+
+
 def test_stream_keeps_its_state(spark, tmp_path):
     """A second run from the same checkpoint knows what the first has seen."""
     from pyspark.sql import functions as F
