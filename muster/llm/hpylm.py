@@ -18,8 +18,10 @@ Spark and held fixed during a round of scans, so buckets are sampled in parallel
 Gibbs sampling).  Rounds are repeated from their seeds rather than stored, so a lost executor changes nothing.  At
 last each bucket answers its chunks' pairs with averaged probabilities, and each chunk scores its texts.
 
-Within a scan, tables of a dish that close in some contexts and open in others cancel out in the parent; then the parent
-itself is scanned.  The start is one table for each dish of a restaurant.  Discounts are n1 / (n1 + 2 n2) of the counts.
+Within a scan, a word's contexts are drawn in ``TURNS`` turns (one context a turn for words with few); then all tables of
+the parent.  Dishes of more than ``SMALL`` customers draw their tables by Metropolis steps that keep the same distribution,
+with proposals from all over it, so they do not creep away from where they were.  The start is one table for each dish of a restaurant.  Discounts are
+n1 / (n1 + 2 n2) of the counts.
 
 Defined results: a null text counts as empty and has one token, the end; a null identifier is not held out; repeated
 rows are repeated in training and in the result; with no training texts every word has probability 1 / (V + 1) = 1; an
@@ -28,8 +30,10 @@ empty table gives no rows; columns but doc_id and text are not looked at.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,9 @@ CHUNK_BYTES = 8 << 20
 #: Tokens of a bucket, about; contexts that are no words; the token at the end of a text.
 BUCKET_TOKENS, RARE, START, END = 2_000_000, 0, 1, np.uint64(0)
 CONTEXT_BITS = 16
+#: Dishes of up to so many customers draw their tables outright; Metropolis steps of larger ones; parts into which a word's
+#: contexts are dealt in a scan.
+SMALL, STEPS, TURNS = 256, 3, 16
 
 
 def packed(a: np.ndarray) -> bytes:
@@ -157,7 +164,8 @@ def merged(rows: pa.Table, schema: pa.Schema) -> pa.Table:
 
 
 class Seating:
-    """Table sizes of many dishes; those of dish i lie at start[i] and after it, tables[i] of them."""
+    """Table sizes of many dishes; those of dish i lie at start[i] and after it, tables[i] of them.  Customers move one by
+    one: tests hold ``draw_tables`` against it."""
 
     def __init__(self, customers: np.ndarray, discount: float, rng: np.random.Generator) -> None:
         self.discount, self.rng = discount, rng
@@ -214,59 +222,222 @@ class Seating:
         self.room, self.start, self.size = room, start, size
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """For x > 0."""
+    x = np.asarray(x, np.float64)
+    shift = np.zeros(x.shape)
+    while (low := x < 10).any():
+        shift += np.where(low, np.log(np.where(low, x, 1.0)), 0.0)
+        x = np.where(low, x + 1, x)
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - shift
+
+
+@lru_cache(maxsize=4)
+def small_stirling(discount: float) -> np.ndarray:
+    """Logarithms of the weights of all seatings of c <= SMALL customers at t tables, by recursion."""
+    out = np.full((SMALL + 1, SMALL + 1), -np.inf)
+    out[0, 0] = 0.0
+    t = np.arange(1, SMALL + 1)
+    for c in range(SMALL):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stays = np.where(c - discount * t > 0, np.log(np.maximum(c - discount * t, 1e-300)), -np.inf)
+            out[c + 1, 1:] = np.logaddexp(out[c, :-1], np.where(np.isneginf(out[c, 1:]), -np.inf, out[c, 1:] + stays))
+    return out
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """The same for many customers: the coefficient of x ** c in (1 - (1 - x) ** d) ** t, by an integral over a parabola
+    around the cut, through the saddle, times c! / (t! d ** t)."""
+    log_v = saddle(c, t, d)
+    v = np.maximum(np.exp(log_v), 4 / c)  # further left than 4 / c the integrand would not fall off
+    p = v**d
+    bend = -t * d * p * ((d - 1) * (1 - p) - d * p) / (v * (1 - p)) ** 2 + (c + 1) / (1 - v) ** 2
+    h = np.minimum(0.075, 0.2 / (2 * v * np.sqrt(np.maximum(bend, 1e-300))))
+    turn = 1 + 1j * h[:, None] * np.arange(48)
+    path = t[:, None] * np.log1p(-p[:, None] * turn ** (2 * d)) - (c + 1)[:, None] * np.log1p(-v[:, None] * turn**2)
+    top = path[:, 0].real
+    each = (np.exp(path - top[:, None]) * turn).real
+    log_coefficient = top + np.log(np.maximum(each.sum(1) - each[:, 0] / 2, 1e-300) * h * 2 * v / np.pi)
+    if (near := np.flatnonzero(c - t < 128)).size:  # nearly a pole: a circle
+        k, r = (c - t)[near], np.maximum(-np.expm1(log_v[near]), 1e-3)
+        y = r[:, None] * np.exp(1j * np.pi * (np.arange(192) + 0.5) / 192)
+        path = t[near][:, None] * np.log(-np.expm1(d * np.log1p(-y)) / y) - 1j * k[:, None] * np.angle(y)
+        top = path.real.max(1)
+        log_coefficient[near] = top + np.log(np.maximum(np.exp(path - top[:, None]).real.mean(1), 1e-300)) - k * np.log(r)
+    return log_coefficient + log_gamma(c + 1.0) - log_gamma(t + 1.0) - t * np.log(d)
+
+
+def log_tables_at(log_v: np.ndarray, c: np.ndarray, d: float) -> np.ndarray:
+    """The logarithm of the number of tables of which exp(log_v) is the saddle."""
+    return np.log(c + 1) + np.log(-np.expm1(d * log_v)) + (1 - d) * log_v - np.log(d) - np.log(-np.expm1(log_v))
+
+
+def saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    low, high, log_t = np.full(len(c), -600.0), np.full(len(c), -1e-13), np.log(t)
+    for _ in range(50):
+        mid = (low + high) / 2
+        few = log_tables_at(mid, c, d) < log_t
+        low, high = np.where(few, mid, low), np.where(few, high, mid)
+    return (low + high) / 2
+
+
+class Backing:
+    """Logarithms of the parent's weights for a dish with C customers, summed over all their seatings, when a new table
+    weighs w: C! times the coefficient of x ** C in exp(w / d (1 - (1 - x) ** d))."""
+
+    def __init__(self, d: float, w: float, most: int) -> None:
+        self.d, self.rate = d, w / d
+        size = min(most + 2, 4096)
+        b = np.cumprod(np.append(1.0, 1 - d / np.arange(1, size)))  # of (1 - x) ** (d - 1)
+        g = np.zeros(size)
+        g[0] = 1.0
+        for k in range(size - 1):
+            g[k + 1] = w / (k + 1) * (b[: k + 1] @ g[k::-1] if k else b[0] * g[0])
+        self.table = np.log(g) + log_gamma(np.arange(size) + 1.0)
+        if most + 2 > size:
+            self.table = np.append(self.table, self.series(np.arange(size, min(most + 2, 1 << 17), dtype=np.float64)))
+
+    def series(self, c: np.ndarray) -> np.ndarray:
+        first, total = log_gamma(c - self.d), np.zeros(len(c))
+        for k in range(1, 40):
+            x = -self.d * k
+            if x != int(x):
+                log_term = k * math.log(self.rate) - math.lgamma(k + 1) - math.lgamma(x) + log_gamma(c + x) - first
+                total += (-1) ** k * (1 if int(math.floor(x)) % 2 == 0 else -1) * np.exp(log_term)
+        return self.rate + first + np.log(total)
+
+    def __call__(self, c: np.ndarray) -> np.ndarray:
+        out = self.table[np.minimum(c, len(self.table) - 1)]
+        if (far := c >= len(self.table)).any():
+            out[far] = self.series(c[far].astype(np.float64))
+        return out
+
+
+@lru_cache(maxsize=2)
+def backing(d: float, w: float, most: int) -> Backing:
+    """For all scans and buckets with the same totals."""
+    return Backing(d, w, most)
+
+
+def draw_tables(c: np.ndarray, now: np.ndarray, log_weight: np.ndarray, others: np.ndarray, back: Backing | None, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with c customers, all of whom leave and sit again: t of them with a chance proportional to the
+    seatings' weight times exp(t log_weight) and the parent's weight of others + t customers.  Drawn outright for up to
+    SMALL customers, else by STEPS Metropolis steps from now, whose proposals do not depend on now."""
+    out = now.copy()
+    small, stirling = np.flatnonzero(c <= SMALL), small_stirling(d)
+    small = small[c[small] > 1]
+    ends = np.cumsum(c[small])
+    for part in np.split(small, np.flatnonzero(np.diff(ends // 1_000_000)) + 1):
+        if not len(part):
+            continue
+        n = c[part]
+        start = np.cumsum(n) - n
+        t = np.arange(n.sum()) - np.repeat(start, n) + 1
+        logs = stirling[np.repeat(n, n), t] + t * np.repeat(log_weight[part], n)
+        if back is not None:
+            logs += back(np.repeat(others[part], n) + t)
+        upto = np.cumsum(np.exp(logs - np.repeat(np.maximum.reduceat(logs, start), n)))
+        before = np.where(start > 0, upto[start - 1], 0.0)
+        at = np.searchsorted(upto, before + rng.random(len(part)) * (upto[start + n - 1] - before), "right")
+        out[part] = np.clip(at - start, 0, n - 1) + 1
+    big = np.flatnonzero(c > SMALL)
+    for part in np.array_split(big, max(1, len(big) // 4096)):
+        if len(part):
+            out[part] = _walk(c[part], now[part], log_weight[part], others[part], back, d, rng)
+    return out
+
+
+def _walk(c: np.ndarray, now: np.ndarray, log_weight: np.ndarray, others: np.ndarray, back: Backing | None, d: float, rng: np.random.Generator) -> np.ndarray:
+    def slope(log_v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t = np.exp(np.minimum(log_tables_at(log_v, c, d), np.log(c)))
+        s = log_weight + np.log(-np.expm1(log_v)) - np.log(c + 1) - (1 - d) * log_v
+        if back is not None:
+            k = others + np.maximum(1, t.astype(np.int64))
+            s = s + back(k + 1) - back(k)
+        return t, s
+
+    def log_chance(t: np.ndarray) -> np.ndarray:
+        x = log_stirling(c, t, d) + t * log_weight
+        return x if back is None else x + back(others + t)
+
+    low, high = np.full(len(c), -600.0), np.full(len(c), -1e-13)
+    for _ in range(50):
+        mid = (low + high) / 2
+        rises = slope(mid)[1] > 0
+        low, high = np.where(rises, mid, low), np.where(rises, high, mid)
+    at = (low + high) / 2
+    (t0, s0), (t1, s1) = slope(at * 1.01), slope(at * 0.99)
+    spread = np.sqrt(np.maximum(t1 - t0, 1e-9) / np.maximum(s0 - s1, 1e-9))
+    middle, scale = np.clip(slope(at)[0], 1, c), 0.6 * np.clip(spread, 0.7, c)
+    for _ in range(3):  # as wide as the tail is long
+        far = slope(saddle(c, np.minimum(middle + 4 * scale, c), d))[1]
+        scale = np.clip(np.maximum(scale, 1 / np.maximum(-far, 1e-9)), 0.4, np.maximum(4 * scale, 1))
+
+    def log_proposed(t: np.ndarray) -> np.ndarray:  # a logistic distribution, rounded
+        z, w = np.abs(t - middle) / scale, 0.5 / scale
+        return np.where(z < 30, np.log(np.maximum(np.tanh((z + w) / 2) - np.tanh((z - w) / 2), 1e-300)), -z + np.log(2 * np.exp(w) - 2 * np.exp(-w)))
+
+    t = now.copy()
+    chance = log_chance(t) - log_proposed(t)
+    for _ in range(STEPS):
+        u = rng.uniform(1e-12, 1 - 1e-12, len(t))
+        new = np.rint(middle + scale * np.log(u / (1 - u))).astype(np.int64)
+        inside = (new >= 1) & (new <= c)
+        new = np.where(inside, new, t)
+        its = log_chance(new) - log_proposed(new)
+        takes = inside & (np.log(rng.random(len(t)) + 1e-300) < its - chance)
+        t, chance = np.where(takes, new, t), np.where(takes, its, chance)
+    return t
+
+
 class Bucket:
-    """The dishes of a bucket in all restaurants."""
+    """The dishes of a bucket in all restaurants: customers and tables of each, in the parent by word."""
 
     def __init__(self, row: dict, model: dict) -> None:
         self.model = model
         self.n_words = len(row["words"].as_py()) // 8
         self.word = np.repeat(np.arange(self.n_words), unpacked(row["each"].as_py(), np.int32))
         self.context, self.counts = unpacked(row["context"].as_py(), np.int32), unpacked(row["counts"].as_py(), np.int64)
-        rng = np.random.default_rng([model["seed"], row["bucket"].as_py()])
-        self.many = np.flatnonzero(self.counts > 1)  # a lone customer has a table of its own in any seating
-        self.own = Seating(self.counts[self.many], model["discount"][1], rng)
-        self.parent = Seating(np.bincount(self.word[self.counts > 0], minlength=self.n_words), model["discount"][0], rng)
+        self.rng = np.random.default_rng([model["seed"], row["bucket"].as_py()])
+        self.t = np.minimum(self.counts, 1)
+        self.customers0 = np.bincount(self.word, self.t, self.n_words).astype(np.int64)
+        self.t0 = np.minimum(self.customers0, 1)
+        many = np.flatnonzero(self.counts > 1)  # a lone customer has a table of its own in any seating
+        each = np.bincount(self.word[many], minlength=self.n_words)
+        rank = np.arange(len(many)) - (np.cumsum(each) - each)[self.word[many]]
+        turn = rank * TURNS // np.maximum(each, TURNS)[self.word[many]]
+        self.turns = [many[turn == k] for k in range(TURNS)]
+        self.most = int(np.bincount(self.word, self.counts, self.n_words).max(initial=0))
 
     def parent_probability(self, totals: dict) -> np.ndarray:
         d, s = self.model["discount"][0], STRENGTH[0]
-        p = self.parent
-        return (p.customers - d * p.tables + (s + d * totals["tables0"]) * self.model["base"]) / (s + totals["customers0"])
+        return (self.customers0 - d * self.t0 + (s + d * totals["tables0"]) * self.model["base"]) / (s + totals["customers0"])
 
     def scan(self, totals: dict) -> None:
+        """All customers of all dishes leave and sit again, then all of the parent."""
         d, m = self.model["discount"], self.model
         base = (STRENGTH[0] + d[0] * totals["tables0"]) * m["base"]
-        word, context = self.word[self.many], self.context[self.many]
-        rounds = 0
-        while (i := np.flatnonzero(self.counts[self.many] >= 2 * 8**rounds)).size:  # larger dishes move more customers
-            weight = (STRENGTH[1] + d[1] * totals["t"][context[i]]) * self.parent_probability(totals)[word[i]]
-            closed = self.own.leave(i)
-            opened = self.own.sit(i, weight)
-            change = np.bincount(word[i[opened]], minlength=self.n_words) - np.bincount(word[i[closed]], minlength=self.n_words)
-            for k in range(int(np.abs(change).max(initial=0))):
-                if (j := np.flatnonzero(change < -k)).size:
-                    self.parent.leave(j)
-                if (j := np.flatnonzero(change > k)).size:
-                    self.parent.sit(j, np.full(len(j), base))
-            rounds += 1
-        if (j := np.flatnonzero(self.parent.customers > 1)).size:
-            self.parent.leave(j)
-            self.parent.sit(j, np.full(len(j), base))
-
-    def tables(self) -> np.ndarray:
-        t = np.minimum(self.counts, 1)
-        t[self.many] = self.own.tables
-        return t
+        back = backing(d[0], base, 1 << self.most.bit_length())
+        for i in self.turns:
+            if not len(i):
+                continue
+            weight = np.log((STRENGTH[1] + d[1] * totals["t"][self.context[i]]) / (STRENGTH[0] + totals["customers0"]))
+            t = draw_tables(self.counts[i], self.t[i], weight, self.customers0[self.word[i]] - self.t[i], back, d[1], self.rng)
+            self.customers0 += np.bincount(self.word[i], t - self.t[i], self.n_words).astype(np.int64)
+            self.t[i] = t
+        n = self.customers0
+        self.t0 = draw_tables(n, np.minimum(np.maximum(self.t0, n > 0), n), np.full(len(n), math.log(base)), np.zeros(len(n), np.int64), None, d[0], self.rng)
 
     def totals(self, sample: int) -> list[dict]:
         """Tables of each context, and of the parent (context -1) customers as c and tables as t."""
-        t = np.bincount(self.context, self.tables()).astype(np.int64)
+        t = np.bincount(self.context, self.t).astype(np.int64)
         out = [{"sample": sample, "context": int(k), "c": 0, "t": int(t[k])} for k in np.flatnonzero(t)]
-        return [*out, {"sample": sample, "context": -1, "c": int(self.parent.customers.sum()), "t": int(self.parent.tables.sum())}]
+        return [*out, {"sample": sample, "context": -1, "c": int(self.customers0.sum()), "t": int(self.t0.sum())}]
 
     def probability(self, totals: dict) -> np.ndarray:
         d, s = self.model["discount"][1], STRENGTH[1]
         back = (s + d * totals["t"][self.context]) * self.parent_probability(totals)[self.word]
-        return (self.counts - d * self.tables() + back) / (s + totals["c"][self.context])
+        return (self.counts - d * self.t + back) / (s + totals["c"][self.context])
 
 
 def _totals(rows: DataFrame, c: np.ndarray | None, contexts: int) -> dict[int, dict]:

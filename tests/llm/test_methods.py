@@ -233,6 +233,48 @@ def test_two_customers_sit_as_their_posterior_says():
     assert abs((s.tables == 2).mean() - 0.25 / 0.75) < 0.02
 
 
+def all_seatings(c, d, most):
+    """Logarithms of the weights of c customers at 0..most tables, by recursion."""
+    row, t = np.append(0.0, np.full(most, -np.inf)), np.arange(1, most + 1)
+    for k in range(c):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stay = np.where(k - d * t > 0, np.log(np.maximum(k - d * t, 1e-300)), -np.inf)
+        row = np.append(-np.inf, np.logaddexp(row[:-1], row[1:] + stay))
+    return row
+
+
+def test_large_dishes_sit_as_their_posterior_says():
+    """Scans reseat all of 10,000 customers: the number of tables of such dishes, of one context each, against its
+    posterior by recursion, in which the parent's tables are summed out."""
+    import pyarrow as pa
+
+    n, c, d0, d, most = 300, 10_000, 0.6, 0.7, 1000
+    row = {"bucket": 0, "words": np.arange(n, dtype=np.uint64).tobytes(), "each": hpylm.packed(np.ones(n, np.int32)), "context": hpylm.packed(np.zeros(n, np.int32)), "counts": hpylm.packed(np.full(n, c, np.int64))}
+    b = hpylm.Bucket({k: pa.scalar(v) for k, v in row.items()}, {"discount": (d0, d), "base": 1 / (n + 1), "seed": 1})
+    totals = {"c": np.array([n * c]), "t": np.array([8000.0]), "customers0": 9000, "tables0": 900}
+    for _ in range(3):
+        b.scan(totals)
+    w, w0, t = (1 + d * 8000) / (1 + 9000), (1 + d0 * 900) / (n + 1), np.arange(1, most + 1)
+    parent, row = [], np.append(0.0, np.full(most, -np.inf))
+    for k in range(most):
+        stay = np.where(k - d0 * t > 0, np.log(np.maximum(k - d0 * t, 1e-300)), -np.inf)
+        row = np.append(-np.inf, np.logaddexp(row[:-1], row[1:] + stay))
+        parent.append(np.logaddexp.reduce(row[1:] + t * np.log(w0)))
+    log_p = all_seatings(c, d, most)[1:] + t * np.log(w) + parent
+    p = np.exp(log_p - log_p.max())
+    p /= p.sum()
+    mean = (p * t).sum()
+    sd = np.sqrt((p * t * t).sum() - mean**2)
+    tables = {x["context"]: x["t"] for x in b.totals(0)}[0] / n
+    assert p[-1] < 1e-9 and mean > 1.2 and abs(tables - mean) < 5 * sd / np.sqrt(n)
+
+
+@pytest.mark.parametrize("c, d", [(300, 0.5), (300, 0.05), (5000, 0.9)])
+def test_seatings_of_many_customers(c, d):
+    t = np.unique(np.geomspace(1, c, 40).astype(np.int64))
+    assert np.abs(hpylm.log_stirling(np.full(len(t), c), t, d) - all_seatings(c, d, c)[t]).max() < 1e-4
+
+
 def test_trees_learn(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     got = quality_gbt.quality(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
