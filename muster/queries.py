@@ -216,11 +216,15 @@ def recognised_tables_query(spark, sf):
     return recognised_tables(tables.union(cells).union(words).union(nouns))
 
 
+#: Customers of a page: more of them make more pages, not longer ones.
+PAGE = 200
+
+
 @query("SELECT c_custkey::VARCHAR AS worker_id, c_name AS first_name, c_mktsegment AS department, '' AS pay_rate_type FROM customer")
 def soap_workers(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet")
     worker = F.concat(F.lit("<wd:Worker><wd:WID>"), "c_custkey", F.lit("</wd:WID><wd:Legal_First_Name> "), "c_name", F.lit(" </wd:Legal_First_Name><wd:Department_Name>"), "c_mktsegment", F.lit("<x/></wd:Department_Name></wd:Worker>"))
-    bodies = c.groupBy((F.col("c_custkey") % 50).alias("page")).agg(F.concat_ws("", F.collect_list(worker)).alias("body"))
+    bodies = c.groupBy(F.expr(f"c_custkey div {PAGE}").alias("page")).agg(F.concat_ws("", F.collect_list(worker)).alias("body"))
     return workers(bodies).select("worker_id", "first_name", "department", "pay_rate_type")
 
 
@@ -228,5 +232,5 @@ def soap_workers(spark, sf):
 def rest_employees(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet")
     one = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("first_name"), F.col("c_nationkey").alias("team_id"), F.col("c_nationkey").alias("post_code")))
-    bodies = c.groupBy((F.col("c_custkey") % 50).alias("page")).agg(F.concat(F.lit('{"data":['), F.concat_ws(",", F.collect_list(one)), F.lit('],"meta":{}}')).alias("body"))
+    bodies = c.groupBy(F.expr(f"c_custkey div {PAGE}").alias("page")).agg(F.concat(F.lit('{"data":['), F.concat_ws(",", F.collect_list(one)), F.lit('],"meta":{}}')).alias("body"))
     return employees(bodies).select("id", "first_name", "email", "team_id", "post_code")
