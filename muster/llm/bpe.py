@@ -1,65 +1,110 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-A text is halved until its parts are short; the parts are encoded, and neighbours are joined up the tree.  A join
-re-encodes a window around the seam.  The window starts and ends where the tokenizer's pattern provably begins a new
-match whatever else the text holds: before a space or line feed that follows a character that is no white space, as no
-match goes on from such a character into white space.  Tokens outside the window cannot change, so they are taken over
-as they are.  Windows grow until they hold such a place; a part without any is encoded again as a whole.  The result is
-that of encoding the text at once.  Decoding concatenates the bytes of the tokens up the same kind of tree.
+A text is halved until its parts are leaves of some tens of characters; leaves are encoded, and neighbours are joined up
+the tree.  A join re-encodes a window around the seam.  The window starts and ends where the tokenizer's pattern provably
+begins a new match whatever else the text holds: before a space or line feed that follows a character that is no white
+space, as no match goes on from such a character into white space.  Tokens outside the window cannot change, so they are
+taken over as they are.  Windows grow until they hold such a place; a side without any is encoded again as a whole.  A part
+without any such place inside is a leaf whatever its length, since every join within it would encode it anew.  The result
+is that of encoding the text at once.  Decoding concatenates the bytes of the tokens up the same kind of tree.
+
+Leaves and windows are cut into the pattern's matches; the library merges the bytes of one match by the ranks, and a worker
+remembers the tokens of short matches.
 
 Defined results: a null text counts as empty and gives no tokens; texts of any length are taken whole; repeated rows
-give repeated rows; an empty table gives none; columns but the two named are not looked at.
+give repeated rows; an empty table gives none; columns but the two named are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
-import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import kind, map_texts, table
 
-#: Characters of a leaf, tokens of a leaf when decoding, characters of the first window.
-LEAF, LEAF_TOKENS, WINDOW = 8192, 8192, 16
-#: A place where a new match begins in any text.
-STABLE = re.compile(r"(?<=\S)[ \n]")
+#: Characters of a leaf, tokens of a leaf when decoding.
+LEAF, LEAF_TOKENS = 96, 96
+#: A place where a new match of PATTERN of public_tokenizers begins in any text.
+STABLE = r"(?<=\S)[ \n]"
+#: Short matches whose tokens a worker remembers.
+REMEMBERED = 1 << 18
 
 
 class Tokenizer:
-    def __init__(self, ranks_path: str, pattern: str) -> None:
+    """``stable`` must find only places where the pattern begins a new match in any text; each pattern needs its own."""
+
+    def __init__(self, ranks_path: str, pattern: str, stable: str | None = None) -> None:
+        if stable is None:
+            import public_tokenizers
+
+            if pattern != public_tokenizers.PATTERN:
+                raise ValueError("give the stable places of a pattern of your own")
+            stable = STABLE
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pattern, self.stable = regex.compile(pattern), regex.compile(stable)
+        self.merger = tiktoken.Encoding("one match", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+        self.known: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= LEAF:
-            return self.coder.encode_ordinary(text)
-        half = len(text) // 2
-        return self.join(text[:half], self.encode(text[:half]), text[half:], self.encode(text[half:]))
-
-    def join(self, left: str, a: list[int], right: str, b: list[int]) -> list[int]:
-        """The tokens of left + right from the tokens a of left and b of right; a is used up."""
-        start, stop = last_stable(left), first_stable(right)
-        over = len(left[start:].encode())
-        while over > 0:
-            over -= len(self.bytes_of[a.pop()])
-        skip, over = 0, len(right[:stop].encode())
-        while over > 0:
-            over -= len(self.bytes_of[b[skip]])
-            skip += 1
-        a += self.coder.encode_ordinary(left[start:] + right[:stop])
-        a += b[skip:] if skip else b
+        return self.part(text, [m.start() for m in self.stable.finditer(text)] if len(text) > LEAF else [], 0, len(text))
+
+    def part(self, text: str, places: list[int], lo: int, hi: int) -> list[int]:
+        """The tokens that text[lo:hi] has on its own."""
+        if hi - lo <= LEAF:
+            return self.leaf(text[lo:hi])
+        k = bisect_right(places, lo)
+        if k == len(places) or places[k] >= hi:  # no stable place inside
+            return self.leaf(text[lo:hi])
+        mid = (lo + hi) // 2
+        return self.join(text, places, lo, mid, hi, self.part(text, places, lo, mid), self.part(text, places, mid, hi))
+
+    def join(self, text: str, places: list[int], lo: int, mid: int, hi: int, a: list[int], b: list[int]) -> list[int]:
+        """The tokens of text[lo:hi] from the tokens a of text[lo:mid] and b of text[mid:hi]; a is used up.
+
+        The window grows from the seam to the nearest stable places, or to the part's ends."""
+        k = bisect_left(places, mid)
+        stop = min(hi, places[k]) if k < len(places) else hi
+        if stop > mid:  # else the seam itself is stable
+            start = max(lo, places[k - 1]) if k else lo
+            over = len(text[start:mid].encode())
+            while over > 0:
+                over -= len(self.bytes_of[a.pop()])
+            skip, over = 0, len(text[mid:stop].encode())
+            while over > 0:
+                over -= len(self.bytes_of[b[skip]])
+                skip += 1
+            a += self.leaf(text[start:stop])
+            if skip:
+                del b[:skip]
+        a += b
         return a
 
+    def leaf(self, text: str) -> list[int]:
+        """Each match of the pattern by the ranks."""
+        out, known = [], self.known
+        for match in self.pattern.findall(text):
+            ids = known.get(match)
+            if ids is None:
+                ids = self.merger.encode_ordinary(match)
+                if len(match) <= LEAF:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[match] = ids
+            out += ids
+        return out
+
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF_TOKENS:
             return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -67,39 +112,18 @@ class Tokenizer:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-def last_stable(text: str) -> int:
-    """Where the last stable place of text is; 0 if it has none."""
-    size = WINDOW
-    while True:
-        at = max(0, len(text) - size)
-        found = [m.start() for m in STABLE.finditer(text, at)]  # the character before ``at`` is seen as well
-        if found or not at:
-            return found[-1] if found else 0
-        size *= 2
-
-
-def first_stable(text: str) -> int:
-    """Where the first stable place of text is; its length if it has none."""
-    size = WINDOW
-    while True:
-        if found := STABLE.search(text, 0, size):
-            return found.start()
-        if size >= len(text):
-            return len(text)
-        size *= 2
-
-
 @lru_cache(maxsize=4)
-def tokenizer(ranks_path: str, pattern: str) -> Tokenizer:
+def tokenizer(ranks_path: str, pattern: str, stable: str | None = None) -> Tokenizer:
     """One for each Python worker."""
-    return Tokenizer(ranks_path, pattern)
+    return Tokenizer(ranks_path, pattern, stable)
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", stable: str | None = None) -> DataFrame:
     """id, ids (the tokens of the text) and decoded (the bytes that they stand for) of every row."""
+    tokenizer(ranks_path, pattern, stable)  # mistakes show here, not in a task
 
     def run(keys: list, texts: list) -> dict:
-        t = tokenizer(ranks_path, pattern)
+        t = tokenizer(ranks_path, pattern, stable)
         parts, decoded = [np.zeros(0, np.int32)], []
         for x in texts:
             ids = t.encode(x.decode())
@@ -108,7 +132,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         flat, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts], dtype=np.int32)
         return {"id": keys, "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "decoded": decoded}
 
-    return map_texts(docs, run, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary", text_col, id_col)
+    return map_texts(docs, run, f"id {kind(docs, id_col)}, ids array<int>, decoded binary", text_col, id_col)
 
 
 def digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -2,23 +2,28 @@
 
 A stream of digests updates a keyed state that lives on disk (RocksDB) and never expires.  For each digest the state
 retains how many rows had it, the identifier that stays (the largest) and the locator of its content (file and row).
-Digests that were hit more than once are then checked over full bytes; texts that differ in spite of equal digests
-are told apart by the texts themselves.
+Documents come in arrivals; each is one micro-batch.  While the batch is taken, the digests that were hit are checked over
+full bytes: the arrival's texts against each other and against the retained content, which is fetched by its locator, also
+after a restart.  Digests under which texts differ are recorded, and their rows are told apart by the texts themselves.
 
-Defined results: a null text counts as empty; a null identifier is smaller than any other; of repeated rows with the
-same identifier and text exactly one stays (the one that lies last in the files); an empty table gives no rows; other
-columns are carried through by ``drop_copies`` and not looked at, whatever their names (``_at_file`` and ``_at_row``
-are reserved).
+A digest that very many rows share costs one state and one row from each task; in the join of rows with states the digests
+of at least one row in ``HOT`` (so at most ``HOT`` digests) are broadcast, and only the others shuffle.
+
+Defined results: a null text counts as empty; texts of any length are taken whole; identifiers may have any type that has
+an order, and a null one is smaller than any other; of repeated rows with the same identifier and text exactly one stays
+(the one that lies last in the files); an empty table gives no rows; other columns are carried through by ``drop_copies``
+and not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import located, scratch, table, without, written
+from .common import MOST_BROADCAST, kind, located, scratch, table, text_of, without, written
 
 #: Settings of the keyed state: on disk, with bounded memory for all stores of an executor.
 STATE = {
@@ -28,6 +33,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each store sets aside megabytes of disk
 }
+AT = "struct<file:string,n:bigint>"
+HOT = 1000
 
 
 def sha256(text: Column) -> Column:
@@ -37,65 +44,98 @@ def sha256(text: Column) -> Column:
 def keyed_state(rows: DataFrame) -> DataFrame:
     """What is retained of each digest; on a stream, Spark keeps it as state and combines rows before the shuffle,
     so a digest that a third of all rows share sends one row from each task."""
-    return rows.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "_at_file", "_at_row")).alias("keep"))
-
-
-def fold_stream(spark: SparkSession, rows: DataFrame, checkpoint: str, out: str) -> None:
-    """Run the stream of rows (id, digest, _at_file, _at_row) until it has taken all that is there; every micro-batch
-    writes the states it changed to a folder of its own, so a repeated batch overwrites itself."""
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
-        spark.conf.set(k, v)
-    try:
-        q = (
-            keyed_state(rows)
-            .writeStream.outputMode("update")
-            .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"))
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
-        q.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def states(spark: SparkSession, out: str) -> DataFrame:
-    """The last state of each digest over all micro-batches (counts only grow)."""
-    schema = "digest binary, n bigint, keep struct<id:bigint,_at_file:string,_at_row:bigint>, batch int"
-    return spark.read.schema(schema).parquet(out).groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("s")).select("digest", "s.n", "s.keep")
-
-
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 512, most_broadcast: int = 200_000) -> DataFrame:
-    """One row for each row of located docs: id, _at_file, _at_row, n, keep (id, _at_file, _at_row), kept, digest.
+    return rows.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "at")).alias("keep"))
+
+
+class Dedup:
+    """The stream's folder: ``digests`` (its input, a folder for each arrival), ``state`` (its checkpoint), ``changes`` (the
+    states that each micro-batch changed) and ``collisions``.  A new object over the same folder goes on where it was."""
+
+    def __init__(self, spark: SparkSession, folder: str, id_type: str = "bigint", text_col: str = "text", digest: Callable[[Column], Column] = sha256, most_broadcast: int = MOST_BROADCAST) -> None:
+        self.spark, self.folder, self.text_col, self.digest, self.most_broadcast = spark, folder, text_col, digest, most_broadcast
+        self.rows = f"digest binary, id {id_type}, at {AT}"
+        self.changed = f"digest binary, n bigint, keep struct<id:{id_type},at:{AT}>, batch bigint"
+
+    def arrive(self, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+        """Take located rows; returns digest, id and at of each."""
+        text = text_of(f"row`.`{self.text_col}")
+        path = f"{self.folder}/digests/arrival={uuid.uuid4().hex}"
+        rows.select(self.digest(text).alias("digest"), F.col(f"row.`{id_col}`").alias("id"), "at").write.parquet(path)
+        own = self.spark.read.schema(self.rows).parquet(path)
+        if own.isEmpty():
+            return own
+        texts = rows.select(self.digest(text).alias("digest"), text.alias("t"))
+        before = {k: self.spark.conf.get(k, None) for k in STATE}
+        for k, v in STATE.items():
+            self.spark.conf.set(k, v)
+        try:
+            stream = self.spark.readStream.schema(f"{self.rows}, arrival string").parquet(f"{self.folder}/digests")
+            to = keyed_state(stream).writeStream.outputMode("update").foreachBatch(lambda df, i: self._batch(df, i, texts))
+            to.option("checkpointLocation", f"{self.folder}/state").trigger(availableNow=True).start().awaitTermination()
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+        return own
+
+    def _batch(self, states: DataFrame, batch: int, texts: DataFrame) -> None:
+        """Every micro-batch writes to folders of its own, so a repeated batch overwrites itself."""
+        path = f"{self.folder}/changes/batch={batch}"
+        states.write.mode("overwrite").parquet(path)
+        hits = self.spark.read.schema(self.changed).parquet(path).filter("n > 1").select("digest")
+        hits = F.broadcast(hits) if hits.count() * 64 <= self.most_broadcast else hits.hint("merge")
+        seen = texts.join(hits, "digest", "left_semi")
+        if batch:
+            seen = seen.unionByName(self._retained(self.states(before=batch).join(hits, "digest", "left_semi")))
+        # The least and the greatest text of a digest are equal if and only if all its texts are.
+        told = seen.groupBy("digest").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo != hi").select("digest")
+        told.write.mode("overwrite").parquet(f"{self.folder}/collisions/batch={batch}")
+
+    def _retained(self, states: DataFrame) -> DataFrame:
+        """digest and t (the content at the locator) of each state; only the files that locators name are read."""
+        own = written(states.select("digest", F.col("keep.at").alias("at")), "retained")
+        files = [r[0] for r in own.select("at.file").distinct().collect()]
+        if not files:
+            return own.select("digest", F.lit("").alias("t"))
+        content = located(self.spark.read.parquet(*files))
+        return content.join(own.hint("merge"), "at").select("digest", text_of(f"row`.`{self.text_col}").alias("t"))
+
+    def states(self, before: int | None = None) -> DataFrame:
+        """The last state of each digest over all micro-batches (counts only grow), or over those before one."""
+        all_ = self.spark.read.schema(self.changed).parquet(f"{self.folder}/changes")
+        all_ = all_ if before is None else all_.filter(F.col("batch") < before)
+        return all_.groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("s")).select("digest", "s.n", "s.keep")
+
+    def collisions(self) -> DataFrame:
+        """Digests under which texts differ."""
+        return self.spark.read.schema("digest binary, batch bigint").parquet(f"{self.folder}/collisions").select("digest").distinct()
+
+
+def classes(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """One row for each located row: id, at, n, keep (id, at), kept, digest.
 
     ``digest`` may be weak: hits are checked over full bytes."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), digest(text).alias("digest"), "_at_file", "_at_row")
-    path, run = scratch(spark, "digests"), scratch(spark, "dedup-stream")
-    own.write.parquet(path)
-    rows = spark.read.schema(own.schema).parquet(path)
-    if rows.isEmpty():
-        return rows.select("*", F.lit(0).cast("bigint").alias("n"), F.struct("id", "_at_file", "_at_row").alias("keep"), F.lit(True).alias("kept"))
-    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    fold_stream(spark, stream, f"{run}/state", f"{run}/changes")
-    state = written(states(spark, f"{run}/changes"), "states")
-
-    # Full bytes of hits: the least and the greatest text of a digest are equal if and only if all its texts are.
-    hits = state.filter("n > 1").select("digest")
-    hits = F.broadcast(hits) if hits.limit(most_broadcast + 1).count() <= most_broadcast else hits.hint("merge")
-    texts = docs.select(digest(text).alias("digest"), text.alias("t"), F.col(id_col).cast("bigint").alias("id"), "_at_file", "_at_row")
-    differ = written(texts.join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo != hi").select("digest"), "collisions")
-    out = rows.join(state, "digest")
+    spark = rows.sparkSession
+    dedup = Dedup(spark, scratch(spark, "dedup"), kind(rows.select(F.col(f"row.`{id_col}`").alias("id")), "id"), text_col, digest, most_broadcast)
+    own = dedup.arrive(rows, id_col)
+    if own.isEmpty():
+        return own.select("*", F.lit(0).cast("bigint").alias("n"), F.struct("id", "at").alias("keep"), F.lit(True).alias("kept"))
+    state, total = written(dedup.states(), "states"), own.count()
+
+    hot = state.filter(F.col("n") * HOT >= total).select("digest", F.struct("n", "keep").alias("hot"))
+    out = own.join(F.broadcast(hot), "digest", "left")
+    # Rows with a hot digest need no partner any more; a key of their own spreads them over the shuffle.
+    cold = F.concat(F.lit(b"0"), F.col("digest"))
+    key = F.when(F.col("hot").isNull(), cold).otherwise(F.encode(F.concat(F.lit("1"), F.hex(F.xxhash64("at"))), "UTF-8"))
+    out = out.withColumn("key", key).join(state.select(cold.alias("key"), F.struct("n", "keep").alias("cold")), "key", "left")
+    out = out.select("digest", "id", "at", F.coalesce("hot", "cold").alias("s")).select("digest", "id", "at", "s.n", "s.keep")
+    differ = dedup.collisions()
     if not differ.isEmpty():
-        told = texts.join(differ, "digest", "left_semi")
-        split = told.groupBy("digest", "t").agg(F.count("*").alias("n2"), F.max(F.struct("id", "_at_file", "_at_row")).alias("keep2"))
-        fixed = written(told.join(split, ["digest", "t"]).select("_at_file", "_at_row", "n2", "keep2"), "told-apart")
-        out = out.join(fixed, ["_at_file", "_at_row"], "left").withColumns({"n": F.coalesce("n2", "n"), "keep": F.coalesce("keep2", "keep")}).drop("n2", "keep2")
-    same = (F.col("keep._at_file") == F.col("_at_file")) & (F.col("keep._at_row") == F.col("_at_row"))
-    return out.select("id", "_at_file", "_at_row", "n", "keep", same.alias("kept"), "digest")
+        text = text_of(f"row`.`{text_col}")
+        told = rows.select(digest(text).alias("digest"), text.alias("t"), F.col(f"row.`{id_col}`").alias("id"), "at").join(differ, "digest", "left_semi")
+        split = told.groupBy("digest", "t").agg(F.count("*").alias("n2"), F.max(F.struct("id", "at")).alias("keep2"))
+        fixed = written(told.join(split, ["digest", "t"]).select("at", "n2", "keep2"), "told-apart")
+        out = out.join(fixed, "at", "left").withColumns({"n": F.coalesce("n2", "n"), "keep": F.coalesce("keep2", "keep")}).drop("n2", "keep2")
+    return out.select("id", "at", "n", "keep", (F.col("keep.at") == F.col("at")).alias("kept"), "digest")
 
 
 def exact_dedup(docs: DataFrame, **options) -> DataFrame:
@@ -106,8 +146,8 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """docs without the copies, all columns as they were."""
-    at = located(docs)
-    return without(at, classes(at, **options).filter(~F.col("kept")).select("_at_file", "_at_row"))
+    rows = located(docs)
+    return without(rows, classes(rows, **options).filter(~F.col("kept")).select("at"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

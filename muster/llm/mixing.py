@@ -12,7 +12,7 @@ source with a third of all rows is spread over as many tasks as it needs.
 
 Defined results: sources that are not listed, and null, share the weight ``other`` and count as one source; no row is
 dropped or repeated; a null doc_id hashes as the empty text; repeated rows get ranks of their own; an empty table gives
-no rows.  ``interleaved`` carries all columns through, whatever their names (those beginning with ``_mix_`` are reserved).
+no rows; texts are carried along whole.  ``interleaved`` carries all columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ TARGET = {"src0": 20} | {f"src{i}": 4 for i in range(1, 20)}
 OTHER, BLOCK = 4, 64
 #: Documents in a range of hashes, about; ranges of a source at most.
 RANGE_ROWS, RANGE_BITS = 1024, 16
+NAMES = ("block_no", "slot", "release", "deadline", "position")
 
 
 def period(weights: list[int]) -> list[tuple[int, int, int]]:
@@ -44,62 +45,62 @@ def period(weights: list[int]) -> list[tuple[int, int, int]]:
 
 
 def scheduled(docs: DataFrame, target: dict[str, int] = TARGET, other: int = OTHER, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """docs with _mix_block, _mix_slot, _mix_release, _mix_deadline and _mix_position."""
-    spark, names = docs.sparkSession, list(target)
+    """``row`` (a struct of all columns of docs, so none can clash), block_no, slot, release, deadline and position."""
+    names, all_columns = list(target), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     index = F.create_map(*[F.lit(x) for kv in ((n, i) for i, n in enumerate(names)) for x in kv]) if names else None
-    known = F.coalesce(F.try_element_at(index, F.col(source_col).cast("string")), F.lit(len(names))) if names else F.lit(0)
-    hashed = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.withColumns({"_mix_s": known, "_mix_h": hashed})
-    held = {r["_mix_s"]: r["count"] for r in rows.groupBy("_mix_s").count().collect()}  # as many rows as there are weights
+    known = F.coalesce(F.try_element_at(index, F.col(f"`{source_col}`").cast("string")), F.lit(len(names))) if names else F.lit(0)
+    hashed = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    rows = docs.select(known.alias("s"), hashed.alias("h"), F.col(f"`{id_col}`").alias("id"), all_columns)
+    held = {r["s"]: r["count"] for r in rows.groupBy("s").count().collect()}  # as many rows as there are weights
     present = sorted(held)
     weights = [[*target.values(), other][s] for s in present]
     total = sum(weights)
     if not present:
-        none = F.lit(None).cast("bigint")
-        return docs.withColumns({f"_mix_{n}": none for n in ("block", "slot", "release", "deadline", "position")})
+        return docs.select(all_columns, *[F.lit(None).cast("bigint").alias(n) for n in NAMES])
 
     bits = {s: min(RANGE_BITS, math.ceil(math.log2(max(1, n / RANGE_ROWS)))) for s, n in held.items()}  # a large source has more ranges
-    away = F.element_at(F.create_map(*[F.lit(x) for s, b in bits.items() for x in (s, 16 - b)]), F.col("_mix_s"))
-    rows = rows.withColumn("_mix_r", F.call_function("shiftright", F.conv(F.substring("_mix_h", 1, 4), 16, 10).cast("int"), away))
-    sizes = rows.groupBy("_mix_s", "_mix_r").agg(F.count("*").alias("_mix_n"))
-    before = Window.partitionBy("_mix_s").orderBy("_mix_r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_mix_s", "_mix_r", F.coalesce(F.sum("_mix_n").over(before), F.lit(0)).alias("_mix_o"))
-    own = Window.partitionBy("_mix_s", "_mix_r").orderBy("_mix_h", F.col(id_col))
-    rows = rows.withColumn("_mix_k", F.row_number().over(own) - 1).join(F.broadcast(offsets), ["_mix_s", "_mix_r"])  # at most 65,536 ranges of each weight
-    rank = F.col("_mix_o") + F.col("_mix_k")
+    away = F.element_at(F.create_map(*[F.lit(x) for s, b in bits.items() for x in (s, 16 - b)]), F.col("s"))
+    rows = rows.withColumn("r", F.call_function("shiftright", F.conv(F.substring("h", 1, 4), 16, 10).cast("int"), away))
+    sizes = rows.groupBy("s", "r").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("s", "r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o"))
+    own = Window.partitionBy("s", "r").orderBy("h", "id")
+    rows = rows.withColumn("k", F.row_number().over(own) - 1).join(F.broadcast(offsets), ["s", "r"])  # at most 65,536 ranges of each weight
+    rank = F.col("o") + F.col("k")
 
     plan, so_far = [], [0] * len(present)
     for slot, s, j in period(weights):
-        plan.append(f"({present[s]}, {j}L, {slot}L, array({', '.join(f'{x}L' for x in so_far)}))")
+        plan.append((present[s], j, slot, list(so_far)))
         so_far[s] += 1
-    slots = spark.sql(f"SELECT * FROM VALUES {', '.join(plan)} AS t(_mix_s, _mix_j, _mix_i, _mix_before)")
-    w = F.element_at(F.create_map(*[F.lit(x) for kv in zip(present, weights) for x in kv]), F.col("_mix_s")).cast("bigint")
-    rows = rows.withColumn("_mix_block", F.expr(f"(_mix_o + _mix_k) div {block}")).withColumn("_mix_w", w)
-    rows = rows.withColumn("_mix_j", F.col("_mix_block") % F.col("_mix_w")).join(F.broadcast(slots), ["_mix_s", "_mix_j"])  # one row for each slot of the period
-    turn = F.expr("_mix_block div _mix_w")
-    earlier = sum((F.least(F.lit(held[s]).cast("bigint"), (turn * weights[k] + F.col("_mix_before")[k]) * block) for k, s in enumerate(present)), F.lit(0).cast("bigint"))
-    rows = rows.withColumns(
-        {
-            "_mix_slot": turn * total + F.col("_mix_i"),
-            "_mix_release": F.expr(f"_mix_block * {total} div _mix_w"),
-            "_mix_deadline": F.expr(f"((_mix_block + 1) * {total} + _mix_w - 1) div _mix_w"),
-            "_mix_position": earlier + rank % block,
-        }
+    slots = docs.sparkSession.createDataFrame(plan, "s int, j bigint, i bigint, before array<bigint>")
+    w = F.element_at(F.create_map(*[F.lit(x) for kv in zip(present, weights) for x in kv]), F.col("s")).cast("bigint")
+    rows = rows.withColumn("block_no", F.expr(f"(o + k) div {block}")).withColumn("w", w)
+    rows = rows.withColumn("j", F.col("block_no") % F.col("w")).join(F.broadcast(slots), ["s", "j"])  # one row for each slot of the period
+    turn = F.expr("block_no div w")
+    earlier = sum((F.least(F.lit(held[s]).cast("bigint"), (turn * weights[k] + F.col("before")[k]) * block) for k, s in enumerate(present)), F.lit(0).cast("bigint"))
+    return rows.select(
+        "row",
+        "block_no",
+        (turn * total + F.col("i")).alias("slot"),
+        F.expr(f"block_no * {total} div w").alias("release"),
+        F.expr(f"((block_no + 1) * {total} + w - 1) div w").alias("deadline"),
+        (earlier + rank % block).alias("position"),
     )
-    return rows.drop("_mix_s", "_mix_h", "_mix_r", "_mix_o", "_mix_k", "_mix_w", "_mix_j", "_mix_i", "_mix_before")
 
 
 def interleaved(docs: DataFrame, rows_per_file: int = 8192, **options) -> DataFrame:
-    """docs in the scheduled order: partition after partition, each sorted."""
+    """docs in the scheduled order: partition after partition of ``rows_per_file`` rows, each sorted.
+
+    A row's partition follows from its position, so none is sampled for."""
     n = max(1, math.ceil(docs.count() / rows_per_file))
-    rows = scheduled(docs, **options)
-    return rows.repartitionByRange(n, "_mix_position").sortWithinPartitions("_mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = scheduled(docs, **options).select("row", "position")
+    rows = rows.repartitionById(n, F.expr(f"cast(position div {rows_per_file} as int)"))
+    return rows.sortWithinPartitions("position").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    named = {c: F.col(f"_mix_{c}") for c in ("block", "slot", "release", "deadline", "position")}
-    return scheduled(docs).select("doc_id", "source", *[c.alias(n if n != "block" else "block_no") for n, c in named.items()])
+    return scheduled(docs).select("row.*", *NAMES)
 
 
 def _sql() -> str:

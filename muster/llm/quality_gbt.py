@@ -6,8 +6,8 @@ a batch of documents walks down all of them with numpy indexing.  Every whole te
 
 Defined results: a null text counts as empty and is scored like any other; a null identifier is not held out and has no
 label; of several labels of a document the greatest counts; with no usable labels every score is the prior 0.5, with one
-class it is nearly that class; repeated rows give repeated rows; an empty table gives none.  Other columns are not
-looked at.
+class it is nearly that class; texts of any length are taken whole; a score equal to the bar counts as 1; repeated rows give
+repeated rows; an empty table gives none.  Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import kind, map_texts, table
 
 #: Labelled documents for the fit, at most.
 SAMPLE = 20_000
@@ -122,15 +122,15 @@ def held_out(doc_id: Column) -> Column:
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id and x (FEATURES as an array) of every row."""
-    return map_texts(docs, lambda ids, texts: {"doc_id": ids, "x": [statistics(t) for t in texts]}, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return map_texts(docs, lambda ids, texts: {"doc_id": ids, "x": [statistics(t) for t in texts]}, f"doc_id {kind(docs, 'doc_id')}, x array<double>")
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    usable = usable.groupBy("doc_id").agg(F.max("quality").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    usable = usable.groupBy("doc_id").agg(F.max("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select("doc_id", "text").join(F.broadcast(usable.select("doc_id")), "doc_id", "left_semi")
-    rows = features(own).join(F.broadcast(usable), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).select("x", "_y").collect()
-    return fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r._y for r in rows], float))
+    rows = features(own).join(F.broadcast(usable), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).select("x", "y").collect()
+    return fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows], float))
 
 
 def quality(docs: DataFrame, labels: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -141,7 +141,7 @@ def quality(docs: DataFrame, labels: DataFrame, least: float = LEAST_SCORE) -> D
         x = np.array([statistics(t) for t in texts]).reshape(len(texts), len(FEATURES))
         return {"doc_id": ids, "score": trees.score(x)}
 
-    scored = map_texts(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = map_texts(docs, run, f"doc_id {kind(docs, 'doc_id')}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 

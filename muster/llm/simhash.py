@@ -10,8 +10,8 @@ brought it together, and gives one link from each row to a representative, not a
 
 Defined results: a null text counts as empty, and texts without words have fingerprint zero; a null identifier is
 ignored when the smallest of a component is sought (all null: null); repeated rows give repeated rows; an empty table
-gives none.  ``drop_near_copies`` carries all columns through, whatever their names (``_at_file`` and ``_at_row`` are
-reserved), and keeps the row with the smallest identifier of each component.
+gives none; texts of any length are taken whole.  ``drop_near_copies`` carries all columns through, whatever their names,
+and keeps the row with the smallest identifier of each component.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import located, map_texts, table, without, written
+from .common import discard, located, map_texts, table, without, written, written_at
 
 SEED, WORDS, RADIUS, BITS = 42, 3, 3, 64
 #: Rows of a bucket's chunk.
@@ -52,7 +52,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(ids: list, texts: list) -> dict:
         return {"id": ids, "fp": np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)}
 
-    return map_texts(docs, run, f"id {docs.schema[id_col].dataType.simpleString()}, fp bigint", text_col, id_col)
+    key = docs.select(F.col(id_col).alias("k")).schema["k"].dataType.simpleString()
+    return map_texts(docs, run, f"id {key}, fp bigint", text_col, F.col(id_col))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -90,7 +91,9 @@ def _linked(fp: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray, n
 
 
 def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) between distinct fingerprints fps (column fp): they join exactly what pairs within the radius join."""
+    """Links (a, b) between distinct fingerprints fps (column fp): they join exactly what pairs within the radius join.
+
+    A bucket of n distinct fingerprints is met ceil(n / chunk) times by each of them, so no group is gathered in one task."""
     keyed = fps.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks(radius)])).alias("t", "m")).select("fp", "t", F.col("fp").bitwiseAND(F.col("m")).alias("key"))
     met = keyed.groupBy("t", "key").count().filter("count > 1")
     cand = keyed.join(met, ["t", "key"])
@@ -139,12 +142,13 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     def sign(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    e = written(pairs.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    e, path = written_at(pairs.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = sign(e)
     for _ in range(most_rounds):
         if not before[0]:
             break
-        e = written(star(star(e, True), False), "links")
+        old, (e, path) = path, written_at(star(star(e, True), False), "links")
+        discard(e.sparkSession, old)
         now = sign(e)
         if now == before:
             break
@@ -170,9 +174,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the one with the smallest identifier, and of those that lies first."""
-    at = located(docs)
-    got = written(simhash(at.withColumn("_at", F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"), "_at_file", "_at_row")), "_at"), "near-copies")
-    return without(at, got.filter("id != component").select("id._at_file", "id._at_row"))
+    rows = located(docs)
+    first = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), "at")
+    got = written(simhash(rows.select(first.alias("key"), F.col("row.text").alias("t")), "key", "t"), "near-copies")
+    return without(rows, got.filter("id != component").select("id.at"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

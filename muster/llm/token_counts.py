@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer
-from .common import bounded_batches, table, text_bytes
+from .common import kind, slices, table, text_bytes, text_of
 
 RULES = ("first", "last", "most")
 #: What stands between fields that are joined into one text; it belongs to the field before.
@@ -54,15 +54,17 @@ def allocate(first: np.ndarray, last: np.ndarray, starts: np.ndarray, rule: str
     return own, cross
 
 
-def _counted(rows: DataFrame, starts_of: Callable, ranks_path: str, pattern: str, rule: str, key: str) -> DataFrame:
+def _counted(rows: DataFrame, starts_of: Callable, ranks_path: str, pattern: str, rule: str, key: str, stable: str | None) -> DataFrame:
     """rows: k, t (bytes) and perhaps more for starts_of(text, *more), which gives the bytes at which sections start."""
-    bounded_batches(rows.sparkSession)
-    kind = rows.schema["k"].dataType.simpleString()
+    if rule not in RULES:
+        raise ValueError(f"rule must be one of {RULES}, not {rule!r}")
+    tokenizer(ranks_path, pattern, stable)  # mistakes show here, not in a task
+    names = [key, "section", "char_start", "char_end", "n_tokens", "n_crossing"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(ranks_path, pattern)
+        t = tokenizer(ranks_path, pattern, stable)
         size = np.array([len(x) for x in t.bytes_of], np.int64)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             which, cols = [], [[] for _ in range(5)]
             for row, (text, *more) in enumerate(zip(*[c.to_pylist() for c in b.columns[1:]])):
                 begin = starts_of(text, *more)
@@ -75,28 +77,27 @@ def _counted(rows: DataFrame, starts_of: Callable, ranks_path: str, pattern: str
                 ends = np.append(starts[1:], stop[-1])
                 for out, x in zip(cols, (np.arange(len(begin)), starts, ends, np.bincount(own, minlength=len(begin)), np.bincount(own[cross], minlength=len(begin)))):
                     out.append(x)
-            if which:
-                keys = b.column(0).take(pa.array(np.concatenate(which)))
-                yield pa.RecordBatch.from_arrays([keys, *[pa.array(np.concatenate(x).astype(np.int64)) for x in cols]], names=[key, "section", "char_start", "char_end", "n_tokens", "n_crossing"])
+            keys = b.column(0).take(pa.array(np.concatenate(which)))
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array(np.concatenate(x).astype(np.int64)) for x in cols]], names=names)
 
-    return rows.mapInArrow(run, f"{key} {kind}, section bigint, char_start bigint, char_end bigint, n_tokens bigint, n_crossing bigint")
+    return rows.mapInArrow(run, f"`{key}` {kind(rows, 'k')}, section bigint, char_start bigint, char_end bigint, n_tokens bigint, n_crossing bigint")
 
 
-def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, starts_of: Callable[[bytes], np.ndarray] = line_starts, rule: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, starts_of: Callable[[bytes], np.ndarray] = line_starts, rule: str = "first", id_col: str = "doc_id", text_col: str = "text", stable: str | None = None) -> DataFrame:
     """One row for each section of each text: id, section (from 0), char_start, char_end, n_tokens, n_crossing (those of
     n_tokens that cross a boundary)."""
-    return _counted(docs.select(F.col(id_col).alias("k"), text_bytes(text_col).alias("t")), starts_of, ranks_path, pattern, rule, id_col)
+    return _counted(docs.select(F.col(f"`{id_col}`").alias("k"), text_bytes(text_col).alias("t")), starts_of, ranks_path, pattern, rule, id_col, stable)
 
 
-def field_tokens(rows: DataFrame, fields: list[str], ranks_path: str, pattern: str, rule: str = "first", id_col: str = "doc_id") -> DataFrame:
+def field_tokens(rows: DataFrame, fields: list[str], ranks_path: str, pattern: str, rule: str = "first", id_col: str = "doc_id", stable: str | None = None) -> DataFrame:
     """The same for fields of a row, encoded as one text with ``BETWEEN`` after each but the last."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]
+    parts = [text_of(c) for c in fields]
     sizes = F.array(*[F.octet_length(p) + len(BETWEEN) for p in parts])
 
     def starts_of(text: bytes, lengths: list[int]) -> np.ndarray:
         return np.minimum(np.cumsum([0, *lengths[:-1]]), len(text))
 
-    return _counted(rows.select(F.col(id_col).alias("k"), F.concat_ws(BETWEEN, *parts).cast("binary").alias("t"), sizes), starts_of, ranks_path, pattern, rule, id_col)
+    return _counted(rows.select(F.col(f"`{id_col}`").alias("k"), F.concat_ws(BETWEEN, *parts).cast("binary").alias("t"), sizes), starts_of, ranks_path, pattern, rule, id_col, stable)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
