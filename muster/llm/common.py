@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections import defaultdict
@@ -77,6 +78,12 @@ def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs now; it does so once the driver's objects are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_of(col: str | Column = "text") -> Column:
     """A text; null counts as empty."""
     return F.coalesce((F.col(f"`{col}`") if isinstance(col, str) else col).cast("string"), F.lit(""))

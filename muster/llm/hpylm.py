@@ -1,39 +1,43 @@
-"""Hierarchical Pitman-Yor language model: a restaurant for each context word, all sharing one parent restaurant.
-
-The dishes are words.  In a context's restaurant the customers of a dish are its occurrences after that context; every
-table there is a customer of the parent restaurant, whose own new tables draw from 1 / (V + 1) for each of the V known
-words and for any unknown one.  Seating is sampled by Gibbs: a customer leaves (its table, if it was alone) and sits
-down again, at a table of size s with weight s - discount, at a new one with weight (strength + discount * tables) times
-the parent's probability.  Predictive probabilities are averaged over samples.
-
-Words with at least 1 / ``CONTEXTS`` of the training tokens have a restaurant each, so there are at most that many; all
-other words share one as contexts, and a text's start has its own.  As dishes all words are told apart, so what is
-gathered grows with the corpus.
-
-How it runs on Spark.  Texts are cut into words once, in chunks of bounded size that go to the shared folder: a row of
-packed arrays instead of a row for each token.  A chunk sends its distinct (word, context) pairs with their counts to
-buckets by the word's hash, so the seating of a word in all contexts and in the parent is one bucket's, and a common pair
-costs one entry for each chunk.  Buckets are independent but for the restaurants' totals: bounded tables, added up by
-Spark and held fixed during a round of scans, so buckets are sampled in parallel (the usual approximation of distributed
-Gibbs sampling).  Rounds are repeated from their seeds rather than stored, so a lost executor changes nothing.  At
-last each bucket answers its chunks' pairs with averaged probabilities, and each chunk scores its texts.
-
-Within a scan, a word's contexts are drawn in ``TURNS`` turns (one context a turn for words with few); then all tables of
-the parent.  Dishes of more than ``SMALL`` customers draw their tables by Metropolis steps that keep the same distribution,
-with proposals from all over it, so they do not creep away from where they were.  The start is one table for each dish of a restaurant.  Discounts are
-n1 / (n1 + 2 n2) of the counts.
+"""Hierarchical Pitman-Yor language model of word triples.
+
+Every pair of words seen in training has a restaurant, whose customers of a dish (a word) are its occurrences after that
+pair.  Every table there is a customer of the restaurant of the pair's last word; every table of that one is a customer of
+the root, whose own new tables draw from 1 / (V + 1) for each of the V known words and for any unknown one.  No context is
+folded, however rare.  Seating is sampled by Gibbs: all customers of a dish leave, and the number of tables at which they sit
+down again is drawn given all others; customers sit at a table of size s with weight s - discount and at a new one with
+weight (strength + discount * tables) times the parent's probability.  Predictive probabilities are averaged over samples.
+
+How it runs on Spark.  Texts are cut into words once, in chunks of bounded size: a row of packed arrays instead of a row for
+each token.  Words get numbers by a grouping and a join.  A chunk sends its distinct triples with their counts to buckets by
+the middle word, so the restaurants of a word and of all pairs that end in it are one bucket's, and a common triple costs one
+entry for each chunk.  A word with more than ``BUCKET_TOKENS`` occurrences has several such restaurants, one for each class of
+the words before it, in buckets of their own; each still has that many customers.  (The start of texts, before which there is
+nothing, has one for each class of chunks.)  What remains common to buckets is the root.  A first round samples each bucket
+with a root of its own and sends the root's customers to buckets by word, where the root is sampled; what it says of each word
+goes back, and a second round samples again and answers the chunks' triples.  Within a round the root is held fixed, which is
+the usual approximation of distributed Gibbs sampling; every sample uses a root with its own exact totals, so probabilities
+add up to 1.  Rounds are repeated from their seeds rather than stored, so a lost executor changes nothing.
+
+Within a scan a bucket's dishes are drawn in ``TURNS`` turns dealt anew.  Dishes of up to ``SMALL`` customers draw their tables
+outright, larger ones by Metropolis steps that keep the same distribution, with proposals from all over it, so they do not
+creep away from where they were.  The start is one table for each dish of a restaurant.  Discounts are n1 / (n1 + 2 n2) of the
+counts, strengths those of ``GRID`` that make the burnt-in seating likeliest, both for each bucket and level (for the root as
+a whole).
 
 Defined results: a null text counts as empty and has one token, the end; a null identifier is not held out; repeated
-rows are repeated in training and in the result; with no training texts every word has probability 1 / (V + 1) = 1; an
-empty table gives no rows; columns but doc_id and text are not looked at.
+rows are repeated in training and in the result; texts of any length are taken whole; words are compared as they are; with no
+training texts every word has probability 1 / (V + 1) = 1; an empty table gives no rows; columns but doc_id and text are not
+looked at, whatever their names.  Scores are sums of logarithms rounded to 1e-6 for each token.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -42,74 +46,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-from .common import scratch, table, text_bytes, written
-
-
-def bounded_batches(spark, size):
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-
-
-#: Odd base of the words' polynomial hash modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-
-
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** k and BASE ** -k modulo 2**64 for k below size."""
-    with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.array([1] + [b] * (size - 1), np.uint64), dtype=np.uint64) for b in (BASE, pow(BASE, -1, 1 << 64)))
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word (between bytes of white space \\x20 and \\x09-\\x0D): the sum of (byte + 1) BASE ** k over
-    its bytes, modulo 2**64, which a running sum over the whole text gives for all words at once."""
-    b = np.frombuffer(text, np.uint8)
-    inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[b]
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(max(1 << 16, 1 << len(b).bit_length()))
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=total[1:])
-    return (total[ends] - total[starts]) * down[starts]
+from .common import coded, discard, free_shuffles, kind, slices, table, text_bytes, written, written_at
 
 FOLDS, HELD = 7, 2
-CONTEXTS, STRENGTH, SCANS, SAMPLES, SEED = 1 << 14, (1.0, 1.0), 3, 3, 17
-#: Bytes of text in a chunk, about; more mean fewer pairs that several chunks send.
-CHUNK_BYTES = 8 << 20
-#: Tokens of a bucket, about; contexts that are no words; the token at the end of a text.
-BUCKET_TOKENS, RARE, START, END = 2_000_000, 0, 1, np.uint64(0)
-CONTEXT_BITS = 16
-#: Dishes of up to so many customers draw their tables outright; Metropolis steps of larger ones; parts into which a word's
-#: contexts are dealt in a scan.
-SMALL, STEPS, TURNS = 256, 3, 16
+SCANS, SAMPLES, SEED = 3, 3, 17
+#: Bytes of text in a chunk, about; more mean fewer triples that several chunks send.
+CHUNK_BYTES = 16 << 20
+#: Tokens of a bucket, about; words that are numbered together and sampled together in the root.
+BUCKET_TOKENS, ROOT_WORDS = 1_000_000, 1 << 17
+#: Numbers of what is no known word; those of words are larger, and odd if the word was seen once.
+START, UNKNOWN = 0, 2
+#: Dishes of up to so many customers draw their tables outright; Metropolis steps of larger ones; turns of a scan.
+SMALL, STEPS, TURNS = 256, 3, 8
+GRID = (0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
+MICRO = 1_000_000
 
 
-def packed(a: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
+def packed(a: np.ndarray, delta: bool = False) -> bytes:
+    """Whole numbers, as differences if they mostly rise; byte planes (all first bytes, all second bytes, ...) compress well."""
+    a = np.asarray(a, np.int64)
+    a = np.diff(a, prepend=0) if delta else a
+    a = (a << 1) ^ (a >> 63)  # small numbers of either sign are small
+    width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 3)
 
 
-def unpacked(b: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), kind)
+def unpacked(b: bytes, delta: bool = False) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(b[1:]), np.uint8).reshape(b[0], -1)
+    a = np.zeros((raw.shape[1], 8), np.uint8)
+    a[:, : b[0]] = raw.T
+    a = a.view(np.int64).ravel()
+    a = (a >> 1) ^ -(a & 1)
+    return np.cumsum(a) if delta else a
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written with a few (large) rows a file, and read again."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("maxRecordsPerFile", 4).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _arrow(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 def _map(df: DataFrame, f, schema: str) -> DataFrame:
     """f(row as a dict) gives rows as dicts."""
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    out = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                yield from pa.Table.from_pylist(list(f({n: c[k] for n, c in zip(b.schema.names, b.columns)})), out).to_batches()
+                for row in f({n: c[k] for n, c in zip(b.schema.names, b.columns)}):
+                    yield pa.RecordBatch.from_pylist([row], out)
 
     return df.mapInArrow(run, schema)
 
@@ -119,78 +104,103 @@ def held_out(doc_id: Column) -> Column:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """One row for each Arrow batch of documents: its identifiers, its distinct words with training counts, and its
-    texts as places in these words."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk string, ids array<{kind}>, held array<boolean>, sizes binary, words array<bigint>, counts array<bigint>, seq binary"
-    out = to_arrow_schema(StructType.fromDDL(schema))
-    bounded_batches(docs.sparkSession, CHUNK_BYTES)
+    """A row for about CHUNK_BYTES of documents: their identifiers, whether they are held out, their numbers of tokens, the
+    chunk's distinct words with training counts (the end of a text is the empty word), and the texts as places in these words."""
+    schema = f"chunk bigint, ids array<{kind(docs, 'doc_id')}>, held array<boolean>, sizes binary, words array<binary>, counts array<bigint>, seq binary"
+    out = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            texts = [np.append(word_hashes(t.lower()), END) for t in b.column(2).to_pylist()]
-            sizes = np.array([len(t) for t in texts], np.int32)
-            words, seq = np.unique(np.concatenate(texts), return_inverse=True)
+        for b in (part for whole in batches for part in slices(whole, 2, CHUNK_BYTES)):
+            codes = defaultdict(count().__next__)
+            end = codes[b""]
+            texts = [np.append(coded(t.as_py().lower().split(), codes), end) for t in b.column(2)]
+            sizes, seq = np.array([len(t) for t in texts]), np.concatenate(texts)
             del texts
             train = np.repeat(~b.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes)
-            row = [[uuid.uuid4().hex], [b.column(0).to_pylist()], [b.column(1).to_pylist()], [packed(sizes)], [words.view(np.int64)], [np.bincount(seq[train], minlength=len(words))], [packed(seq.astype(np.int32))]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, out)], schema=out)
-
-    return _stored(docs.select("doc_id", held_out(F.col("doc_id")).alias("h"), text_bytes().alias("t")).mapInArrow(run, schema), "lm-chunks")
-
-
-class Pairs:
-    """The distinct (word, context) pairs of a chunk, ordered by word and context; where: the pair of each token."""
-
-    def __init__(self, row: dict, frequent: np.ndarray) -> None:
-        self.words = row["words"].values.to_numpy().view(np.uint64)
-        self.sizes, self.seq = unpacked(row["sizes"].as_py(), np.int32), unpacked(row["seq"].as_py(), np.int32)
-        at = np.minimum(np.searchsorted(frequent, self.words), max(0, len(frequent) - 1))
-        context = np.where(frequent[at] == self.words, at + 2, RARE) if len(frequent) else np.zeros(len(self.words), np.int64)
-        before = np.empty(len(self.seq), np.int64)
-        before[1:] = context[self.seq[:-1]]
-        before[np.cumsum(self.sizes) - self.sizes] = START
-        keys, self.where = np.unique(self.seq.astype(np.int64) << CONTEXT_BITS | before, return_inverse=True)
-        self.word, self.context = keys >> CONTEXT_BITS, (keys & ((1 << CONTEXT_BITS) - 1)).astype(np.int32)
-
-    def sent(self, chunk: str, held: np.ndarray, bits: int) -> Iterator[dict]:
-        """A row for each bucket."""
-        counts = np.bincount(self.where[np.repeat(~held, self.sizes)], minlength=len(self.word)).astype(np.int32)
-        bucket = (self.words >> np.uint64(64 - bits)).astype(np.int64)
-        edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-        cut = np.searchsorted(self.word, edge)
-        for b in np.flatnonzero(np.diff(edge)):
-            w, p = slice(edge[b], edge[b + 1]), slice(cut[b], cut[b + 1])
-            each = np.bincount(self.word[p] - edge[b], minlength=edge[b + 1] - edge[b]).astype(np.int32)
-            yield {"bucket": int(b), "chunk": chunk, "words": self.words[w].tobytes(), "each": packed(each), "context": packed(self.context[p]), "counts": packed(counts[p])}
-
-
-BUCKET = "bucket bigint, words binary, each binary, context binary, counts binary, chunks array<string>, asked array<binary>, totals array<struct<context:int,c:bigint,t:bigint>>, ones bigint, twos bigint, ones0 bigint, twos0 bigint"
-
-
-def merged(rows: pa.Table, schema: pa.Schema) -> pa.Table:
-    """All chunks' pairs of a bucket: distinct pairs with their counts, and for each chunk which of them it asked for."""
-    words = [np.frombuffer(x, np.uint64) for x in rows["words"].to_pylist()]
-    each = [unpacked(x, np.int32) for x in rows["each"].to_pylist()]
-    context = np.concatenate([unpacked(x, np.int32) for x in rows["context"].to_pylist()]).astype(np.int64)
-    counts = np.concatenate([unpacked(x, np.int32) for x in rows["counts"].to_pylist()])
-    known, at = np.unique(np.concatenate(words), return_inverse=True)
-    keys, where = np.unique(np.repeat(at, np.concatenate(each)) << CONTEXT_BITS | context, return_inverse=True)
-    total = np.bincount(where, counts, len(keys)).astype(np.int64)
-    word, context = keys >> CONTEXT_BITS, keys & ((1 << CONTEXT_BITS) - 1)
-    seen = total > 0
-    ids, place = np.unique(context[seen], return_inverse=True)
-    tables = np.bincount(word[seen], minlength=len(known))
-    asked = np.split(where, np.cumsum([x.sum() for x in each])[:-1])
-    row = {
-        "bucket": rows["bucket"][0].as_py(), "words": known.tobytes(), "each": packed(np.bincount(word, minlength=len(known)).astype(np.int32)), "context": packed(context.astype(np.int32)), "counts": packed(total),
-        "chunks": rows["chunk"].to_pylist(), "asked": [packed(np.diff(x, prepend=0).astype(np.int32)) for x in asked],
-        "totals": [{"context": int(a), "c": int(c), "t": int(t)} for a, c, t in zip(ids, np.bincount(place, total[seen], len(ids)), np.bincount(place, minlength=len(ids)))],
-        "ones": int((total == 1).sum()), "twos": int((total == 2).sum()), "ones0": int((tables == 1).sum()), "twos0": int((tables == 2).sum()),
-    }
-    return pa.Table.from_pylist([row], schema)
+            counts = np.bincount(seq[train], minlength=len(codes))
+            row = [uuid.uuid4().int >> 65, b.column(0).to_pylist(), b.column(1).to_pylist(), packed(sizes), list(codes), counts, packed(seq)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, out)], schema=out)
+
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("h"), text_bytes().alias("t")).mapInArrow(run, schema)
+
+
+def numbered(words: DataFrame, n_words: int) -> DataFrame:
+    """word, n and id: even numbers from 4 on, small ones for frequent words, plus 1 for words that were seen once.
+
+    Words are numbered within parts of about ROOT_WORDS words by their hash, so no task sees all of them."""
+    parts = max(1, -(-n_words // ROOT_WORDS))
+    part = F.pmod(F.xxhash64("word"), F.lit(parts))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "word")) - 1
+    return words.withColumn("part", part).select("word", "n", (4 + 2 * (rank.cast("bigint") * parts + F.col("part")) + (F.col("n") == 1).cast("bigint")).alias("id"))
+
+
+TEXTS = "chunk bigint, ids array<{}>, held array<boolean>, sizes binary, seq binary, words binary, n_known array<bigint>, base array<double>"
+
+
+def with_numbers(cut: DataFrame, known: DataFrame, n: int, v: int) -> DataFrame:
+    """The chunks with the numbers of their words, and what each text's known words and base score are."""
+    asked = cut.select("chunk", F.posexplode("words").alias("pos", "word")).join(known, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "id", "n")).alias("k"))
+    schema = TEXTS.format(cut.schema["ids"].dataType.elementType.simpleString())
+
+    def run(row: dict) -> Iterator[dict]:
+        ids, counts = np.full(len(row["counts"]), UNKNOWN), np.zeros(len(row["counts"]), np.int64)
+        if row["k"].is_valid:
+            pos, number, times = (row["k"].values.field(x).to_numpy() for x in ("pos", "id", "n"))
+            ids[pos], counts[pos] = number, times
+        sizes, seq = unpacked(row["sizes"].as_py()), unpacked(row["seq"].as_py())
+        at = np.cumsum(sizes) - sizes
+        base = np.add.reduceat(np.log10((counts + 1) / (n + v + 1))[seq], at)
+        known = np.add.reduceat((counts > 0).astype(np.int64)[seq], at)
+        yield {x: row[x].as_py() for x in ("chunk", "ids", "held", "sizes", "seq")} | {"words": packed(ids), "n_known": known, "base": base}
+
+    return _map(cut.join(asked.hint("shuffle_hash"), "chunk", "left"), run, schema)
+
+
+class Triples:
+    """The distinct (middle word, word before, word) triples of a chunk; where: the triple of each token."""
+
+    def __init__(self, row: dict, hot: dict[int, int], buckets: int) -> None:
+        self.sizes = unpacked(row["sizes"].as_py())
+        ids = np.append(unpacked(row["words"].as_py()), START)
+        names, local = np.unique(ids, return_inverse=True)  # unknown words are one
+        w = local[unpacked(row["seq"].as_py())]
+        first = np.cumsum(self.sizes) - self.sizes
+        v = np.append(local[-1], w[:-1])
+        v[first] = local[-1]
+        u = np.append(local[-1], v[:-1])
+        u[first] = local[-1]
+        size = len(names)
+        pair, of = np.unique(v * size + u, return_inverse=True)
+        keys, self.where = np.unique(of * size + w, return_inverse=True)
+        pair, self.w = pair[keys // size], names[keys % size]
+        self.v, self.u = names[pair // size], names[pair % size]
+        cut = np.array([hot.get(x, 1) for x in names.tolist()])[pair // size]
+        part = np.where(self.v == START, row["chunk"].as_py(), mixed(self.u)) % cut
+        self.bucket = mixed(self.v * 1_000_003 + part) % buckets
+        self.part = part
+
+    def sent(self, chunk: int, train: np.ndarray) -> Iterator[dict]:
+        """A row for each bucket: triples in order, with their counts in training."""
+        counts = np.bincount(self.where[train], minlength=len(self.w))
+        order = np.argsort(self.bucket, kind="stable")
+        b = self.bucket[order]
+        cuts = np.append(np.flatnonzero(np.diff(b, prepend=-1)), len(b))
+        for lo, hi in zip(cuts, cuts[1:]):
+            at = order[lo:hi]
+            yield {
+                "bucket": int(b[lo]), "chunk": chunk, "v": packed(self.v[at], True), "part": packed(self.part[at], True), "u": packed(self.u[at], True), "w": packed(self.w[at]), "c": packed(counts[at]),
+            }
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers dealt evenly, below 2**31."""
+    with np.errstate(over="ignore"):
+        y = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        y = (y ^ (y >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (y >> np.uint64(33)).astype(np.int64)
+
+
+SENT = "bucket bigint, chunk bigint, v binary, part binary, u binary, w binary, c binary"
 
 
 class Seating:
@@ -311,84 +321,66 @@ def saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return (low + high) / 2
 
 
-class Backing:
-    """Logarithms of the parent's weights for a dish with C customers, summed over all their seatings, when a new table
-    weighs w: C! times the coefficient of x ** C in exp(w / d (1 - (1 - x) ** d))."""
-
-    def __init__(self, d: float, w: float, most: int) -> None:
-        self.d, self.rate = d, w / d
-        size = min(most + 2, 4096)
-        b = np.cumprod(np.append(1.0, 1 - d / np.arange(1, size)))  # of (1 - x) ** (d - 1)
-        g = np.zeros(size)
-        g[0] = 1.0
-        for k in range(size - 1):
-            g[k + 1] = w / (k + 1) * (b[: k + 1] @ g[k::-1] if k else b[0] * g[0])
-        self.table = np.log(g) + log_gamma(np.arange(size) + 1.0)
-        if most + 2 > size:
-            self.table = np.append(self.table, self.series(np.arange(size, min(most + 2, 1 << 17), dtype=np.float64)))
-
-    def series(self, c: np.ndarray) -> np.ndarray:
-        first, total = log_gamma(c - self.d), np.zeros(len(c))
-        for k in range(1, 40):
-            x = -self.d * k
-            if x != int(x):
-                log_term = k * math.log(self.rate) - math.lgamma(k + 1) - math.lgamma(x) + log_gamma(c + x) - first
-                total += (-1) ** k * (1 if int(math.floor(x)) % 2 == 0 else -1) * np.exp(log_term)
-        return self.rate + first + np.log(total)
-
-    def __call__(self, c: np.ndarray) -> np.ndarray:
-        out = self.table[np.minimum(c, len(self.table) - 1)]
-        if (far := c >= len(self.table)).any():
-            out[far] = self.series(c[far].astype(np.float64))
-        return out
-
-
-@lru_cache(maxsize=2)
-def backing(d: float, w: float, most: int) -> Backing:
-    """For all scans and buckets with the same totals."""
-    return Backing(d, w, most)
-
-
-def draw_tables(c: np.ndarray, now: np.ndarray, log_weight: np.ndarray, others: np.ndarray, back: Backing | None, d: float, rng: np.random.Generator) -> np.ndarray:
+def draw_tables(c: np.ndarray, now: np.ndarray, rule: Rule, rng: np.random.Generator) -> np.ndarray:
     """Tables of dishes with c customers, all of whom leave and sit again: t of them with a chance proportional to the
-    seatings' weight times exp(t log_weight) and the parent's weight of others + t customers.  Drawn outright for up to
-    SMALL customers, else by STEPS Metropolis steps from now, whose proposals do not depend on now."""
+    seatings' weight times the rule's.  Drawn outright for up to SMALL customers, else by STEPS Metropolis steps from now,
+    whose proposals do not depend on now."""
     out = now.copy()
-    small, stirling = np.flatnonzero(c <= SMALL), small_stirling(d)
-    small = small[c[small] > 1]
+    small, stirling = np.flatnonzero((c <= SMALL) & (c > 1)), small_stirling(rule.d)
     ends = np.cumsum(c[small])
-    for part in np.split(small, np.flatnonzero(np.diff(ends // 1_000_000)) + 1):
+    for part in np.split(small, np.flatnonzero(np.diff(ends // 500_000)) + 1):
         if not len(part):
             continue
         n = c[part]
         start = np.cumsum(n) - n
-        t = np.arange(n.sum()) - np.repeat(start, n) + 1
-        logs = stirling[np.repeat(n, n), t] + t * np.repeat(log_weight[part], n)
-        if back is not None:
-            logs += back(np.repeat(others[part], n) + t)
-        upto = np.cumsum(np.exp(logs - np.repeat(np.maximum.reduceat(logs, start), n)))
+        which = np.repeat(np.arange(len(n)), n)
+        t = np.arange(len(which)) - start[which] + 1
+        grown = np.cumsum(rule.at(part).step(which, t - 1))
+        logs = stirling[n[which], t] + grown - (grown[start] - rule.at(part).step(np.arange(len(n)), np.zeros(len(n), np.int64)))[which]
+        upto = np.cumsum(np.exp(logs - np.maximum.reduceat(logs, start)[which]))
         before = np.where(start > 0, upto[start - 1], 0.0)
         at = np.searchsorted(upto, before + rng.random(len(part)) * (upto[start + n - 1] - before), "right")
         out[part] = np.clip(at - start, 0, n - 1) + 1
     big = np.flatnonzero(c > SMALL)
     for part in np.array_split(big, max(1, len(big) // 4096)):
         if len(part):
-            out[part] = _walk(c[part], now[part], log_weight[part], others[part], back, d, rng)
+            out[part] = _walk(c[part], now[part], rule.at(part), rng)
     return out
 
 
-def _walk(c: np.ndarray, now: np.ndarray, log_weight: np.ndarray, others: np.ndarray, back: Backing | None, d: float, rng: np.random.Generator) -> np.ndarray:
+class Rule:
+    """What the restaurant and its parent say of t tables of a dish: the product over j < t of (strength + discount (tables +
+    j)) times the parent's probability of one more table, which is p, or (has + j) / (of + j) as the parent's customers grow."""
+
+    def __init__(self, s: float, d: float, tables: np.ndarray, has: np.ndarray | None = None, of: np.ndarray | None = None, p: np.ndarray | None = None) -> None:
+        self.s, self.d, self.tables, self.has, self.of, self.p = s, d, tables, has, of, p
+
+    def at(self, i: np.ndarray) -> Rule:
+        return Rule(self.s, self.d, self.tables[i], *[None if x is None else x[i] for x in (self.has, self.of, self.p)])
+
+    def step(self, i: np.ndarray | slice, j: np.ndarray) -> np.ndarray:
+        """Logarithm of the factor j of dish i."""
+        room = self.s + self.d * (self.tables[i] + j)
+        return np.log(room * self.p[i]) if self.has is None else np.log(room * (self.has[i] + j) / (self.of[i] + j))
+
+    def product(self, t: np.ndarray) -> np.ndarray:
+        """Logarithm of the product of all factors below t."""
+        start = self.s / self.d + self.tables
+        out = t * math.log(self.d) + log_gamma(start + t) - log_gamma(start)
+        if self.has is None:
+            return out + t * np.log(self.p)
+        return out + log_gamma(self.has + t) - log_gamma(self.has) - log_gamma(self.of + t) + log_gamma(self.of)
+
+
+def _walk(c: np.ndarray, now: np.ndarray, rule: Rule, rng: np.random.Generator) -> np.ndarray:
+    d = rule.d
+
     def slope(log_v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         t = np.exp(np.minimum(log_tables_at(log_v, c, d), np.log(c)))
-        s = log_weight + np.log(-np.expm1(log_v)) - np.log(c + 1) - (1 - d) * log_v
-        if back is not None:
-            k = others + np.maximum(1, t.astype(np.int64))
-            s = s + back(k + 1) - back(k)
-        return t, s
+        return t, rule.step(slice(None), t) + np.log(-np.expm1(log_v)) - np.log(c + 1) - (1 - d) * log_v
 
     def log_chance(t: np.ndarray) -> np.ndarray:
-        x = log_stirling(c, t, d) + t * log_weight
-        return x if back is None else x + back(others + t)
+        return log_stirling(c, t, d) + rule.product(t)
 
     low, high = np.full(len(c), -600.0), np.full(len(c), -1e-13)
     for _ in range(50):
@@ -421,142 +413,245 @@ def _walk(c: np.ndarray, now: np.ndarray, log_weight: np.ndarray, others: np.nda
 
 
 class Bucket:
-    """The dishes of a bucket in all restaurants: customers and tables of each, in the parent by word."""
-
-    def __init__(self, row: dict, model: dict) -> None:
-        self.model = model
-        self.n_words = len(row["words"].as_py()) // 8
-        self.word = np.repeat(np.arange(self.n_words), unpacked(row["each"].as_py(), np.int32))
-        self.context, self.counts = unpacked(row["context"].as_py(), np.int32), unpacked(row["counts"].as_py(), np.int64)
-        self.rng = np.random.default_rng([model["seed"], row["bucket"].as_py()])
-        self.t = np.minimum(self.counts, 1)
-        self.customers0 = np.bincount(self.word, self.t, self.n_words).astype(np.int64)
-        self.t0 = np.minimum(self.customers0, 1)
-        many = np.flatnonzero(self.counts > 1)  # a lone customer has a table of its own in any seating
-        each = np.bincount(self.word[many], minlength=self.n_words)
-        rank = np.arange(len(many)) - (np.cumsum(each) - each)[self.word[many]]
-        turn = rank * TURNS // np.maximum(each, TURNS)[self.word[many]]
-        self.turns = [many[turn == k] for k in range(TURNS)]
-        self.most = int(np.bincount(self.word, self.counts, self.n_words).max(initial=0))
-
-    def parent_probability(self, totals: dict) -> np.ndarray:
-        d, s = self.model["discount"][0], STRENGTH[0]
-        return (self.customers0 - d * self.t0 + (s + d * totals["tables0"]) * self.model["base"]) / (s + totals["customers0"])
-
-    def scan(self, totals: dict) -> None:
-        """All customers of all dishes leave and sit again, then all of the parent."""
-        d, m = self.model["discount"], self.model
-        base = (STRENGTH[0] + d[0] * totals["tables0"]) * m["base"]
-        back = backing(d[0], base, 1 << self.most.bit_length())
-        for i in self.turns:
+    """The restaurants of a bucket: triples i in restaurants of pairs (customers c, tables t), which are dishes k in
+    restaurants of words (customers c1, tables t1)."""
+
+    def __init__(self, rows: pa.Table, seed: int, discounts: tuple[float, float] | None = None, strengths: tuple[float, float] | None = None) -> None:
+        rows = rows.sort_by("chunk")
+        lists = {x: [unpacked(b, x in ("v", "part", "u")) for b in rows[x].to_pylist()] for x in ("v", "part", "u", "w", "c")}
+        self.chunks, self.each = rows["chunk"].to_pylist(), np.array([len(x) for x in lists["w"]])
+        v, part, u, w, c = (np.concatenate(lists[x]) for x in ("v", "part", "u", "w", "c"))
+        del lists
+        _, v = np.unique(v, return_inverse=True)
+        room, v = np.unique(v * (int(part.max(initial=0)) + 1) + part, return_inverse=True)
+        self.names, w = np.unique(w, return_inverse=True)
+        _, u = np.unique(u, return_inverse=True)
+        pair, of = np.unique(v * (int(u.max(initial=0)) + 1) + u, return_inverse=True)
+        keys, self.asked = np.unique(of * len(self.names) + w, return_inverse=True)  # by pair, and so by word
+        self.c = np.bincount(self.asked, c, len(keys)).astype(np.int64)
+        self.pair, w = keys // len(self.names), keys % len(self.names)
+        self.room_of_pair = pair // (int(u.max(initial=0)) + 1)
+        dish, self.dish = np.unique(self.room_of_pair[self.pair] * len(self.names) + w, return_inverse=True)
+        self.room, self.word = dish // len(self.names), dish % len(self.names)
+        self.n_rooms, self.rng = len(room), np.random.default_rng([seed, int(rows["bucket"][0].as_py())])
+
+        self.t = np.minimum(self.c, 1)
+        self.c1 = np.bincount(self.dish, self.t, len(dish)).astype(np.int64)
+        self.t1 = np.minimum(self.c1, 1)
+        self.of_pair = np.bincount(self.pair, self.c, len(pair)).astype(np.int64)
+        self._total()
+        self.many = np.flatnonzero(self.c > 1)  # a lone customer has a table of its own in any seating
+        self.d = discounts or (_discount(self.c1), _discount(self.c))
+        self.strengths, self.s = strengths, strengths or (1.0, 1.0)
+
+    def _total(self) -> None:
+        """Tables of each pair; customers and tables of each word."""
+        self.tables = np.bincount(self.pair, self.t, len(self.of_pair)).astype(np.int64)
+        self.of_room = np.bincount(self.room, self.c1, self.n_rooms).astype(np.int64)
+        self.tables1 = np.bincount(self.room, self.t1, self.n_rooms).astype(np.int64)
+
+    def own_root(self) -> np.ndarray:
+        """The words' probabilities by this bucket's words alone."""
+        n = np.bincount(self.word, self.t1, len(self.names))
+        return (n + 1) / (n.sum() + len(n) + 1)
+
+    def scan(self, root: np.ndarray) -> None:
+        """All customers of all dishes leave and sit again; root: the probabilities of the names."""
+        (d1, d2), (s1, s2), p = self.d, self.s, root[self.word]
+        turn = self.rng.integers(0, TURNS, len(self.many))
+        for i in (self.many[turn == k] for k in range(TURNS)):
             if not len(i):
                 continue
-            weight = np.log((STRENGTH[1] + d[1] * totals["t"][self.context[i]]) / (STRENGTH[0] + totals["customers0"]))
-            t = draw_tables(self.counts[i], self.t[i], weight, self.customers0[self.word[i]] - self.t[i], back, d[1], self.rng)
-            self.customers0 += np.bincount(self.word[i], t - self.t[i], self.n_words).astype(np.int64)
-            self.t[i] = t
-        n = self.customers0
-        self.t0 = draw_tables(n, np.minimum(np.maximum(self.t0, n > 0), n), np.full(len(n), math.log(base)), np.zeros(len(n), np.int64), None, d[0], self.rng)
-
-    def totals(self, sample: int) -> list[dict]:
-        """Tables of each context, and of the parent (context -1) customers as c and tables as t."""
-        t = np.bincount(self.context, self.t).astype(np.int64)
-        out = [{"sample": sample, "context": int(k), "c": 0, "t": int(t[k])} for k in np.flatnonzero(t)]
-        return [*out, {"sample": sample, "context": -1, "c": int(self.customers0.sum()), "t": int(self.t0.sum())}]
-
-    def probability(self, totals: dict) -> np.ndarray:
-        d, s = self.model["discount"][1], STRENGTH[1]
-        back = (s + d * totals["t"][self.context]) * self.parent_probability(totals)[self.word]
-        return (self.counts - d * self.t + back) / (s + totals["c"][self.context])
-
-
-def _totals(rows: DataFrame, c: np.ndarray | None, contexts: int) -> dict[int, dict]:
-    """By sample; rows: sample, context, c, t.  At most CONTEXTS + 3 rows of each sample reach the driver."""
-    out: dict[int, dict] = {}
-    for r in rows.groupBy("sample", "context").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect():
-        x = out.setdefault(r["sample"], {"c": c if c is not None else np.zeros(contexts), "t": np.zeros(contexts), "customers0": 0, "tables0": 0})
-        if r["context"] < 0:
-            x |= {"customers0": r["c"], "tables0": r["t"]}
-        else:
-            x["t"][r["context"]] = r["t"]
-            if c is None:
-                x["c"][r["context"]] = r["c"]
-    return out
+            k, q = self.dish[i], self.pair[i]
+            room, others = self.room[k], self.c1[k] - self.t[i]
+            kept = np.where(others > 0, np.minimum(self.t1[k], others), 0)
+            has = others - d1 * kept + (s1 + d1 * self.tables1[room]) * p[k]
+            rule = Rule(s2, d2, self.tables[q] - self.t[i], has, s1 + self.of_room[room] - self.t[i])
+            more = draw_tables(self.c[i], self.t[i], rule, self.rng) - self.t[i]
+            self.t[i] += more
+            for total, at in ((self.tables, q), (self.c1, k), (self.of_room, room)):
+                np.add.at(total, at, more)
+        lone = self.c1 <= 1
+        self.t1[lone] = self.c1[lone]
+        self.t1 = np.clip(self.t1, np.minimum(self.c1, 1), self.c1)
+        self._total()
+        many = np.flatnonzero(~lone)
+        turn = self.rng.integers(0, TURNS, len(many))
+        for k in (many[turn == x] for x in range(TURNS)):
+            room = self.room[k]
+            more = draw_tables(self.c1[k], self.t1[k], Rule(s1, d1, self.tables1[room] - self.t1[k], p=p[k]), self.rng) - self.t1[k]
+            self.t1[k] += more
+            np.add.at(self.tables1, room, more)
+
+    def burn_in(self, root: np.ndarray, scans: int) -> None:
+        for _ in range(scans):
+            self.scan(root)
+            if self.strengths is None:
+                self.s = (_strength(self.d[0], self.of_room, self.tables1), _strength(self.d[1], self.of_pair, self.tables))
+
+    def probability(self, root: np.ndarray) -> np.ndarray:
+        (d1, d2), (s1, s2), p = self.d, self.s, root[self.word]
+        p1 = (self.c1 - d1 * self.t1 + (s1 + d1 * self.tables1[self.room]) * p) / (s1 + self.of_room[self.room])
+        return (self.c - d2 * self.t + (s2 + d2 * self.tables[self.pair]) * p1[self.dish]) / (s2 + self.of_pair[self.pair])
+
+    def to_root(self, parts: int) -> Iterator[dict]:
+        """The customers that words (but those seen once, which have one each) have in the root, for each of its parts; also of
+        words without any here, since texts that are held out ask for them."""
+        n = np.bincount(self.word, self.t1, len(self.names)).astype(np.int64)
+        yield from _by_part(self.names, parts, lambda at: {"c": packed(n[at])})
+
+
+def _by_part(names: np.ndarray, parts: int, more) -> Iterator[dict]:
+    """The words that the root's parts must know, in order."""
+    at = np.flatnonzero((names >= 4) & (names % 2 == 0))
+    part = (names[at] - 4) // 2 % parts
+    for r in np.unique(part).tolist():
+        own = at[part == r]
+        yield {"part": r, "words": packed(names[own], True)} | more(own)
+
 
+def _discount(counts: np.ndarray) -> float:
+    return _discount_of(int((counts == 1).sum()), int((counts == 2).sum()))
 
-def _discount(ones: int, twos: int) -> float:
+
+def _discount_of(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-def score(docs: DataFrame, contexts: int = CONTEXTS, scans: int = SCANS, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
-    assert contexts + 2 <= 1 << CONTEXT_BITS
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = chunks(docs)
-    words = cut.select(F.inline(F.arrays_zip("words", "counts"))).filter("counts > 0").groupBy("words").agg(F.sum("counts").alias("n"))
-    words = written(words, "lm-words")
-    n, v = map(int, words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
-    frequent = words.filter((F.col("n") * contexts >= n) & (F.col("n") > 1) & (F.col("words") != 0)).select("words").collect()
-    frequent = np.sort(np.array([r["words"] for r in frequent], np.int64).view(np.uint64))
-    bits = max(5, int(np.ceil(np.log2(max(1, n / BUCKET_TOKENS)))))
-
-    sent = _map(cut, lambda r: Pairs(r, frequent).sent(r["chunk"].as_py(), np.array(r["held"].as_py(), bool), bits), "bucket bigint, chunk string, words binary, each binary, context binary, counts binary")
-    packed_schema = to_arrow_schema(StructType.fromDDL(BUCKET))
-    buckets = _stored(sent.groupBy("bucket").applyInArrow(lambda rows: merged(rows, packed_schema), BUCKET), "lm-buckets")
-
-    size = len(frequent) + 2
-    ones = buckets.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("ones", "twos", "ones0", "twos0")]).first()
-    model = {"discount": (_discount(*ones[2:]), _discount(*ones[:2])), "base": 1 / (v + 1), "seed": seed}
-    first = _totals(buckets.select(F.inline("totals")).select(F.lit(0).alias("sample"), "context", "c", "t"), None, size).get(0, {"c": np.zeros(size), "t": np.zeros(size)})
-    first |= {"customers0": int(first["t"].sum()), "tables0": v}
-    totals_schema = "sample int, context int, c bigint, t bigint"
-    lean = buckets.select("bucket", "words", "each", "context", "counts")
-
-    def burn_in(row: dict) -> Bucket:
-        b = Bucket(row, model)
-        for _ in range(scans):
-            b.scan(first)
-        return b
+def _strength(d: float, customers: np.ndarray, tables: np.ndarray) -> float:
+    """Of GRID, that under which these restaurants are likeliest."""
+    c, t = customers[customers > 1], tables[customers > 1]
+    logs = [float((log_gamma(s / d + t) - log_gamma(np.full(len(t), s / d + 1)) - log_gamma(s + c) + log_gamma(np.full(len(c), s + 1.0))).sum()) for s in GRID]
+    return GRID[int(np.argmax(logs))]
 
-    second = _totals(_map(lean, lambda r: burn_in(r).totals(0), totals_schema), first["c"], size).get(0, first)
 
-    def sampled(row: dict) -> Iterator[dict]:
-        b = burn_in(row)
-        for k in range(samples):
-            b.scan(second)
-            yield from b.totals(k)
+ROOT = "part bigint, bucket array<bigint>, words binary, asked array<binary>, c binary, ones bigint, twos bigint, total bigint"
 
-    exact = _totals(_map(lean, sampled, totals_schema), first["c"], size)
 
-    def answers(row: dict) -> Iterator[dict]:
-        b = burn_in(row)
-        p = np.zeros(len(b.counts))
+def root_part(rows: pa.Table, schema: pa.Schema) -> pa.Table:
+    """A part of the root: its words and customers, and which of them each bucket has."""
+    words = [unpacked(b, True) for b in rows["words"].to_pylist()]
+    known, at = np.unique(np.concatenate(words), return_inverse=True)
+    c = np.bincount(at, np.concatenate([unpacked(b) for b in rows["c"].to_pylist()]), len(known)).astype(np.int64)
+    asked = [packed(x, True) for x in np.split(at, np.cumsum([len(w) for w in words])[:-1])]
+    row = {"part": rows["part"][0].as_py(), "bucket": rows["bucket"].to_pylist(), "words": packed(known, True), "asked": asked, "c": packed(c), "ones": int((c == 1).sum()), "twos": int((c == 2).sum()), "total": int(c.sum())}
+    return pa.Table.from_pylist([row], schema)
+
+
+def root_tables(row: dict, model: dict, scans: int, samples: int) -> list[np.ndarray]:
+    """Tables of the part's words in each sample, with the root's number of tables held at what the samples before gave."""
+    c, rng, out = unpacked(row["c"].as_py()), np.random.default_rng([model["seed"], 1, int(row["part"].as_py())]), []
+    t = np.minimum(c, 1)
+    rule = Rule(model["s"], model["d"], np.maximum(0, model["tables"] - t), p=np.full(len(c), model["base"]))
+    for k in range(scans + samples):
+        t = draw_tables(c, t, rule, rng)
+        if k >= scans:
+            out.append(t)
+    return out
+
+
+def score(docs: DataFrame, scans: int = SCANS, samples: int = SAMPLES, seed: int = SEED, bucket_tokens: int = BUCKET_TOKENS, discounts: tuple[float, float, float] | None = None, strengths: tuple[float, float, float] | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs.
+
+    discounts and strengths (of the root, of words, of pairs) may be given; else they are estimated."""
+    spark, ids = docs.sparkSession, kind(docs, "doc_id")
+    cut, path = written_at(chunks(docs), "lm-chunks")
+    words = cut.select(F.inline(F.arrays_zip("words", "counts"))).filter("counts > 0").groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("n"))
+    words, words_path = written_at(words, "lm-words")
+    n, v, once = map(int, words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first())
+    known, known_path = written_at(numbered(words, v), "lm-numbers")
+    discard(spark, words_path)
+    # Words with more tokens than a bucket: there are at most as many as buckets.
+    hot = {int(r.id): -(-int(r.n) // bucket_tokens) for r in known.filter(F.col("n") > bucket_tokens).select("id", "n").collect()}
+    texts = written(with_numbers(cut, known, n, v), "lm-texts")
+    discard(spark, path)
+    discard(spark, known_path)
+    trained = int(texts.select(F.coalesce(F.sum(F.expr("size(filter(held, h -> not h))")), F.lit(0))).first()[0])
+    if trained > bucket_tokens:
+        hot[START] = -(-trained // bucket_tokens)
+    buckets, parts = max(16, -(-n // bucket_tokens)), max(1, -(-v // ROOT_WORDS))
+    lower = (discounts and discounts[1:], strengths and strengths[1:])
+
+    def sends() -> DataFrame:
+        def run(row: dict) -> Iterator[dict]:
+            t = Triples(row, hot, buckets)
+            yield from t.sent(row["chunk"].as_py(), np.repeat(~np.array(row["held"].as_py(), bool), t.sizes))
+
+        return _map(texts.select("chunk", "held", "sizes", "seq", "words"), run, SENT)
+
+    to_root, to_chunks = "part bigint, bucket bigint, words binary, c binary", "chunk bigint, bucket bigint, logs binary"
+    root_schema, up_schema, answer_schema = map(_arrow, (ROOT, to_root, to_chunks))
+
+    def first(rows: pa.Table) -> pa.Table:
+        b = Bucket(rows, seed, *lower)
+        b.burn_in(b.own_root(), scans)
+        number = rows["bucket"][0].as_py()
+        return pa.Table.from_pylist([x | {"bucket": number} for x in b.to_root(parts)], up_schema)
+
+    free_shuffles(spark)
+    up = sends().groupBy("bucket").applyInArrow(first, to_root)
+    root = written(up.groupBy("part").applyInArrow(lambda rows: root_part(rows, root_schema), ROOT), "lm-root")
+    ones, twos, customers = map(int, root.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("ones", "twos", "total")]).first())
+    model = {"d": discounts[0] if discounts else _discount_of(ones + once, twos), "s": strengths[0] if strengths else 1.0, "base": 1 / (v + 1), "seed": seed, "tables": v}
+
+    def tables(model: dict) -> list[int]:
+        """The root's tables in each sample."""
+        own = _map(root, lambda r: [{"k": k, "t": int(t.sum())} for k, t in enumerate(root_tables(r, model, scans, samples))], "k int, t bigint")
+        got = {r.k: r.t for r in own.groupBy("k").agg(F.sum("t").alias("t")).collect()}
+        return [once + got.get(k, 0) for k in range(samples)]
+
+    model["tables"] = tables(model)[-1]
+    totals = tables(model)
+
+    def down(row: dict) -> Iterator[dict]:
+        c, ts = unpacked(row["c"].as_py()), root_tables(row, model, scans, samples)
+        for b, asked in zip(row["bucket"].as_py(), row["asked"].as_py()):
+            at = unpacked(asked, True)
+            yield {"bucket": b, "part": row["part"].as_py(), "c": packed(c[at]), "t": [packed(t[at]) for t in ts]}
+
+    told = _map(root, down, "bucket bigint, part bigint, c binary, t array<binary>")
+
+    def root_of(names: np.ndarray, said: dict[int, dict]) -> list[np.ndarray]:
+        """The root's probability of each name, in each sample."""
+        seen_once, out = (names >= 4) & (names % 2 == 1), []
         for k in range(samples):
-            b.scan(second)
-            p += b.probability(exact[k])  # with the totals of this very sample, so that they add up to 1
-        logs = np.log10(p / samples)
-        known = np.bincount(b.word, b.counts, b.n_words).astype(np.int64)
-        for chunk, asked in zip(row["chunks"].as_py(), row["asked"].as_py()):
-            at = np.cumsum(unpacked(asked, np.int32))
-            w = b.word[at]
-            yield {"chunk": chunk, "bucket": row["bucket"].as_py(), "logs": logs[at].tobytes(), "known": packed(known[w[np.append(True, w[1:] != w[:-1])]])}
+            c, t = seen_once.astype(np.float64), seen_once.astype(np.float64)
+            for x in _by_part(names, parts, lambda at: {"at": at}):
+                c[x["at"]], t[x["at"]] = unpacked(said[x["part"]]["c"]), unpacked(said[x["part"]]["t"][k])
+            back = (model["s"] + model["d"] * totals[k]) * model["base"]
+            out.append((c - model["d"] * t + back) / (model["s"] + customers + once))
+        return out
 
-    answered = _map(buckets, answers, "chunk string, bucket bigint, logs binary, known binary")
+    def answers(rows: pa.Table, said: pa.Table) -> pa.Table:
+        b = Bucket(rows, seed, *lower)
+        roots = root_of(b.names, {x["part"]: x for x in said.to_pylist()})
+        b.burn_in(roots[0], scans)
+        p = np.zeros(len(b.c))
+        for r in roots:
+            b.scan(r)
+            p += b.probability(r)
+        logs = np.rint(-MICRO * np.log10(p / samples)).astype(np.int64)
+        number, cuts = rows["bucket"][0].as_py(), np.cumsum(b.each)[:-1]
+        return pa.Table.from_pylist([{"chunk": c, "bucket": number, "logs": packed(logs[at])} for c, at in zip(b.chunks, np.split(b.asked, cuts))], answer_schema)
+
+    free_shuffles(spark)
+    answered = sends().groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(answers, to_chunks)
+    answered = written(answered, "lm-answers")
+    free_shuffles(spark)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
-        logs = np.concatenate([np.frombuffer(x, np.float64) for x in right["logs"].to_pylist()])
-        known = np.concatenate([unpacked(x, np.int64) for x in right["known"].to_pylist()])
+        logs = np.concatenate([unpacked(x) for x in right["logs"].to_pylist()])
         out = []
         for row in ({c: left[c][k] for c in left.column_names} for k in range(left.num_rows)):
-            p = Pairs(row, frequent)
-            at = np.cumsum(p.sizes) - p.sizes
-            sums = [np.add.reduceat(x, at) for x in (np.log10((known + 1) / (n + v + 1))[p.seq], logs[p.where], (known > 0)[p.seq].astype(np.int64))]
-            out.append(pa.table({"doc_id": row["ids"].values, "held_out": row["held"].values, "n_tokens": p.sizes.astype(np.int64), "n_known": sums[2], "train_tokens": np.full(len(at), n, np.int64), "base_score": sums[0], "score": sums[1]}))
+            t = Triples(row, hot, buckets)
+            own = np.empty(len(t.w), np.int64)
+            own[np.argsort(t.bucket, kind="stable")] = logs
+            sums = np.add.reduceat(own[t.where], np.cumsum(t.sizes) - t.sizes)
+            out.append(pa.table({"doc_id": row["ids"].values, "held_out": row["held"].values, "n_tokens": t.sizes, "n_known": row["n_known"].values, "train_tokens": np.full(len(sums), n, np.int64), "base_score": row["base"].values, "score": sums / -MICRO}))
         return pa.concat_tables(out)
 
-    texts = cut.select("chunk", "ids", "held", "sizes", "words", "seq")
-    return texts.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return texts.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(scored, f"doc_id {ids}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
