@@ -14,9 +14,9 @@ entry for each chunk.  A word with more than ``BUCKET_TOKENS`` occurrences has s
 the words before it, in buckets of their own; each still has that many customers.  (The start of texts, before which there is
 nothing, has one for each class of chunks.)  What remains common to buckets is the root.  A first round samples each bucket
 with a root of its own and sends the root's customers to buckets by word, where the root is sampled; what it says of each word
-goes back, and a second round samples again and answers the chunks' triples.  Within a round the root is held fixed, which is
-the usual approximation of distributed Gibbs sampling; every sample uses a root with its own exact totals, so probabilities
-add up to 1.  Rounds are repeated from their seeds rather than stored, so a lost executor changes nothing.
+goes back, and a second round samples again and answers the chunks' triples.  Within a round a bucket sees the root change by
+its own customers only, which is the usual approximation of distributed Gibbs sampling; predictions use a root with exact
+totals, so probabilities add up to 1.  Rounds are repeated from their seeds rather than stored, so a lost executor changes nothing.
 
 Within a scan a bucket's dishes are drawn in ``TURNS`` turns dealt anew.  Dishes of up to ``SMALL`` customers draw their tables
 outright, larger ones by Metropolis steps that keep the same distribution, with proposals from all over it, so they do not
@@ -51,7 +51,7 @@ from pyspark.sql.window import Window
 from .common import coded, discard, free_shuffles, kind, slices, table, text_bytes, written, written_at
 
 FOLDS, HELD = 7, 2
-SCANS, SAMPLES, SEED = 3, 3, 17
+ROUNDS, SCANS, SAMPLES, SEED = 2, 3, 3, 17
 #: Bytes of text in a chunk, about; more mean fewer triples that several chunks send.
 CHUNK_BYTES = 16 << 20
 #: Tokens of a bucket, about; words that are numbered together and sampled together in the root.
@@ -350,9 +350,9 @@ def draw_tables(c: np.ndarray, now: np.ndarray, rule: Rule, rng: np.random.Gener
 
 class Rule:
     """What the restaurant and its parent say of t tables of a dish: the product over j < t of (strength + discount (tables +
-    j)) times the parent's probability of one more table, which is p, or (has + j) / (of + j) as the parent's customers grow."""
+    j)) times the parent's probability of one more table, which is p, or p (has + j) / (of + j) as the parent's customers grow."""
 
-    def __init__(self, s: float, d: float, tables: np.ndarray, has: np.ndarray | None = None, of: np.ndarray | None = None, p: np.ndarray | None = None) -> None:
+    def __init__(self, s: float, d: float, tables: np.ndarray, has: np.ndarray | None, of: np.ndarray | None, p: np.ndarray) -> None:
         self.s, self.d, self.tables, self.has, self.of, self.p = s, d, tables, has, of, p
 
     def at(self, i: np.ndarray) -> Rule:
@@ -360,15 +360,15 @@ class Rule:
 
     def step(self, i: np.ndarray | slice, j: np.ndarray) -> np.ndarray:
         """Logarithm of the factor j of dish i."""
-        room = self.s + self.d * (self.tables[i] + j)
-        return np.log(room * self.p[i]) if self.has is None else np.log(room * (self.has[i] + j) / (self.of[i] + j))
+        room = (self.s + self.d * (self.tables[i] + j)) * self.p[i]
+        return np.log(room) if self.has is None else np.log(room * (self.has[i] + j) / (self.of[i] + j))
 
     def product(self, t: np.ndarray) -> np.ndarray:
         """Logarithm of the product of all factors below t."""
         start = self.s / self.d + self.tables
-        out = t * math.log(self.d) + log_gamma(start + t) - log_gamma(start)
+        out = t * np.log(self.d * self.p) + log_gamma(start + t) - log_gamma(start)
         if self.has is None:
-            return out + t * np.log(self.p)
+            return out
         return out + log_gamma(self.has + t) - log_gamma(self.has) - log_gamma(self.of + t) + log_gamma(self.of)
 
 
@@ -412,6 +412,21 @@ def _walk(c: np.ndarray, now: np.ndarray, rule: Rule, rng: np.random.Generator)
     return t
 
 
+class Root:
+    """What the root says of a bucket's names: their weights of total, what a weight gains by a customer, and how many
+    customers of each are the bucket's own."""
+
+    def __init__(self, weight: np.ndarray, gain: np.ndarray, own: np.ndarray, total: float, least: float) -> None:
+        self.weight, self.gain, self.own, self.total, self.least = weight, gain, own, total, least
+
+    def probability(self) -> np.ndarray:
+        return self.weight / self.total
+
+    def now(self, own: np.ndarray) -> tuple[np.ndarray, float]:
+        """Weights and total when the bucket's customers are these."""
+        return np.maximum(self.weight + self.gain * (own - self.own), self.least), self.total + float(own.sum() - self.own.sum())
+
+
 class Bucket:
     """The restaurants of a bucket: triples i in restaurants of pairs (customers c, tables t), which are dishes k in
     restaurants of words (customers c1, tables t1)."""
@@ -450,54 +465,69 @@ class Bucket:
         self.of_room = np.bincount(self.room, self.c1, self.n_rooms).astype(np.int64)
         self.tables1 = np.bincount(self.room, self.t1, self.n_rooms).astype(np.int64)
 
-    def own_root(self) -> np.ndarray:
-        """The words' probabilities by this bucket's words alone."""
-        n = np.bincount(self.word, self.t1, len(self.names))
-        return (n + 1) / (n.sum() + len(n) + 1)
-
-    def scan(self, root: np.ndarray) -> None:
-        """All customers of all dishes leave and sit again; root: the probabilities of the names."""
-        (d1, d2), (s1, s2), p = self.d, self.s, root[self.word]
+    def own(self) -> np.ndarray:
+        """Customers that the names have in the root from here."""
+        return np.bincount(self.word, self.t1, len(self.names)).astype(np.int64)
+
+    def own_root(self) -> Root:
+        """By this bucket's words alone."""
+        n = self.own()
+        return Root(n + 1.0, np.ones(len(n)), n, n.sum() + len(n) + 1.0, 1.0)
+
+    def scan(self, root: Root) -> None:
+        """All customers of all dishes leave and sit again.  The root changes by this bucket's own customers only."""
+        (d1, d2), (s1, s2) = self.d, self.s
+        own = self.own()
+        weight, total = root.now(own)
+        p = (weight / total)[self.word]
         turn = self.rng.integers(0, TURNS, len(self.many))
         for i in (self.many[turn == k] for k in range(TURNS)):
             if not len(i):
                 continue
             k, q = self.dish[i], self.pair[i]
-            room, others = self.room[k], self.c1[k] - self.t[i]
-            kept = np.where(others > 0, np.minimum(self.t1[k], others), 0)
-            has = others - d1 * kept + (s1 + d1 * self.tables1[room]) * p[k]
-            rule = Rule(s2, d2, self.tables[q] - self.t[i], has, s1 + self.of_room[room] - self.t[i])
+            room, others, n1 = self.room[k], self.c1[k] - self.t[i], np.maximum(self.c1[k], 1)
+            # When a dish's customers leave the parent, its tables there shrink about as the power d1 of the customers.
+            kept = np.where(others > 0, np.clip(self.t1[k] * (others / n1) ** d1, 1, others), 0)
+            has = others - d1 * kept + (s1 + d1 * (self.tables1[room] - self.t1[k] + kept)) * p[k]
+            now = self.c1[k] - d1 * self.t1[k] + (s1 + d1 * self.tables1[room]) * p[k]
+            gain = (now - has) / self.t[i]  # of the parent's weight for each customer who comes back
+            rule = Rule(s2, d2, self.tables[q] - self.t[i], has / gain, s1 + self.of_room[room] - self.t[i], gain)
             more = draw_tables(self.c[i], self.t[i], rule, self.rng) - self.t[i]
             self.t[i] += more
-            for total, at in ((self.tables, q), (self.c1, k), (self.of_room, room)):
-                np.add.at(total, at, more)
+            for counts, at in ((self.tables, q), (self.c1, k), (self.of_room, room)):
+                np.add.at(counts, at, more)
         lone = self.c1 <= 1
         self.t1[lone] = self.c1[lone]
         self.t1 = np.clip(self.t1, np.minimum(self.c1, 1), self.c1)
         self._total()
+        weight, total = root.now(own := self.own())
         many = np.flatnonzero(~lone)
         turn = self.rng.integers(0, TURNS, len(many))
         for k in (many[turn == x] for x in range(TURNS)):
-            room = self.room[k]
-            more = draw_tables(self.c1[k], self.t1[k], Rule(s1, d1, self.tables1[room] - self.t1[k], p=p[k]), self.rng) - self.t1[k]
+            room, w = self.room[k], self.word[k]
+            gain = root.gain[w]
+            has = np.maximum(weight[w] - gain * self.t1[k], root.least) / gain
+            more = draw_tables(self.c1[k], self.t1[k], Rule(s1, d1, self.tables1[room] - self.t1[k], has, total - self.t1[k], gain), self.rng) - self.t1[k]
             self.t1[k] += more
             np.add.at(self.tables1, room, more)
+            np.add.at(own, w, more)
+            weight, total = root.now(own)
 
-    def burn_in(self, root: np.ndarray, scans: int) -> None:
+    def burn_in(self, root: Root, scans: int) -> None:
         for _ in range(scans):
             self.scan(root)
             if self.strengths is None:
                 self.s = (_strength(self.d[0], self.of_room, self.tables1), _strength(self.d[1], self.of_pair, self.tables))
 
-    def probability(self, root: np.ndarray) -> np.ndarray:
-        (d1, d2), (s1, s2), p = self.d, self.s, root[self.word]
+    def probability(self, root: Root) -> np.ndarray:
+        (d1, d2), (s1, s2), p = self.d, self.s, root.probability()[self.word]
         p1 = (self.c1 - d1 * self.t1 + (s1 + d1 * self.tables1[self.room]) * p) / (s1 + self.of_room[self.room])
         return (self.c - d2 * self.t + (s2 + d2 * self.tables[self.pair]) * p1[self.dish]) / (s2 + self.of_pair[self.pair])
 
     def to_root(self, parts: int) -> Iterator[dict]:
         """The customers that words (but those seen once, which have one each) have in the root, for each of its parts; also of
         words without any here, since texts that are held out ask for them."""
-        n = np.bincount(self.word, self.t1, len(self.names)).astype(np.int64)
+        n = self.own()
         yield from _by_part(self.names, parts, lambda at: {"c": packed(n[at])})
 
 
@@ -525,7 +555,7 @@ def _strength(d: float, customers: np.ndarray, tables: np.ndarray) -> float:
     return GRID[int(np.argmax(logs))]
 
 
-ROOT = "part bigint, bucket array<bigint>, words binary, asked array<binary>, c binary, ones bigint, twos bigint, total bigint"
+ROOT = "part bigint, bucket array<bigint>, words binary, asked array<binary>, own array<binary>, c binary, ones bigint, twos bigint, total bigint"
 
 
 def root_part(rows: pa.Table, schema: pa.Schema) -> pa.Table:
@@ -534,7 +564,7 @@ def root_part(rows: pa.Table, schema: pa.Schema) -> pa.Table:
     known, at = np.unique(np.concatenate(words), return_inverse=True)
     c = np.bincount(at, np.concatenate([unpacked(b) for b in rows["c"].to_pylist()]), len(known)).astype(np.int64)
     asked = [packed(x, True) for x in np.split(at, np.cumsum([len(w) for w in words])[:-1])]
-    row = {"part": rows["part"][0].as_py(), "bucket": rows["bucket"].to_pylist(), "words": packed(known, True), "asked": asked, "c": packed(c), "ones": int((c == 1).sum()), "twos": int((c == 2).sum()), "total": int(c.sum())}
+    row = {"part": rows["part"][0].as_py(), "bucket": rows["bucket"].to_pylist(), "words": packed(known, True), "asked": asked, "own": rows["c"].to_pylist(), "c": packed(c), "ones": int((c == 1).sum()), "twos": int((c == 2).sum()), "total": int(c.sum())}
     return pa.Table.from_pylist([row], schema)
 
 
@@ -542,7 +572,7 @@ def root_tables(row: dict, model: dict, scans: int, samples: int) -> list[np.nda
     """Tables of the part's words in each sample, with the root's number of tables held at what the samples before gave."""
     c, rng, out = unpacked(row["c"].as_py()), np.random.default_rng([model["seed"], 1, int(row["part"].as_py())]), []
     t = np.minimum(c, 1)
-    rule = Rule(model["s"], model["d"], np.maximum(0, model["tables"] - t), p=np.full(len(c), model["base"]))
+    rule = Rule(model["s"], model["d"], np.maximum(0, model["tables"] - t), None, None, np.full(len(c), model["base"]))
     for k in range(scans + samples):
         t = draw_tables(c, t, rule, rng)
         if k >= scans:
@@ -550,10 +580,11 @@ def root_tables(row: dict, model: dict, scans: int, samples: int) -> list[np.nda
     return out
 
 
-def score(docs: DataFrame, scans: int = SCANS, samples: int = SAMPLES, seed: int = SEED, bucket_tokens: int = BUCKET_TOKENS, discounts: tuple[float, float, float] | None = None, strengths: tuple[float, float, float] | None = None) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS, scans: int = SCANS, samples: int = SAMPLES, seed: int = SEED, bucket_tokens: int = BUCKET_TOKENS, discounts: tuple[float, float, float] | None = None, strengths: tuple[float, float, float] | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs.
 
-    discounts and strengths (of the root, of words, of pairs) may be given; else they are estimated."""
+    Of the rounds, all but the last only send customers to the root.  discounts and strengths (of the root, of words, of
+    pairs) may be given; else they are estimated."""
     spark, ids = docs.sparkSession, kind(docs, "doc_id")
     cut, path = written_at(chunks(docs), "lm-chunks")
     words = cut.select(F.inline(F.arrays_zip("words", "counts"))).filter("counts > 0").groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("n"))
@@ -582,49 +613,67 @@ def score(docs: DataFrame, scans: int = SCANS, samples: int = SAMPLES, seed: int
     to_root, to_chunks = "part bigint, bucket bigint, words binary, c binary", "chunk bigint, bucket bigint, logs binary"
     root_schema, up_schema, answer_schema = map(_arrow, (ROOT, to_root, to_chunks))
 
+    def root_after(up: DataFrame) -> tuple[dict, DataFrame]:
+        """The root, sampled from the customers that buckets send: its totals, and what it says to each bucket."""
+        root = written(up.groupBy("part").applyInArrow(lambda rows: root_part(rows, root_schema), ROOT), "lm-root")
+        free_shuffles(spark)
+        ones, twos, customers = map(int, root.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("ones", "twos", "total")]).first())
+        model = {"d": discounts[0] if discounts else _discount_of(ones + once, twos), "s": strengths[0] if strengths else 1.0, "base": 1 / (v + 1), "seed": seed, "tables": v, "customers": customers + once}
+
+        def tables(model: dict) -> list[int]:
+            """The root's tables in each sample."""
+            own = _map(root.select("part", "c"), lambda r: [{"k": k, "t": int(t.sum())} for k, t in enumerate(root_tables(r, model, scans, samples))], "k int, t bigint")
+            got = {r.k: r.t for r in own.groupBy("k").agg(F.sum("t").alias("t")).collect()}
+            return [once + got.get(k, 0) for k in range(samples)]
+
+        model["tables"] = tables(model)[-1]
+        model["totals"] = tables(model)
+
+        def down(row: dict) -> Iterator[dict]:
+            c, ts = unpacked(row["c"].as_py()), root_tables(row, model, scans, samples)
+            for b, asked, own in zip(row["bucket"].as_py(), row["asked"].as_py(), row["own"].as_py()):
+                at = unpacked(asked, True)
+                yield {"bucket": b, "part": row["part"].as_py(), "own": own, "c": packed(c[at]), "t": [packed(t[at]) for t in ts]}
+
+        return model, _map(root, down, "bucket bigint, part bigint, own binary, c binary, t array<binary>")
+
+    def root_of(names: np.ndarray, said: pa.Table, model: dict) -> list[Root]:
+        """The root in each sample, as a bucket with these names sees it."""
+        seen_once, out = ((names >= 4) & (names % 2 == 1)).astype(np.float64), []
+        rows = {x["part"]: x for x in said.to_pylist()}
+        for k in range(samples):
+            c, t, own = seen_once.copy(), seen_once.copy(), seen_once.copy()
+            for x in _by_part(names, parts, lambda at: {"at": at}):
+                row = rows[x["part"]]
+                c[x["at"]], t[x["at"]], own[x["at"]] = unpacked(row["c"]), unpacked(row["t"][k]), unpacked(row["own"])
+            back = (model["s"] + model["d"] * model["totals"][k]) * model["base"]
+            out.append(Root(c - model["d"] * t + back, 1 - model["d"] * np.where(c > 0, t / np.maximum(c, 1), 1), own, model["s"] + model["customers"], back))
+        return out
+
+    def upward(b: Bucket, rows: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist([x | {"bucket": rows["bucket"][0].as_py()} for x in b.to_root(parts)], up_schema)
+
     def first(rows: pa.Table) -> pa.Table:
         b = Bucket(rows, seed, *lower)
         b.burn_in(b.own_root(), scans)
-        number = rows["bucket"][0].as_py()
-        return pa.Table.from_pylist([x | {"bucket": number} for x in b.to_root(parts)], up_schema)
+        return upward(b, rows)
+
+    def again(k: int, model: dict):
+        def run(rows: pa.Table, said: pa.Table) -> pa.Table:
+            b = Bucket(rows, seed + k, *lower)
+            b.burn_in(root_of(b.names, said, model)[-1], scans)
+            return upward(b, rows)
+
+        return run
 
     free_shuffles(spark)
-    up = sends().groupBy("bucket").applyInArrow(first, to_root)
-    root = written(up.groupBy("part").applyInArrow(lambda rows: root_part(rows, root_schema), ROOT), "lm-root")
-    ones, twos, customers = map(int, root.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("ones", "twos", "total")]).first())
-    model = {"d": discounts[0] if discounts else _discount_of(ones + once, twos), "s": strengths[0] if strengths else 1.0, "base": 1 / (v + 1), "seed": seed, "tables": v}
-
-    def tables(model: dict) -> list[int]:
-        """The root's tables in each sample."""
-        own = _map(root, lambda r: [{"k": k, "t": int(t.sum())} for k, t in enumerate(root_tables(r, model, scans, samples))], "k int, t bigint")
-        got = {r.k: r.t for r in own.groupBy("k").agg(F.sum("t").alias("t")).collect()}
-        return [once + got.get(k, 0) for k in range(samples)]
-
-    model["tables"] = tables(model)[-1]
-    totals = tables(model)
-
-    def down(row: dict) -> Iterator[dict]:
-        c, ts = unpacked(row["c"].as_py()), root_tables(row, model, scans, samples)
-        for b, asked in zip(row["bucket"].as_py(), row["asked"].as_py()):
-            at = unpacked(asked, True)
-            yield {"bucket": b, "part": row["part"].as_py(), "c": packed(c[at]), "t": [packed(t[at]) for t in ts]}
-
-    told = _map(root, down, "bucket bigint, part bigint, c binary, t array<binary>")
-
-    def root_of(names: np.ndarray, said: dict[int, dict]) -> list[np.ndarray]:
-        """The root's probability of each name, in each sample."""
-        seen_once, out = (names >= 4) & (names % 2 == 1), []
-        for k in range(samples):
-            c, t = seen_once.astype(np.float64), seen_once.astype(np.float64)
-            for x in _by_part(names, parts, lambda at: {"at": at}):
-                c[x["at"]], t[x["at"]] = unpacked(said[x["part"]]["c"]), unpacked(said[x["part"]]["t"][k])
-            back = (model["s"] + model["d"] * totals[k]) * model["base"]
-            out.append((c - model["d"] * t + back) / (model["s"] + customers + once))
-        return out
+    model, told = root_after(sends().groupBy("bucket").applyInArrow(first, to_root))
+    for k in range(1, rounds - 1):
+        model, told = root_after(sends().groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(again(k, model), to_root))
 
     def answers(rows: pa.Table, said: pa.Table) -> pa.Table:
         b = Bucket(rows, seed, *lower)
-        roots = root_of(b.names, {x["part"]: x for x in said.to_pylist()})
+        roots = root_of(b.names, said, model)
         b.burn_in(roots[0], scans)
         p = np.zeros(len(b.c))
         for r in roots:
@@ -634,7 +683,6 @@ def score(docs: DataFrame, scans: int = SCANS, samples: int = SAMPLES, seed: int
         number, cuts = rows["bucket"][0].as_py(), np.cumsum(b.each)[:-1]
         return pa.Table.from_pylist([{"chunk": c, "bucket": number, "logs": packed(logs[at])} for c, at in zip(b.chunks, np.split(b.asked, cuts))], answer_schema)
 
-    free_shuffles(spark)
     answered = sends().groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(answers, to_chunks)
     answered = written(answered, "lm-answers")
     free_shuffles(spark)
