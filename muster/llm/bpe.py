@@ -35,7 +35,7 @@ LEAF, LEAF_TOKENS = 96, 96
 #: A place where a new match of PATTERN of public_tokenizers begins in any text.
 STABLE = r"(?<=\S)[ \n]"
 #: Short matches whose tokens a worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 class Tokenizer:

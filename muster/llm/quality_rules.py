@@ -34,7 +34,7 @@ from .common import coded, kind, map_texts, slices, table, text_bytes
 #: when the fold's own labels are left out, those of quality 0 that pass the base rules -0.11 at most.
 BUCKETS, PRIOR, LEAST, MICRO = 1 << 16, 16, -0.075, 1_000_000
 #: Bytes of labels' identifiers that may be broadcast; words whose hashes a worker remembers.
-MOST_BROADCAST, REMEMBERED = 32 << 20, 1 << 19
+MOST_BROADCAST, REMEMBERED = 32 << 20, 1 << 17
 SPACE, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 
 

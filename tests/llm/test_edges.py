@@ -11,7 +11,7 @@ OPERATORS = {
     "license": lambda d, labels: license_scan.license_scan(d, F.expr("concat_ws('/', source, lang, doc_id)")),
     "rules": quality_rules.quality_rules,
     "lm": lambda d, labels: hpylm.score(d),
-    "mixing": lambda d, labels: mixing.scheduled(d).select("doc_id", "_mix_position"),
+    "mixing": lambda d, labels: mixing.scheduled(d).select("row.doc_id", "position"),
     "bpe": lambda d, labels: bpe.digests(d),
     "exact": lambda d, labels: exact_dedup.exact_dedup(d),
     "simhash": lambda d, labels: simhash.near_dedup(d),
@@ -45,6 +45,37 @@ def test_stages_keep_columns(odd, nothing, labels, name):
     assert empty.columns == odd.columns and empty.collect() == []
 
 
+#: Names that operators give to columns of their own, or that Spark gives.
+NAMES = ("row", "at", "k", "t", "h", "s", "r", "o", "n", "w", "j", "i", "id", "position", "block_no", "before", "keep", "cold", "hot", "key", "digest", "fp", "root", "component", "trusted", "good", "file", "_metadata", "_at_file", "_at_row", "_mix_position", "_mix_s", "_verdict", "a.b")
+
+
+@pytest.mark.parametrize("name", STAGES)
+@pytest.mark.parametrize("stored", [True, False])
+def test_no_name_clashes(spark, odd, labels, tmp_path, name, stored):
+    docs = odd.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in NAMES if c != "digest"])
+    if stored:
+        docs.write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = STAGES[name](docs, labels)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert len(rows) == STAGES[name](odd, labels).count()
+    assert all(r[c] == f"{c} {'-' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in NAMES if c != "digest")
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_operators_do_not_look_at_other_columns(odd, labels, name):
+    docs = odd.select("doc_id", "text", "source", "lang", *[F.lit("x").alias(c) for c in NAMES])
+    assert sorted(map(str, OPERATORS[name](docs, labels).drop("score").collect())) == sorted(map(str, OPERATORS[name](odd, labels).drop("score").collect()))
+
+
+def test_settings_stay_as_they_were(spark, odd, labels):
+    before = dict(spark.conf.getAll)
+    for name in OPERATORS:
+        OPERATORS[name](odd, labels).count()
+    assert {k: v for k, v in dict(spark.conf.getAll).items() if before.get(k) != v} == {}
+
+
 def test_urls(spark):
     schema = "page_id bigint, url string, host string, verdict int"
     rows = [(1, None, "x", 1), (2, "", "x", 2), (None, "no scheme/casino", "x", 3), (4, "http://a.com?x" + "y" * 100_000, None, None), (4, "http://a.com?x" + "y" * 100_000, None, None)]

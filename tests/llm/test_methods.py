@@ -1,19 +1,24 @@
 """What SQL cannot express: against brute force, round trips, held-out accuracy."""
 
+import hashlib
 import math
+import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow.parquet as pq
 import pytest
+import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from muster.llm import bpe, exact_dedup, hpylm, mixing, quality_gbt, quality_rules, simhash, token_counts, url_filter
-from muster.llm.common import located, table, word_hashes
+from muster.llm import bpe, exact_dedup, mixing, quality_gbt, quality_rules, simhash, token_counts, url_filter
+from muster.llm.common import located, table, without
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 SF = "/root/testdata/sf0.01"
@@ -25,48 +30,76 @@ def texts():
     return dict(zip(t.doc_id, t.text))
 
 
-def test_word_hashes_are_those_of_words():
-    text = "the cat\tthe  dog\x0bcat \xa0x y ".encode()
-    a, b = word_hashes(text), text.split()
-    assert len(a) == len(b) and len(set(a)) == len(set(b)) and a[0] == a[2] and a[1] == a[4]
-    assert (word_hashes(b"zzz the") [1:] == a[:1]).all() and len(word_hashes(b"")) == 0 and len(word_hashes(b" \n")) == 0
-
-
 @given(st.lists(st.sampled_from("abc"), max_size=40))
 @settings(deadline=None, max_examples=200)
 def test_repeated_windows(words):
     c = Counter(zip(words, words[1:], words[2:]))
     at = {k + j for k in range(len(words) - 2) if c[tuple(words[k : k + 3])] > 1 for j in range(3)}
-    assert quality_rules.repeat_words(word_hashes(" ".join(words).encode())) == len(at)
+    assert quality_rules.repeat_words([w.encode() for w in words]) == len(at)
+
 
+def test_repeated_windows_compare_words():
+    """Two words of 1,024 letters that a polynomial hash modulo 2 ** 64 takes for one."""
+    a = b"".join(b"ab"[k.bit_count() % 2 :][:1] for k in range(1024))
+    b = a.translate(bytes.maketrans(b"ab", b"ba"))
+    assert a != b and quality_rules.repeat_words([b"x", b"y", a, b"q", b"x", b"y", b]) == 0
+    assert quality_rules.repeat_words([b"x", b"y", a, b"q", b"x", b"y", a]) == 6
 
-def test_quality_rules_keep_the_trusted(spark):
+
+def test_quality_rules_on_labels_left_out(spark):
+    """Labels of a fifth of the documents are left out; the verdict holds there."""
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    out = "crc32(cast(doc_id as string)) % 5 = 0"
+    got = quality_rules.quality_rules(docs, labels.filter(f"not {out}")).filter(out).join(labels, "doc_id").filter("not base_failed").toPandas()
+    assert got[got.quality == 1].kept.mean() > 0.99 and got[got.quality == 0].kept.mean() < 0.05 and len(got) > 500
+
+
+def test_good_documents_stay(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
-    got = quality_rules.quality_rules(docs, labels).join(labels, "doc_id").filter("not base_failed").toPandas()
-    assert got[got.quality == 1].kept.mean() > 0.99 and got[got.quality == 0].kept.mean() < 0.2
     kept = quality_rules.quality_rules(docs, labels).filter("kept").select("doc_id")
     assert sorted(r[0] for r in quality_rules.keep_good(docs, labels).select("doc_id").collect()) == sorted(r[0] for r in kept.collect())
 
 
-@given(st.text(alphabet=st.sampled_from("ab1 \n\t.,'é😀  "), max_size=400))
-@settings(deadline=None, max_examples=300)
-def test_tree_encodes_like_the_library(text):
+@pytest.fixture(scope="module")
+def library():
     t = bpe.tokenizer(RANKS, P.PATTERN)
-    had, bpe.LEAF = bpe.LEAF, 4
-    try:
-        assert t.encode(text) == t.coder.encode_ordinary(text)
-        assert t.decode(t.encode(text)) == text.encode()
-    finally:
-        bpe.LEAF = had
+    return tiktoken.Encoding("all", pat_str=P.PATTERN, mergeable_ranks={b: i for i, b in enumerate(t.bytes_of)}, special_tokens={})
 
 
-def test_bpe_of_documents(spark, texts):
-    t = bpe.tokenizer(RANKS, P.PATTERN)
+@given(st.lists(st.sampled_from(["a", "b", "1", " ", "  ", "\n", "\t", ".", ",", "'s", "é", "😀", "\u2003", "\x0b", "word", "Straße ", " x" * 60]), max_size=300))
+@settings(deadline=None, max_examples=300)
+def test_tree_encodes_like_the_library(library, parts):
+    t, text = bpe.tokenizer(RANKS, P.PATTERN), "".join(parts)
+    assert t.encode(text) == library.encode_ordinary(text)
+    assert t.decode(t.encode(text)) == text.encode()
+
+
+def test_every_text_goes_through_the_tree(texts, monkeypatch):
+    """What is encoded at once is a leaf, a window or a part without a place to cut: of some tens of characters."""
+    t, seen, leaf = bpe.tokenizer(RANKS, P.PATTERN), [], bpe.Tokenizer.leaf
+    monkeypatch.setattr(bpe.Tokenizer, "leaf", lambda self, x: seen.append(len(x)) or leaf(self, x))
+    long = [x for x in texts.values() if x and len(x) > 1000]
+    for x in long:
+        t.encode(x)
+    assert len(seen) > sum(map(len, long)) / bpe.LEAF and sorted(seen)[int(0.999 * len(seen))] <= bpe.LEAF
+
+
+def test_bpe_of_documents(spark, texts, library):
     had = {r.id: r for r in bpe.round_trip(table(spark, SF, "documents"), RANKS, P.PATTERN).collect()}
     for k, text in texts.items():
-        assert list(had[k].ids) == t.coder.encode_ordinary(text or "") and bytes(had[k].decoded) == (text or "").encode()
-    long = "x" * 50_000 + " y" * 9000 + "\n" * 9000
-    assert t.encode(long) == t.coder.encode_ordinary(long)
+        assert list(had[k].ids) == library.encode_ordinary(text or "") and bytes(had[k].decoded) == (text or "").encode()
+    t = bpe.tokenizer(RANKS, P.PATTERN)
+    for long in ("x" * 50_000 + " y" * 9000 + "\n" * 9000, "ab" * 30_000, " " * 5000 + "a", "é😀" * 3000, "a b" + "c" * 4000 + " d" * 4000):
+        assert t.encode(long) == library.encode_ordinary(long)
+
+
+def test_patterns_need_their_own_places():
+    with pytest.raises(ValueError):
+        bpe.Tokenizer(RANKS, r"\S+|\s+")
+    t = bpe.Tokenizer(RANKS, r"\S+|\s+", r"(?<=\S)\s")
+    whole = tiktoken.Encoding("other", pat_str=r"\S+|\s+", mergeable_ranks={b: i for i, b in enumerate(t.bytes_of)}, special_tokens={})
+    text = "some words, more words;\n\n and   others " * 50
+    assert t.encode(text) == whole.encode_ordinary(text)
 
 
 def brute_fingerprint(text):
@@ -119,43 +152,53 @@ def test_masks_cover():
     assert len(m) == 15 and min(x.bit_count() for x in m) >= 32
 
 
-def test_dedup_checks_bytes_behind_a_weak_digest(spark, texts):
-    from pyspark.sql import functions as F
+def weak(text):
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 1)
 
-    docs = table(spark, SF, "documents")
-    weak = exact_dedup.classes(located(docs), digest=lambda t: F.substring(F.unhex(F.sha2(t, 256)), 1, 1), files_per_batch=1)
-    got = {r.id: (r.keep.id, r.n, r.kept) for r in weak.collect()}
+
+def test_dedup_checks_bytes_behind_a_weak_digest(spark, texts):
+    got = {r.id: (r.keep.id, r.n, r.kept) for r in exact_dedup.classes(located(table(spark, SF, "documents")), digest=weak).collect()}
     by = {}
     for k, t in texts.items():
         by.setdefault(t or "", []).append(k)
     assert got == {k: (max(v), len(v), k == max(v)) for v in by.values() for k in v}
 
 
-def test_without_broadcasts(spark):
+def test_hot_digests_and_shuffles_agree(spark, monkeypatch):
     """What is broadcast when it is small is joined by a shuffle when it is not."""
-    from muster.llm.common import without
-
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
-    few, many = (sorted(map(str, exact_dedup.classes(located(docs), most_broadcast=m).select("id", "n", "kept").collect())) for m in (10**6, 0))
-    assert few == many
-    drops = located(docs).filter("doc_id % 3 = 0").select("_at_file", "_at_row")
+    few = sorted(map(str, exact_dedup.classes(located(docs)).select("id", "n", "kept").collect()))
+    monkeypatch.setattr(exact_dedup, "HOT", 0)
+    assert few == sorted(map(str, exact_dedup.classes(located(docs), most_broadcast=0).select("id", "n", "kept").collect()))
+    drops = located(docs).filter("row.doc_id % 3 = 0").select("at")
     assert without(located(docs), drops, most=0).count() == without(located(docs), drops).count() == docs.filter("doc_id % 3 != 0").count()
-    assert quality_rules.with_trusted(docs, labels, most_broadcast=0).filter("_trusted").count() == labels.filter("quality = 1").count()
-
-
-def test_stream_keeps_its_state(spark, tmp_path):
-    """A second run from the same checkpoint knows what the first has seen."""
-    from pyspark.sql import functions as F
-
-    schema = "id bigint, digest binary, _at_file string, _at_row bigint"
-    for k, ids in enumerate(([1, 2, 3], [4, 5])):
-        rows = spark.createDataFrame([(i, bytearray(bytes([i % 2])), "f", i) for i in ids], schema)
-        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        exact_dedup.fold_stream(spark, stream, str(tmp_path / "cp"), str(tmp_path / "out"))
-    got = {bytes(r.digest): (r.n, r.keep.id) for r in exact_dedup.states(spark, str(tmp_path / "out")).collect()}
-    assert got == {b"\x01": (3, 5), b"\x00": (2, 4)}
-    assert spark.read.parquet(str(tmp_path / "out")).select(F.max("batch")).first()[0] >= 1
+    assert quality_rules.with_trusted(docs, labels, most_broadcast=0).filter("trusted").count() == labels.filter("quality = 1").count()
+
+
+def test_stream_knows_what_it_has_seen_after_a_restart(spark, tmp_path):
+    """A new object over the same folder goes on: counts add up, and bytes are checked against the retained content."""
+    folder, seen = str(tmp_path / "dedup"), []
+    for k, rows in enumerate(([(1, "a"), (2, "b"), (3, "a")], [(4, "b"), (5, "c")], [(6, None), (7, "")])):
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        dedup = exact_dedup.Dedup(spark, folder)
+        assert dedup.arrive(located(spark.read.parquet(str(tmp_path / f"in{k}")))).count() == len(rows)
+        seen.append({(r.n, r.keep.id) for r in dedup.states().collect()})
+        assert dedup.collisions().count() == 0
+    assert seen == [{(2, 3), (1, 2)}, {(2, 3), (2, 4), (1, 5)}, {(2, 3), (2, 4), (1, 5), (2, 7)}]
+    other = {}
+    for k in range(2):  # under this digest all texts are one; the second arrival's differs from the content at the locator
+        dedup = exact_dedup.Dedup(spark, str(tmp_path / "weak"), digest=lambda t: F.lit(b"x"))
+        spark.createDataFrame([(k, "ab"[k])], "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / f"w{k}"))
+        dedup.arrive(located(spark.read.parquet(str(tmp_path / f"w{k}"))))
+        other[k] = dedup.collisions().count()
+    assert other == {0: 0, 1: 1}
+
+
+def test_identifiers_of_any_type(spark):
+    docs = spark.createDataFrame([("a1", "x"), ("b2", "x"), (None, "x"), ("c", None)], "doc_id string, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert got == {"a1": ("b2", 3, False), "b2": ("b2", 3, True), None: ("b2", 3, False), "c": ("c", 1, True)}
+    assert {r.doc_id: r.component_id for r in simhash.near_dedup(docs).collect()} == {"a1": "a1", "b2": "a1", None: "a1", "c": "c"}
 
 
 @given(st.lists(st.integers(1, 9), min_size=1, max_size=8))
@@ -171,7 +214,7 @@ def test_pfair_windows_and_lag(weights):
 
 def test_mixing_order_is_written(spark, tmp_path):
     docs = table(spark, SF, "documents")
-    at = {r.doc_id: r._mix_position for r in mixing.scheduled(docs).collect()}
+    at = {r.row.doc_id: r.position for r in mixing.scheduled(docs).collect()}
     assert sorted(at.values()) == list(range(len(at)))
     mixing.interleaved(docs, rows_per_file=300).write.parquet(str(tmp_path / "m"))
     files = sorted((tmp_path / "m").glob("*.parquet"))
@@ -179,100 +222,24 @@ def test_mixing_order_is_written(spark, tmp_path):
     assert len(files) > 1 and [at[i] for i in ids] == list(range(len(ids)))
 
 
-def test_language_model_beats_the_baseline(spark, texts):
-    got = hpylm.query(spark, SF).toPandas()
-    words = {k: (t or "").encode().lower().split() + [None] for k, t in texts.items()}
-    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in words}
-    c = Counter(w for k, ws in words.items() if not held[k] for w in ws)
-    n, v = sum(c.values()), len(c)
-    for r in got.itertuples():
-        ws = words[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws), sum(c[w] > 0 for w in ws), n, held[r.doc_id])
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-    own = got[got.held_out]
-    assert own.score.sum() > own.base_score.sum()
-
-
-def test_language_model_is_a_distribution(spark):
-    """With no frequent word there are two contexts, the start of a text and all words.  What follows words sums to 1 less
-    the end's probability, which then makes what follows the start sum to 1."""
-    rows = ["a b a c", "a b", "b a", "c", "a b c d e a b"] * 30
-    words = [*sorted({w for t in rows for w in t.split()}), "unseen"]
-    held, seen = ([i for i in range(3000) if (zlib.crc32(str(i).encode()) % 7 == 2) == h] for h in (True, False))
-    probes = ["", *words, *[f"a {w}" for w in words]]
-    docs = [*zip(seen, rows), *zip(held, probes)]
-    for contexts in (2, 16):
-        got = {r.doc_id: 10**r.score for r in hpylm.score(spark.createDataFrame(docs, "doc_id bigint, text string"), contexts=contexts).collect()}
-        p = {t: got[i] for i, t in zip(held, probes)}
-        if contexts == 2:
-            end = 1 - sum(p[f"a {w}"] / p["a"] for w in words)
-            assert 0 < end < 1 and math.isclose(sum(p[w] for w in words) / end + p[""], 1, rel_tol=1e-9)
-        assert all(0 < x < 1 for x in p.values()) and p["a b"] > p["a unseen"]
-
-
-def test_seating_keeps_customers():
-    rng = np.random.default_rng(3)
-    s = hpylm.Seating(np.array([5, 1, 40, 2]), 0.7, rng)
-    for _ in range(200):
-        i = np.array([0, 2, 3])
-        s.leave(i)
-        s.sit(i, np.full(3, 5.0))
-        assert s.customers.tolist() == [5, 1, 40, 2]
-        for k in range(4):
-            own = s.size[s.start[k] : s.start[k] + s.room[k]]
-            assert own.sum() == s.customers[k] and (own > 0).sum() == s.tables[k] and (own[: s.tables[k]] > 0).all()
-
-
-def test_two_customers_sit_as_their_posterior_says():
-    """Two customers of a dish: the chance of two tables is w / (1 - d + w), w the weight of a new one."""
-    s = hpylm.Seating(np.full(20_000, 2), 0.5, np.random.default_rng(5))
-    i = np.arange(20_000)
-    for _ in range(20):
-        s.leave(i)
-        s.sit(i, np.full(len(i), 0.25))
-    assert abs((s.tables == 2).mean() - 0.25 / 0.75) < 0.02
-
-
-def all_seatings(c, d, most):
-    """Logarithms of the weights of c customers at 0..most tables, by recursion."""
-    row, t = np.append(0.0, np.full(most, -np.inf)), np.arange(1, most + 1)
-    for k in range(c):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            stay = np.where(k - d * t > 0, np.log(np.maximum(k - d * t, 1e-300)), -np.inf)
-        row = np.append(-np.inf, np.logaddexp(row[:-1], row[1:] + stay))
-    return row
-
-
-def test_large_dishes_sit_as_their_posterior_says():
-    """Scans reseat all of 10,000 customers: the number of tables of such dishes, of one context each, against its
-    posterior by recursion, in which the parent's tables are summed out."""
-    import pyarrow as pa
-
-    n, c, d0, d, most = 300, 10_000, 0.6, 0.7, 1000
-    row = {"bucket": 0, "words": np.arange(n, dtype=np.uint64).tobytes(), "each": hpylm.packed(np.ones(n, np.int32)), "context": hpylm.packed(np.zeros(n, np.int32)), "counts": hpylm.packed(np.full(n, c, np.int64))}
-    b = hpylm.Bucket({k: pa.scalar(v) for k, v in row.items()}, {"discount": (d0, d), "base": 1 / (n + 1), "seed": 1})
-    totals = {"c": np.array([n * c]), "t": np.array([8000.0]), "customers0": 9000, "tables0": 900}
-    for _ in range(3):
-        b.scan(totals)
-    w, w0, t = (1 + d * 8000) / (1 + 9000), (1 + d0 * 900) / (n + 1), np.arange(1, most + 1)
-    parent, row = [], np.append(0.0, np.full(most, -np.inf))
-    for k in range(most):
-        stay = np.where(k - d0 * t > 0, np.log(np.maximum(k - d0 * t, 1e-300)), -np.inf)
-        row = np.append(-np.inf, np.logaddexp(row[:-1], row[1:] + stay))
-        parent.append(np.logaddexp.reduce(row[1:] + t * np.log(w0)))
-    log_p = all_seatings(c, d, most)[1:] + t * np.log(w) + parent
-    p = np.exp(log_p - log_p.max())
-    p /= p.sum()
-    mean = (p * t).sum()
-    sd = np.sqrt((p * t * t).sum() - mean**2)
-    tables = {x["context"]: x["t"] for x in b.totals(0)}[0] / n
-    assert p[-1] < 1e-9 and mean > 1.2 and abs(tables - mean) < 5 * sd / np.sqrt(n)
-
-
-@pytest.mark.parametrize("c, d", [(300, 0.5), (300, 0.05), (5000, 0.9)])
-def test_seatings_of_many_customers(c, d):
-    t = np.unique(np.geomspace(1, c, 40).astype(np.int64))
-    assert np.abs(hpylm.log_stirling(np.full(len(t), c), t, d) - all_seatings(c, d, c)[t]).max() < 1e-4
+def test_mixing_with_sources_that_are_not_listed(spark):
+    """A plain scheduler of blocks: every slot goes to the waiting block with the earliest deadline; empty slots are closed."""
+    rows = [(i, ["x", "y", "z", None, "w"][i % 5]) for i in range(333)]
+    docs, target, other, block = spark.createDataFrame(rows, "doc_id bigint, source string"), {"x": 3, "y": 1}, 2, 10
+    got = {r.row.doc_id: r for r in mixing.scheduled(docs, target, other, block).collect()}
+    groups = {}
+    for i, s in sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0])):
+        groups.setdefault(s if s in target else "other", []).append(i)
+    weights, total, position, slot, done = target | {"other": other}, 6, 0, 0, dict.fromkeys(groups, 0)
+    while position < len(rows):
+        ready = [(-(-(done[s] + 1) * total // w), k, s) for k, (s, w) in enumerate(weights.items()) if done[s] * total // w <= slot]
+        s = min(ready)[2]
+        for i in groups[s][done[s] * block : (done[s] + 1) * block]:
+            r = got[i]
+            assert (r.position, r.slot, r.block_no, r.release, r.deadline) == (position, slot, done[s], done[s] * total // weights[s], -(-(done[s] + 1) * total // weights[s]))
+            position += 1
+        done[s] += 1
+        slot += 1
 
 
 def test_trees_learn(spark):
@@ -282,28 +249,76 @@ def test_trees_learn(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_splits_are_the_best_there_are():
+    """The first tree's splits and leaves against a search over all rows, features and thresholds."""
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 12, (400, 3)).astype(float), rng.integers(0, 2, 400).astype(float)
+    y[x[:, 1] > 7] = 1.0
+    y[(x[:, 1] <= 7) & (x[:, 2] > 5)] = 0.0
+    trees = quality_gbt.fit(x, y)
+    p = 1 / (1 + math.exp(-trees.prior))
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + quality_gbt.RIDGE)
+    rows_of = {0: np.ones(len(y), bool)}
+    for node in range((1 << quality_gbt.DEPTH) - 1):
+        m = rows_of[node]
+        f, t = trees.feature[0][node], trees.threshold[0][node]
+        best = max(((gain(m & (x[:, k] <= v)) + gain(m & (x[:, k] > v)) - gain(m)) for k in range(3) for v in np.unique(x[:, k])[:-1] if h[m & (x[:, k] <= v)].sum() >= 1 and h[m & (x[:, k] > v)].sum() >= 1), default=0.0)
+        own = gain(m & (x[:, f] <= t)) + gain(m & (x[:, f] > t)) - gain(m) if np.isfinite(t) else 0.0
+        assert math.isclose(max(best, 0.0), own, abs_tol=1e-9)
+        rows_of[2 * node + 1], rows_of[2 * node + 2] = m & (x[:, f] <= t), m & (x[:, f] > t)
+    for leaf in range(1 << quality_gbt.DEPTH):
+        m = rows_of[(1 << quality_gbt.DEPTH) - 1 + leaf]
+        assert math.isclose(trees.value[0][leaf], quality_gbt.RATE * g[m].sum() / (h[m].sum() + quality_gbt.RIDGE), abs_tol=1e-9)
+
+
+def walked(trees, row):
+    """One row down all trees, node by node."""
+    total = trees.prior
+    for feature, threshold, value in zip(trees.feature, trees.threshold, trees.value):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+        total += value[node - len(feature)]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_scores_are_walks_down_the_trees(spark, texts):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    trees = quality_gbt.trained(docs, labels)
+    got = {r.doc_id: r for r in quality_gbt.quality(docs, labels).collect()}
+    assert len(got) == len(texts)
+    for k, t in texts.items():
+        x = walked(trees, quality_gbt.statistics((t or "").encode()))
+        assert math.isclose(got[k].score, x, rel_tol=1e-9) and got[k].predicted == (got[k].score >= 0.3) and got[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0)
+
+
 def test_trees_without_labels():
     assert quality_gbt.fit(np.zeros((0, 15)), np.zeros(0)).score(np.zeros((2, 15))).tolist() == [0.5, 0.5]
     one = quality_gbt.fit(np.ones((9, 15)), np.ones(9)).score(np.ones((1, 15)))
     assert one[0] > 0.9
 
 
-def test_sections_add_up(spark, texts):
-    got = token_counts.section_tokens(table(spark, SF, "documents"), RANKS, P.PATTERN).toPandas()
-    t = bpe.tokenizer(RANKS, P.PATTERN)
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_sections_of_all_documents(spark, texts, library, rule):
+    got = token_counts.section_tokens(table(spark, SF, "documents"), RANKS, P.PATTERN, rule=rule).toPandas()
+    size = [len(x) for x in bpe.tokenizer(RANKS, P.PATTERN).bytes_of]
+    assert set(got.doc_id) == set(texts)
     for k, own in got.groupby("doc_id"):
         own, text = own.sort_values("section"), texts[k] or ""
-        ids = t.coder.encode_ordinary(text)
-        assert own.n_tokens.sum() == len(ids) and own.char_end.iloc[-1] == len(text)
-        at, byte, counts = 0, text.encode(), Counter()
-        starts = own.char_start.tolist()
-        for i in ids:
-            first = len(byte[:at].decode("utf-8", "ignore"))
-            counts[sum(s <= first for s in starts) - 1] += 1
-            at += len(t.bytes_of[i])
-        assert own.n_tokens.tolist() == [counts[s] for s in range(len(own))]
-        if k > 60:
-            break
+        starts = [0, *(m.end() for m in re.finditer("\n", text) if m.end() < len(text))]
+        place = [i for i, ch in enumerate(text) for _ in ch.encode()]  # the character of each byte
+        counts, crossing, at = Counter(), Counter(), 0
+        for i in library.encode_ordinary(text):
+            first, last = place[at], place[at + size[i] - 1]
+            a, b = bisect_right(starts, first) - 1, bisect_right(starts, last) - 1
+            held = Counter(bisect_right(starts, c) - 1 for c in range(first, last + 1))
+            s = {"first": a, "last": b, "most": max(held, key=lambda x: (held[x], -x))}[rule]
+            counts[s] += 1
+            crossing[s] += a != b
+            at += size[i]
+        assert own.char_start.tolist() == starts and own.char_end.tolist() == [*starts[1:], len(text)]
+        assert own.n_tokens.tolist() == [counts[s] for s in range(len(starts))] and own.n_crossing.tolist() == [crossing[s] for s in range(len(starts))]
 
 
 def test_rules_of_allocation():
