@@ -8,7 +8,7 @@ down again is drawn given all others; customers sit at a table of size s with we
 weight (strength + discount * tables) times the parent's probability.  Predictive probabilities are averaged over samples.
 
 How it runs on Spark.  Texts are cut into words once, in chunks of bounded size: a row of packed arrays instead of a row for
-each token.  Words get numbers by a grouping and a join.  A chunk sends its distinct triples with their counts to buckets by
+each token.  Words get numbers by their hash's part of the vocabulary, where they are compared as they are.  A chunk sends its distinct triples with their counts to buckets by
 the middle word, so the restaurants of a word and of all pairs that end in it are one bucket's, and a common triple costs one
 entry for each chunk.  A word with more than ``BUCKET_TOKENS`` occurrences has several such restaurants, one for each class of
 the words before it, in buckets of their own; each still has that many customers.  (The start of texts, before which there is
@@ -21,8 +21,7 @@ totals, so probabilities add up to 1.  Rounds are repeated from their seeds rath
 Within a scan a bucket's dishes are drawn in ``TURNS`` turns dealt anew.  Dishes of up to ``SMALL`` customers draw their tables
 outright, larger ones by Metropolis steps that keep the same distribution, with proposals from all over it, so they do not
 creep away from where they were.  The start is one table for each dish of a restaurant.  Discounts are n1 / (n1 + 2 n2) of the
-counts, strengths those of ``GRID`` that make the burnt-in seating likeliest, both for each bucket and level (for the root as
-a whole).
+counts, strengths those of ``GRID`` that make the burnt-in seating likeliest after a scan, both for each bucket and level (the root has one discount and strength 1).
 
 Defined results: a null text counts as empty and has one token, the end; a null identifier is not held out; repeated
 rows are repeated in training and in the result; texts of any length are taken whole; words are compared as they are; with no
@@ -34,6 +33,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,18 +46,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from .common import coded, discard, free_shuffles, kind, slices, table, text_bytes, written, written_at
 
 FOLDS, HELD = 7, 2
-ROUNDS, SCANS, SAMPLES, SEED = 2, 3, 3, 17
+ROUNDS, SCANS, SAMPLES, SEED = 2, 2, 2, 17
 #: Bytes of text in a chunk, about; more mean fewer triples that several chunks send.
-CHUNK_BYTES = 16 << 20
-#: Tokens of a bucket, about; words that are numbered together and sampled together in the root.
-BUCKET_TOKENS, ROOT_WORDS = 1_000_000, 1 << 17
+CHUNK_BYTES = 8 << 20
+#: Tokens of a bucket, about; words that are numbered together and sampled together in the root, about.
+BUCKET_TOKENS, PART_WORDS = 1_000_000, 1 << 17
 #: Numbers of what is no known word; those of words are larger, and odd if the word was seen once.
-START, UNKNOWN = 0, 2
+START, UNKNOWN, FIRST = 0, 2, 4
 #: Dishes of up to so many customers draw their tables outright; Metropolis steps of larger ones; turns of a scan.
 SMALL, STEPS, TURNS = 256, 3, 8
 GRID = (0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
@@ -105,8 +104,9 @@ def held_out(doc_id: Column) -> Column:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """A row for about CHUNK_BYTES of documents: their identifiers, whether they are held out, their numbers of tokens, the
-    chunk's distinct words with training counts (the end of a text is the empty word), and the texts as places in these words."""
-    schema = f"chunk bigint, ids array<{kind(docs, 'doc_id')}>, held array<boolean>, sizes binary, words array<binary>, counts array<bigint>, seq binary"
+    chunk's distinct words (the end of a text is the empty word) with their counts in training, and the texts as places in
+    these words."""
+    schema = f"chunk bigint, ids array<{kind(docs, 'doc_id')}>, held array<boolean>, sizes binary, words binary, n_words bigint, counts binary, seq binary"
     out = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,42 +118,66 @@ def chunks(docs: DataFrame) -> DataFrame:
             del texts
             train = np.repeat(~b.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes)
             counts = np.bincount(seq[train], minlength=len(codes))
-            row = [uuid.uuid4().int >> 65, b.column(0).to_pylist(), b.column(1).to_pylist(), packed(sizes), list(codes), counts, packed(seq)]
+            row = [uuid.uuid4().int >> 65, b.column(0).to_pylist(), b.column(1).to_pylist(), packed(sizes), zstandard.compress(b"\n".join(codes), 3), len(codes), packed(counts), packed(seq)]
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, out)], schema=out)
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("h"), text_bytes().alias("t")).mapInArrow(run, schema)
 
 
-def numbered(words: DataFrame, n_words: int) -> DataFrame:
-    """word, n and id: even numbers from 4 on, small ones for frequent words, plus 1 for words that were seen once.
+WORDS = "part bigint, chunk bigint, words binary, counts binary"
+NUMBERS = "part bigint, chunk bigint, numbers binary, n binary, total bigint, known bigint, once bigint, hot array<struct<id:bigint,n:bigint>>"
 
-    Words are numbered within parts of about ROOT_WORDS words by their hash, so no task sees all of them."""
-    parts = max(1, -(-n_words // ROOT_WORDS))
-    part = F.pmod(F.xxhash64("word"), F.lit(parts))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "word")) - 1
-    return words.withColumn("part", part).select("word", "n", (4 + 2 * (rank.cast("bigint") * parts + F.col("part")) + (F.col("n") == 1).cast("bigint")).alias("id"))
 
+def by_hash(row: dict, parts: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of a chunk, their places in order of the part that their hash names, and where each part begins."""
+    words = zstandard.decompress(row["words"].as_py()).split(b"\n")
+    part = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+    order = np.argsort(part, kind="stable")
+    return words, order, np.searchsorted(part[order], np.arange(parts + 1))
 
-TEXTS = "chunk bigint, ids array<{}>, held array<boolean>, sizes binary, seq binary, words binary, n_known array<bigint>, base array<double>"
 
+def to_parts(row: dict, parts: int) -> Iterator[dict]:
+    words, order, begins = by_hash(row, parts)
+    counts = unpacked(row["counts"].as_py())
+    for p in np.flatnonzero(np.diff(begins)).tolist():
+        at = order[begins[p] : begins[p + 1]]
+        yield {"part": p, "chunk": row["chunk"].as_py(), "words": zstandard.compress(b"\n".join([words[k] for k in at.tolist()]), 3), "counts": packed(counts[at])}
+
+
+def numbered(rows: pa.Table, parts: int, bucket_tokens: int, schema: pa.Schema) -> pa.Table:
+    """For each chunk the numbers of its words of a part, and how often each was seen in training.
+
+    Numbers are even from FIRST on, small for frequent words, plus 1 for words that were seen once.  The first row tells the
+    part's tokens, known words, words seen once, and words with more tokens than a bucket."""
+    codes = defaultdict(count().__next__)
+    at = [coded(zstandard.decompress(w).split(b"\n"), codes) for w in rows["words"].to_pylist()]
+    n = np.bincount(np.concatenate(at), np.concatenate([unpacked(c) for c in rows["counts"].to_pylist()]), len(codes)).astype(np.int64)
+    words, p = list(codes), rows["part"][0].as_py()
+    order = sorted(range(len(words)), key=lambda k: (-n[k], words[k]))  # so they do not depend on the order of rows
+    number = np.empty(len(words), np.int64)
+    number[order] = FIRST + 2 * (np.arange(len(words)) * parts + p)
+    number = np.where(n > 0, number + (n == 1), UNKNOWN)
+    hot = [{"id": int(number[k]), "n": int(n[k])} for k in np.flatnonzero(n > bucket_tokens)]
+    told = {"total": int(n.sum()), "known": int((n > 0).sum()), "once": int((n == 1).sum()), "hot": hot}
+    out = [{"part": p, "chunk": c, "numbers": packed(number[x]), "n": packed(n[x])} for c, x in zip(rows["chunk"].to_pylist(), at)]
+    return pa.Table.from_pylist([out[0] | told, *out[1:]], schema)
 
-def with_numbers(cut: DataFrame, known: DataFrame, n: int, v: int) -> DataFrame:
-    """The chunks with the numbers of their words, and what each text's known words and base score are."""
-    asked = cut.select("chunk", F.posexplode("words").alias("pos", "word")).join(known, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "id", "n")).alias("k"))
-    schema = TEXTS.format(cut.schema["ids"].dataType.elementType.simpleString())
 
-    def run(row: dict) -> Iterator[dict]:
-        ids, counts = np.full(len(row["counts"]), UNKNOWN), np.zeros(len(row["counts"]), np.int64)
-        if row["k"].is_valid:
-            pos, number, times = (row["k"].values.field(x).to_numpy() for x in ("pos", "id", "n"))
-            ids[pos], counts[pos] = number, times
-        sizes, seq = unpacked(row["sizes"].as_py()), unpacked(row["seq"].as_py())
-        at = np.cumsum(sizes) - sizes
-        base = np.add.reduceat(np.log10((counts + 1) / (n + v + 1))[seq], at)
-        known = np.add.reduceat((counts > 0).astype(np.int64)[seq], at)
-        yield {x: row[x].as_py() for x in ("chunk", "ids", "held", "sizes", "seq")} | {"words": packed(ids), "n_known": known, "base": base}
+TEXTS = "chunk bigint, ids array<{}>, held array<boolean>, sizes binary, seq binary, words binary, n_known array<bigint>, base array<double>"
+
 
-    return _map(cut.join(asked.hint("shuffle_hash"), "chunk", "left"), run, schema)
+def with_numbers(left: pa.Table, right: pa.Table, parts: int, n: int, v: int, schema: pa.Schema) -> pa.Table:
+    """A chunk with the numbers of its words, and what each text's known words and base score are."""
+    row, right = {c: left[c][0] for c in left.column_names}, right.sort_by("part")
+    words, order, _ = by_hash(row, parts)
+    ids, counts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+    ids[order] = np.concatenate([unpacked(x) for x in right["numbers"].to_pylist()])
+    counts[order] = np.concatenate([unpacked(x) for x in right["n"].to_pylist()])
+    sizes, seq = unpacked(row["sizes"].as_py()), unpacked(row["seq"].as_py())
+    at = np.cumsum(sizes) - sizes
+    base = np.add.reduceat(np.log10((counts + 1) / (n + v + 1))[seq], at)
+    known = np.add.reduceat((counts > 0).astype(np.int64)[seq], at)
+    return pa.Table.from_pylist([{x: row[x].as_py() for x in ("chunk", "ids", "held", "sizes", "seq")} | {"words": packed(ids), "n_known": known, "base": base}], schema)
 
 
 class Triples:
@@ -437,15 +461,14 @@ class Bucket:
         self.chunks, self.each = rows["chunk"].to_pylist(), np.array([len(x) for x in lists["w"]])
         v, part, u, w, c = (np.concatenate(lists[x]) for x in ("v", "part", "u", "w", "c"))
         del lists
-        _, v = np.unique(v, return_inverse=True)
         room, v = np.unique(v * (int(part.max(initial=0)) + 1) + part, return_inverse=True)
         self.names, w = np.unique(w, return_inverse=True)
-        _, u = np.unique(u, return_inverse=True)
-        pair, of = np.unique(v * (int(u.max(initial=0)) + 1) + u, return_inverse=True)
+        wide = int(u.max(initial=0)) + 1
+        pair, of = np.unique(v * wide + u, return_inverse=True)
         keys, self.asked = np.unique(of * len(self.names) + w, return_inverse=True)  # by pair, and so by word
         self.c = np.bincount(self.asked, c, len(keys)).astype(np.int64)
         self.pair, w = keys // len(self.names), keys % len(self.names)
-        self.room_of_pair = pair // (int(u.max(initial=0)) + 1)
+        self.room_of_pair = pair // wide
         dish, self.dish = np.unique(self.room_of_pair[self.pair] * len(self.names) + w, return_inverse=True)
         self.room, self.word = dish // len(self.names), dish % len(self.names)
         self.n_rooms, self.rng = len(room), np.random.default_rng([seed, int(rows["bucket"][0].as_py())])
@@ -480,7 +503,7 @@ class Bucket:
         own = self.own()
         weight, total = root.now(own)
         p = (weight / total)[self.word]
-        turn = self.rng.integers(0, TURNS, len(self.many))
+        turn = _turns(self.c[self.many], self.rng)
         for i in (self.many[turn == k] for k in range(TURNS)):
             if not len(i):
                 continue
@@ -490,7 +513,7 @@ class Bucket:
             kept = np.where(others > 0, np.clip(self.t1[k] * (others / n1) ** d1, 1, others), 0)
             has = others - d1 * kept + (s1 + d1 * (self.tables1[room] - self.t1[k] + kept)) * p[k]
             now = self.c1[k] - d1 * self.t1[k] + (s1 + d1 * self.tables1[room]) * p[k]
-            gain = (now - has) / self.t[i]  # of the parent's weight for each customer who comes back
+            gain = np.clip((now - has) / self.t[i], 0.1 * (1 - d1), 1)  # of the parent's weight for each customer who comes back
             rule = Rule(s2, d2, self.tables[q] - self.t[i], has / gain, s1 + self.of_room[room] - self.t[i], gain)
             more = draw_tables(self.c[i], self.t[i], rule, self.rng) - self.t[i]
             self.t[i] += more
@@ -502,7 +525,7 @@ class Bucket:
         self._total()
         weight, total = root.now(own := self.own())
         many = np.flatnonzero(~lone)
-        turn = self.rng.integers(0, TURNS, len(many))
+        turn = _turns(self.c1[many], self.rng)
         for k in (many[turn == x] for x in range(TURNS)):
             room, w = self.room[k], self.word[k]
             gain = root.gain[w]
@@ -514,9 +537,9 @@ class Bucket:
             weight, total = root.now(own)
 
     def burn_in(self, root: Root, scans: int) -> None:
-        for _ in range(scans):
+        for k in range(scans):
             self.scan(root)
-            if self.strengths is None:
+            if self.strengths is None and not k:
                 self.s = (_strength(self.d[0], self.of_room, self.tables1), _strength(self.d[1], self.of_pair, self.tables))
 
     def probability(self, root: Root) -> np.ndarray:
@@ -533,13 +556,19 @@ class Bucket:
 
 def _by_part(names: np.ndarray, parts: int, more) -> Iterator[dict]:
     """The words that the root's parts must know, in order."""
-    at = np.flatnonzero((names >= 4) & (names % 2 == 0))
-    part = (names[at] - 4) // 2 % parts
+    at = np.flatnonzero((names >= FIRST) & (names % 2 == 0))
+    part = (names[at] - FIRST) // 2 % parts
     for r in np.unique(part).tolist():
         own = at[part == r]
         yield {"part": r, "words": packed(names[own], True)} | more(own)
 
 
+def _turns(c: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Turns of dishes with these customers, dealt anew; the few large ones take two."""
+    turn = rng.integers(0, TURNS, len(c))
+    return np.where(c > SMALL, turn % 2, turn)
+
+
 def _discount(counts: np.ndarray) -> float:
     return _discount_of(int((counts == 1).sum()), int((counts == 2).sum()))
 
@@ -550,8 +579,10 @@ def _discount_of(ones: int, twos: int) -> float:
 
 def _strength(d: float, customers: np.ndarray, tables: np.ndarray) -> float:
     """Of GRID, that under which these restaurants are likeliest."""
-    c, t = customers[customers > 1], tables[customers > 1]
-    logs = [float((log_gamma(s / d + t) - log_gamma(np.full(len(t), s / d + 1)) - log_gamma(s + c) + log_gamma(np.full(len(c), s + 1.0))).sum()) for s in GRID]
+    many, wide = customers > 1, int(tables.max(initial=0)) + 1
+    both, times = np.unique(customers[many] * wide + tables[many], return_counts=True)
+    c, t = both // wide, both % wide
+    logs = [float((times * (log_gamma(s / d + t) - math.lgamma(s / d + 1) - log_gamma(s + c) + math.lgamma(s + 1))).sum()) for s in GRID]
     return GRID[int(np.argmax(logs))]
 
 
@@ -587,20 +618,21 @@ def score(docs: DataFrame, rounds: int = ROUNDS, scans: int = SCANS, samples: in
     pairs) may be given; else they are estimated."""
     spark, ids = docs.sparkSession, kind(docs, "doc_id")
     cut, path = written_at(chunks(docs), "lm-chunks")
-    words = cut.select(F.inline(F.arrays_zip("words", "counts"))).filter("counts > 0").groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("n"))
-    words, words_path = written_at(words, "lm-words")
-    n, v, once = map(int, words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first())
-    known, known_path = written_at(numbered(words, v), "lm-numbers")
-    discard(spark, words_path)
-    # Words with more tokens than a bucket: there are at most as many as buckets.
-    hot = {int(r.id): -(-int(r.n) // bucket_tokens) for r in known.filter(F.col("n") > bucket_tokens).select("id", "n").collect()}
-    texts = written(with_numbers(cut, known, n, v), "lm-texts")
+    parts = max(1, -(-cut.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0] // (4 * PART_WORDS)))
+    numbers_schema, texts_schema = _arrow(NUMBERS), _arrow(TEXTS.format(ids))
+    words = _map(cut.select("chunk", "words", "counts"), lambda r: to_parts(r, parts), WORDS)
+    numbers, numbers_path = written_at(words.groupBy("part").applyInArrow(lambda rows: numbered(rows, parts, bucket_tokens, numbers_schema), NUMBERS), "lm-numbers")
+    n, v, once = map(int, numbers.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "known", "once")]).first())
+    # Words with more tokens than a bucket: there are fewer of them than buckets.
+    hot = {r.id: -(-r.n // bucket_tokens) for r in numbers.select(F.inline("hot")).collect()}
+    texts = cut.drop("counts").groupBy("chunk").cogroup(numbers.select("chunk", "part", "numbers", "n").groupBy("chunk"))
+    texts = written(texts.applyInArrow(lambda left, right: with_numbers(left, right, parts, n, v, texts_schema), TEXTS.format(ids)), "lm-texts")
     discard(spark, path)
-    discard(spark, known_path)
+    discard(spark, numbers_path)
     trained = int(texts.select(F.coalesce(F.sum(F.expr("size(filter(held, h -> not h))")), F.lit(0))).first()[0])
     if trained > bucket_tokens:
         hot[START] = -(-trained // bucket_tokens)
-    buckets, parts = max(16, -(-n // bucket_tokens)), max(1, -(-v // ROOT_WORDS))
+    buckets = max(16, -(-n // bucket_tokens))
     lower = (discounts and discounts[1:], strengths and strengths[1:])
 
     def sends() -> DataFrame:
@@ -639,7 +671,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, scans: int = SCANS, samples: in
 
     def root_of(names: np.ndarray, said: pa.Table, model: dict) -> list[Root]:
         """The root in each sample, as a bucket with these names sees it."""
-        seen_once, out = ((names >= 4) & (names % 2 == 1)).astype(np.float64), []
+        seen_once, out = ((names >= FIRST) & (names % 2 == 1)).astype(np.float64), []
         rows = {x["part"]: x for x in said.to_pylist()}
         for k in range(samples):
             c, t, own = seen_once.copy(), seen_once.copy(), seen_once.copy()
