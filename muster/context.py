@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Hidden column that keeps the order of rows; sinks and validation leave it out.
@@ -59,6 +61,16 @@ class RosterContext:
     data: DataFrame
     metadata: dict[str, FieldMetadata] = field(default_factory=dict)
     warnings: Warnings = field(default_factory=Warnings)
+    #: Tables that sinks keep so that their sources are read once; ``release`` lets go of them.
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def keep(self) -> RosterContext:
+        self.kept.append(self.data.persist())
+        return self.with_data(self.kept[-1])
+
+    def release(self) -> None:
+        while self.kept:
+            self.kept.pop().unpersist()
 
     @property
     def columns(self) -> list[str]:
@@ -81,6 +93,23 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for k in itertools.count() if (n := f"__{name}{k or ''}") not in taken)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share: ``spark.checkpoint.dir``, or one of our own in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='muster-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}-{name}"
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with ROW_ID in the order of its partitions."""
     return df.withColumn(ROW_ID, F.monotonically_increasing_id())

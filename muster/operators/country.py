@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..context import RosterContext, Warning_, quoted
+from ..context import RosterContext, Warning_, fresh, quoted
 from ..errors import ConfigurationError, LogicError
 from ..functions.lookups import countries, country_keys, looked_up
 from ..functions.text import trim_space
@@ -24,16 +24,17 @@ def iso_country_sanitizer(ctx: RosterContext, source_column: str, output_column:
         raise LogicError(f"iso_country_sanitizer: column '{source_column}' not found")
     raw = quoted(source_column).cast("string")
     codes = country_keys() if output_format == "alpha2" else {k: countries()[c][0] for k, c in country_keys().items()}
-    code = looked_up(codes, raw)
-    before, data = ctx.data, ctx.data
+    found = fresh(ctx.data, "code")
+    data = before = looked_up(ctx.data, codes, raw, found)
     if not dry_run:
-        unknown = raw.isNotNull() & (trim_space(raw) != "") & code.isNull()
+        unknown = raw.isNotNull() & (trim_space(raw) != "") & F.col(found).isNull()
 
         def warned(got: dict) -> Warning_ | None:
             if not got["unknown"]:
                 return None
             common = before.filter(unknown).groupBy(raw.alias("v")).count().orderBy(F.desc("count"), "v").limit(NAMED).collect()
-            return Warning_("iso_country_sanitizer", f"{got['unknown']} country value(s) could not be resolved to ISO codes", got["unknown"], ", ".join(f"{r['v']} ({r['count']}x)" for r in common))
+            return Warning_("iso_country_sanitizer", f"no ISO code for {got['unknown']} value(s)", got["unknown"], ", ".join(f"{r['v']} ({r['count']}x)" for r in common))
 
         data = ctx.warnings.observe(data, warned, unknown=F.count_if(unknown))
-    return ctx.with_data(data.withColumn(output_column, code)).came_from([output_column], "iso_country_sanitizer", "iso_country_sanitizer")
+    data = data.withColumn(output_column, F.col(found)).drop(found)
+    return ctx.with_data(data).came_from([output_column], "iso_country_sanitizer", "iso_country_sanitizer")

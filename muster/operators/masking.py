@@ -35,7 +35,7 @@ def pii_masking(ctx: RosterContext, columns: list[Mask], dry_run: bool = False)
     for m in columns:
         if m.name not in ctx.data.columns:
             if not dry_run:
-                ctx.warnings.add(Warning_("pii_masking", f"Column '{m.name}' not found — masking skipped", 0))
+                ctx.warnings.add(Warning_("pii_masking", f"nothing to mask: no column '{m.name}'", 0))
             continue
         kind = ctx.data.schema[m.name].dataType
         if m.strategy == "zero":

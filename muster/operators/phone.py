@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..context import RosterContext, Warning_, quoted
+from ..context import RosterContext, Warning_, fresh, quoted
 from ..errors import ConfigurationError, LogicError
 from ..functions.lookups import dial_codes, looked_up
 
@@ -19,7 +19,11 @@ def cellphone_sanitizer(ctx: RosterContext, phone_column: str, country_columns:
     if missing:
         raise LogicError(f"cellphone_sanitizer: column(s) not found: {', '.join(missing)}")
     texts = [c for c in country_columns if isinstance(ctx.data.schema[c].dataType, StringType) or dry_run]
-    dial = F.coalesce(*[looked_up(dial_codes(), quoted(c)) for c in texts], F.lit(None).cast("string"))
+    data, found = ctx.data, []
+    for c in texts:
+        found.append(fresh(data, "dial"))
+        data = looked_up(data, dial_codes(), quoted(c), found[-1])
+    dial = F.coalesce(*map(F.col, found), F.lit(None).cast("string"))
     phone = quoted(phone_column).cast("string")
     digits = F.regexp_replace(phone, "[^0-9+]", "")
     number = (
@@ -27,12 +31,12 @@ def cellphone_sanitizer(ctx: RosterContext, phone_column: str, country_columns:
         .when(digits.startswith("+") | dial.isNull(), digits)
         .otherwise(F.concat(F.lit("+"), dial, F.lit(" "), F.regexp_replace(digits, "^0", "")))
     )
-    data = ctx.data
     if not dry_run:
 
         def warned(got: dict) -> Warning_ | None:
             n = got["unresolved"]
-            return Warning_("cellphone_sanitizer", f"{n} phone number(s) had no resolvable country code — returned without international prefix", n) if n else None
+            return Warning_("cellphone_sanitizer", f"{n} number(s) without a known country have no calling code", n) if n else None
 
         data = ctx.warnings.observe(data, warned, unresolved=F.count_if(phone.isNotNull() & dial.isNull()))
-    return ctx.with_data(data.withColumn(output_column, number)).came_from([output_column], "cellphone_sanitizer", "cellphone_sanitizer")
+    data = data.withColumn(output_column, number).drop(*found)
+    return ctx.with_data(data).came_from([output_column], "cellphone_sanitizer", "cellphone_sanitizer")

@@ -33,7 +33,7 @@ def filter_by_value(ctx: RosterContext, column: str, pattern: str, dry_run: bool
 
     def warned(got: dict) -> Warning_ | None:
         n, lost = got["n"] or 0, got["lost"] or 0
-        return Warning_("filter_by_value", f"{lost} of {n} row(s) did not match filter on column '{column}'", lost) if lost else None
+        return Warning_("filter_by_value", f"'{column}': {lost} of {n} row(s) dropped", lost) if lost else None
 
     data = ctx.warnings.observe(ctx.data, warned, n=F.count("*"), lost=F.count_if(~keep))
     return ctx.with_data(data.filter(keep))

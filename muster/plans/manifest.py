@@ -13,7 +13,7 @@ from ..context import RosterContext, Warnings
 from ..errors import ConfigurationError
 from ..operators.masking import Mask
 from ..sinks.auth import DEFAULT, auth_from, resolved
-from ..sinks.dispatch import Dispatcher, api_dispatcher
+from ..sinks.dispatch import BATCH_ROWS, Dispatcher, api_dispatcher
 from ..sinks.show_data import show_data
 from ..sources.csv import Location, checked_filename, empty, generic_ingestion
 from ..sources.sage import COLUMNS as SAGE_COLUMNS
@@ -61,12 +61,12 @@ def _fresh(ctx: RosterContext, got: RosterContext) -> RosterContext:
 
 @action("generic_ingestion_connector")
 def _(ctx, config, env, dry_run, _id):
-    c = _taken(config, ("filename",), {"columns": None})
+    c = _taken(config, ("filename",), {"columns": None, "table_index": 0, "multi_line": True})
     checked_filename(c["filename"])
     if dry_run:
         names = c["columns"] or []
         return _fresh(ctx, RosterContext(empty(env.spark, names)).came_from(names, "GENERIC_INGESTION"))
-    return _fresh(ctx, generic_ingestion(env.spark, env.location, c["filename"], c["columns"]))
+    return _fresh(ctx, generic_ingestion(env.spark, env.location, c["filename"], c["columns"], c["multi_line"]))
 
 
 @action("workday_hris_connector")
@@ -158,7 +158,7 @@ def _(ctx, config, env, dry_run, _id):
     if dry_run:
         return ctx
     transport = {"transport": env.clients["http"]} if "http" in env.clients else {}
-    return api_dispatcher(ctx, Dispatcher(resolved(auth, env.settings), batch_rows=config.get("batch_rows"), **transport))
+    return api_dispatcher(ctx, Dispatcher(resolved(auth, env.settings), batch_rows=config.get("batch_rows", BATCH_ROWS) or None, **transport))
 
 
 @action("show_data")
@@ -194,7 +194,7 @@ class Manifest:
             if s.action_type not in REGISTRY:
                 raise ConfigurationError(f"unknown action type '{s.action_type}'")
             if not isinstance(s.config, dict):
-                raise ConfigurationError(f"Mismatched payload for action type {s.action_type}")
+                raise ConfigurationError(f"the config of a {s.action_type} must be an object")
         return manifest
 
     def to_json(self) -> str:

@@ -37,6 +37,13 @@ def last_page(total: int, per_page: int) -> int:
     return max(1, -(-total // max(1, per_page)))
 
 
+def listed(rows: DataFrame, number: int = 1, per_page: int = 20) -> dict:
+    """A page as a response: its runs, its number and size, and the number of the last page."""
+    per_page, number = max(1, min(100, per_page)), max(1, number)
+    data = [r.asDict(recursive=True) for r in page(rows, number, per_page).collect()]
+    return {"data": data, "current_page": number, "count_per_page": per_page, "last_page": last_page(rows.count(), per_page)}
+
+
 class Events:
     """Events of one schema in a folder; each append is a file of its own."""
 
@@ -55,8 +62,13 @@ class Events:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def _there(self) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        fs, path = self.at(self.path)
+        return fs.exists(path)
+
+    def at(self, path: str) -> tuple:
+        """The file system that holds a path, and the path."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 class RunLog:
@@ -65,8 +77,13 @@ class RunLog:
         self.open: dict[str, dict] = {}
 
     def begin(self, manifest) -> str:
-        """A new run, unless one of the company is running."""
-        if self.active():
+        """A new run, unless one of the company is running.
+
+        A mark file, of which the file system lets only one be made, keeps two from beginning at once; a stale one is replaced."""
+        fs, mark = self._mark()
+        if fs.exists(mark) and fs.getFileStatus(mark).getModificationTime() < (datetime.now(UTC) - STALE).timestamp() * 1000:
+            fs.delete(mark, False)
+        if self.active() or not fs.createNewFile(mark):
             raise ConflictError("a run is already in progress")
         run_id = str(uuid.uuid4())
         self.open[run_id] = {"id": run_id, "organization_id": self.organization, "customer_company_id": self.company, "started_at": datetime.now(UTC), "manifest_snapshot": manifest.to_json(), "warnings": []}
@@ -81,6 +98,12 @@ class RunLog:
         had = self.open.pop(run_id) | {"warnings": [(w.action_id, w.message, w.count, w.detail) for w in outcome.warnings]}
         self.events.append(**had, status=outcome.status, finished_at=datetime.now(UTC), rows_processed=outcome.rows, error_message=outcome.error, error_action_id=outcome.error_action)
 
+        fs, mark = self._mark()
+        fs.delete(mark, False)
+
+    def _mark(self) -> tuple:
+        return self.events.at(f"{self.events.path}-marks/{self.organization}/{self.company}")
+
     def runs(self) -> DataFrame:
         mine = self.events.read().filter((F.col("organization_id") == self.organization) & (F.col("customer_company_id") == self.company))
         return latest(mine, "id")

@@ -10,7 +10,8 @@ from pyspark.errors import AnalysisException
 from ..context import RosterContext, visible
 from ..errors import LogicError, MusterError, StepError, ValidationError
 from ..sinks.auth import auth_from, resolved
-from .manifest import Environment, Manifest, Step, start
+from ..sources.convert import prepare_source
+from .manifest import SINKS, Environment, Manifest, Step, start
 
 
 def run_steps(manifest: Manifest, env: Environment) -> RosterContext:
@@ -26,6 +27,12 @@ def run_steps(manifest: Manifest, env: Environment) -> RosterContext:
     return reduce(step, manifest.actions, start(env.spark))
 
 
+def prepare_sources(manifest: Manifest, env: Environment, uploads: str) -> dict[str, tuple[str, list[str]]]:
+    """Convert what each CSV source of the manifest needs from the folder of uploads, by its filename and table_index."""
+    steps = [s for s in manifest.actions if s.action_type == "generic_ingestion_connector"]
+    return {s.id: prepare_source(env.spark, env.location, f"{uploads}/{s.config['filename']}", s.config.get("table_index") or 0) for s in steps}
+
+
 @dataclass(frozen=True)
 class StepColumns:
     action_id: str
@@ -58,23 +65,23 @@ def validate_pipeline(manifest: Manifest, env: Environment, check_egress: bool =
     try:
         got = validate(manifest, env)
     except StepError as e:
-        raise ValidationError(f"Step '{e.action_id}' ({e.action_type}): {str(e.error).split(';')[0]}") from e
+        raise ValidationError(f"{e.action_type} '{e.action_id}' fails: {str(e.error).split(';')[0]}") from e
     if not check_egress:
         return got
     if not manifest.actions:
-        raise ValidationError("No actions in manifest")
+        raise ValidationError("a manifest needs steps")
     last = manifest.actions[-1]
     if last.action_type == "show_data":
         return got
     if last.action_type != "api_dispatcher":
-        raise ValidationError(f"Last step must be an egress action (API Dispatcher or Show Data), found '{last.action_type}'")
+        raise ValidationError(f"the last step must be a sink ({' or '.join(SINKS)}), not '{last.action_type}'")
     try:
         auth = resolved(auth_from(last.config), env.settings)
     except MusterError as e:
         raise ValidationError(e.args[0]) from e
     missing = [k for k in auth.schema if k not in got.final_columns]
     if missing:
-        raise ValidationError(f"API Dispatcher requires columns not produced by the pipeline: {', '.join(missing)}")
+        raise ValidationError(f"the endpoint's schema asks for columns that the last step does not have: {', '.join(missing)}")
     return got
 
 
@@ -104,6 +111,7 @@ def run(manifest: Manifest, env: Environment, log=None) -> Outcome:
         ctx = run_steps(manifest, env)
         rows = visible(ctx.data).count() if not ctx.warnings.pending else _full_count(ctx)
         out = Outcome("success", rows, ctx.warnings.drain(), columns=ctx.columns)
+        ctx.release()
     except StepError as e:
         out = Outcome("failed", None, e.warnings, str(e.error), e.action_id)
     except Exception as e:  # a job that fails closes its record as well

@@ -16,7 +16,7 @@ def _object(required: dict, optional: dict | None = None) -> dict:
 _MASK = _object({"name": _TEXT}, {"strategy": {"enum": ["redact", "zero"]}, "keep_last": _COUNT, "mask_prefix": _TEXT})
 _DESTINATION = {"schema": _MAP, "body_path": _TEXT, "batch_rows": _COUNT}
 SCHEMAS = {
-    "generic_ingestion_connector": _object({"filename": _TEXT}, {"columns": _TEXTS, "table_index": _COUNT}),
+    "generic_ingestion_connector": _object({"filename": _TEXT}, {"columns": _TEXTS, "table_index": _COUNT, "multi_line": _FLAG}),
     "workday_hris_connector": _object({k: _TEXT for k in ("tenant_url", "tenant_id", "username", "password")}, {"worker_count_limit": _COUNT, "response_group": {"type": "object", "additionalProperties": _FLAG}}),
     "sage_hr_connector": _object({"subdomain": _TEXT, "api_token": _TEXT}, {f"include_{h}_history": _FLAG for h in ("team", "employment_status", "position")}),
     "scd_type_2": _object({}, {"entity_column": _TEXT, "date_column": _TEXT, "tie_break": _TEXTS}),

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
+import io
+import json
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as ops
-from .context import ROW_ID, RosterContext, visible
+from .context import ROW_ID, RosterContext, scratch, visible
 from .operators.masking import Mask
-from .plans.run_log import latest, page
-from .sinks.dispatch import json_rows
+from .plans.manifest import Environment, Manifest
+from .plans.run_log import ConfigStore, RunLog, latest, listed, page
+from .plans.runner import Outcome, prepare_sources, run, validate_pipeline
+from .sinks.auth import auth_from, resolved
+from .sinks.dispatch import Dispatcher, api_dispatcher, json_rows
 from .sinks.show_data import show_data, shown
-from .sources.convert import recognised_tables
+from .sources.clients import Response, Retry
+from .sources.convert import SHEET, convert, csv_names, extension, is_csv, needs_recognition, recognised_table, recognised_tables
+from .sources.csv import Location, generic_ingestion
 from .sources.sage import employees
 from .sources.workday import workers
 
@@ -138,8 +145,7 @@ def cellphone_sanitizer(spark, sf):
 
 @query("SELECT s_suppkey::VARCHAR AS s_suppkey, s_name, s_nationkey::VARCHAR AS s_nationkey FROM supplier")
 def show_data_round_trip(spark, sf):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/muster-show"
-    path = f"{base}/show-{uuid.uuid4().hex}.csv"
+    path = scratch(spark, "show.csv")
     show_data(ctx(spark, sf, "supplier", "s_suppkey", "s_name", "s_nationkey"), path)
     return shown(spark, path)
 
@@ -234,3 +240,277 @@ def rest_employees(spark, sf):
     one = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("first_name"), F.col("c_nationkey").alias("team_id"), F.col("c_nationkey").alias("post_code")))
     bodies = c.groupBy(F.expr(f"c_custkey div {PAGE}").alias("page")).agg(F.concat(F.lit('{"data":['), F.concat_ws(",", F.collect_list(one)), F.lit('],"meta":{}}')).alias("body"))
     return employees(bodies).select("id", "first_name", "email", "team_id", "post_code")
+
+
+#: Keys of countries as uploads write them; every third customer has one of them, the others none that is known.
+COUNTRY_KEYS = ("GB", "gbr", " United Kingdom ", "uk", "Germany", "DEU", "brasil", "Holland", "USA", "america", "viet nam", "NZ", "Czechia", "czech republic", "XK", "kosovo", "Ivory Coast", "South Korea", "republic of korea", "nowhere", "", "Deutschland", "ESP", "espana")
+_CODES = ("GB", "GB", "GB", "GB", "DE", "DE", "BR", "NL", "US", "US", "VN", "NZ", "CZ", "CZ", "XK", "XK", "CI", "KR", "KR", None, None, "DE", "ES", "ES")
+
+
+@query(f"""SELECT c_custkey, ({[*COUNTRY_KEYS]})[c_custkey % {len(COUNTRY_KEYS)} + 1] AS country,
+  ({[c or '' for c in _CODES]})[c_custkey % {len(COUNTRY_KEYS)} + 1] AS code FROM customer""")
+def iso_country_names(spark, sf):
+    names = ", ".join(f"'{c}'" for c in COUNTRY_KEYS)
+    c = ctx(spark, sf, "customer", "c_custkey", f"element_at(array({names}), cast(c_custkey % {len(COUNTRY_KEYS)} as int) + 1) AS country")
+    return out(ops.iso_country_sanitizer(c, "country", "code")).withColumn("code", F.coalesce("code", F.lit("")))
+
+
+def _put(spark: SparkSession, path: str, data: bytes) -> str:
+    """A file of these bytes, by Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    to.write(bytearray(data))
+    to.close()
+    return path
+
+
+def _nations(spark: SparkSession, sf: str) -> list:
+    """The 25 nations, whatever the tables' size."""
+    return spark.read.parquet(f"{sf}/nation.parquet").orderBy("n_nationkey").collect()
+
+
+def _written_csv(spark: SparkSession, sf: str, name: str, columns: list[str], filename: str) -> Location:
+    """A table as a company's CSV upload."""
+    where = Location(scratch(spark, "uploads"), "org", "co")
+    spark.read.parquet(f"{sf}/{name}.parquet").selectExpr(*columns).write.options(header=True, quote='"', escape='"').csv(where.source(filename))
+    return where
+
+
+@query("SELECT c_custkey::VARCHAR AS id, c_name AS name, c_mktsegment AS \"the segment\" FROM customer")
+def generic_ingestion_columns(spark, sf):
+    where = _written_csv(spark, sf, "customer", ["c_custkey", "c_name", "c_mktsegment"], "people.xlsx")
+    return out(generic_ingestion(spark, where, "people.csv", ["id", "name", "the segment"], many_lines=False))
+
+
+MANIFEST = {
+    "version": "1.0",
+    "actions": [
+        {"id": "in", "action_type": "generic_ingestion_connector", "config": {"filename": "people.csv", "columns": ["c_custkey", "c_name", "c_mktsegment", "country"], "multi_line": False}},
+        {"id": "keep", "action_type": "filter_by_value", "config": {"column": "c_mktsegment", "pattern": "^[A-F]"}},
+        {"id": "country", "action_type": "iso_country_sanitizer", "config": {"source_column": "country", "output_column": "code", "output_format": "alpha3"}},
+        {"id": "mask", "action_type": "pii_masking", "config": {"columns": [{"name": "c_name", "keep_last": 3, "mask_prefix": "#"}]}},
+        {"id": "ids", "action_type": "rename_column", "config": {"mapping": {"c_custkey": "employee_id"}}},
+        {"id": "fewer", "action_type": "drop_column", "config": {"columns": ["country"]}},
+        {"id": "out", "action_type": "show_data", "config": {}},
+    ],
+}
+_MANIFEST_SQL = """SELECT c_custkey::VARCHAR AS employee_id, '#' || right(c_name, 3) AS c_name, c_mktsegment,
+  (['FRA', 'DEU', 'ESP'])[c_custkey % 3 + 1] AS code FROM customer WHERE c_mktsegment SIMILAR TO '[A-F].*'"""
+
+
+def _manifest_env(spark: SparkSession, sf: str) -> Environment:
+    country = "element_at(array('France', 'de', 'espana'), cast(c_custkey % 3 as int) + 1) AS country"
+    return Environment(spark, _written_csv(spark, sf, "customer", ["c_custkey", "c_name", "c_mktsegment", country], "people.csv"))
+
+
+@query(_MANIFEST_SQL)
+def manifest_run(spark, sf):
+    """JSON to steps, all steps in one run, and the snapshot that its sink has written."""
+    env = _manifest_env(spark, sf)
+    got = run(Manifest.parse(json.dumps(MANIFEST)), env)
+    assert got.status == "success", got
+    return shown(spark, env.location.output("out"))
+
+
+@query("""SELECT * FROM (VALUES ('in', 'generic_ingestion_connector', ''), ('keep', 'filter_by_value', ''), ('country', 'iso_country_sanitizer', 'code'),
+  ('mask', 'pii_masking', 'code'), ('ids', 'rename_column', 'code'), ('fewer', 'drop_column', 'code'), ('out', 'show_data', 'code')) t(action_id, action_type, last_column)""")
+def manifest_validation(spark, sf):
+    """Columns after every step of the manifest, without a job."""
+    got = validate_pipeline(Manifest.parse(MANIFEST), Environment(spark))
+    return spark.createDataFrame([(s.action_id, s.action_type, "code" if "code" in s.columns_after else "") for s in got.steps], "action_id string, action_type string, last_column string")
+
+
+@query("""SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 3 = 0 THEN 'ok' WHEN n_nationkey % 3 = 1 THEN 'missing n_name' ELSE 'not a sink' END AS verdict FROM nation""")
+def manifest_validation_of_sinks(spark, sf):
+    """Whether the last step is a sink, and whether it has the columns that its endpoint asks for."""
+    source = {"id": "a", "action_type": "generic_ingestion_connector", "config": {"filename": "x.csv", "columns": ["n_nationkey", "n_name"]}}
+    post = {"id": "c", "action_type": "api_dispatcher", "config": {"destination_url": "http://x", "schema": {"n_name": "string"}}}
+    drop = {"id": "b", "action_type": "drop_column", "config": {"columns": ["n_name"]}}
+    said = []
+    for steps in ([source, post], [source, drop, post], [source, drop]):
+        try:
+            validate_pipeline(Manifest.parse({"version": "1", "actions": steps}), Environment(spark))
+            said.append("ok")
+        except Exception as e:
+            said.append("not a sink" if "must be a sink" in str(e) else f"missing {str(e).rpartition(': ')[2]}")
+    cases = F.array(*map(F.lit, said))
+    return spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_name", cases[F.col("n_nationkey") % 3].alias("verdict"))
+
+
+_NATION_TEXTS = "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation"
+
+
+@query(_NATION_TEXTS)
+def convert_csv(spark, sf):
+    rows = "".join(f'{r.n_nationkey},"{r.n_name}",{r.n_regionkey}\n' for r in _nations(spark, sf))
+    return visible(convert(spark, _put(spark, scratch(spark, "a.csv"), f"n_nationkey,n_name,n_regionkey\n{rows}".encode())))
+
+
+@query(_NATION_TEXTS)
+def convert_json(spark, sf):
+    """The longer of two arrays of the root object."""
+    data = json.dumps({"few": [{"a": 1}], "nations": [r.asDict() for r in _nations(spark, sf)]})
+    return convert(spark, _put(spark, scratch(spark, "a.json"), data.encode()), 1)
+
+
+@query(_NATION_TEXTS)
+def convert_xml(spark, sf):
+    rows = "".join(f"<Nation><n_nationkey> {r.n_nationkey} </n_nationkey><n_name>{r.n_name}</n_name><n_regionkey>{r.n_regionkey}</n_regionkey></Nation>" for r in _nations(spark, sf))
+    return convert(spark, _put(spark, scratch(spark, "a.xml"), f"<Nations><Head>x</Head>{rows}</Nations>".encode()))
+
+
+def _workbook(rows: list[list]) -> bytes:
+    """Two sheets, the rows in the second; the last column is a date."""
+    main, rel = SHEET.strip("{}"), "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cells = lambda r: "".join(f'<c t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f'<c s="{int(k == 3)}"><v>{v}</v></c>' for k, v in enumerate(r))
+    to = io.BytesIO()
+    with zipfile.ZipFile(to, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="A" sheetId="1" r:id="r1"/><sheet name="B" sheetId="2" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/a.xml"/><Relationship Id="r2" Target="worksheets/b.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/a.xml", f'<worksheet xmlns="{main}"><sheetData/></worksheet>')
+        z.writestr("xl/worksheets/b.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(f"<row>{cells(r)}</row>" for r in rows)}</sheetData></worksheet>')
+    return to.getvalue()
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey, (DATE '2024-01-01' + n_nationkey)::VARCHAR AS day FROM nation")
+def convert_xlsx(spark, sf):
+    """The second sheet of a workbook, with dates (45292 is the first of January 2024)."""
+    rows = [["n_nationkey", "n_name", "n_regionkey", "day"], *[[r.n_nationkey, r.n_name, float(r.n_regionkey), 45292 + r.n_nationkey] for r in _nations(spark, sf)]]
+    return convert(spark, _put(spark, scratch(spark, "a.xlsx"), _workbook(rows)), 1, iso_dates=True)
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey, (45292 + n_nationkey)::VARCHAR AS day FROM nation")
+def conversion_flow(spark, sf):
+    """A manifest's upload, by its table_index, becomes the CSV that its source reads."""
+    rows = [["n_nationkey", "n_name", "n_regionkey", "day"], *[[r.n_nationkey, r.n_name, float(r.n_regionkey), 45292 + r.n_nationkey] for r in _nations(spark, sf)]]
+    env, uploads = Environment(spark, Location(scratch(spark, "company"), "org", "co")), scratch(spark, "uploads")
+    _put(spark, f"{uploads}/staff.xlsx", _workbook(rows))
+    steps = [{"id": "in", "action_type": "generic_ingestion_connector", "config": {"filename": "staff.xlsx", "table_index": 1}}, {"id": "out", "action_type": "show_data", "config": {}}]
+    manifest = Manifest.parse({"version": "1", "actions": steps})
+    assert prepare_sources(manifest, env, uploads) == {"in": ("converted", rows[0])}
+    assert run(manifest, env).status == "success"
+    return shown(spark, env.location.output("out"))
+
+
+@query("SELECT 'nation ' || n_name AS \"the name\", n_nationkey::VARCHAR AS \"column_2\" FROM nation WHERE n_regionkey = 1")
+def recognised_table_grid(spark, sf):
+    """The second recognised table, its first row as the header; a header without words is named by its column."""
+    n = spark.read.parquet(f"{sf}/nation.parquet").withColumn("i", F.expr("1 + (n_nationkey div 5)"))
+    word = lambda ident, said: F.struct(ident.alias("id"), F.lit("WORD").alias("block_type"), said.alias("text"), F.lit(None).cast("int").alias("row_index"), F.lit(None).cast("int").alias("column_index"), F.array().cast("array<string>").alias("child_ids"))
+    cell = lambda ident, row, column, *words: F.struct(ident.alias("id"), F.lit("CELL").alias("block_type"), F.lit(None).cast("string").alias("text"), row.cast("int").alias("row_index"), F.lit(column).alias("column_index"), F.array(*words).cast("array<string>").alias("child_ids"))
+    key = lambda x: F.concat(F.lit(x), F.col("n_nationkey"))
+    blocks = n.select(F.inline(F.array(cell(key("c"), F.col("i") + 1, 1, F.lit("nation"), key("w")), cell(key("d"), F.col("i") + 1, 2, key("v")), word(key("w"), F.col("n_name")), word(key("v"), F.col("n_nationkey").cast("string")))))
+    table = n.groupBy("n_regionkey").agg(F.flatten(F.collect_list(F.array(key("c"), key("d")))).alias("c"))
+    table = table.select(F.concat(F.lit("t"), "n_regionkey").alias("id"), F.lit("TABLE").alias("block_type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("row_index"), F.lit(None).cast("int").alias("column_index"), F.array_append("c", F.lit("head")).alias("child_ids"))
+    one = spark.range(1).select(F.inline(F.array(cell(F.lit("head"), F.lit(1), 1, F.lit("the"), F.lit("name")), word(F.lit("the"), F.lit("the")), word(F.lit("name"), F.lit("name")), word(F.lit("nation"), F.lit("nation")))))
+    return recognised_table(blocks.union(table).union(one), 1)
+
+
+@query("""SELECT n_name || '.' || ext AS file, lower(ext) AS extension, lower(ext) = 'csv' AS csv, lower(ext) IN ('pdf', 'png', 'jpg', 'jpeg', 'tiff', 'tif') AS recognise
+  FROM (SELECT n_name, (['csv', 'CSV', 'pdf', 'Png', 'tiff', 'xlsx', 'json'])[n_nationkey % 7 + 1] AS ext FROM nation)""")
+def file_kinds(spark, sf):
+    kinds = ("csv", "CSV", "pdf", "Png", "tiff", "xlsx", "json")
+    names = [f"{r.n_name}.{kinds[r.n_nationkey % 7]}" for r in _nations(spark, sf)]
+    return spark.createDataFrame([(n, extension(n), is_csv(n), needs_recognition(n)) for n in names], "file string, extension string, csv boolean, recognise boolean")
+
+
+@query("SELECT n_name AS name, n_nationkey + 1 AS place FROM nation")
+def csv_header(spark, sf):
+    """A quick look at a header that holds every nation's name, quoted or with blanks."""
+    names = [f'"{r.n_name}"' if r.n_nationkey % 2 else f" {r.n_name} " for r in _nations(spark, sf)]
+    got = csv_names(spark, _put(spark, scratch(spark, "h.csv"), (",".join([*names[:3], "", *names[3:]]) + "\n1,2\n").encode()))
+    return spark.createDataFrame([(n, k + 1) for k, n in enumerate(got)], "name string, place int")
+
+
+@query("SELECT s_suppkey, s_name, 'Bearer t' AS authorization, (row_number() OVER (ORDER BY s_suppkey) - 1) // 7 + 1 AS request FROM supplier")
+def dispatched(spark, sf):
+    """What the endpoint gets: batches of seven rows, each with its authorization."""
+    seen = []
+    send = lambda method, url, headers, body: seen.append((headers["Authorization"], json.loads(body)["data"])) or Response(200, "")
+    c = ctx(spark, sf, "supplier", "s_suppkey", "s_name", order="s_suppkey")
+    api_dispatcher(c, Dispatcher(auth_from({"destination_url": "http://x", "token": "t"}), send, batch_rows=7)).release()
+    rows = [(r["s_suppkey"], r["s_name"], auth, k + 1) for k, (auth, data) in enumerate(seen) for r in data]
+    return spark.createDataFrame(rows, "s_suppkey bigint, s_name string, authorization string, request bigint")
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 2 THEN 'http://x/?a=1&key=' || n_name ELSE 'http://x/?a=1' END AS url,
+  CASE n_nationkey % 4 WHEN 0 THEN 'Authorization' WHEN 1 THEN 'X-Own' WHEN 3 THEN 'X-More' ELSE '' END AS header,
+  CASE n_nationkey % 4 WHEN 0 THEN 'Bearer ' || n_name WHEN 1 THEN n_name WHEN 3 THEN 'v' ELSE '' END AS value FROM nation""")
+def auth_bearer(spark, sf):
+    """A token in the Authorization header, in a header of its own, in the query, and no authentication; by the default of an organisation."""
+    how = ({}, {"placement": "custom_header", "placement_key": "X-Own"}, {"placement": "query_param", "placement_key": "key"}, {"auth_type": "none", "token": None, "extra_headers": {"X-More": "v"}})
+    rows = []
+    for r in _nations(spark, sf):
+        own = {"destination_url": "http://x/?a=1", "token": r.n_name} | how[r.n_nationkey % 4]
+        url, headers = resolved(auth_from({"auth_type": "default"}), own).request(None)
+        ((name, value),) = headers.items() or (("", ""),)
+        rows.append((r.n_nationkey, url, name, value))
+    return spark.createDataFrame(rows, "n_nationkey int, url string, header string, value string")
+
+
+@query("""SELECT 'oauth1' AS kind, 'OAuth oauth_consumer_key="dpf43f3p2l4k3l03", oauth_nonce="kllo9940pd9333jh", oauth_signature="/", oauth_signature_method="HMAC-SHA1", oauth_timestamp="1191242096", oauth_token="nnch734d00sl2jdk", oauth_version="1.0"' AS authorization
+  UNION ALL SELECT 'oauth2 first', 'Bearer t1' UNION ALL SELECT 'oauth2 kept', 'Bearer t1' UNION ALL SELECT 'oauth2 renewed', 'Bearer t2' UNION ALL SELECT 'refresh token', 'r0 r1'""")
+def auth_tokens(spark, sf):
+    """Signed requests (the signature itself is left to the tests), tokens that are kept until they end, and refresh tokens."""
+    import re
+
+    one = auth_from({"auth_type": "oauth1", "destination_url": "http://photos.example.net/photos?size=original", "consumer_key": "dpf43f3p2l4k3l03", "consumer_secret": "kd94hf93k423kf44", "access_token": "nnch734d00sl2jdk", "token_secret": "pfkkdhi9sl3r4s00"})
+    rows, now, asked = [("oauth1", re.sub('oauth_signature="[^"]*"', 'oauth_signature="/"', one.signed("kllo9940pd9333jh", 1191242096)))], [0.0], []
+
+    def endpoint(method, url, headers, body):
+        asked.append(body.decode())
+        return Response(200, json.dumps({"access_token": f"t{len(asked)}", "expires_in": 100, "refresh_token": f"r{len(asked)}"}))
+
+    two = auth_from({"auth_type": "oauth2", "destination_url": "http://x", "client_id": "c", "client_secret": "s", "token_url": "http://t", "grant_type": "authorization_code", "refresh_token": "r0"})
+    two.clock = lambda: now[0]
+    for kind, at in (("oauth2 first", 0), ("oauth2 kept", 69), ("oauth2 renewed", 70)):
+        now[0] = at
+        rows.append((kind, two.request(endpoint)[1]["Authorization"]))
+    rows.append(("refresh token", " ".join(re.search("refresh_token=([^&]*)", a)[1] for a in asked)))
+    return spark.createDataFrame(rows, "kind string, authorization string")
+
+
+@query("""SELECT n_nationkey, least(n_nationkey % 5 + 1, 4) AS attempts, CASE WHEN n_nationkey % 5 >= 4 THEN 503 ELSE 200 END AS status,
+  0.5 * (2 ** least(n_nationkey % 5, 3) - 1) AS waited FROM nation""")
+def retries(spark, sf):
+    """An endpoint that fails n times: attempts, the last status, and pauses that double."""
+    rows = []
+    for r in _nations(spark, sf):
+        answers, pauses, calls = [503] * (r.n_nationkey % 5) + [200], [], []
+        got = Retry(sleep=pauses.append).run(lambda: Response(calls.append(1) or answers[len(calls) - 1], ""))
+        rows.append((r.n_nationkey, len(calls), got.status, float(sum(pauses))))
+    return spark.createDataFrame(rows, "n_nationkey int, attempts int, status int, waited double")
+
+
+@query("SELECT * FROM (VALUES ('runs', 3), ('success', 1), ('failed', 1), ('running', 1), ('refused', 1), ('one', 1), ('rows', 7), ('last page', 2), ('on page 2', 1)) t(what, n)")
+def run_log(spark, sf):
+    """Records of three runs: one ends well, one fails, one goes on and keeps another from beginning."""
+    log = RunLog(spark, scratch(spark, "runs"), "org", "co")
+    manifest = Manifest.parse(MANIFEST)
+    for outcome in (Outcome("success", 7, []), Outcome("failed", None, [], "no", "keep")):
+        log.end(log.begin(manifest), outcome)
+    last, refused = log.begin(manifest), 0
+    try:
+        log.begin(manifest)
+    except Exception:
+        refused = 1
+    runs = log.runs().collect()
+    second = listed(log.runs(), 2, 2)
+    said = {"runs": log.count(), "refused": refused, "one": log.one(last).count(), "rows": sum(r.rows_processed or 0 for r in runs), "last page": second["last_page"], "on page 2": len(second["data"])}
+    said |= {s: sum(r.status == s for r in runs) for s in ("success", "failed", "running")}
+    return spark.createDataFrame(list(said.items()), "what string, n int")
+
+
+@query("SELECT n_name AS company, CASE WHEN n_nationkey = 3 THEN '0 1 * * *' ELSE n_nationkey || ' 0 * * *' END AS cron, 'Bearer' AS scheme FROM nation WHERE n_nationkey < 6 AND n_nationkey <> 2")
+def config_store(spark, sf):
+    """Pipelines of six companies, of which one is changed and one deleted, and the organisation's default authentication."""
+    store = ConfigStore(spark, scratch(spark, "configs"))
+    names = [r.n_name for r in _nations(spark, sf)[:6]]
+    for k, name in enumerate(names):
+        store.put("org", name, name, f"{k} 0 * * *", json.dumps(MANIFEST))
+    store.put("org", names[3], names[3], "0 1 * * *", json.dumps(MANIFEST))
+    store.delete("org", names[2])
+    store.put_settings("org", {"destination_url": "http://x", "token": "t"})
+    scheme = auth_from(store.get_settings("org")).request(None)[1]["Authorization"].split()[0]
+    return store.of("org").select(F.col("customerCompanyId").alias("company"), "cron", F.lit(scheme).alias("scheme"))

@@ -13,6 +13,8 @@ from ..errors import EgressError
 from ..sources.clients import Response, Retry
 from .auth import Auth, Send, http
 
+#: Rows of a request, unless a manifest says otherwise.
+BATCH_ROWS = 1000
 #: Three attempts on these statuses; a failed transport isn't tried again.
 RETRY = Retry(attempts=3, pause_ms=1000, statuses=frozenset((429, 502, 503, 504)).__contains__, transport=False)
 
@@ -29,14 +31,13 @@ def json_rows(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Dispatcher:
-    """One request with all rows, or with batch_rows set, one for each so many rows, sent as they come to the driver.
-
-    Rows reach the driver a partition at a time."""
+    """One request for every batch_rows rows, sent as they come to the driver, which holds a partition and a batch at a time;
+    with batch_rows=None one request with all rows."""
 
     auth: Auth
     transport: Send = http
     retry: Retry = field(default=RETRY)
-    batch_rows: int | None = None
+    batch_rows: int | None = BATCH_ROWS
 
     def post(self, rows: list[str]) -> Response:
         body = ('{"data":[' + ",".join(rows) + "]}").encode()
@@ -64,12 +65,12 @@ def api_dispatcher(ctx: RosterContext, dispatcher: Dispatcher, dry_run: bool = F
     """A failed request is a warning; the table passes through, and is kept so that its sources are read once."""
     if dry_run:
         return ctx
-    data = ctx.data.persist()
+    ctx = ctx.keep()
     try:
-        sent, got = dispatcher.send(in_order(data))
+        sent, got = dispatcher.send(in_order(ctx.data))
         for r in got:
             if r.status >= 400:
                 ctx.warnings.add(Warning_("api_dispatcher", f"dispatch failed with HTTP {r.status}", sent, r.body[:200]))
     except (OSError, EgressError) as e:
         ctx.warnings.add(Warning_("api_dispatcher", "dispatch failed", 0, str(e)))
-    return ctx.with_data(data)
+    return ctx

@@ -10,17 +10,18 @@ from ..context import RosterContext, in_order, quoted
 CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": ""}
 
 
-def show_data(ctx: RosterContext, path: str | None, single_file: bool = True, dry_run: bool = False) -> RosterContext:
+def show_data(ctx: RosterContext, path: str | None, single_file: bool = False, dry_run: bool = False) -> RosterContext:
     """The table as it is now, written to path; it passes through, and is kept so that its sources are read once.
 
-    Arrays and structs are written as JSON, as CSV has no such values.  single_file=False writes one file for each partition."""
+    Arrays and structs are written as JSON, as CSV has no such values.  One file for each partition, or with
+    single_file=True one in all, by one task."""
     if dry_run or path is None:
         return ctx
-    data = ctx.data.persist()
-    out = in_order(data)
+    ctx = ctx.keep()
+    out = in_order(ctx.data)
     out = out.select(*[(F.to_json(quoted(f.name)).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else quoted(f.name)) for f in out.schema])
     (out.coalesce(1) if single_file else out).write.mode("overwrite").options(**CSV).csv(path)
-    return ctx.with_data(data)
+    return ctx
 
 
 def shown_page(spark: SparkSession, path: str, most: int = 1000) -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import time
 import urllib.error
 import urllib.parse
@@ -9,6 +10,8 @@ import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import cloudpickle
+
 
 @dataclass(frozen=True)
 class Response:
@@ -50,6 +53,14 @@ class Retry:
         raise AssertionError("unreachable")
 
 
+def by_value(client: object) -> object:
+    """The client, so that tasks get its class with it: a class of a script or test is in no module that workers can import."""
+    module = sys.modules.get(type(client).__module__)
+    if module is not None and module.__name__ != "__main__" and module.__name__.partition(".")[0] != __package__.partition(".")[0]:
+        cloudpickle.register_pickle_by_value(module)
+    return client
+
+
 @dataclass(frozen=True)
 class RestClient:
     retry: Retry = Retry()

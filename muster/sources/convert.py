@@ -12,8 +12,11 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections import Counter
 from collections.abc import Iterator
+from datetime import datetime, timedelta
+from functools import partial
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from .csv import Location, checked_filename, read_csv, stem
 
 DOCUMENTS = ("pdf", "png", "jpg", "jpeg", "tiff", "tif")
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+#: Number formats of the file format that show dates or times; rows that a task hands on at once.
+BUILT_IN_DATES, ROWS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}, 4096
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
@@ -51,7 +56,23 @@ def number_text(x: float) -> str:
     return str(int(x)) if x == int(x) and abs(x) < 1e15 else repr(x)
 
 
-def xlsx_rows(data: bytes, sheet: int) -> Iterator[list[str]]:
+def date_styles(styles: bytes) -> set[int]:
+    """Cell styles whose number format shows dates: the built-in ones, and own ones with a letter of a date outside quotes."""
+    root = ET.fromstring(styles)
+    own = {f.get("numFmtId"): f.get("formatCode") or "" for f in root.iter(f"{SHEET}numFmt")}
+    formats = [x.get("numFmtId") or "0" for x in root.iterfind(f"{SHEET}cellXfs/{SHEET}xf")]
+    shows = lambda n: bool(re.search("[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", own[n]).lower())) if n in own else int(n) in BUILT_IN_DATES
+    return {k for k, n in enumerate(formats) if shows(n)}
+
+
+def iso_date(x: float, from_1904: bool) -> str:
+    """The date, or the date-time to a second, of a stored number."""
+    at = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30) if x >= 60 else datetime(1899, 12, 31)
+    at += timedelta(seconds=round(x * 86400))
+    return at.isoformat(" ") if x % 1 else at.date().isoformat()
+
+
+def xlsx_rows(data: bytes, sheet: int, iso_dates: bool = False) -> Iterator[list[str]]:
     """Cells of a sheet as text, rows of equal length; gaps are empty."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         book = ET.fromstring(z.read("xl/workbook.xml"))
@@ -64,6 +85,8 @@ def xlsx_rows(data: bytes, sheet: int) -> Iterator[list[str]]:
             shared = ["".join(t.text or "" for t in si.iter(f"{SHEET}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")]
         target = targets[sheets[sheet]]
         root = ET.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
+        dates = date_styles(z.read("xl/styles.xml")) if iso_dates and "xl/styles.xml" in z.namelist() else set()
+        from_1904 = any(x.get("date1904") in ("1", "true") for x in book.iter(f"{SHEET}workbookPr"))
     rows: list[dict[int, str]] = []
     for r in root.iter(f"{SHEET}row"):
         number = int(r.get("r") or len(rows) + 1)
@@ -84,6 +107,8 @@ def xlsx_rows(data: bytes, sheet: int) -> Iterator[list[str]]:
                 v = "true" if v == "1" else "false"
             elif kind == "e":
                 v = f"#ERR:{v}"
+            elif kind == "n" and v and int(c.get("s") or 0) in dates:
+                v = iso_date(float(v), from_1904)
             elif kind == "n" and v:
                 v = number_text(float(v))
             rows[-1][at] = v
@@ -155,8 +180,10 @@ def xml_rows(data: bytes, table: int) -> Iterator[list[str]]:
 PARSERS = {"xlsx": xlsx_rows, "json": json_rows, "xml": xml_rows}
 
 
-def convert(spark: SparkSession, path: str, table_index: int = 0) -> DataFrame:
-    """The table in a file by the file's extension; all columns are strings."""
+def convert(spark: SparkSession, path: str, table_index: int = 0, iso_dates: bool = False) -> DataFrame:
+    """The table in a file by the file's extension; all columns are strings.
+
+    Dates in workbooks are the numbers that they are stored as; with iso_dates, ISO dates or date-times."""
     kind = extension(path)
     if kind == "csv":
         return read_csv(spark, path)
@@ -164,40 +191,31 @@ def convert(spark: SparkSession, path: str, table_index: int = 0) -> DataFrame:
         raise ConfigurationError("legacy .xls workbooks are not supported; save the file as .xlsx")
     if kind not in PARSERS:
         raise ConfigurationError(f"files of type '{kind}' cannot be converted")
-    parse = PARSERS[kind]
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for data in b["content"]:
-                for k, cells in enumerate(parse(bytes(data), table_index)):
-                    yield pd.DataFrame({"k": [k], "cells": [cells]})
-
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for x in rows(batches):
-            held.append(x)
-            if len(held) == 4096:
-                yield pd.concat(held)
-                held = []
-        if held:
-            yield pd.concat(held)
-
-    cells = spark.read.format("binaryFile").load(path).select("content").mapInPandas(merged, "k bigint, cells array<string>")
+    parse = partial(PARSERS[kind], iso_dates=iso_dates) if kind == "xlsx" else PARSERS[kind]
+    out = pa.schema([("k", pa.int64()), ("cells", pa.list_(pa.string()))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in (x.as_py() for b in batches for x in b.column(0)):
+            numbered = enumerate(parse(data, table_index))
+            while some := list(islice(numbered, ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some), out)], schema=out)
+
+    cells = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "k bigint, cells array<string>")
     names = cells.filter("k = 0").collect()[0]["cells"]
     if len(set(names)) != len(names):
         raise ConfigurationError(f"{path} has repeated column names: {', '.join(names)}")
     return cells.filter("k > 0").select(*[F.col("cells")[i].alias(n) for i, n in enumerate(names)])
 
 
-def prepare_source(spark: SparkSession, location: Location, uploaded: str, table_index: int = 0) -> tuple[str, list[str]]:
+def prepare_source(spark: SparkSession, location: Location, uploaded: str, table_index: int = 0, iso_dates: bool = False) -> tuple[str, list[str]]:
     """What an upload needs before it can be a source: ('not_needed', names) for CSV; else the table is written beside it."""
     name = checked_filename(uploaded.rpartition("/")[2])
     if is_csv(name):
         return "not_needed", csv_names(spark, uploaded)
     if needs_recognition(name):
         raise ConfigurationError("tables in documents have to be recognised first; see recognised_table")
-    table = convert(spark, uploaded, table_index)
-    table.coalesce(1).write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(location.source(f"{stem(name)}.csv"))
+    table = convert(spark, uploaded, table_index, iso_dates)
+    table.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(location.source(f"{stem(name)}.csv"))
     return "converted", table.columns
 
 

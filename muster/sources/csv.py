@@ -71,11 +71,11 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, m
     return numbered(rows.select(guard.alias(schema.names[0]), *kept[1:]))
 
 
-def generic_ingestion(spark: SparkSession, location: Location | None, filename: str, columns: list[str] | None = None) -> RosterContext:
+def generic_ingestion(spark: SparkSession, location: Location | None, filename: str, columns: list[str] | None = None, many_lines: bool = True) -> RosterContext:
     checked_filename(filename)
     if location is None:
         raise ConfigurationError("the file's key has not been resolved")
-    ctx = RosterContext(read_csv(spark, location.source(filename), columns))
+    ctx = RosterContext(read_csv(spark, location.source(filename), columns, many_lines))
     return ctx.came_from(ctx.columns, "GENERIC_INGESTION")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..context import RosterContext, numbered
 from ..errors import ConfigurationError, IngestionError
-from .clients import Response, SoapClient
+from .clients import Response, SoapClient, by_value
 
 VERSION = "v45.2"
 # Columns and the elements they come from, in the order in which they are tried.
@@ -57,14 +57,16 @@ class WorkdayConfig:
         return os.environ[name]
 
 
-def envelope(config: WorkdayConfig, page: int) -> str:
+def envelope(config: WorkdayConfig, page: int, secret: str | None = None) -> str:
+    """A request's body; tasks are given the secret, as their environment may not have it."""
+    secret = config.secret() if secret is None else secret
     group = "".join(f"<bsvc:{'_'.join(w.capitalize() for w in k.split('_'))}>{str(v).lower()}</bsvc:{'_'.join(w.capitalize() for w in k.split('_'))}>" for k, v in vars(config.response_group).items())
     wsse = "http://docs.oasis-open.org/wss/2004/01/oasis-200401-wss"
     return (
         '<?xml version="1.0" encoding="UTF-8"?>'
         f'<env:Envelope xmlns:env="http://schemas.xmlsoap.org/soap/envelope/" xmlns:bsvc="urn:com.workday/bsvc" xmlns:wsse="{wsse}-wssecurity-secext-1.0.xsd">'
         f'<env:Header><wsse:Security env:mustUnderstand="1"><wsse:UsernameToken><wsse:Username>{escape(config.username)}@{escape(config.tenant_id)}</wsse:Username>'
-        f'<wsse:Password Type="{wsse}-username-token-profile-1.0#PasswordText">{escape(config.secret())}</wsse:Password></wsse:UsernameToken></wsse:Security></env:Header>'
+        f'<wsse:Password Type="{wsse}-username-token-profile-1.0#PasswordText">{escape(secret)}</wsse:Password></wsse:UsernameToken></wsse:Security></env:Header>'
         f'<env:Body><bsvc:Get_Workers_Request bsvc:version="{VERSION}"><bsvc:Response_Filter><bsvc:Page>{page}</bsvc:Page><bsvc:Count>{config.worker_count_limit}</bsvc:Count></bsvc:Response_Filter>'
         f"<bsvc:Response_Group>{group}</bsvc:Response_Group></bsvc:Get_Workers_Request></env:Body></env:Envelope>"
     )
@@ -106,8 +108,9 @@ def _body(r: Response) -> str:
 
 def workday(spark: SparkSession, config: WorkdayConfig, client: object | None = None) -> RosterContext:
     """The first page tells how many there are; tasks fetch the others."""
-    client = client or SoapClient()
-    first = _body(client.post(config.endpoint, envelope(config, 1)))
+    client = by_value(client or SoapClient())
+    secret = config.secret()
+    first = _body(client.post(config.endpoint, envelope(config, 1, secret)))
     total = paging(first)["Total_Pages"]
     pages = spark.createDataFrame([(1, first)], "page int, body string")
     if total > 1:
@@ -115,7 +118,7 @@ def workday(spark: SparkSession, config: WorkdayConfig, client: object | None =
         def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for page in b["id"]:
-                    yield pd.DataFrame({"page": [page], "body": [_body(client.post(config.endpoint, envelope(config, int(page))))]})
+                    yield pd.DataFrame({"page": [page], "body": [_body(client.post(config.endpoint, envelope(config, int(page), secret)))]})
 
         pages = pages.unionAll(spark.range(2, total + 1, numPartitions=min(total - 1, 64)).mapInPandas(fetch, "page int, body string"))
     ctx = RosterContext(numbered(workers(pages)))

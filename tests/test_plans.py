@@ -90,18 +90,18 @@ def test_validation(env):
     source = ("generic_ingestion_connector", {"filename": "x.csv", "columns": ["a", "b"]})
     assert validate_pipeline(manifest(source, bearer), env).final_columns == ["a", "b"]
     cases = [
-        ((), "No actions"),
-        ((source,), "Last step must be an egress action \\(API Dispatcher or Show Data\\), found 'generic_ingestion_connector'"),
-        ((source, ("drop_column", {"columns": ["a"]}), bearer), "requires columns not produced by the pipeline: a"),
-        ((source, ("api_dispatcher", {"auth_type": "default"})), "No API dispatcher settings"),
-        ((source, ("drop_column", {"columns": ["z"]}), bearer), "Step 's1' \\(drop_column\\)"),
+        ((), "needs steps"),
+        ((source,), "the last step must be a sink .*, not 'generic_ingestion_connector'"),
+        ((source, ("drop_column", {"columns": ["a"]}), bearer), "the last step does not have: a"),
+        ((source, ("api_dispatcher", {"auth_type": "default"})), "no default auth"),
+        ((source, ("drop_column", {"columns": ["z"]}), bearer), "drop_column 's1' fails"),
     ]
     for steps, message in cases:
         with pytest.raises(ValidationError, match=message):
             validate_pipeline(manifest(*steps), env)
     assert validate_pipeline(manifest(source, ("show_data", {})), env).final_columns == ["a", "b"]
     own = Environment(env.spark, env.location, {"auth_type": "bearer", "destination_url": "u", "schema": {"q": "string"}})
-    with pytest.raises(ValidationError, match="produced by the pipeline: q"):
+    with pytest.raises(ValidationError, match="does not have: q"):
         validate_pipeline(manifest(source, ("api_dispatcher", {"auth_type": "default"})), own)
     assert validate(manifest(source, ("scd_type_2", {"entity_column": "a", "date_column": "b"})), env).final_columns == ["a", "effective_from", "effective_to", "is_current"]
     with pytest.raises(StepError):

@@ -87,9 +87,9 @@ def test_auth_kinds():
     for bad in ({"auth_type": "x"}, {}, {"destination_url": "u", "placement": "nowhere"}):
         with pytest.raises(ConfigurationError):
             auth_from(bad)
-    with pytest.raises(ConfigurationError, match="No API dispatcher settings"):
+    with pytest.raises(ConfigurationError, match="no default auth"):
         resolved(DEFAULT, None)
-    with pytest.raises(ConfigurationError, match="Default auth in Settings"):
+    with pytest.raises(ConfigurationError, match="default auth cannot be"):
         resolved(DEFAULT, {"auth_type": "default"})
     assert resolved(DEFAULT, {"destination_url": "u"}).destination_url == "u"
 
