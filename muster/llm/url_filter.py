@@ -1,15 +1,16 @@
 """URL filters: host and path rules, and a weighted vocabulary for the rest.
 
 An Aho-Corasick automaton finds the vocabulary's terms in the lower-cased URL in one pass.  A hit counts when no letter
-or digit stands before or after it.  Distinct terms add up their weights: a strict term weighs ``LIMIT``, a soft term 1,
-and a URL is blocked from ``LIMIT`` on, so by one strict term or by several distinct soft ones.
+or digit of ASCII stands before or after it.  The weights of distinct terms add up, and a URL is blocked from ``LIMIT`` on:
+so by one strict term, which weighs ``LIMIT``, or by several distinct soft ones, which weigh less.
 
 Rules of hosts and paths come first: a rule fits its host and all subdomains of it when the path starts with the rule's
-path; the longest wins.
+path; the longest (host and path together) wins, of equally long ones that with the longer host.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, so no rule fits it; a null URL has no
-hits and is allowed; repeated rows give repeated rows; an empty table gives none; columns but page_id and url are not
-looked at.
+hits and is allowed; URLs of any length are taken whole; of several rules with the same host and path the last counts; of a
+term's several weights the greatest; repeated rows give repeated rows; an empty table gives none; columns but the identifier
+and the URL are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +22,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_of
 
-LIMIT = 2
-STRICT = ("porn", "porno", "xxx", "hentai", "escort", "escorts", "sexcam", "casino", "casinos", "viagra", "cialis", "warez", "phishing", "malware", "adult-x", "spam-farm")
-SOFT = ("adult", "ads", "bet", "bets", "bonus", "cash", "cheap", "click", "coupon", "deal", "deals", "farm", "free", "jackpot", "loan", "loans", "pill", "pills", "poker", "prize", "promo", "sex", "slots", "spam", "sponsor", "track", "tracker", "win", "winner")
+LIMIT = 2.0
+#: A small example of a vocabulary; give a table of your own (columns term and weight) or a dictionary.
+VOCABULARY = {
+    **dict.fromkeys(("casino", "casinos", "cialis", "escort", "escorts", "hentai", "malware", "phishing", "porn", "porno", "sexcam", "viagra", "warez", "xxx"), LIMIT),
+    **dict.fromkeys(("adult", "bets", "jackpot", "pills", "poker", "sex", "slots", "spam"), 1.5),
+    **dict.fromkeys(("ads", "bet", "bonus", "cheap", "coupon", "deals", "free", "loans", "pill", "prize", "promo", "sponsor", "track", "tracker", "winner"), 1.0),
+    **dict.fromkeys(("cash", "click", "deal", "farm", "loan", "win", "x"), 0.5),
+}
 #: (host, path, verdict) of the production query.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -33,44 +39,53 @@ LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @lru_cache(maxsize=4)
-def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
+def automaton(vocabulary: tuple[tuple[str, float], ...]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for term in soft:
-        a.add_word(term, (term, False))
-    for term in strict:
-        a.add_word(term, (term, True))
+    for term, weight in vocabulary:
+        a.add_word(term, (term, weight))
     a.make_automaton()
     return a
 
 
-def hits(url: str, a: ahocorasick.Automaton) -> tuple[int, int]:
-    """Distinct strict and soft terms of a lower-cased URL that stand between boundaries."""
+def hits(url: str, vocabulary: tuple[tuple[str, float], ...]) -> tuple[int, int, float]:
+    """Distinct strict and soft terms of a lower-cased URL that stand between boundaries, and the sum of their weights."""
     inside = lambda c: c.isascii() and c.isalnum()
-    found = {v for end, v in a.iter(url) if not (end + 1 < len(url) and inside(url[end + 1])) and not (end >= len(v[0]) and inside(url[end - len(v[0])]))}
-    strict = sum(s for _, s in found)
-    return strict, len(found) - strict
+    found = {v for end, v in automaton(vocabulary).iter(url) if not (end + 1 < len(url) and inside(url[end + 1])) and not (end >= len(v[0]) and inside(url[end - len(v[0])]))}
+    strict = sum(w >= LIMIT for _, w in found)
+    return strict, len(found) - strict, sum(sorted(w for _, w in found))
 
 
 def lower(c: Column) -> Column:
     return F.translate(c, *LOWER)
 
 
-def url_filter(pages: DataFrame, rules: tuple = RULES, strict: tuple = STRICT, soft: tuple = SOFT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """id, host, path, rule, verdict, n_strict, n_soft for every row of pages."""
+def listed(vocabulary: dict[str, float] | DataFrame) -> tuple[tuple[str, float], ...]:
+    """Terms in order, lower-cased, with their weights.  A vocabulary is made by hand, so it fits in a task; its table is read here."""
+    rows = vocabulary.items() if isinstance(vocabulary, dict) else ((r["term"], r["weight"]) for r in vocabulary.select("term", "weight").filter("term is not null and weight is not null").collect())
+    out: dict[str, float] = {}
+    for term, weight in rows:
+        term = "".join(c.lower() if c.isascii() else c for c in term)
+        if term:
+            out[term] = max(float(weight), out.get(term, 0.0))
+    return tuple(sorted(out.items()))
 
-    @F.pandas_udf("n_strict bigint, n_soft bigint")
+
+def url_filter(pages: DataFrame, rules: tuple = RULES, vocabulary: dict[str, float] | DataFrame = VOCABULARY, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """page_id, host, path, rule, verdict, n_strict, n_soft and weight for every row of pages."""
+    terms = listed(vocabulary)
+
+    @F.pandas_udf("n_strict bigint, n_soft bigint, weight double")
     def counted(urls: pd.Series) -> pd.DataFrame:
-        a = automaton(strict, soft)
-        return pd.DataFrame([hits(u, a) for u in urls], columns=["n_strict", "n_soft"])
+        return pd.DataFrame([hits(u, terms) if terms else (0, 0, 0.0) for u in urls], columns=["n_strict", "n_soft", "weight"])
 
-    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    url = text_of(url_col)
     host, path = lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), counted(lower(url)).alias("hits"))
-    rule, verdict = F.lit(None).cast("string"), F.when(LIMIT * F.col("hits.n_strict") + F.col("hits.n_soft") >= LIMIT, "block").otherwise("allow")
-    for h, p, v in sorted(rules, key=lambda r: len(r[0] + r[1])):  # the longest is put on last, so it is asked first
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"), counted(lower(url)).alias("hits"))
+    rule, verdict = F.lit(None).cast("string"), F.when(F.col("hits.weight") >= LIMIT, "block").otherwise("allow")
+    for h, p, v in sorted(rules, key=lambda r: (len(r[0] + r[1]), len(r[0]))):  # the longest is put on last, so it is asked first
         fits = ((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
-    return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "hits.n_strict", "hits.n_soft")
+    return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "hits.n_strict", "hits.n_soft", "hits.weight")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,22 +93,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    terms = ", ".join(f"('{t}', {s})" for kind, s in ((STRICT, 1), (SOFT, 0)) for t in kind)
+    terms = ", ".join(f"('{t}', {w})" for t, w in listed(VOCABULARY))
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     return f"""
 WITH u AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url FROM pages),
 parts AS (SELECT r, page_id, translate(url, '{LOWER[0]}', '{LOWER[1]}') AS low,
                  translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{LOWER[0]}', '{LOWER[1]}') AS host,
                  regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
-terms(term, strict) AS (VALUES {terms}),
-hit AS (SELECT r, sum(strict) AS n_strict, sum(1 - strict) AS n_soft
+terms(term, w) AS (VALUES {terms}),
+hit AS (SELECT r, count(*) FILTER (w >= {LIMIT}) AS n_strict, count(*) FILTER (w < {LIMIT}) AS n_soft, sum(w)::DOUBLE AS weight
         FROM parts JOIN terms ON regexp_matches(low, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') GROUP BY r),
 rules(h, p, v) AS (VALUES {rules}),
-best AS (SELECT r, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
-         FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
+best AS (SELECT r, h || p AS rule, v FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+         QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC, length(h) DESC) = 1)
 SELECT page_id, host, path, rule,
-       coalesce(v, CASE WHEN {LIMIT} * coalesce(n_strict, 0) + coalesce(n_soft, 0) >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-       coalesce(n_strict, 0)::BIGINT AS n_strict, coalesce(n_soft, 0)::BIGINT AS n_soft
+       coalesce(v, CASE WHEN coalesce(weight, 0) >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(n_strict, 0)::BIGINT AS n_strict, coalesce(n_soft, 0)::BIGINT AS n_soft, coalesce(weight, 0)::DOUBLE AS weight
 FROM parts LEFT JOIN hit USING (r) LEFT JOIN best USING (r)
 """
 

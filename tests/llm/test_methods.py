@@ -339,8 +339,27 @@ def test_fields(spark):
 
 
 def test_url_terms():
-    a = url_filter.automaton(url_filter.STRICT, url_filter.SOFT)
-    assert url_filter.hits("http://casino.example/", a) == (1, 0)
-    assert url_filter.hits("http://casinoroyal.example/xcasino", a) == (0, 0)
-    assert url_filter.hits("http://x.example/free-free-bets", a) == (0, 2)
-    assert url_filter.hits("http://x.example/freedom", a) == (0, 0)
+    terms = url_filter.listed({"casino": 2.0, "Free": 1, "bets": 1.0, "bet": 0.5})
+    assert url_filter.hits("http://casino.example/", terms) == (1, 0, 2.0)
+    assert url_filter.hits("http://casinoroyal.example/xcasino", terms) == (0, 0, 0)
+    assert url_filter.hits("http://x.example/free-free-bets", terms) == (0, 2, 2.0)
+    assert url_filter.hits("http://x.example/freedom", terms) == (0, 0, 0)
+    assert url_filter.hits("bet", terms) == (0, 1, 0.5) and url_filter.hits("ébets", terms)[1] == 1
+
+
+@given(st.text(alphabet="abx-./é1", max_size=40))
+@settings(deadline=None, max_examples=300)
+def test_url_terms_against_plain_search(url):
+    words = {"a": 0.5, "ab": 1.0, "b-a": 1.0, "xx": 2.0, "x.x": 0.5}
+    found = [w for w in words if re.search(f"(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])", url)]
+    got = url_filter.hits(url, url_filter.listed(words))
+    assert got == (sum(words[w] >= 2 for w in found), sum(words[w] < 2 for w in found), sum(words[w] for w in found))
+
+
+def test_url_rules_and_vocabulary_table(spark):
+    """Of equally long rules the one with the longer host wins; a vocabulary may be a table, in which nulls mean nothing."""
+    pages = spark.createDataFrame([(1, "http://a.com/ab/c"), (2, "http://com/ab/"), (3, "https://x.org/bad"), (4, "https://x.org/worse-bad"), (5, None)], "page_id int, url string")
+    rules = (("com", "/ab/", "allow"), ("a.com", "/a", "block"), ("com", "/", "block"))
+    vocabulary = spark.createDataFrame([("BAD", 1.0), ("worse", 1.0), ("bad", 0.5), (None, 2.0), ("x", None)], "term string, weight double")
+    got = url_filter.url_filter(pages, rules, vocabulary).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict, r.weight) for r in got] == [("a.com/a", "block", 0.0), ("com/ab/", "allow", 0.0), (None, "allow", 1.0), (None, "block", 2.0), (None, "allow", 0.0)]
