@@ -54,6 +54,14 @@ def test_dedup_falls_back_and_skips(spark):
         ops.identity_deduplicator(ctx(spark, "email string", ("x",)))
 
 
+def test_dedup_by_a_key_that_most_rows_share(spark):
+    """Names of columns that the operator could use itself stay as they are."""
+    c = ctx(spark, "employee_id string, email string, __key string, __first string", *[(str(k), "" if k % 4 else None, "a", "b") for k in range(40)])
+    got = ops.identity_deduplicator(c, ["email"])
+    assert col(got, "is_duplicate") == [bool(k % 4) and k > 1 for k in range(40)] and col(got, "canonical_id") == [str(k) if not k % 4 else "1" for k in range(40)]
+    assert col(got, "__key") == ["a"] * 40 and got.columns == ["employee_id", "email", "__key", "__first", "canonical_id", "is_duplicate"]
+
+
 def test_masking(spark):
     c = ctx(spark, "ssn string, salary string, pay int", ("123-45-6789", "10", 7), ("abc", None, None), (None, "x", 1), ("6789", "1", 2), ("zäöü", "1", 2))
     got = ops.pii_masking(c, [Mask("ssn"), Mask("salary", "zero"), Mask("pay", "zero"), Mask("gone")])

@@ -93,6 +93,15 @@ def test_xlsx(spark, tmp_path):
     assert rows(csv.generic_ingestion(spark, where, "a.XLSX").data)[0][0] == "7"
 
 
+def test_dates_of_workbooks():
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    styles = f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/><numFmt numFmtId="165" formatCode="&quot;days&quot; 0.0"/><numFmt numFmtId="166" formatCode="[Red]0"/></numFmts>'
+    styles += '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="166"/><xf/></cellXfs></styleSheet>'
+    assert convert.date_styles(styles.encode()) == {1, 2}
+    assert [convert.iso_date(x, False) for x in (1, 59, 61, 45292, 45292.75)] == ["1900-01-01", "1900-02-28", "1900-03-01", "2024-01-01", "2024-01-01 18:00:00"]
+    assert convert.iso_date(0, True) == "1904-01-01"
+
+
 def test_kinds(spark, tmp_path):
     for name in ("a.xls", "a.txt"):
         with pytest.raises(ConfigurationError):
