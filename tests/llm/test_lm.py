@@ -149,16 +149,14 @@ def test_customers_are_those_of_a_plain_sampler(tiny):
 
 
 @pytest.mark.parametrize("bucket_tokens", [1_000_000, 40])
-def test_probabilities_add_up_to_1(spark, bucket_tokens):
-    """Of what follows the start: every known word, an unknown one, or the end.  A word's probability there is that of a text
-    that begins with it by the sum over what follows it, which is taken one word further."""
+def test_probabilities_of_short_texts(spark, bucket_tokens):
+    """Of all texts of no, one and two words, with one restaurant for a word and with several; sums to 1 are tested by bucket."""
     texts = ["a b a c", "a b", "b a", "c", "a b c d e a b"] * 30
     words = [*sorted({w for t in texts for w in t.split()}), "unseen"]
     probes = ["", *words, *[f"{x} {y}" for x in words for y in words]]
     got = hpylm.score(spark.createDataFrame([*zip(SEEN, texts), *zip(HELD, probes)], "doc_id bigint, text string"), bucket_tokens=bucket_tokens)
     p = dict(zip(probes, [10**s for _, s in sorted((r.doc_id, r.score) for r in got.collect() if r.held_out)]))
     assert all(0 < x < 1 for x in p.values()) and p["a b"] > p["a unseen"]
-    # All texts of no, one and two words: less than 1, and more with every word.
     sums = [p[""], sum(p[w] for w in words), sum(p[f"{x} {y}"] for x in words for y in words)]
     assert 0 < sum(sums) < 1 and sums[0] < sums[1]
 
