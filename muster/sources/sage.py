@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import RosterContext, numbered
 from ..errors import IngestionError
-from .clients import RestClient
+from .clients import RestClient, by_value
 
 # The columns, all of them strings.
 COLUMNS = (
@@ -53,20 +55,37 @@ def employees(pages: DataFrame) -> DataFrame:
     return rows.select(*[text(c) for c in COLUMNS])
 
 
+def _fetched(client: object, config: SageConfig, page: int) -> tuple[str, dict]:
+    """A page's body and what it says of the pages."""
+    r = client.get(config.endpoint, {"X-Auth-Token": config.api_token, "Accept": "application/json"}, config.query(page))
+    if r.status >= 400:
+        raise IngestionError(f"request for page {page} failed with {r.status}: {r.body[:500]}")
+    try:
+        meta = json.loads(r.body)["meta"]
+        meta.get("next_page")
+    except (ValueError, KeyError, TypeError, AttributeError) as e:
+        raise IngestionError(f"page {page} cannot be read: {e}") from e
+    return r.body, meta
+
+
 def sage(spark: SparkSession, config: SageConfig, client: object | None = None) -> RosterContext:
-    """Pages are fetched one after another, as each names the next; only a greater page number is followed."""
-    client, page, bodies = client or RestClient(), 1, []
+    """If the first page says how many there are, tasks fetch the others; else they are fetched one after another, as each
+    names the next, and only a greater page number is followed."""
+    client, page, bodies = by_value(client or RestClient()), 1, []
     while True:
-        r = client.get(config.endpoint, {"X-Auth-Token": config.api_token, "Accept": "application/json"}, config.query(page))
-        if r.status >= 400:
-            raise IngestionError(f"request for page {page} failed with {r.status}: {r.body[:500]}")
-        try:
-            following = json.loads(r.body)["meta"].get("next_page")
-        except (ValueError, KeyError, TypeError, AttributeError) as e:
-            raise IngestionError(f"page {page} cannot be read: {e}") from e
-        bodies.append((page, r.body))
-        if not following or following <= page:
+        body, meta = _fetched(client, config, page)
+        bodies.append((page, body))
+        following, total = meta.get("next_page"), meta.get("total_pages")
+        if not following or following <= page or (isinstance(total, int) and total > 1):
             break
         page = following
-    ctx = RosterContext(numbered(employees(spark.createDataFrame(bodies, "page int, body string"))))
+    pages = spark.createDataFrame(bodies, "page int, body string")
+    if following and page == 1 and isinstance(total, int) and total > 1:
+
+        def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for k in (k for b in batches for k in b["id"]):
+                yield pd.DataFrame({"page": [k], "body": [_fetched(client, config, int(k))[0]]})
+
+        pages = pages.unionAll(spark.range(2, total + 1, numPartitions=min(total - 1, 64)).mapInPandas(fetch, "page int, body string"))
+    ctx = RosterContext(numbered(employees(pages)))
     return ctx.came_from(COLUMNS, "SAGE_HR")

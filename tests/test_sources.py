@@ -186,6 +186,19 @@ def test_sage(spark):
             sage(spark, config, Rest([bad]))
 
 
+class Counted:
+    """A client of this module, which workers cannot import."""
+
+    def get(self, url, headers, query):
+        page = int(query["page"])
+        return Response(200, json.dumps({"data": [{"id": 10 * page + k} for k in range(2)], "meta": {"next_page": page + 1 if page < 4 else None, "total_pages": 4}}))
+
+
+def test_pages_that_are_counted_are_fetched_by_tasks(spark):
+    got = sage(spark, SageConfig("acme", "tok"), Counted()).data
+    assert sorted(r.id for r in got.collect()) == sorted(str(10 * p + k) for p in range(1, 5) for k in range(2))
+
+
 def test_retry():
     pauses, answers = [], iter([Response(500, ""), Response(429, ""), Response(200, "ok")])
     assert Retry(sleep=pauses.append).run(lambda: next(answers)).body == "ok" and pauses == [0.5, 1.0]
