@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, StringType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
-from ..context import ROW_ID, RosterContext, quoted
+from ..context import ROW_ID, RosterContext, fresh, quoted
 from ..errors import LogicError
 
 
-def scd_type_2(ctx: RosterContext, entity_column: str = "employee_id", date_column: str = "start_date", tie_break: list[str] | None = None, ordered: bool = False, dry_run: bool = False) -> RosterContext:
+def _slice(date: Column, kind: DataType) -> Column:
+    """A coarser value in the same order: the month of a date, the first characters of a text; other types have one slice."""
+    if isinstance(kind, DateType | TimestampType | TimestampNTZType):
+        return F.date_trunc("month", date)
+    return F.substring(date, 1, 7) if isinstance(kind, StringType) else F.lit(0)
+
+
+def _closed_by_slices(data: DataFrame, entity_column: str, date_column: str, order: list[Column]) -> DataFrame:
+    """data with effective_to, no entity being sorted as a whole."""
+    entity, date = quoted(entity_column), quoted(date_column)
+    part, last, e, p, first, after = (fresh(data, x) for x in ("slice", "last", "entity", "part", "first", "after"))
+    data = data.withColumn(part, _slice(date, data.schema[date_column].dataType))
+    w = Window.partitionBy(entity, F.col(part)).orderBy(*order)
+    rows = data.withColumns({"effective_to": F.lead(date).over(w), last: F.lead(F.lit(True)).over(w).isNull()})
+    firsts = data.groupBy(entity.alias(e), F.col(part).alias(p)).agg(F.min(date).alias(first))  # a row for each slice of each entity
+    firsts = firsts.select(e, p, F.lead(first).over(Window.partitionBy(e).orderBy(F.col(p).asc_nulls_first())).alias(after))
+    rows = rows.join(firsts, entity.eqNullSafe(F.col(e)) & F.col(part).eqNullSafe(F.col(p)))
+    return rows.withColumn("effective_to", F.when(F.col(last), F.col(after)).otherwise(F.col("effective_to"))).drop(part, last, e, p, after)
+
+
+def scd_type_2(ctx: RosterContext, entity_column: str = "employee_id", date_column: str = "start_date", tie_break: list[str] | None = None, ordered: bool = False, split_entities: bool = False, dry_run: bool = False) -> RosterContext:
     """date_column becomes effective_from; effective_to is the entity's next date; is_current if there is none.
 
     Nulls come first; ties go by tie_break, then by the order of rows.  One shuffle by entity: the new order of rows (entity,
-    date, ties) is kept in the hidden row id, and only sinks sort by it; ordered=True sorts here."""
+    date, ties) is kept in the hidden row id, and only sinks sort by it; ordered=True sorts here.
+
+    An entity is sorted by one task.  split_entities=True is for entities (or a null entity) with very many rows: they are
+    shuffled by entity and slice of time, and the first date of the next slice closes a slice's last row; this reads the source
+    twice."""
     missing = [c for c in (entity_column, date_column) if c not in ctx.data.columns]
     if missing:
         raise LogicError(f"scd_type_2: column(s) not found: {', '.join(missing)}")
@@ -22,8 +48,11 @@ def scd_type_2(ctx: RosterContext, entity_column: str = "employee_id", date_colu
     ties = [quoted(c) for c in tie_break or []] + ([quoted(ROW_ID)] if ROW_ID in ctx.data.columns else [])
     order = [quoted(date_column).asc_nulls_first(), *ties]
     data = ctx.data.drop(*[c for c in ("effective_to", "is_current") if c != date_column and c != entity_column])
-    w = Window.partitionBy(quoted(entity_column)).orderBy(*order)
-    data = data.withColumn("effective_to", F.lead(quoted(date_column)).over(w))
+    if split_entities:
+        data = _closed_by_slices(data, entity_column, date_column, order)
+    else:
+        w = Window.partitionBy(quoted(entity_column)).orderBy(*order)
+        data = data.withColumn("effective_to", F.lead(quoted(date_column)).over(w))
     if ordered:
         data = data.orderBy(quoted(entity_column).asc_nulls_first(), *order)
     if ROW_ID in data.columns:

@@ -19,7 +19,7 @@ SCHEMAS = {
     "generic_ingestion_connector": _object({"filename": _TEXT}, {"columns": _TEXTS, "table_index": _COUNT, "multi_line": _FLAG}),
     "workday_hris_connector": _object({k: _TEXT for k in ("tenant_url", "tenant_id", "username", "password")}, {"worker_count_limit": _COUNT, "response_group": {"type": "object", "additionalProperties": _FLAG}}),
     "sage_hr_connector": _object({"subdomain": _TEXT, "api_token": _TEXT}, {f"include_{h}_history": _FLAG for h in ("team", "employment_status", "position")}),
-    "scd_type_2": _object({}, {"entity_column": _TEXT, "date_column": _TEXT, "tie_break": _TEXTS}),
+    "scd_type_2": _object({}, {"entity_column": _TEXT, "date_column": _TEXT, "tie_break": _TEXTS, "split_entities": _FLAG}),
     "pii_masking": _object({}, {"columns": {"type": "array", "items": _MASK}, "mask_ssn": _FLAG, "mask_salary": _FLAG}),
     "identity_deduplicator": _object({}, {"columns": _TEXTS, "employee_id_column": _TEXT}),
     "regex_replace": _object({"column": _TEXT, "pattern": _TEXT, "replacement": _TEXT}),

@@ -58,6 +58,13 @@ def scd_type_2(spark, sf):
     return out(ops.scd_type_2(ctx(spark, sf, "events"), "user_id", "ts", tie_break=["event_id"]))
 
 
+@query("""SELECT event_id, ts AS effective_from, event_type, lead(ts) OVER w AS effective_to, lead(ts) OVER w IS NULL AS is_current
+  FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts NULLS FIRST, event_id)""")
+def scd_type_2_hot_entities(spark, sf):
+    """A few entities hold all rows."""
+    return out(ops.scd_type_2(ctx(spark, sf, "events", "event_id", "ts", "event_type"), "event_type", "ts", tie_break=["event_id"], split_entities=True))
+
+
 @query("""SELECT o_orderkey, o_custkey, o_orderdate AS effective_from, lead(o_orderdate) OVER w AS effective_to,
   lead(o_orderdate) OVER w IS NULL AS is_current
   FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate NULLS FIRST, o_orderkey)""")

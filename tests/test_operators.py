@@ -36,6 +36,17 @@ def test_scd_null_dates_come_first_and_null_entities_are_one_group(spark):
         ops.scd_type_2(c, "e", "missing")
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "int"])
+def test_scd_by_slices_gives_the_same(spark, kind):
+    days = [None, "2024-01-31", "2024-01-31", "2024-02-01", "2024-05-05", "2023-12-31", "2024-01-01"]
+    rows = [(e, d) for e in ("a", None, "b", "__slice") for d in (days if e != "b" else days[1:2])]
+    df = spark.createDataFrame(rows, "e string, d string").coalesce(1)
+    df = df.withColumn("d", F.expr("cast(replace(d, '-', '') as int)" if kind == "int" else f"cast(d as {kind})")).withColumn("__slice", F.lit("x"))
+    c = RosterContext(numbered(df))
+    want, got = (sorted(map(str, ops.scd_type_2(c, "e", "d", split_entities=s).data.drop(ROW_ID).collect())) for s in (False, True))
+    assert got == want and len(got) == len(rows)
+
+
 def test_dedup_marks_all_but_the_first(spark):
     c = ctx(spark, "employee_id string, email string", ("001", "a"), ("002", "a"), ("003", "b"), ("004", None), (None, None), ("006", ""), ("007", ""))
     got = ops.identity_deduplicator(c, ["email"])
