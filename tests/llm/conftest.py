@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 #: Null and empty texts, repeated rows, a very long text, copies, and columns with names that operators use themselves.
-LONG = "lorem ipsum dolor " * 40_000
+LONG = "lorem ipsum dolor " * 10_000
 
 
 @pytest.fixture(scope="session")

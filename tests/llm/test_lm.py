@@ -114,17 +114,22 @@ def tiny():
     return [" ".join(rng.choices("abcdefgh", [30, 20, 10, 5, 4, 3, 2, 1], k=rng.randint(3, 12))) for _ in range(60)]
 
 
-def test_scores_are_those_of_a_plain_sampler(spark, tiny):
-    """Within what the one root that the last round uses may differ from the average over many."""
+@pytest.fixture(scope="module")
+def plain(tiny):
     probes = ["a", "a b", "a a a a b", *tiny[:8]]
-    want, _ = plain_sampler(tiny, probes, DISCOUNTS, STRENGTHS, 250, 50)
+    return probes, *plain_sampler(tiny, probes, DISCOUNTS, STRENGTHS, 400, 100)
+
+
+def test_scores_are_those_of_a_plain_sampler(spark, tiny, plain):
+    """Within what the one root that the last round uses may differ from the average over many."""
+    probes, want, _ = plain
     docs = [*zip(SEEN, tiny), *zip(HELD, probes)]
     got = {r.doc_id: r.score for r in hpylm.score(spark.createDataFrame(docs, "doc_id bigint, text string"), rounds=3, scans=10, samples=50, discounts=DISCOUNTS, strengths=STRENGTHS).collect()}
     apart = [(got[i] - x) / (len(t.split()) + 1) for i, t, x in zip(HELD, probes, want)]
     assert max(map(abs, apart)) < 0.06 and abs(sum(apart)) / len(apart) < 0.03, apart
 
 
-def test_customers_are_those_of_a_plain_sampler(tiny):
+def test_customers_are_those_of_a_plain_sampler(tiny, plain):
     """Customers of the words in the root, averaged over the seating of a whole small corpus in one bucket."""
     names = {w: 4 + 2 * i for i, w in enumerate("a b c d e f g h </s>".split())} | {"^": hpylm.START}
     counts = Counter((names[v], names[u], names[w]) for t in tiny for u, v, w in zip(["^", "^", *t.split()], ["^", *t.split()], [*t.split(), "</s>"]))
@@ -141,7 +146,7 @@ def test_customers_are_those_of_a_plain_sampler(tiny):
         t0 = hpylm.draw_tables(own, np.clip(t0, 1, own), hpylm.Rule(STRENGTHS[0], DISCOUNTS[0], t0.sum() - t0, None, None, np.full(len(own), base)), rng)
         if k >= 100:
             seen.append(own)
-    _, roots = plain_sampler(tiny, ["a"], DISCOUNTS, STRENGTHS, 500, 100)
+    roots = plain[2]
     of = {n: w for w, n in names.items()}
     for n, mine in zip(b.names.tolist(), np.array(seen).T):
         plain = np.array([r.get(of[n], 0) for r in roots])
