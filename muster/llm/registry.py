@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, hpylm, license_scan, mixing, quality_gbt, quality_rules, simhash, token_counts, url_filter
+from . import alignment, bpe, exact_dedup, hpylm, license_scan, mixing, periods, quality_gbt, quality_rules, records, simhash, token_counts, url_filter
 
 MODULES = {
     "op1_license_scan": license_scan,
@@ -15,6 +15,9 @@ MODULES = {
     "op8_simhash": simhash,
     "op9_token_counts": token_counts,
     "op10_quality_gbt": quality_gbt,
+    "op11_token_records": records,
+    "op12_token_alignment": alignment,
+    "op13_periodic_runs": periods,
 }
 
 
