@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..context import RosterContext, Warning_, quoted
+from ..context import RosterContext, Warning_, fresh, quoted
 from ..errors import ConfigurationError, LogicError
 from ..functions.patterns import MOST_REPLACEMENT, check, found, replace_first
 
@@ -35,8 +35,9 @@ def filter_by_value(ctx: RosterContext, column: str, pattern: str, dry_run: bool
         n, lost = got["n"] or 0, got["lost"] or 0
         return Warning_("filter_by_value", f"'{column}': {lost} of {n} row(s) dropped", lost) if lost else None
 
-    data = ctx.warnings.observe(ctx.data, warned, n=F.count("*"), lost=F.count_if(~keep))
-    return ctx.with_data(data.filter(keep))
+    mark = fresh(ctx.data, "keep")
+    data = ctx.warnings.observe(ctx.data.withColumn(mark, keep), warned, n=F.count("*"), lost=F.count_if(~F.col(mark)))
+    return ctx.with_data(data.filter(F.col(mark)).drop(mark))
 
 
 def regex_replace(ctx: RosterContext, column: str, pattern: str, replacement: str, dry_run: bool = False) -> RosterContext:

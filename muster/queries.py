@@ -96,6 +96,20 @@ def regex_replace(spark, sf):
     return out(ops.regex_replace(ctx(spark, sf, "customer", "c_custkey", "c_name"), "c_name", "0+", "_"))
 
 
+#: Patterns that a backtracking engine takes long for, or a stack as deep as the text.
+REPEATS, BETWEEN = r"(?:an|en|er|[ou]r)+ (?:[a-z]+,? )*[a-z]+\.", r"[aeiou]+[^aeiou\n]*(?:st|nd|x)+"
+
+
+@query(f"SELECT doc_id, text FROM documents WHERE regexp_matches(text, '{REPEATS}')")
+def filter_by_value_repeated_groups(spark, sf):
+    return out(ops.filter_by_value(ctx(spark, sf, "documents", "doc_id", "text"), "text", REPEATS))
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '{BETWEEN}', '$1_') AS text FROM documents")
+def regex_replace_repeated_groups(spark, sf):
+    return out(ops.regex_replace(ctx(spark, sf, "documents", "doc_id", "text"), "text", BETWEEN, "$1_"))
+
+
 @query("SELECT p_partkey AS part_key, p_name AS p_brand, p_brand AS p_name, p_type, p_size, p_retailprice FROM part")
 def rename_column(spark, sf):
     return out(ops.rename_column(ctx(spark, sf, "part"), {"p_name": "p_brand", "p_brand": "p_name", "p_partkey": "part_key"}))

@@ -1,3 +1,9 @@
+import random
+import re
+import time
+
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +132,59 @@ def test_patterns_that_are_refused(spark, bad):
         patterns.compiled(bad)
 
 
+#: Patterns, whether the JVM may run them when searched for, and when replaced.
+ENGINES = [
+    ("abc", 1, 1), ("0+", 1, 1), ("a+b", 1, 0), (r"\s+$", 1, 0), ("a*b", 1, 0), ("ba*", 1, 1), ("^a*b", 1, 1), ("^a*b*c", 0, 0), ("^(BUILDING|FURNITURE)$", 1, 1), ("(?:a|b)*c", 1, 0), ("x(?:a|b)*c", 0, 0), ("x(?:ab|b)*c", 0, 0), ("(x+x+)+y", 0, 0),
+    ("z(x+x+)+y", 0, 0), ("(?:a?){30}a{30}", 0, 0), (r"\d{4}-\d{2}", 1, 1), (".*,.*", 1, 0), ("(?:ab){1000}", 0, 0), ("(?i)b[aeiou]*n", 0, 0), ("(?m)^a*b", 0, 0), (r"\bfoo\b", 1, 1), (r"é\w*x", 0, 0), ("a(?:b|)+c", 0, 0),
+]
+
+
+@pytest.mark.parametrize("pattern, searched, replaced", ENGINES)
+def test_engines(spark, pattern, searched, replaced):
+    """Long values take neither engine deep stacks or long; both say the same as a plain matcher does on short ones."""
+    assert [patterns.compiled(pattern, s).java is not None for s in (True, False)] == [bool(searched), bool(replaced)]
+    long = [x * (1_000_000 // len(x)) for x in ("a", "ab", "x", "xx y", "b ", "é", "ba", "foo")]
+    short = ["", "a", "b", "aab", "c", "abab c", "xababc", "xxxxy", "zxxy", "BUILDING", "x,y", "BAEN", "\nb", "aaab\nab", "a foo b", "2024-01-02", "abc", "ac", "éaéx", "\t \n", "é x"]
+    df = spark.createDataFrame([(x,) for x in long + short], "v string").repartition(2)
+    began = time.monotonic()
+    got = {r.v: (r.f, r.r) for r in df.select("v", patterns.found(F.col("v"), pattern).alias("f"), patterns.replace_first(F.col("v"), pattern, "<$1\\>").alias("r")).collect()}
+    assert time.monotonic() - began < 60
+    for x in short:
+        want = re.search(pattern.replace("$", r"\Z"), x)
+        assert got[x] == ((want is not None), x if want is None else x[: want.start()] + "<$1\\>" + x[want.end() :])
+
+
+def test_engines_agree(spark):
+    """Random patterns over random values: the JVM, where it may run, finds what RE2 finds."""
+    rng, cases = random.Random(5), []
+    atoms = ["a", "b", ".", "[ab]", "[^a]", r"\d", r"\s", "1", " ", "(?:a|b)", "(?:ab|b)", "^", "$"]
+    while len(cases) < 120:
+        p = "".join(rng.choice(atoms) + rng.choice(["", "", "", "*", "+", "?", "{1,2}", "*?"]) for _ in range(rng.randint(1, 4)))
+        p = re.sub(r"([\^$])(\*\?|[*+?]|\{1,2\})", r"\1", rng.choice([p, p, f"{p}|b1"]))
+        tree = patterns.plain(patterns.read(p))
+        if patterns.soon(tree):
+            cases.append((p, patterns.written(tree, True), patterns.written(tree, False)))
+    values = ["".join(rng.choice("aab1 \n") for _ in range(rng.randint(0, 8))) for _ in range(60)]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = df.select("v", *[F.struct(patterns.found(F.col("v"), p), patterns.replace_first(F.col("v"), p, "_")).alias(f"c{k}") for k, (p, *_) in enumerate(cases)]).collect()
+    array = pa.array([r.v for r in got])
+    for k, (p, _, re2) in enumerate(cases):
+        want = zip(pc.match_substring_regex(array, re2).to_pylist(), pc.replace_substring_regex(array, rf"\A((?s:.*?))(?:{re2})", r"\1_").to_pylist())
+        assert [tuple(r[f"c{k}"]) for r in got] == [*want], p
+
+
+@pytest.mark.parametrize("pattern, yes, no", [("[[:alpha:]]", "x1", "é1"), (r"^\w+$", "aéⅣ_1", "a-b"), (r"x\w*\s\S*z", "xé\u00a0é\u2003z"[:4] + "z", "xé-z"), (r"\p{Greek}", "aβ", "ab"), (r"\u00e9|\x{1F600}", "😀", "e"), ("(?x) a b # c", "ab", "a b"), ("[]a]+", "]", "b"), (r"^[\d_]*\W", "1_-", "1_a"), ("(?i)É", "é", "e")])
+def test_unicode(spark, pattern, yes, no):
+    df = spark.createDataFrame([(yes,), (no,), (None,)], "v string")
+    assert [r[0] for r in df.select(patterns.found(F.col("v"), pattern)).collect()] == [True, False, None]
+
+
+@pytest.mark.parametrize("bad", [r"\bfoo.*bar\b", r"x[\W_]*y", "x[a-z&&[^b]]*y", "(?:(?:x{900}){900})", "a**", "(?U)a", "(?-u)a", "[a", "(?:a", "a)", r"\<" + "a{2,1}"])
+def test_patterns_that_neither_engine_takes(spark, bad):
+    with pytest.raises(ConfigurationError):
+        patterns.compiled(bad)
+
+
 @pytest.mark.parametrize("good", ["(a)", "(?:(?:(?:a)))", r"\(\(\(\(", "[((((]", "(?P<year>\\d+)-(?P<m>\\d+)", "a{1,5}"])
 def test_patterns_that_pass(spark, good):
     patterns.compiled(good)
