@@ -5,8 +5,9 @@ files of about ``FILE_BYTES``.  A record is framed as
 
     length (8 bytes), masked CRC-32C of the length (4), payload, masked CRC-32C of the payload (4)
 
-all little-endian, which readers of TFRecord files take.  The payload is the identifier (4 bytes: length of its text, or
-2**32 - 1 for null; the text in UTF-8 with zero bytes up to a multiple of four) and then the ids, 4 bytes each.  Masking turns
+all little-endian, which readers of TFRecord files take.  The payload begins with three numbers of 4 bytes: the length of the
+identifier's text (2**32 - 1 for null), the bytes of an id (2 if the vocabulary has no more than 65,536 entries, else 4) and the
+number of ids; the identifier's text in UTF-8 and the ids follow, each with zero bytes up to a multiple of four.  Masking turns
 a checksum by 15 bits and adds a constant, so checksums of data that hold checksums stay good.
 
 The offset index is a Parquet table of its own: for each record its file, place, length and number of ids, and what the
@@ -32,13 +33,13 @@ import os
 import struct
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +48,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from .common import coded, kind, scratch, slices, table, text_bytes, written
+from .common import kind, scratch, slices, table, text_bytes, written
 
 #: The id that ends each document of the query.
 END = 2
@@ -55,8 +56,10 @@ END = 2
 RANGE_BYTES, TASKS, LEAST_BYTES = 64 << 20, 16, 1 << 20
 #: Bytes of a file, about.
 FILE_BYTES = 64 << 20
+#: Bytes of texts that are encoded together, about.
+TOGETHER = 8 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 3 << 18
 NULL = 0xFFFFFFFF
 #: Fixed values of the format: CRC-32C's polynomial, reflected, and the constant of masks.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
@@ -110,15 +113,15 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return (crc >> np.uint32(15) | crc << np.uint32(17)) + np.uint32(MASK)
 
 
-def payload(key: str | None, ids: np.ndarray) -> bytes:
-    name = b"" if key is None else key.encode()
-    return struct.pack("<I", NULL if key is None else len(name)) + name + bytes(-len(name) % 4) + ids.astype("<u4").tobytes()
+def payload(key: str | None, ids: np.ndarray, width: int = 4) -> bytes:
+    name, data = b"" if key is None else key.encode(), ids.astype(f"<u{width}").tobytes()
+    return struct.pack("<III", NULL if key is None else len(name), width, len(ids)) + name + bytes(-len(name) % 4) + data + bytes(-len(data) % 4)
 
 
 def parsed(data: bytes) -> tuple[str | None, np.ndarray]:
-    n = struct.unpack_from("<I", data)[0]
+    n, width, count = struct.unpack_from("<III", data)
     size = 0 if n == NULL else n
-    return None if n == NULL else data[4 : 4 + n].decode(), np.frombuffer(data, "<u4", offset=4 + size + -size % 4)
+    return None if n == NULL else data[12 : 12 + n].decode(), np.frombuffer(data, f"<u{width}", count, 12 + size + -size % 4).astype("<u4")
 
 
 def _checksums(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,23 +160,35 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.codes: defaultdict = defaultdict(count().__next__)
-        self.flat, self.sizes = [np.zeros(0, np.uint32)], np.zeros(0, np.int64)
+        self.codes: dict[str, int] = {}
+        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def plain(self, texts: list[bytes]) -> list[np.ndarray]:
-        got = self.tokenizer.encode_batch([t.decode(errors="replace") for t in texts], add_special_tokens=False)
-        return [np.array(x.ids, np.uint32) for x in got]
+    def plain(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each of these texts (an array of bytes)."""
+        try:
+            texts = texts.cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([t.decode(errors="replace") for t in texts.to_pylist()], pa.string())
         if not self.by_word:
-            return self.plain(texts)
+            return [np.array(x, np.uint32) for x in self.plain(texts.to_pylist())]
         if len(self.codes) > REMEMBERED:
             self.forget()
-        known, at = len(self.codes), [coded(t.split(), self.codes) for t in texts]
-        new = self.plain(list(self.codes)[known:])
-        self.flat, self.sizes = [np.concatenate([*self.flat, *new])], np.append(self.sizes, [len(x) for x in new]).astype(np.int64)
-        begins, flat = np.cumsum(self.sizes) - self.sizes, self.flat[0]
-        return [flat[ragged(begins[k], self.sizes[k])] for k in at]
+        parts = pc.ascii_split_whitespace(texts)
+        words = parts.flatten().dictionary_encode()
+        distinct, known = words.dictionary.to_pylist(), self.codes
+        new = [w for w in distinct if w not in known]
+        known.update(zip(new, range(len(known), len(known) + len(new))))
+        ids = self.plain(new)
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)))
+        self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))))
+        at = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+        size = self.sizes[at]
+        flat = self.flat[ragged((np.cumsum(self.sizes) - self.sizes)[at], size)]
+        ends = np.append(0, np.cumsum(size))[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        return [flat[lo:hi] for lo, hi in zip(ends, ends[1:])]
 
 
 def ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -194,7 +209,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end: int | None = E
     """Write the documents' ids, in ascending order of the identifier, to files under ``folder``/data; returns the index, which
     is at ``folder``/index: part (the range), file, record (its number in the file), offset, length and n_ids, and start (the
     ids of all records before it)."""
-    encoder(tokenizer_path, by_word)  # mistakes show here, not in a task
+    entries = encoder(tokenizer_path, by_word).tokenizer.get_vocab_size()  # mistakes show here, not in a task
+    width = 2 if max(entries, end or 0) <= 1 << 16 else 4
     spark, out = docs.sparkSession, to_arrow_schema(StructType.fromDDL(INDEX + ", before bigint"))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_bytes(text_col).alias("t"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
@@ -208,10 +224,10 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end: int | None = E
         fs.create_dir(base)
         own, n_files, sink, name, offset, record = uuid.uuid4().hex, 0, None, "", 0, 0
         try:
-            for b in (piece for whole in batches for piece in slices(whole, 1)):
-                ids = encoder(tokenizer_path, by_word).encode(b.column(1).to_pylist())
+            for b in (piece for whole in batches for piece in slices(whole, 1, TOGETHER)):
+                ids = encoder(tokenizer_path, by_word).encode(b.column(1))
                 ids = [x if end is None else np.append(x, np.uint32(end)) for x in ids]
-                frames = framed([payload(k, x) for k, x in zip(b.column(0).to_pylist(), ids)])
+                frames = framed([payload(k, x, width) for k, x in zip(b.column(0).to_pylist(), ids)])
                 made = []
                 for f, x in zip(frames, ids):
                     if sink is None or offset and offset + len(f) > file_bytes:
