@@ -8,7 +8,7 @@ group is a link.  DuckDB counts the links of each document by pairs of ids, and
 each pair; these partial counts are merged in Spark, which also finds the highest count of each id of A.  The counts go back to
 the partitions that asked for them, so what is joined is a row for each pair of a partition, never one for each link.
 
-A group's pairs are counted by distinct ids: ids that repeat within a group multiply.
+In a chunk with a large group, pairs are counted by distinct ids: ids that repeat within a group multiply.
 
 Texts are cut before a space that follows a character that is no white space; no token of either side goes over such a place
 (the pattern of A begins a match there, and ``Pair`` refuses a vocabulary of B with a piece that holds a space behind
@@ -30,7 +30,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +44,19 @@ from .common import coded, kind, slices, table, text_bytes, written_at
 from .records import ragged
 
 #: Bytes of text whose tokens DuckDB aligns at once, about; its memory, and places of its own are only used beyond that.
-CHUNK_BYTES, MEMORY = 2 << 20, "400MB"
+CHUNK_BYTES, MEMORY = 1 << 20, "256MB"
 #: Parts of texts whose ids a worker remembers.
-REMEMBERED = 1 << 17
-CUT = re.compile(r"(?<=\S)(?= )")
+REMEMBERED = 3 << 17
+CUT, SPACES = re.compile(r"(?<=\S) "), re.compile(r"\s ")
+#: Pairs of tokens of a group up to which the tokens are paired as they are.
+MOST_PAIRS = 256
+
+
+def parts_of(text: str) -> list[str]:
+    """The parts of a space and the text, each without the space with which it begins."""
+    return text.split(" ") if text[0] != " " and not SPACES.search(text) else CUT.split(text)
+
+
 
 
 class Pair:
@@ -79,21 +88,20 @@ class Pair:
 
     def forget(self) -> None:
         self.codes: defaultdict = defaultdict(count().__next__)
-        self.ids, self.sizes = [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2
+        self.ids, self.sizes = [np.zeros(0, np.int32)] * 2, [np.zeros(0, np.int64)] * 2
 
     def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The ids of both sides for texts that aren't empty."""
         if len(self.codes) > REMEMBERED:
             self.forget()
         known = len(self.codes)
-        parts = [coded(CUT.split(" " + t.decode(errors="replace")), self.codes) for t in texts]
-        new = list(self.codes)[known:]
-        got = [x.ids for x in self.a.encode_batch(new, add_special_tokens=False)], self.b.encode([t[1:] for t in new], num_threads=1)
-        for side, ids in enumerate(got):
-            if side:
-                ids = [x if t != " " else self.space for t, x in zip(new, ids)]  # the library drops a space of its own before nothing
-            self.ids[side] = np.concatenate([self.ids[side], *[np.array(x, np.int64) for x in ids]])
-            self.sizes[side] = np.append(self.sizes[side], [len(x) for x in ids]).astype(np.int64)
+        parts = [coded(parts_of(t.decode(errors="replace")), self.codes) for t in texts]
+        new = list(islice(self.codes, known, None))
+        ids = [x.ids for x in self.a.encode_batch_fast([" " + t for t in new], add_special_tokens=False)]
+        # B puts a space before what it encodes, but for nothing.
+        for side, ids in enumerate((ids, [x or self.space for x in self.b.encode(new, num_threads=1)])):
+            self.ids[side] = np.concatenate((self.ids[side], np.fromiter(chain.from_iterable(ids), np.int32)))
+            self.sizes[side] = np.concatenate((self.sizes[side], np.fromiter(map(len, ids), np.int64, len(ids))))
         begins = [np.cumsum(s) - s for s in self.sizes]
         return tuple([ids[ragged(at[k], size[k])] for k in parts] for ids, size, at in zip(self.ids, self.sizes, begins))
 
@@ -104,7 +112,7 @@ class Pair:
         both = self.encode([texts[k] for k in docs])
         good, joined = np.ones(len(docs), bool), []
         for ids, (tokens, _) in zip(both, self.sides):
-            ends, data = np.cumsum([len(x) for x in ids], dtype=np.int64), tokens.take(pa.array(np.concatenate([np.zeros(0, np.int64), *ids])))
+            ends, data = np.cumsum([len(x) for x in ids], dtype=np.int64), tokens.take(pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
             at = np.frombuffer(data.buffers()[1], np.int64)[: len(data) + 1] if len(data) else np.zeros(1, np.int64)
             joined.append((at[np.append(0, ends)], memoryview(data.buffers()[2]).cast("B") if len(data) else memoryview(b"")))
         for k, d in enumerate(docs):
@@ -113,7 +121,7 @@ class Pair:
         out = []
         for ids, (_, lengths) in zip(both, self.sides):
             own = [(d, x, begin[k]) for k, (d, x) in enumerate(zip(docs, ids)) if good[k]]
-            flat = np.concatenate([np.zeros(0, np.int64), *[x for _, x, _ in own]])
+            flat = np.concatenate([np.zeros(0, np.int32), *[x for _, x, _ in own]])
             doc = np.repeat(np.array([d for d, *_ in own], np.int64), [len(x) for _, x, _ in own])
             size = lengths[flat]
             out.append(pa.table({"doc": doc, "id": flat, "lo": np.cumsum(size) - size}))  # texts follow each other without gaps
@@ -131,12 +139,20 @@ A_GROUPS = """CREATE OR REPLACE TEMP TABLE ag AS
 SELECT a.doc, a.id, a.lo, CAST(sum(CAST(a.lo = b.lo AS INTEGER)) OVER (ORDER BY a.lo ROWS UNBOUNDED PRECEDING) AS BIGINT) AS g FROM a ASOF JOIN b ON a.lo >= b.lo"""
 B_GROUPS = "CREATE OR REPLACE TEMP TABLE bg AS SELECT b.doc, b.id, b.lo, ag.g FROM b ASOF JOIN ag ON b.lo >= ag.lo"
 #: Links of each document by pairs of ids.
-LINKS = """CREATE OR REPLACE TEMP TABLE links AS SELECT doc, a, b, CAST(sum(n) AS BIGINT) AS n FROM (
+LINKS = "CREATE OR REPLACE TEMP TABLE links AS SELECT ag.doc, ag.id AS a, bg.id AS b, count(*) AS n FROM ag JOIN bg USING (g) GROUP BY ALL"
+#: The same where groups are large: a group's ids are counted first.
+LINKS_OF_LARGE = """CREATE OR REPLACE TEMP TABLE links AS SELECT doc, a, b, CAST(sum(n) AS BIGINT) AS n FROM (
   SELECT x.doc, x.id AS a, y.id AS b, x.n * y.n AS n
   FROM (SELECT doc, g, id, count(*) AS n FROM ag GROUP BY ALL) x JOIN (SELECT g, id, count(*) AS n FROM bg GROUP BY ALL) y USING (g)) GROUP BY ALL"""
 PAIRS = "CREATE OR REPLACE TEMP TABLE pairs AS SELECT a, b, CAST(row_number() OVER (ORDER BY a, b) - 1 AS INTEGER) AS k, n FROM (SELECT a, b, count(*) AS n FROM links GROUP BY ALL)"
 
 
+def ordered(tokens: dict) -> dict:
+    """Columns in the order of places; DuckDB mostly gives them so."""
+    lo = tokens["lo"]
+    return tokens if (lo[1:] > lo[:-1]).all() else {c: x[np.argsort(lo)] for c, x in tokens.items()}
+
+
 def _joined(ag: dict, bg: dict, n_docs: int) -> list[str]:
     """For each document the digest of `a1,a2|b1;a3|b2,b3`: the ids of its groups in order."""
     (ad, ai, a), (bd, bi, b) = ([x[c] for c in ("doc", "id", "g")] for x in (ag, bg))
@@ -185,9 +201,12 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
                 a_tokens, b_tokens = pair(a_path, b_path).intervals(b.column(1).to_pylist())
                 db.register("a", a_tokens)
                 db.register("b", b_tokens)
-                for sql in (A_GROUPS, B_GROUPS, LINKS, PAIRS):
-                    db.execute(sql)
-                ag, bg = (db.execute(f"SELECT doc, id, g FROM {x} ORDER BY lo").fetchnumpy() for x in ("ag", "bg"))
+                db.execute(A_GROUPS)
+                db.execute(B_GROUPS)
+                ag, bg = (ordered(db.execute(f"SELECT doc, id, g, lo FROM {x}").fetchnumpy()) for x in ("ag", "bg"))
+                sizes = [np.bincount(x["g"]) for x in (ag, bg)]
+                db.execute(LINKS_OF_LARGE if np.max(sizes[0] * sizes[1], initial=0) > MOST_PAIRS else LINKS)
+                db.execute(PAIRS)
                 links = db.execute("SELECT doc, k, links.n FROM links JOIN pairs USING (a, b) ORDER BY doc, k").fetchnumpy()
                 pairs = db.execute("SELECT a, b, k, n FROM pairs ORDER BY k").fetchnumpy()
                 db.unregister("a")

@@ -11,12 +11,15 @@ How it runs on Spark.  Texts are cut into words once, in chunks of bounded size:
 each token.  Words get numbers by their hash's part of the vocabulary, where they are compared as they are.  A chunk sends its distinct triples with their counts to buckets by
 the middle word, so the restaurants of a word and of all pairs that end in it are one bucket's, and a common triple costs one
 entry for each chunk.  A word with more than ``BUCKET_TOKENS`` occurrences has several such restaurants, one for each class of
-the words before it, in buckets of their own; each still has that many customers.  (The start of texts, before which there is
-nothing, has one for each class of chunks.)  What remains common to buckets is the root.  A first round samples each bucket
+the words before it, in buckets of their own; each still has that many customers.  The start of texts, before which there is
+nothing, stays one restaurant: with more than ``BUCKET_TOKENS`` training texts its dishes are dealt to buckets by the first
+word, each of which knows all its customers and takes the tables of the others from the round before.  What remains common to
+buckets besides is the root.  A first round samples each bucket
 with a root of its own and sends the root's customers to buckets by word, where the root is sampled; what it says of each word
 goes back, and a second round samples again and answers the chunks' triples.  Within a round a bucket sees the root change by
 its own customers only, which is the usual approximation of distributed Gibbs sampling; predictions use a root with exact
-totals, so probabilities add up to 1.  Rounds are repeated from their seeds rather than stored, so a lost executor changes nothing.
+totals, so probabilities add up to 1.  Rounds are repeated from their seeds rather than stored, and all that is drawn depends on words and counts alone: the
+same table gives the same scores however it is partitioned, equal texts get equal scores, and a lost executor changes nothing.
 
 Within a scan a bucket's dishes are drawn in ``TURNS`` turns dealt anew.  Dishes of up to ``SMALL`` customers draw their tables
 outright, larger ones by Metropolis steps that keep the same distribution, with proposals from all over it, so they do not
@@ -53,10 +56,12 @@ FOLDS, HELD = 7, 2
 ROUNDS, SCANS, SAMPLES, SEED = 2, 2, 2, 17
 #: Bytes of text in a chunk, about; more mean fewer triples that several chunks send.
 CHUNK_BYTES = 8 << 20
-#: Tokens of a bucket, about; words that are numbered together and sampled together in the root, about.
-BUCKET_TOKENS, PART_WORDS = 1_000_000, 1 << 17
+#: Tokens of a bucket, about; tokens whose words are numbered together and sampled together in the root, about.
+BUCKET_TOKENS, PART_TOKENS = 1_000_000, 1 << 21
 #: Numbers of what is no known word; those of words are larger, and odd if the word was seen once.
 START, UNKNOWN, FIRST = 0, 2, 4
+#: What stands for a part of the root in what buckets say of the start of texts.
+STARTS = -1
 #: Dishes of up to so many customers draw their tables outright; Metropolis steps of larger ones; turns of a scan.
 SMALL, STEPS, TURNS = 256, 3, 8
 GRID = (0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
@@ -106,7 +111,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     """A row for about CHUNK_BYTES of documents: their identifiers, whether they are held out, their numbers of tokens, the
     chunk's distinct words (the end of a text is the empty word) with their counts in training, and the texts as places in
     these words."""
-    schema = f"chunk bigint, ids array<{kind(docs, 'doc_id')}>, held array<boolean>, sizes binary, words binary, n_words bigint, counts binary, seq binary"
+    schema = f"chunk bigint, ids array<{kind(docs, 'doc_id')}>, held array<boolean>, sizes binary, words binary, n_tokens bigint, counts binary, seq binary"
     out = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +123,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             del texts
             train = np.repeat(~b.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes)
             counts = np.bincount(seq[train], minlength=len(codes))
-            row = [uuid.uuid4().int >> 65, b.column(0).to_pylist(), b.column(1).to_pylist(), packed(sizes), zstandard.compress(b"\n".join(codes), 3), len(codes), packed(counts), packed(seq)]
+            row = [uuid.uuid4().int >> 65, b.column(0).to_pylist(), b.column(1).to_pylist(), packed(sizes), zstandard.compress(b"\n".join(codes), 3), len(seq), packed(counts), packed(seq)]
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, out)], schema=out)
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("h"), text_bytes().alias("t")).mapInArrow(run, schema)
@@ -199,9 +204,9 @@ class Triples:
         pair, self.w = pair[keys // size], names[keys % size]
         self.v, self.u = names[pair // size], names[pair % size]
         cut = np.array([hot.get(x, 1) for x in names.tolist()])[pair // size]
-        part = np.where(self.v == START, row["chunk"].as_py(), mixed(self.u)) % cut
+        part = mixed(np.where(self.v == START, self.w, self.u)) % cut
         self.bucket = mixed(self.v * 1_000_003 + part) % buckets
-        self.part = part
+        self.part = np.where(self.v == START, 0, part)  # its parts are dishes of one restaurant
 
     def sent(self, chunk: int, train: np.ndarray) -> Iterator[dict]:
         """A row for each bucket: triples in order, with their counts in training."""
@@ -453,9 +458,13 @@ class Root:
 
 class Bucket:
     """The restaurants of a bucket: triples i in restaurants of pairs (customers c, tables t), which are dishes k in
-    restaurants of words (customers c1, tables t1)."""
+    restaurants of words (customers c1, tables t1).
 
-    def __init__(self, rows: pa.Table, seed: int, discounts: tuple[float, float] | None = None, strengths: tuple[float, float] | None = None) -> None:
+    ``starts`` is (all customers, all tables, all tables at the parent, own tables, own tables at the parent) of the start of
+    texts, if it is dealt to several buckets; but for the first, None in the first round, when the others are taken to have as
+    many tables for a customer."""
+
+    def __init__(self, rows: pa.Table, seed: int, discounts: tuple[float, float] | None = None, strengths: tuple[float, float] | None = None, starts: tuple | None = None) -> None:
         rows = rows.sort_by("chunk")
         lists = {x: [unpacked(b, x in ("v", "part", "u")) for b in rows[x].to_pylist()] for x in ("v", "part", "u", "w", "c")}
         self.chunks, self.each = rows["chunk"].to_pylist(), np.array([len(x) for x in lists["w"]])
@@ -477,6 +486,15 @@ class Bucket:
         self.c1 = np.bincount(self.dish, self.t, len(dish)).astype(np.int64)
         self.t1 = np.minimum(self.c1, 1)
         self.of_pair = np.bincount(self.pair, self.c, len(pair)).astype(np.int64)
+        self.elsewhere, self.shared = (0, 0), starts is not None and len(room) > 0 and room[0] == START
+        if self.shared:  # the first room and the first pair
+            own, (everyone, *told) = int(self.of_pair[0]), starts
+            if told[0] is None:
+                k = (everyone - own) / max(own, 1)
+                self.elsewhere = (int(k * self.t[self.pair == 0].sum()), int(k * self.t1[self.room == 0].sum()))
+            else:
+                self.elsewhere = (told[0] - told[2], told[1] - told[3])
+            self.of_pair[0] = everyone
         self._total()
         self.many = np.flatnonzero(self.c > 1)  # a lone customer has a table of its own in any seating
         self.d = discounts or (_discount(self.c1), _discount(self.c))
@@ -487,6 +505,10 @@ class Bucket:
         self.tables = np.bincount(self.pair, self.t, len(self.of_pair)).astype(np.int64)
         self.of_room = np.bincount(self.room, self.c1, self.n_rooms).astype(np.int64)
         self.tables1 = np.bincount(self.room, self.t1, self.n_rooms).astype(np.int64)
+        if self.shared:
+            self.tables[0] += self.elsewhere[0]
+            self.of_room[0] += self.elsewhere[0]
+            self.tables1[0] += self.elsewhere[1]
 
     def own(self) -> np.ndarray:
         """Customers that the names have in the root from here."""
@@ -552,6 +574,8 @@ class Bucket:
         words without any here, since texts that are held out ask for them."""
         n = self.own()
         yield from _by_part(self.names, parts, lambda at: {"c": packed(n[at])})
+        if self.shared:
+            yield {"part": STARTS, "words": packed(self.names[:0]), "c": packed([int(self.t[self.pair == 0].sum()), int(self.t1[self.room == 0].sum())])}
 
 
 def _by_part(names: np.ndarray, parts: int, more) -> Iterator[dict]:
@@ -591,6 +615,10 @@ ROOT = "part bigint, bucket array<bigint>, words binary, asked array<binary>, ow
 
 def root_part(rows: pa.Table, schema: pa.Schema) -> pa.Table:
     """A part of the root: its words and customers, and which of them each bucket has."""
+    if rows["part"][0].as_py() == STARTS:
+        all_ = np.sum([unpacked(b) for b in rows["c"].to_pylist()], axis=0)
+        row = {"part": STARTS, "bucket": rows["bucket"].to_pylist(), "words": packed(all_[:0]), "asked": [], "own": rows["c"].to_pylist(), "c": packed(all_), "ones": 0, "twos": 0, "total": 0}
+        return pa.Table.from_pylist([row], schema)
     words = [unpacked(b, True) for b in rows["words"].to_pylist()]
     known, at = np.unique(np.concatenate(words), return_inverse=True)
     c = np.bincount(at, np.concatenate([unpacked(b) for b in rows["c"].to_pylist()]), len(known)).astype(np.int64)
@@ -618,7 +646,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, scans: int = SCANS, samples: in
     pairs) may be given; else they are estimated."""
     spark, ids = docs.sparkSession, kind(docs, "doc_id")
     cut, path = written_at(chunks(docs), "lm-chunks")
-    parts = max(1, -(-cut.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0] // (4 * PART_WORDS)))
+    parts = max(1, -(-cut.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] // PART_TOKENS))
     numbers_schema, texts_schema = _arrow(NUMBERS), _arrow(TEXTS.format(ids))
     words = _map(cut.select("chunk", "words", "counts"), lambda r: to_parts(r, parts), WORDS)
     numbers, numbers_path = written_at(words.groupBy("part").applyInArrow(lambda rows: numbered(rows, parts, bucket_tokens, numbers_schema), NUMBERS), "lm-numbers")
@@ -654,7 +682,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, scans: int = SCANS, samples: in
 
         def tables(model: dict) -> list[int]:
             """The root's tables in each sample."""
-            own = _map(root.select("part", "c"), lambda r: [{"k": k, "t": int(t.sum())} for k, t in enumerate(root_tables(r, model, scans, samples))], "k int, t bigint")
+            own = _map(root.filter(F.col("part") != STARTS).select("part", "c"), lambda r: [{"k": k, "t": int(t.sum())} for k, t in enumerate(root_tables(r, model, scans, samples))], "k int, t bigint")
             got = {r.k: r.t for r in own.groupBy("k").agg(F.sum("t").alias("t")).collect()}
             return [once + got.get(k, 0) for k in range(samples)]
 
@@ -662,6 +690,9 @@ def score(docs: DataFrame, rounds: int = ROUNDS, scans: int = SCANS, samples: in
         model["totals"] = tables(model)
 
         def down(row: dict) -> Iterator[dict]:
+            if row["part"].as_py() == STARTS:
+                yield from ({"bucket": b, "part": STARTS, "own": own, "c": row["c"].as_py(), "t": []} for b, own in zip(row["bucket"].as_py(), row["own"].as_py()))
+                return
             c, ts = unpacked(row["c"].as_py()), root_tables(row, model, scans, samples)
             for b, asked, own in zip(row["bucket"].as_py(), row["asked"].as_py(), row["own"].as_py()):
                 at = unpacked(asked, True)
@@ -682,17 +713,21 @@ def score(docs: DataFrame, rounds: int = ROUNDS, scans: int = SCANS, samples: in
             out.append(Root(c - model["d"] * t + back, 1 - model["d"] * np.where(c > 0, t / np.maximum(c, 1), 1), own, model["s"] + model["customers"], back))
         return out
 
+    def starts_of(said: pa.Table) -> tuple | None:
+        row = next((x for x in said.to_pylist() if x["part"] == STARTS), None)
+        return (trained, *unpacked(row["c"]).tolist(), *unpacked(row["own"]).tolist()) if row else None
+
     def upward(b: Bucket, rows: pa.Table) -> pa.Table:
         return pa.Table.from_pylist([x | {"bucket": rows["bucket"][0].as_py()} for x in b.to_root(parts)], up_schema)
 
     def first(rows: pa.Table) -> pa.Table:
-        b = Bucket(rows, seed, *lower)
+        b = Bucket(rows, seed, *lower, (trained, None) if START in hot else None)
         b.burn_in(b.own_root(), scans)
         return upward(b, rows)
 
     def again(k: int, model: dict):
         def run(rows: pa.Table, said: pa.Table) -> pa.Table:
-            b = Bucket(rows, seed + k, *lower)
+            b = Bucket(rows, seed + k, *lower, starts_of(said))
             b.burn_in(root_of(b.names, said, model)[-1], scans)
             return upward(b, rows)
 
@@ -704,7 +739,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, scans: int = SCANS, samples: in
         model, told = root_after(sends().groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(again(k, model), to_root))
 
     def answers(rows: pa.Table, said: pa.Table) -> pa.Table:
-        b = Bucket(rows, seed, *lower)
+        b = Bucket(rows, seed, *lower, starts_of(said))
         roots = root_of(b.names, said, model)
         b.burn_in(roots[0], scans)
         p = np.zeros(len(b.c))

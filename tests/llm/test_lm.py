@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from muster.llm import hpylm
+from muster.llm.common import slices
 
 SF = "/root/testdata/sf0.01"
 HELD, SEEN = ([i for i in range(5000) if (zlib.crc32(str(i).encode()) % 7 == 2) == h] for h in (True, False))
@@ -263,3 +265,23 @@ def test_packing():
     rng = np.random.default_rng(0)
     for a in (np.zeros(0, np.int64), np.array([7]), rng.integers(-(2**40), 2**40, 1000), np.sort(rng.integers(0, 2**50, 1000))):
         assert (hpylm.unpacked(hpylm.packed(a)) == a).all() and (hpylm.unpacked(hpylm.packed(a, True), True) == a).all()
+
+
+@pytest.mark.parametrize("bucket_tokens", [1_000_000, 40])
+def test_scores_do_not_depend_on_chance(spark, small, monkeypatch, bucket_tokens):
+    """Two runs over the table in other partitions, orders and chunks; repeated texts have one score each."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").filter("length(text) < 2000 AND doc_id < 100").select("doc_id", "text")
+    again = docs.unionByName(docs.filter("doc_id % 3 = 0").withColumn("doc_id", F.lit(None).cast("bigint")))
+    got = []
+    for n, chunk in ((1, 8 << 20), (3, 30_000)):
+        monkeypatch.setattr(hpylm, "slices", lambda b, text, most, cut=slices, chunk=chunk: cut(b, text, chunk))
+        rows = hpylm.score(again.repartition(n, F.xxhash64("text", F.lit(n))), bucket_tokens=bucket_tokens).collect()
+        got.append(sorted(map(tuple, rows), key=str))
+    assert got[0] == got[1]
+    text = {r.doc_id: r.text for r in docs.collect()}
+    by_text = {}
+    for k, _, _, _, _, _, score in got[0]:
+        if k is not None:
+            by_text.setdefault(text[k], set()).add(score)
+    assert all(len(s) == 1 for s in by_text.values())
+    assert {x[-1] for x in got[0] if x[0] is None} <= {s for v in by_text.values() for s in v}

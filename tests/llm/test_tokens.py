@@ -222,9 +222,10 @@ def test_alignment_of_all_documents(spark, texts):
     assert sorted(map(tuple, got.collect())) == plain_alignment(sorted(texts.items()))
 
 
-@pytest.mark.parametrize("chunk", [1, 200, alignment.CHUNK_BYTES])
-def test_alignment_of_odd_texts(spark, odd_texts, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, most_pairs", [(1, 256), (200, 256), (200, 0), (alignment.CHUNK_BYTES, 256)])
+def test_alignment_of_odd_texts(spark, odd_texts, monkeypatch, chunk, most_pairs):
     """In chunks of one text, of some and of all; counts go over all of them."""
+    monkeypatch.setattr(alignment, "MOST_PAIRS", most_pairs)
     monkeypatch.setattr(alignment, "slices", lambda b, text, most, cut=alignment.slices, chunk=chunk: cut(b, text, chunk))
     assert sorted(map(tuple, alignment.align(odd_texts, A, B).collect())) == plain_alignment([*enumerate(ODD)])
 
@@ -243,8 +244,9 @@ def test_ids_that_repeat_in_a_group(monkeypatch):
     db = duckdb.connect()
     db.sql("CREATE TABLE ag AS SELECT 0 AS doc, i % 2 AS id, i AS lo, 1 AS g FROM range(3000) t(i)")
     db.sql("CREATE TABLE bg AS SELECT 0 AS doc, 7 AS id, i AS lo, 1 AS g FROM range(2000) t(i)")
-    db.execute(alignment.LINKS)
-    assert sorted(db.sql("FROM links").fetchall()) == [(0, 0, 7, 3_000_000), (0, 1, 7, 3_000_000)]
+    for sql in (alignment.LINKS_OF_LARGE, alignment.LINKS):
+        db.execute(sql)
+        assert sorted(db.sql("FROM links").fetchall()) == [(0, 0, 7, 3_000_000), (0, 1, 7, 3_000_000)]
 
 
 # --- periodic runs
