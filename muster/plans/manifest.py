@@ -92,7 +92,7 @@ def _(ctx, config, env, dry_run, _id):
 
 @action("scd_type_2")
 def _(ctx, config, env, dry_run, _id):
-    return ops.scd_type_2(ctx, **_taken(config, (), {"entity_column": "employee_id", "date_column": "start_date", "tie_break": None, "split_entities": False}), dry_run=dry_run)
+    return ops.scd_type_2(ctx, **_taken(config, (), {"entity_column": "employee_id", "date_column": "start_date", "tie_break": None, "split_entities": True}), dry_run=dry_run)
 
 
 @action("pii_masking")

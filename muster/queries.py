@@ -62,7 +62,29 @@ def scd_type_2(spark, sf):
   FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts NULLS FIRST, event_id)""")
 def scd_type_2_hot_entities(spark, sf):
     """A few entities hold all rows."""
-    return out(ops.scd_type_2(ctx(spark, sf, "events", "event_id", "ts", "event_type"), "event_type", "ts", tie_break=["event_id"], split_entities=True))
+    return out(ops.scd_type_2(ctx(spark, sf, "events", "event_id", "ts", "event_type"), "event_type", "ts", tie_break=["event_id"]))
+
+
+@query("""SELECT event_id, ts AS effective_from, lead(ts) OVER w AS effective_to, lead(ts) OVER w IS NULL AS is_current
+  FROM events WINDOW w AS (ORDER BY ts NULLS FIRST, event_id)""")
+def scd_type_2_one_entity(spark, sf):
+    c = ops.scd_type_2(ctx(spark, sf, "events", "event_id", "ts", "'all' AS entity"), "entity", "ts", tie_break=["event_id"])
+    return out(ops.drop_column(c, ["entity"]))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_returnflag, l_shipdate::VARCHAR AS effective_from, lead(l_shipdate::VARCHAR) OVER w AS effective_to,
+  lead(l_shipdate::VARCHAR) OVER w IS NULL AS is_current
+  FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate::VARCHAR NULLS FIRST, l_orderkey, l_linenumber)""")
+def scd_type_2_hot_entities_by_texts(spark, sf):
+    c = ctx(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "cast(l_shipdate as string) AS l_shipdate")
+    return out(ops.scd_type_2(c, "l_returnflag", "l_shipdate", tie_break=["l_orderkey", "l_linenumber"]))
+
+
+@query("""SELECT o_orderkey, o_orderstatus, o_totalprice AS effective_from, lead(o_totalprice) OVER w AS effective_to, lead(o_totalprice) OVER w IS NULL AS is_current
+  FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice NULLS FIRST, o_orderkey)""")
+def scd_type_2_hot_entities_by_numbers(spark, sf):
+    c = ctx(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_totalprice")
+    return out(ops.scd_type_2(c, "o_orderstatus", "o_totalprice", tie_break=["o_orderkey"]))
 
 
 @query("""SELECT o_orderkey, o_custkey, o_orderdate AS effective_from, lead(o_orderdate) OVER w AS effective_to,

@@ -12,6 +12,7 @@ from muster.context import ROW_ID, RosterContext, numbered
 from muster.errors import ConfigurationError, LogicError
 from muster.functions import lookups, patterns
 from muster.functions.text import PLAIN, WIDE
+from muster.operators import scd
 from muster.operators.masking import Mask
 from muster.plans.manifest import masks
 
@@ -53,6 +54,39 @@ def test_scd_by_slices_gives_the_same(spark, kind):
     assert got == want and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "int", "double", "decimal(9,1)"])
+def test_scd_of_large_entities(spark, kind):
+    """Entities with most of the rows, one of them null, with dates of any type, ties and nulls: as by one sort of each."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", None, "b", f"e{k}"]), None if k % 90 == 0 else rng.choice([rng.randint(0, 4000), rng.randint(0, 30)]), k) for k in range(4000)]
+    df = spark.createDataFrame(rows, "e string, n int, id int").repartition(5)
+    d = {"string": "concat('d', n)", "date": "date_add(date'2020-01-01', n)", "timestamp": "timestamp_seconds(n)"}.get(kind, f"cast(n as {kind})")
+    df = df.withColumn("d", F.expr(d)).withColumn("__hot", F.lit("x"))
+    want, got = (sorted(map(str, ops.scd_type_2(RosterContext(df), "e", "d", tie_break=["id"], split_entities=s).data.collect())) for s in (False, True))
+    assert got == want and len(got) == 4000
+
+
+def test_no_task_sorts_more_than_its_share(spark, small):
+    """One entity holds all events."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    df = spark.read.parquet(f"{small}/events.parquet").select("event_id", "ts", F.lit("all").alias("e"))
+    ranges = scd._ranges(df, "e", [F.col("ts"), F.col("event_id")])
+    (row,) = ranges.collect()
+    assert len(row.bounds) >= 60 and [b for g in row.groups for b in g] == row.bounds == sorted(row.bounds)
+    got = ops.scd_type_2(RosterContext(df), "e", "ts", tie_break=["event_id"]).data
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    rows = sorted(df.collect(), key=lambda r: (r.ts, r.event_id))
+    dates = {r.event_id: r.effective_to for r in got.collect()}
+    assert [dates[r.event_id] for r in rows] == [*[r.ts for r in rows[1:]], None]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) == 4 and max(tasks) < 0.5 * len(rows)
+
+
+def test_small_entities_are_not_split(spark):
+    df = spark.range(3000).selectExpr("string(id % 1500) AS e", "id AS d")
+    assert scd._ranges(df, "e", [F.col("d")]) is None and scd._ranges(df.limit(0), "e", [F.col("d")]) is None
+
+
 def test_dedup_marks_all_but_the_first(spark):
     c = ctx(spark, "employee_id string, email string", ("001", "a"), ("002", "a"), ("003", "b"), ("004", None), (None, None), ("006", ""), ("007", ""))
     got = ops.identity_deduplicator(c, ["email"])
