@@ -74,7 +74,7 @@ def test_no_task_sorts_more_than_its_share(spark, small):
     (row,) = ranges.collect()
     assert len(row.bounds) >= 60 and [b for g in row.groups for b in g] == row.bounds == sorted(row.bounds)
     got = ops.scd_type_2(RosterContext(df), "e", "ts", tie_break=["event_id"]).data
-    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("effective_to").alias("count")).collect()]
     rows = sorted(df.collect(), key=lambda r: (r.ts, r.event_id))
     dates = {r.event_id: r.effective_to for r in got.collect()}
     assert [dates[r.event_id] for r in rows] == [*[r.ts for r in rows[1:]], None]
