@@ -60,6 +60,8 @@ FILE_BYTES = 64 << 20
 TOGETHER = 8 << 20
 #: Words whose ids a worker remembers.
 REMEMBERED = 3 << 18
+#: Tasks that read whole files, at most.
+MOST_READERS = 50_000
 NULL = 0xFFFFFFFF
 #: Fixed values of the format: CRC-32C's polynomial, reflected, and the constant of masks.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
@@ -316,7 +318,8 @@ def read_files(index: DataFrame, folder: str, id_type: str = "bigint", batch_byt
                     raise ValueError(f"{row['file']} doesn't hold the records of its index")
 
     files = index.groupBy("file").agg(F.min("start").alias("start"), F.count("*").alias("records"), F.sum("n_ids").alias("n_ids"), F.sum("length").alias("bytes"))
-    got = files.mapInArrow(run, READ.format("string"))
+    # Spark would join so short a list into one task.
+    got = files.repartition(min(MOST_READERS, max(1, files.count()))).mapInArrow(run, READ.format("string"))
     return got.withColumn("id", F.col("id").cast(id_type))
 
 
