@@ -158,7 +158,7 @@ def _(ctx, config, env, dry_run, _id):
     if dry_run:
         return ctx
     transport = {"transport": env.clients["http"]} if "http" in env.clients else {}
-    return api_dispatcher(ctx, Dispatcher(resolved(auth, env.settings), batch_rows=config.get("batch_rows", BATCH_ROWS) or None, **transport))
+    return api_dispatcher(ctx, Dispatcher(resolved(auth, env.settings), batch_rows=config.get("batch_rows", BATCH_ROWS) or None, in_tasks=config.get("in_tasks", not transport), **transport))
 
 
 @action("show_data")

@@ -18,11 +18,13 @@ from .plans.runner import Outcome, prepare_sources, run, validate_pipeline
 from .sinks.auth import auth_from, resolved
 from .sinks.dispatch import Dispatcher, api_dispatcher, json_rows
 from .sinks.show_data import show_data, shown
-from .sources.clients import Response, Retry
+from .sources.clients import PagesOf, PostsTo, Response, Retry
 from .sources.convert import SHEET, convert, csv_names, extension, is_csv, needs_recognition, recognised_table, recognised_tables
 from .sources.csv import Location, generic_ingestion
+from .sources.readers import employee_source, worker_source
 from .sources.sage import employees
 from .sources.workday import workers
+from .streaming import stateful
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -277,6 +279,84 @@ def soap_workers(spark, sf):
     return workers(bodies).select("worker_id", "first_name", "department", "pay_rate_type")
 
 
+def _soap_pages(spark, sf) -> str:
+    """All customers as answers of a SOAP service, a page for each 200: the folder of pages."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    worker = F.concat(F.lit("<wd:Worker><wd:WID>"), "c_custkey", F.lit("</wd:WID><wd:Legal_First_Name> "), "c_name", F.lit(" </wd:Legal_First_Name><wd:Department_Name>"), "c_mktsegment", F.lit("<x/></wd:Department_Name></wd:Worker>"))
+    last = c.agg(F.expr(f"max(c_custkey) div {PAGE} + 1")).first()[0]
+    pages = c.groupBy(F.expr(f"c_custkey div {PAGE} + 1").alias("page")).agg(F.concat(F.lit(f"<wd:Total_Pages>{last}</wd:Total_Pages>"), F.concat_ws("", F.collect_list(worker))).alias("body"))
+    pages.write.partitionBy("page").text(path := scratch(spark, "soap"))
+    return path
+
+
+@query("SELECT c_custkey::VARCHAR AS worker_id, c_name AS first_name, c_mktsegment AS department FROM customer")
+def soap_workers_source(spark, sf):
+    """Through Spark's reader: a partition for each page, and only the columns of the schema."""
+    spark.dataSource.register(worker_source(PagesOf(_soap_pages(spark, sf))))
+    options = {"tenant_url": "http://x", "tenant_id": "t", "username": "u", "password": "p"}
+    return spark.read.format("muster_workers").schema("worker_id string, first_name string, department string").options(**options).load()
+
+
+@query("SELECT c_custkey::VARCHAR AS id, c_name AS first_name, c_nationkey::VARCHAR AS team_id FROM customer")
+def rest_employees_stream(spark, sf):
+    """Through Spark's stream reader, page by page into a folder."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    last = c.agg(F.expr(f"max(c_custkey) div {PAGE} + 1")).first()[0]
+    one = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("first_name"), F.col("c_nationkey").alias("team_id")))
+    pages = c.groupBy(F.expr(f"c_custkey div {PAGE} + 1").alias("page")).agg(F.concat(F.lit('{"data":['), F.concat_ws(",", F.collect_list(one)), F.lit(f'],"meta":{{"total_pages":{last}}}}}')).alias("body"))
+    pages.write.partitionBy("page").text(path := scratch(spark, "rest"))
+    spark.dataSource.register(employee_source(PagesOf(path)))
+    rows = spark.readStream.format("muster_employees").schema("id string, first_name string, team_id string").options(subdomain="x", api_token="t").load()
+    at, got = scratch(spark, "employees-state"), scratch(spark, "employees")
+    rows.writeStream.format("parquet").option("checkpointLocation", at).trigger(availableNow=True).start(got).awaitTermination()
+    return spark.read.parquet(got)
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def dispatched_by_tasks(spark, sf):
+    """What an endpoint gets when tasks post their batches."""
+    c, to = ctx(spark, sf, "supplier", "s_suppkey", "s_name"), scratch(spark, "endpoint")
+    api_dispatcher(c, Dispatcher(auth_from({"destination_url": "http://x", "token": "t"}), PostsTo(to), batch_rows=100, in_tasks=True)).release()
+    bodies = spark.read.text(to, wholetext=True).select(F.from_json("value", "data array<struct<s_suppkey:bigint,s_name:string>>").alias("b"))
+    return bodies.select(F.inline("b.data"))
+
+
+def _streamed(spark, parts: list[DataFrame], step) -> DataFrame:
+    """What a stateful step makes of tables that arrive one after the other, each as a micro-batch."""
+    source, to = scratch(spark, "arrivals"), scratch(spark, "streamed")
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(source)
+    before = {k: spark.conf.get(k, None) for k in stateful.STATE}
+    for k, v in stateful.STATE.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(source)
+        step(rows).writeStream.format("parquet").option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start(to).awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.parquet(to)
+
+
+@query("""SELECT c_custkey, first_value(c_custkey::VARCHAR) OVER w AS canonical_id, row_number() OVER w > 1 AS is_duplicate
+  FROM customer WINDOW w AS (PARTITION BY coalesce(nullif(c_mktsegment, 'BUILDING'), c_nationkey::VARCHAR) ORDER BY c_custkey)""")
+def identity_deduplicator_stream(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_custkey", "string(c_custkey) AS id", "nullif(c_mktsegment, 'BUILDING') AS segment", "string(c_nationkey) AS nation")
+    third = c.agg(F.max("c_custkey")).first()[0] // 3 + 1
+    parts = [c.filter((F.col("c_custkey") >= k * third) & (F.col("c_custkey") < (k + 1) * third)) for k in range(3)]
+    return _streamed(spark, parts, lambda rows: stateful.identities(rows, ["segment", "nation"], "id", "c_custkey")).select("c_custkey", "canonical_id", "is_duplicate")
+
+
+@query("""SELECT user_id, ts AS effective_from, event_id, lead(ts) OVER w AS effective_to, lead(ts) OVER w IS NULL AS is_current
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id)""")
+def scd_type_2_stream(spark, sf):
+    """Events that come in no order: later micro-batches correct what earlier ones have said."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts", "user_id")
+    parts = [e.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k) for k in range(3)]
+    changes = _streamed(spark, parts, lambda rows: stateful.history(rows, "user_id", "ts", ["event_id"]))
+    return stateful.latest(changes, "user_id", ["event_id"])
+
+
 @query("SELECT c_custkey::VARCHAR AS id, c_name AS first_name, '' AS email, c_nationkey::VARCHAR AS team_id, c_nationkey::VARCHAR AS post_code FROM customer")
 def rest_employees(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet")

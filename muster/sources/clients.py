@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import time
 import urllib.error
@@ -9,7 +10,9 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from types import FunctionType
 
+import pyarrow.fs
 from pyspark import cloudpickle
 
 
@@ -55,8 +58,8 @@ class Retry:
 
 def by_value(client: object) -> object:
     """The client, so that tasks get its class with it: a class of a script or test is in no module that workers can import."""
-    module = sys.modules.get(type(client).__module__)
-    if module is not None and module.__name__ != "__main__" and module.__name__.partition(".")[0] != __package__.partition(".")[0]:
+    module = sys.modules.get(client.__module__ if isinstance(client, FunctionType) else type(client).__module__)
+    if module is not None and module.__name__ not in ("__main__", "builtins") and module.__name__.partition(".")[0] != __package__.partition(".")[0]:
         cloudpickle.register_pickle_by_value(module)
     return client
 
@@ -74,3 +77,37 @@ class RestClient:
 class SoapClient:
     def post(self, url: str, envelope: str) -> Response:
         return send("POST", url, {"Content-Type": "text/xml; charset=utf-8"}, envelope.encode())
+
+
+@dataclass(frozen=True)
+class PagesOf:
+    """A client that answers from a folder of pages that Spark has written (``partitionBy("page").text``), to replay what a
+    service has said."""
+
+    folder: str
+
+    def page(self, number: int) -> Response:
+        fs, base = pyarrow.fs.FileSystem.from_uri(f"{self.folder}/page={number}")
+        files = fs.get_file_info(pyarrow.fs.FileSelector(base, allow_not_found=True))
+        bodies = [fs.open_input_file(f.path).read().decode() for f in files if f.base_name.startswith("part-")]
+        return Response(200, "".join(bodies).rstrip("\n")) if bodies else Response(404, f"no page {number}")
+
+    def post(self, url: str, envelope: str) -> Response:
+        return self.page(int(re.search(r"<bsvc:Page>(\d+)<", envelope)[1]))
+
+    def get(self, url: str, headers: dict[str, str], query: dict[str, str]) -> Response:
+        return self.page(int(query["page"]))
+
+
+@dataclass(frozen=True)
+class PostsTo:
+    """A transport that puts each request's body into a folder, under its key: one that comes again replaces the first."""
+
+    folder: str
+
+    def __call__(self, method: str, url: str, headers: dict[str, str], body: bytes) -> Response:
+        fs, base = pyarrow.fs.FileSystem.from_uri(self.folder)
+        fs.create_dir(base)
+        with fs.open_output_stream(f"{base}/{headers['Idempotency-Key']}.json") as f:
+            f.write(body)
+        return Response(200, "")

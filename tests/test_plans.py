@@ -11,8 +11,9 @@ from muster.sources.csv import Location
 from muster.sources.clients import Response
 from muster.streaming.micro import stream
 
-COLUMNS = ["employee_id", "first_name", "last_name", "email", "national_id", "ssn", "salary", "start_date", "country_raw", "mobile_phone"]
-FINAL = ["employee_id", "first_name", "last_name", "email", "nid", "ssn", "salary", "effective_from", "country_raw", "mobile_phone", "country_code", "mobile_phone_intl", "canonical_id", "effective_to", "is_current"]
+#: Moorings of a harbour: what the boats' owners have told, one row a visit.
+COLUMNS = ["visit", "boat", "skipper", "harbour_country", "call_sign", "berth_fee", "arrival", "radio"]
+FINAL = ["visit", "vessel", "skipper", "berth_fee", "effective_from", "radio", "flag", "canonical_id", "is_duplicate", "skipper_plain", "effective_to", "is_current"]
 
 
 def manifest(*steps):
@@ -20,29 +21,32 @@ def manifest(*steps):
 
 
 FULL = (
-    ("generic_ingestion_connector", {"filename": "staff.csv", "columns": COLUMNS}),
-    ("rename_column", {"mapping": {"national_id": "nid"}}),
-    ("regex_replace", {"column": "ssn", "pattern": "-", "replacement": ""}),
-    ("pii_masking", {"columns": [{"name": "salary", "strategy": "zero"}, {"name": "ssn"}]}),
-    ("filter_by_value", {"column": "employee_id", "pattern": "^E[0-9]"}),
-    ("handle_diacritics", {"columns": ["last_name", "first_name"]}),
-    ("iso_country_sanitizer", {"source_column": "country_raw", "output_column": "country_code"}),
-    ("cellphone_sanitizer", {"phone_column": "mobile_phone", "country_columns": ["country_raw", "country_code"], "output_column": "mobile_phone_intl"}),
-    ("identity_deduplicator", {"columns": ["nothing", "email"]}),
-    ("drop_column", {"columns": ["is_duplicate"]}),
-    ("scd_type_2", {}),
+    ("generic_ingestion_connector", {"filename": "visits.csv", "columns": COLUMNS}),
+    ("iso_country_sanitizer", {"source_column": "harbour_country", "output_column": "flag", "output_format": "alpha3"}),
+    ("filter_by_value", {"column": "call_sign", "pattern": "^(?:QX|QY)"}),
+    ("identity_deduplicator", {"columns": ["call_sign"], "employee_id_column": "visit"}),
+    ("handle_diacritics", {"columns": ["skipper"], "output_suffix": "_plain"}),
+    ("scd_type_2", {"entity_column": "boat", "date_column": "arrival", "tie_break": ["visit"]}),
+    ("pii_masking", {"columns": [{"name": "skipper", "keep_last": 2, "mask_prefix": "~"}, {"name": "berth_fee", "strategy": "zero"}]}),
+    ("cellphone_sanitizer", {"phone_column": "radio", "country_columns": ["flag"], "output_column": "radio"}),
+    ("regex_replace", {"column": "boat", "pattern": "[aeiou]+$", "replacement": "!"}),
+    ("drop_column", {"columns": ["call_sign", "harbour_country"]}),
+    ("rename_column", {"mapping": {"boat": "vessel"}}),
 )
 
 
 @pytest.fixture
 def env(spark, tmp_path):
+    """120 visits of 8 boats; every sixth has a call sign of another harbour, every tenth a country that isn't known."""
     where = Location(str(tmp_path), "org", "co")
-    rows = spark.range(200).selectExpr(
-        "concat('E', lpad(id + 1, 6, '0')) AS employee_id", "element_at(array('José', 'Zoë'), int(id % 2) + 1) AS first_name", "'García' AS last_name",
-        "concat('m', if(id > 0 and id % 50 = 0, id - 1, id), '@example.com') AS email", "concat('NID-', lpad(id + 1, 8, '0')) AS national_id", "'100-10-1000' AS ssn", "string(50000 + id) AS salary",
-        "concat('2024-', lpad(id % 12 + 1, 2, '0'), '-01') AS start_date", "element_at(array('NZ', 'Germany', 'Atlantis'), int(id % 3) + 1) AS country_raw", "concat('0 7700 ', lpad(id, 6, '0')) AS mobile_phone",
-    )
-    rows.coalesce(1).write.option("header", True).csv(where.source("staff.csv"))
+    boats, signs = ("Albatros", "Bora", "Calypso", "Dune", "Etoile", "Fado", "Gota", "Halo"), ("QX", "QY", "QX", "QY", "QX", "ZZ")
+    lines = [",".join(COLUMNS)]
+    for k in range(120):
+        country = "Lemuria" if k % 10 == 9 else ("Portugal", "nld", "GB")[k % 3]
+        lines.append(f"{k},{boats[k % 8]},Zoë Ångström {k % 8},{country},{signs[k % 6]}-{k % 40},{k}.50,2023-{k % 9 + 1:02}-{k % 28 + 1:02},0{k:03}-555 12")
+    folder = tmp_path / "org" / "co"
+    folder.mkdir(parents=True)
+    (folder / "visits.csv").write_text("\n".join(lines) + "\n")
     return Environment(spark, where)
 
 
@@ -51,14 +55,20 @@ def test_full_run(env, spark, tmp_path):
     assert validate(m, env).final_columns == FINAL
     log = RunLog(spark, str(tmp_path / "runs"), "org", "co")
     got = run(m, env, log)
-    assert (got.status, got.rows, got.columns) == ("success", 200, FINAL)
-    assert {(w.action_id, w.count) for w in got.warnings} == {("iso_country_sanitizer", 66), ("cellphone_sanitizer", 66)}
+    assert (got.status, got.rows, got.columns) == ("success", 100, FINAL)
+    unknown = sum(k % 10 == 9 for k in range(120))
+    assert {(w.action_id, w.count) for w in got.warnings} == {("iso_country_sanitizer", unknown), ("filter_by_value", 20), ("cellphone_sanitizer", sum(k % 10 == 9 and k % 6 != 5 for k in range(120)))}
     df = visible(run_steps(m, env).data)
-    r = df.filter("employee_id = 'E000001'").first()
-    assert (r.ssn, r.first_name, r.salary, r.mobile_phone_intl, r.country_code) == ("***-**-1000", "Jose", 0, "+64 7700000000", "NZ")
-    assert df.filter("employee_id != canonical_id").count() == 3
+    r = df.filter("visit = '1'").first()
+    assert (r.vessel, r.skipper, r.skipper_plain, r.berth_fee, r.flag, r.radio) == ("Bor!", "~ 1", "Zoe Angstrom 1", 0, "NLD", "+31 00155512")
+    kept = [k for k in range(120) if k % 6 != 5]
+    first = {}
+    for k in kept:
+        first.setdefault((k % 6 in (1, 3), k % 40), k)
+    assert {r.visit: (r.canonical_id, r.is_duplicate) for r in df.collect()} == {str(k): (str(first[k % 6 in (1, 3), k % 40]), first[k % 6 in (1, 3), k % 40] != k) for k in kept}
+    assert df.filter("is_current").count() == 8
     (row,) = log.page().collect()
-    assert row.status == "success" and row.rows_processed == 200 and len(row.warnings) == 2 and json.loads(row.manifest_snapshot)["version"] == "1.0"
+    assert row.status == "success" and row.rows_processed == 100 and len(row.warnings) == 3 and json.loads(row.manifest_snapshot)["version"] == "1.0"
     assert log.count() == 1 and log.one(row.id).count() == 1 and not log.active()
 
 
@@ -138,18 +148,18 @@ def test_sinks_in_a_run(env, spark):
     env.clients["http"] = lambda method, url, headers, body: seen.append(body) or Response(200, "")
     steps = (*FULL, ("show_data", {}), ("api_dispatcher", {"destination_url": "http://x"}))
     got = run(manifest(*steps), env)
-    assert got.status == "success" and len(json.loads(seen[0])["data"]) == 200
+    assert got.status == "success" and len(json.loads(seen[0])["data"]) == 100
     assert spark.read.option("header", True).csv(env.location.output("s11")).columns == FINAL
 
 
 def test_dedup_after_history_goes_by_the_sorted_order(env):
-    steps = (FULL[0], ("scd_type_2", {"entity_column": "country_raw", "date_column": "start_date"}), ("identity_deduplicator", {"columns": ["effective_from"]}), ("show_data", {}))
+    steps = (FULL[0], ("scd_type_2", {"entity_column": "harbour_country", "date_column": "arrival"}), ("identity_deduplicator", {"columns": ["effective_from"], "employee_id_column": "visit"}), ("show_data", {}))
     got = visible(run_steps(manifest(*steps), env).data).collect()
     first = {}
-    for r in sorted(got, key=lambda r: (r.country_raw, r.effective_from, r.employee_id)):
-        assert r.is_duplicate == (r.effective_from in first) and r.canonical_id == first.setdefault(r.effective_from, r.employee_id)
-    shown = [(r.country_raw, r.effective_from) for r in env.spark.read.option("header", True).csv(env.location.output("s3")).collect()]
-    assert shown == sorted(shown) and len(shown) == 200
+    for r in sorted(got, key=lambda r: (r.harbour_country, r.effective_from, int(r.visit))):
+        assert r.is_duplicate == (r.effective_from in first) and r.canonical_id == first.setdefault(r.effective_from, r.visit)
+    shown = [(r.harbour_country, r.effective_from) for r in env.spark.read.option("header", True).csv(env.location.output("s3")).collect()]
+    assert shown == sorted(shown) and len(shown) == 120
 
 
 def test_command_line(env, spark, tmp_path, capsys):
@@ -159,7 +169,7 @@ def test_command_line(env, spark, tmp_path, capsys):
     (tmp_path / "m.json").write_text(manifest(*FULL, ("show_data", {})).to_json())
     where = [str(tmp_path / "m.json"), "--base", str(tmp_path), "--organization", "org", "--company", "co"]
     assert main(["validate", *where]) == 0 and json.loads(capsys.readouterr().out)["final_columns"] == FINAL
-    assert main(["run", *where]) == 0 and json.loads(capsys.readouterr().out)["rows"] == 200
+    assert main(["run", *where]) == 0 and json.loads(capsys.readouterr().out)["rows"] == 100
     assert main(["schema"]) == 0 and "drop_column" in capsys.readouterr().out
     assert set(SCHEMAS) == set(REGISTRY) and action_schema("drop_column")["required"] == ["columns"]
     with pytest.raises(ConfigurationError):
