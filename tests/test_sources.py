@@ -4,7 +4,7 @@ import zipfile
 
 import pytest
 
-from muster.context import ROW_ID, visible
+from muster.context import ROW_ID, in_order, visible
 from muster.errors import ConfigurationError, IngestionError, ValidationError
 from muster.sources import convert, csv
 from muster.sources.clients import Response, Retry
@@ -15,7 +15,7 @@ from muster.sources.workday import ResponseGroup, WorkdayConfig, envelope, pagin
 
 
 def rows(df):
-    return [tuple(r) for r in visible(df).collect()]
+    return [tuple(r) for r in in_order(df).collect()]
 
 
 def test_csv_is_all_strings_in_order(spark, tmp_path):
@@ -28,6 +28,40 @@ def test_csv_is_all_strings_in_order(spark, tmp_path):
         csv.read_csv(spark, str(tmp_path / "a.csv"), ["a", "b"])
 
 
+@pytest.mark.parametrize("part", [16, 61, 500, 1 << 20])
+def test_csv_with_line_feeds_in_cells_read_by_many_tasks(spark, tmp_path, part):
+    """Cut anywhere, also within cells and between the quotes of one: as one task reads the whole file."""
+    import csv as plain
+    import random
+
+    rng = random.Random(part)
+    cells = ["", "x", "a,b", 'say ""', "two\nlines", '"\n"', "\n\n", "é\r\nü", '""""', ",", " ", "l" * 40, '\n"', "0"]
+    want = [tuple(rng.choice(cells) for _ in range(3)) for _ in range(150)]
+    with open(tmp_path / "m.csv", "w", newline="") as f:
+        plain.writer(f, lineterminator=rng.choice(["\n", "\r\n"]), quoting=plain.QUOTE_ALL if part == 61 else plain.QUOTE_MINIMAL).writerows([("p", "q", "r"), *want])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        got = csv.read_csv(spark, str(tmp_path / "m.csv"))
+        assert spark.read.text(str(tmp_path / "m.csv")).rdd.getNumPartitions() > (3 if part < 1000 else 0)
+        found = [tuple(r) for r in got.orderBy(ROW_ID).drop(ROW_ID).collect()]
+        assert [tuple(x or "" for x in r) for r in found] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_csv_in_several_files_with_line_feeds(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for k in range(3):
+        (tmp_path / "d" / f"part-{k}.csv").write_text(f'a,"b\n"\n{k},"x\n{k}"\n\n{k}0,y\n')
+    assert rows(csv.read_csv(spark, str(tmp_path / "d"), ["a", "b"]).orderBy(ROW_ID)) == [r for k in range(3) for r in ((str(k), f"x\n{k}"), (f"{k}0", "y"))]
+    (tmp_path / "x.csv").write_text('a,b\n1,"2\n",3\n')
+    with pytest.raises(Exception, match="more cells"):
+        csv.read_csv(spark, str(tmp_path / "x.csv")).collect()
+
+
 def test_csv_refuses_repeated_names_and_extra_cells(spark, tmp_path):
     (tmp_path / "r.csv").write_text("a,a\n1,2\n")
     with pytest.raises(ConfigurationError):
