@@ -82,11 +82,14 @@ class Dedup:
         path = f"{self.folder}/changes/batch={batch}"
         states.write.mode("overwrite").parquet(path)
         hits = self.spark.read.schema(self.changed).parquet(path).filter("n > 1").select("digest")
-        hits = F.broadcast(hits) if hits.count() * 64 <= self.most_broadcast else hits.hint("merge")
-        seen = texts.join(hits, "digest", "left_semi")
+        seen, few = texts, hits.count() * 64 <= self.most_broadcast
+        if few:  # else all texts of the arrival are looked at, as digests don't say where their texts are
+            seen = texts.join(F.broadcast(hits), "digest", "left_semi")
         if batch:
-            seen = seen.unionByName(self._retained(self.states(before=batch).join(hits, "digest", "left_semi")))
-        # The least and the greatest text of a digest are equal if and only if all its texts are.
+            before = self.states(before=batch).join(F.broadcast(hits) if few else hits.hint("merge"), "digest", "left_semi")
+            seen = seen.unionByName(self._retained(before))
+        # The least and the greatest text of a digest are equal if and only if all its texts are.  Tasks compare what they have
+        # read before anything is shuffled: a text that very many rows share leaves each of them once.
         told = seen.groupBy("digest").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo != hi").select("digest")
         told.write.mode("overwrite").parquet(f"{self.folder}/collisions/batch={batch}")
 

@@ -7,8 +7,9 @@ share of the first t slots deviates from t w / W by less than one block.  The wi
 is scheduled, W being a parameter's size, and the rest is arithmetic on block numbers, whatever the number of documents.
 A source that has run out leaves its slots empty; the others keep theirs, and positions close the gaps.
 
-Within a source documents come in the order of md5(doc_id), doc_id.  Ranks are counted over ranges of the hash, so a
-source with a third of all rows is spread over as many tasks as it needs.
+Within a source documents come in the order of md5(doc_id), doc_id and a hash of the row, so only rows that are the same in
+all columns (but maps) tie, and a task that runs again numbers rows as before.  Ranks are counted over ranges of the hash, so a
+source with a third of all rows is spread over as many tasks as it needs; rows with equal identifiers share a range.
 
 Defined results: sources that are not listed, and null, share the weight ``other`` and count as one source; no row is
 dropped or repeated; a null doc_id hashes as the empty text; repeated rows get ranks of their own; an empty table gives
@@ -50,7 +51,8 @@ def scheduled(docs: DataFrame, target: dict[str, int] = TARGET, other: int = OTH
     index = F.create_map(*[F.lit(x) for kv in ((n, i) for i, n in enumerate(names)) for x in kv]) if names else None
     known = F.coalesce(F.try_element_at(index, F.col(f"`{source_col}`").cast("string")), F.lit(len(names))) if names else F.lit(0)
     hashed = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
-    rows = docs.select(known.alias("s"), hashed.alias("h"), F.col(f"`{id_col}`").alias("id"), all_columns)
+    told = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    rows = docs.select(known.alias("s"), hashed.alias("h"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(*told).alias("x"), all_columns)
     held = {r["s"]: r["count"] for r in rows.groupBy("s").count().collect()}  # as many rows as there are weights
     present = sorted(held)
     weights = [[*target.values(), other][s] for s in present]
@@ -64,8 +66,8 @@ def scheduled(docs: DataFrame, target: dict[str, int] = TARGET, other: int = OTH
     sizes = rows.groupBy("s", "r").agg(F.count("*").alias("n"))
     before = Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("s", "r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o"))
-    own = Window.partitionBy("s", "r").orderBy("h", "id")
-    rows = rows.withColumn("k", F.row_number().over(own) - 1).join(F.broadcast(offsets), ["s", "r"])  # at most 65,536 ranges of each weight
+    own = Window.partitionBy("s", "r").orderBy("h", "id", "x")
+    rows = rows.withColumn("k", F.row_number().over(own) - 1).join(offsets, ["s", "r"])  # rows are dealt by these already
     rank = F.col("o") + F.col("k")
 
     plan, so_far = [], [0] * len(present)
@@ -88,11 +90,14 @@ def scheduled(docs: DataFrame, target: dict[str, int] = TARGET, other: int = OTH
     )
 
 
-def interleaved(docs: DataFrame, rows_per_file: int = 8192, **options) -> DataFrame:
-    """docs in the scheduled order: partition after partition of ``rows_per_file`` rows, each sorted.
+def interleaved(docs: DataFrame, rows_per_file: int = 8192, most_files: int = 20_000, **options) -> DataFrame:
+    """docs in the scheduled order: partition after partition of ``rows_per_file`` rows (or more, so that there are no more
+    than ``most_files``), each sorted.
 
     A row's partition follows from its position, so none is sampled for."""
-    n = max(1, math.ceil(docs.count() / rows_per_file))
+    count = docs.count()
+    rows_per_file = max(rows_per_file, math.ceil(count / most_files))
+    n = max(1, math.ceil(count / rows_per_file))
     rows = scheduled(docs, **options).select("row", "position")
     rows = rows.repartitionById(n, F.expr(f"cast(position div {rows_per_file} as int)"))
     return rows.sortWithinPartitions("position").select("row.*")

@@ -363,3 +363,31 @@ def test_url_rules_and_vocabulary_table(spark):
     vocabulary = spark.createDataFrame([("BAD", 1.0), ("worse", 1.0), ("bad", 0.5), (None, 2.0), ("x", None)], "term string, weight double")
     got = url_filter.url_filter(pages, rules, vocabulary).orderBy("page_id").collect()
     assert [(r.rule, r.verdict, r.weight) for r in got] == [("a.com/a", "block", 0.0), ("com/ab/", "allow", 0.0), (None, "allow", 1.0), (None, "block", 2.0), (None, "allow", 0.0)]
+
+
+def test_rows_with_equal_identifiers_keep_their_places(spark):
+    """Rows with one identifier and different texts have the same positions however they come."""
+    rows = [(k % 3 or None, f"text {k}", "src0") for k in range(200)]
+    got = []
+    for seed in (1, 2):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").orderBy(F.xxhash64("text", F.lit(seed))).repartition(3 + seed)
+        got.append(sorted((r.position, r.row.text) for r in mixing.scheduled(docs).collect()))
+    assert got[0] == got[1] and [p for p, _ in got[0]] == [*range(200)]
+
+
+def test_mixing_makes_no_more_files_than_asked(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'a' AS text", "concat('src', id % 3) AS source")
+    got = mixing.interleaved(docs, rows_per_file=10, most_files=7)
+    assert got.rdd.getNumPartitions() == 7 and got.count() == 5000
+
+
+@pytest.mark.parametrize("most_broadcast", [0, 1 << 20])
+def test_a_text_of_a_third_of_the_rows_is_compared_where_it_is(spark, most_broadcast):
+    """Neither way shuffles it but once for each task; weak digests are found out."""
+    rows = [(k, "the same " * 200 if k % 3 == 0 else f"text {k // 2}") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs, most_broadcast=most_broadcast, digest=lambda t: F.unhex(F.substring(F.sha2(t, 256), 1, 2))).collect()}
+    by_text = {}
+    for k, t in rows:
+        by_text.setdefault(t, []).append(k)
+    assert got == {k: (max(by_text[t]), len(by_text[t])) for k, t in rows}
