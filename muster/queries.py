@@ -19,7 +19,7 @@ from .sinks.auth import auth_from, resolved
 from .sinks.dispatch import Dispatcher, api_dispatcher, json_rows
 from .sinks.show_data import show_data, shown
 from .sources.clients import PagesOf, PostsTo, Response, Retry
-from .sources.convert import SHEET, convert, csv_names, extension, is_csv, needs_recognition, recognised_table, recognised_tables
+from .sources.convert import SHEET, convert, csv_names, extension, is_csv, needs_recognition, recognised_table, recognised_tables, xlsx_table
 from .sources.csv import Location, generic_ingestion
 from .sources.readers import employee_source, worker_source
 from .sources.sage import employees
@@ -405,6 +405,79 @@ def generic_ingestion_columns(spark, sf):
     return out(generic_ingestion(spark, where, "people.csv", ["id", "name", "the segment"], many_lines=False))
 
 
+@query("SELECT doc_id::VARCHAR AS doc_id, lang, text FROM documents")
+def generic_ingestion_line_feeds(spark, sf):
+    """Texts with line feeds as cells of a CSV file that several tasks read."""
+    where = Location(scratch(spark, "uploads"), "org", "co")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
+    docs.write.options(header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(where.source("texts.csv"))
+    return out(generic_ingestion(spark, where, "texts.csv"))
+
+
+def _file(lines: DataFrame, before: str, after: str, name: str, between: str = "") -> str:
+    """One file of these lines (column ``line``, in any order) between two others."""
+    spark, folder = lines.sparkSession, scratch(lines.sparkSession, "file")
+    ends = lambda x: spark.createDataFrame([(x,)], "line string").coalesce(1)
+    body = lines.coalesce(1).select(F.concat(F.when(F.monotonically_increasing_id() > 0, F.lit(between)).otherwise(F.lit("")), "line").alias("line"))
+    ends(before).union(body).union(ends(after)).coalesce(1).write.text(folder)
+    part = spark._jvm.org.apache.hadoop.fs.Path(spark.read.text(folder).inputFiles()[0])
+    to = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    part.getFileSystem(spark._jsc.hadoopConfiguration()).rename(part, to)
+    return f"{folder}/{name}"
+
+
+@query("""SELECT l_orderkey::VARCHAR AS key, l_linenumber::VARCHAR AS line, l_returnflag AS flag, '{"state":"' || l_linestatus || '"}' AS more,
+  CASE WHEN l_linenumber = 1 THEN '' ELSE 'x' END AS note FROM lineitem""")
+def convert_json_array(spark, sf):
+    """All of lineitem as one array of objects."""
+    t = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey AS key", "l_linenumber AS line", "l_returnflag AS flag", "struct(l_linestatus AS state) AS more", "if(l_linenumber = 1, '', 'x') AS note")
+    return convert(spark, _file(t.select(F.to_json(F.struct("*")).alias("line")), "[", "]", "lines.json", ","))
+
+
+@query("SELECT o_orderkey::VARCHAR AS key, o_orderstatus AS status FROM orders")
+def convert_json_longest(spark, sf):
+    """The longer of two arrays of a root object."""
+    t = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey AS key", "o_orderstatus AS status")
+    return convert(spark, _file(t.select(F.to_json(F.struct("*")).alias("line")), '{"few":[{"a":1}],"n":5,"rows":[', "]}", "orders.json", ","), 1)
+
+
+@query("SELECT o_orderkey::VARCHAR AS key, o_orderstatus AS status, (o_custkey + 0.25)::VARCHAR AS amount FROM orders")
+def convert_xlsx_sheet(spark, sf):
+    """All of orders as a sheet, written by a task and read by ranges of rows."""
+    folder = scratch(spark, "workbook")
+    t = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").cast("bigint"), "o_orderstatus", (F.col("o_custkey") + F.lit(0.25)).cast("double").alias("amount"))
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.fs
+
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(base)
+        relation = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        with fs.open_output_stream(f"{base}/orders.xlsx") as to, zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{SHEET[1:-1]}" xmlns:r="{relation}"><sheets><sheet name="S" sheetId="1" r:id="a"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/></Relationships>')
+            with z.open("xl/worksheets/sheet1.xml", "w") as entry:
+                entry.write(f'<worksheet xmlns="{SHEET[1:-1]}"><sheetData><row r="1">'.encode() + b"".join(b'<c t="inlineStr"><is><t>%s</t></is></c>' % n for n in (b"key", b"status", b"amount")) + b"</row>")
+                for b in batches:
+                    for k, s, a in zip(*[c.to_pylist() for c in b.columns]):
+                        entry.write(f'<row><c><v>{k}</v></c><c t="inlineStr"><is><t>{s}</t></is></c><c><v>{a}</v></c></row>'.encode())
+                entry.write(b"</sheetData></worksheet>")
+        yield pa.RecordBatch.from_pydict({"n": [1]})
+
+    t.coalesce(1).mapInArrow(write, "n bigint").collect()
+    return xlsx_table(spark, f"{folder}/orders.xlsx", part_bytes=1 << 16)
+
+
+@query("""SELECT o_orderkey::VARCHAR AS Key, o_orderstatus AS Status, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'a & b ' || o_custkey END AS Note FROM orders""")
+def convert_xml_records(spark, sf):
+    """All of orders as elements with a prefix, cut up among tasks."""
+    t = spark.read.parquet(f"{sf}/orders.parquet")
+    one = F.concat(F.lit('<o:Order id="1"><o:Key>'), "o_orderkey", F.lit("</o:Key><o:Status> "), "o_orderstatus", F.lit(" </o:Status>"), F.when(F.expr("o_orderkey % 3 = 0"), "<o:Note/>").otherwise(F.concat(F.lit("<o:Note><b>a &amp; b</b>"), "o_custkey", F.lit("</o:Note>"))), F.lit("</o:Order>"))
+    got = convert(spark, _file(t.select(one.alias("line")), '<o:Orders xmlns:o="u"><Head>x</Head>', "</o:Orders>", "orders.xml"))
+    return got.select("Key", "Status", "Note")
+
+
 MANIFEST = {
     "version": "1.0",
     "actions": [

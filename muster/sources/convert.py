@@ -1,24 +1,29 @@
 """Convert uploaded files to tables of strings: CSV, XLSX, JSON, XML, and tables that were recognised in documents.
 
-Spark reads the bytes by its own file systems; each file is parsed by a task, not by the driver.
+Spark reads the bytes by its own file systems.  JSON is read by its JSON reader, XML by tasks that each parse the records of
+a part of the file; a workbook, and what these ways can't tell, is parsed by a task as a whole.
 """
 
 from __future__ import annotations
 
 import io
 import json
+import math
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from datetime import datetime, timedelta
-from functools import partial
+from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+from pyspark.sql.window import Window
 
 from ..context import quoted
 from ..errors import ConfigurationError, IngestionError, ValidationError
@@ -28,6 +33,9 @@ DOCUMENTS = ("pdf", "png", "jpg", "jpeg", "tiff", "tif")
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 #: Number formats of the file format that show dates or times; rows that a task hands on at once.
 BUILT_IN_DATES, ROWS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}, 4096
+#: Bytes of a sheet that are unpacked at once; of a workbook for which a task more takes part, and tasks at most.
+PIECE, PART_BYTES, MOST_PARTS = 1 << 20, 8 << 20, 16
+ROW, NUMBER, PREFIXED = re.compile(rb"<row(?:\s[^>]*)?(?<!/)>.*?</row>|<row(?:\s[^>]*)?/>", re.S), re.compile(rb'<row\s[^>]*?\br="(\d+)"'), re.compile(rb"\s[\w.\-]+:[\w.\-]+=(?:\"[^\"]*\"|'[^']*')")
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
@@ -72,55 +80,97 @@ def iso_date(x: float, from_1904: bool) -> str:
     return at.isoformat(" ") if x % 1 else at.date().isoformat()
 
 
-def xlsx_rows(data: bytes, sheet: int, iso_dates: bool = False) -> Iterator[list[str]]:
-    """Cells of a sheet as text, rows of equal length; gaps are empty."""
+class Texts:
+    """Shared strings of a workbook: one run of bytes and where each begins."""
+
+    def __init__(self, entry: object | None) -> None:
+        self.data, self.ends = bytearray(), array("Q", [0])
+        for _, si in ET.iterparse(entry) if entry else ():
+            if si.tag == f"{SHEET}si":
+                self.data += "".join(t.text or "" for t in si.iter(f"{SHEET}t")).encode()
+                self.ends.append(len(self.data))
+                si.clear()
+
+    def __getitem__(self, k: int) -> str:
+        return self.data[self.ends[k] : self.ends[k + 1]].decode()
+
+
+def _column(reference: str | None) -> int | None:
+    """The column's number of a cell's name: AB12 is 27."""
+    if not (m := re.match("[A-Z]+", reference or "")):
+        return None
+    at = 0
+    for ch in m[0]:
+        at = at * 26 + ord(ch) - 64
+    return at - 1
+
+
+def _cells(row: ET.Element, shared: Texts, dates: set[int], from_1904: bool) -> list[str]:
+    """A row's cells as text; gaps are empty."""
+    found: dict[int, str] = {}
+    for at, c in enumerate(row.iter(f"{SHEET}c")):
+        v, kind = c.findtext(f"{SHEET}v") or "", c.get("t", "n")
+        if kind == "s":
+            v = shared[int(v)]
+        elif kind == "inlineStr":
+            v = "".join(t.text or "" for t in c.iter(f"{SHEET}t"))
+        elif kind == "b":
+            v = "true" if v == "1" else "false"
+        elif kind == "e":
+            v = f"#ERR:{v}"
+        elif kind == "n" and v:
+            v = iso_date(float(v), from_1904) if int(c.get("s") or 0) in dates else number_text(float(v))
+        own = _column(c.get("r"))
+        found[at if own is None else own] = v
+    return [found.get(k, "") for k in range(max(found, default=-1) + 1)]
+
+
+def _row_texts(entry: object) -> Iterator[bytes]:
+    """The row elements of a sheet, one after the other; only one piece of the sheet is held."""
+    held, ended = b"", False
+    while not ended:
+        piece = entry.read(PIECE)
+        ended, held, at = not piece, held + piece, 0
+        for m in ROW.finditer(held):
+            yield m[0]
+            at = m.end()
+        begins = held.find(b"<row", at)
+        held = held[begins:] if begins >= 0 else held[-4:] if not ended else b""
+
+
+def sheet_rows(data: bytes, sheet: int, iso_dates: bool = False, part: int = 0, parts: int = 1) -> Iterator[tuple[int, list[str]]]:
+    """Numbers and cells of a sheet's rows; gaps are rows without cells.
+
+    The sheet is unpacked piece by piece.  Of ``parts`` tasks that all unpack it, each takes every parts-th stretch of
+    ``ROWS`` rows; the others' rows are not taken apart."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         book = ET.fromstring(z.read("xl/workbook.xml"))
         sheets = [x.get(RELATION) for x in book.iter(f"{SHEET}sheet")]
         if sheet >= len(sheets):
             raise ConfigurationError(f"the workbook has {len(sheets)} sheet(s) but table_index is {sheet}")
         targets = {x.get("Id"): x.get("Target") for x in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{SHEET}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")]
-        target = targets[sheets[sheet]]
-        root = ET.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
+        shared = Texts(z.open("xl/sharedStrings.xml") if "xl/sharedStrings.xml" in z.namelist() else None)
         dates = date_styles(z.read("xl/styles.xml")) if iso_dates and "xl/styles.xml" in z.namelist() else set()
         from_1904 = any(x.get("date1904") in ("1", "true") for x in book.iter(f"{SHEET}workbookPr"))
-    rows: list[dict[int, str]] = []
-    for r in root.iter(f"{SHEET}row"):
-        number = int(r.get("r") or len(rows) + 1)
-        while len(rows) < number:
-            rows.append({})
-        for at, c in enumerate(r.iter(f"{SHEET}c")):
-            if m := re.match("[A-Z]+", c.get("r") or ""):
-                at = 0
-                for ch in m[0]:
-                    at = at * 26 + ord(ch) - 64
-                at -= 1
-            v, kind = c.findtext(f"{SHEET}v") or "", c.get("t", "n")
-            if kind == "s":
-                v = shared[int(v)]
-            elif kind == "inlineStr":
-                v = "".join(t.text or "" for t in c.iter(f"{SHEET}t"))
-            elif kind == "b":
-                v = "true" if v == "1" else "false"
-            elif kind == "e":
-                v = f"#ERR:{v}"
-            elif kind == "n" and v and int(c.get("s") or 0) in dates:
-                v = iso_date(float(v), from_1904)
-            elif kind == "n" and v:
-                v = number_text(float(v))
-            rows[-1][at] = v
-    while rows and not rows[0]:
-        rows.pop(0)
-    if not rows:
-        raise ValidationError("the sheet is empty")
-    width = 1 + max(max(r, default=0) for r in rows)
-    if not any(rows[0].values()):
-        raise ValidationError("the sheet's header has no column names")
-    for r in rows:
-        yield [r.get(k, "") for k in range(width)]
+        target = targets[sheets[sheet]]
+        name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+        with z.open(name) as entry:
+            prefixed = re.search(rb"<\w+:worksheet", entry.read(4096)) is not None
+        last = 0
+        with z.open(name) as entry:
+            if prefixed:
+                rows = ((int(x.get("r") or 0), x) for _, x in ET.iterparse(entry) if x.tag == f"{SHEET}row")
+            else:
+                rows = ((int(m[1]) if (m := NUMBER.match(x)) else 0, x) for x in _row_texts(entry))
+            for k, (number, row) in enumerate(rows):
+                number = number or last + 1
+                if k // ROWS % parts == part:
+                    yield from ((n, []) for n in range(last + 1, number))
+                    element = row if prefixed else ET.fromstring(b'<x xmlns="' + SHEET[1:-1].encode() + b'">' + PREFIXED.sub(b"", row) + b"</x>")
+                    yield number, _cells(element, shared, dates, from_1904)
+                    if prefixed:
+                        row.clear()
+                last = max(last, number)
 
 
 def json_text(v: object) -> str:
@@ -149,6 +199,18 @@ def json_rows(data: bytes, table: int) -> Iterator[list[str]]:
         yield [json_text(x.get(n) if isinstance(x, dict) else None) for n in names]
 
 
+def xml_fields(record: ET.Element) -> dict[str, str]:
+    """Texts of a record's children; those of the same name are joined, unless they are what is there already."""
+    row: dict[str, str] = {}
+    for f in record:
+        name = f.tag.rpartition("}")[2]
+        for t in map(str.strip, f.itertext()):
+            if t:
+                had = row.get(name)
+                row[name] = t if had is None or had == t else f"{had} {t}"
+    return row
+
+
 def xml_rows(data: bytes, table: int) -> Iterator[list[str]]:
     """Records are the most frequent children of the root (the first of equals), fields their children."""
     try:
@@ -164,12 +226,7 @@ def xml_rows(data: bytes, table: int) -> Iterator[list[str]]:
     for c in children:
         if local(c) != record:
             continue
-        row: dict[str, str] = {}
-        for f in c:
-            for t in map(str.strip, f.itertext()):
-                if t:
-                    had = row.get(local(f))
-                    row[local(f)] = t if had is None or had == t else f"{had} {t}"
+        row = xml_fields(c)
         names |= dict.fromkeys(row)
         rows.append(row)
     yield list(names)
@@ -177,7 +234,104 @@ def xml_rows(data: bytes, table: int) -> Iterator[list[str]]:
         yield [row.get(n, "") for n in names]
 
 
-PARSERS = {"xlsx": xlsx_rows, "json": json_rows, "xml": xml_rows}
+def _first_character(spark: SparkSession, path: str) -> str:
+    """The first that is no white space, of at most 4,096 that are looked at."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return next((c for c in (chr(b) for b in (file.read() for _ in range(4096)) if b >= 0) if c not in " \t\r\n\xef\xbb\xbf"), "")
+    finally:
+        file.close()
+
+
+def _variant_text(v: Column) -> Column:
+    """As ``json_text`` has it: texts as they are, null as nothing, other values as JSON with sorted keys."""
+    return F.coalesce(F.when(F.is_variant_null(v), F.lit("")).when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string")).otherwise(F.to_json(v)), F.lit(""))
+
+
+def json_table(spark: SparkSession, path: str, table: int) -> DataFrame | None:
+    """What ``json_rows`` makes of a file, by Spark's reader: a first pass finds the fields, or the lengths of the root object's
+    arrays, a second one makes the rows.  None for files that this can't be told of: the parser then names what is wrong.
+
+    Values are variants, each with a bounded size; the file as a whole has none."""
+    reader = spark.read.option("multiLine", True)
+    root = _first_character(spark, path)
+    fields = reader.option("primitivesAsString", True).json(path).schema.fields
+    plain = all(re.fullmatch(r"[^`'\\\]]+", f.name) for f in fields)
+    if root not in ("[", "{") or not fields or not plain or any(f.name == "_corrupt_record" for f in fields):
+        return None
+    if root == "[":
+        names, corrupt = sorted(f.name for f in fields), "_corrupt_record"
+        rows = reader.schema(", ".join([*[f"`{n}` variant" for n in names], f"{corrupt} string"])).json(path)
+        first = rows.limit(1).select(corrupt, *[F.col(f"`{n}`").isNotNull().alias(n) for n in names]).first()
+        if first is None or first[corrupt] is not None:
+            return None
+        return rows.select(*[_variant_text(F.col(f"`{n}`")).alias(n) for n in names if first[n]])  # fields of the first object
+    arrays = sorted(f.name for f in fields if isinstance(f.dataType, ArrayType))
+    if table >= len(arrays):
+        return None
+    rows = reader.schema(", ".join(f"`{n}` array<variant>" for n in arrays)).json(path)
+    sizes = rows.select(*[F.size(f"`{n}`").alias(n) for n in arrays]).first()
+    chosen = sorted(arrays, key=lambda n: sizes[n])[table]
+    if sizes[chosen] < 1:
+        return None
+    keys = rows.select(F.json_object_keys(F.to_json(F.get(f"`{chosen}`", F.lit(0))))).first()[0]
+    if not keys or not all(re.fullmatch(r"[^'\\\]]+", k) for k in keys):
+        return None
+    rows = rows.select(F.explode(f"`{chosen}`").alias("v"))
+    return rows.select(*[_variant_text(F.try_variant_get("v", f"$['{k}']", "variant")).alias(k) for k in sorted(keys)])
+
+
+#: What a file that is cut at the ends of its records mustn't hold: marks in which anything may stand.
+ODD_XML = ("<![CDATA[", "<!--", "<!DOCTYPE", "<!ENTITY")
+NAME = r"(?:[\w.\-]+:)?[\w.\-]+"
+
+
+def xml_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """What ``xml_rows`` makes of a file, by tasks that each read a part of it: Spark's text reader cuts the file at every
+    ``>`` to count the root's children, and at the end of every record to parse records.  None for files that can't be cut so:
+    with comments and the like, records in records, or one name with several prefixes."""
+    tags = spark.read.option("lineSep", ">").text(path)
+    where = tags.metadataColumn("_metadata")
+    tags = tags.select(where["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.concat("value", F.lit(">")).alias("v"))
+    tag = F.regexp_extract("v", rf"<(/?)({NAME})[^<>]*?(/?)>$", 0)
+    tags = tags.select("block", "at", F.regexp_extract("v", rf"<(/?{NAME})[^<>]*>$", 1).alias("name"), (F.substring(tag, -2, 2) == "/>").alias("empty"), (F.greatest(*[F.contains("v", F.lit(x)) for x in ODD_XML]) | F.greatest(*[(F.length(tag) - F.length(F.replace(tag, F.lit(q), F.lit("")))) % 2 == 1 for q in "'\""])).alias("odd"))
+    tags = tags.withColumn("step", F.when((F.col("name") == "") | F.col("empty"), 0).when(F.startswith("name", F.lit("/")), -1).otherwise(1))
+    in_block = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    depth = tags.withColumn("depth", F.coalesce(F.sum("step").over(in_block), F.lit(0)))
+    blocks = depth.groupBy("block").agg(F.sum("step").alias("d"))
+    blocks = blocks.select("block", F.coalesce(F.sum("d").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    depth = depth.join(blocks, "block").withColumn("depth", F.col("depth") + F.col("base"))
+    opened = depth.filter((F.col("name") != "") & ~F.startswith("name", F.lit("/")))
+    found = opened.groupBy("name").agg(F.count_if(F.col("depth") == 1).alias("n"), F.count("*").alias("all"), F.min(F.struct("block", "at")).alias("first"), F.max("empty").alias("empty")).orderBy(F.desc("n"), "first").limit(1000).collect()
+    if not found or not found[0]["n"] or tags.filter("odd").limit(1).count():
+        return None
+    record, locals_ = found[0]["name"], Counter(r["name"].rpartition(":")[2] for r in found)
+    top = {r["name"].rpartition(":")[2]: r["n"] for r in found if r["n"]}
+    if found[0]["all"] != found[0]["n"] or found[0]["empty"] or locals_[record.rpartition(":")[2]] > 1 or list(top.values()).count(found[0]["n"]) > 1:
+        return None
+    pieces = spark.read.option("lineSep", f"</{record}>").text(path).select(F.monotonically_increasing_id().alias("k"), "value")
+    pieces = pieces.filter(F.contains("value", F.lit(f"<{record}")))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text in b.column(1).to_pylist():
+                begin = re.search(rf"<{re.escape(record)}(?=[\s>])[^<>]*>", text)
+                bare = re.sub(rf"<(/?)(?:[\w.\-]+:)?([\w.\-]+)[^<>]*?(/?)>", r"<\1\2\3>", text[begin.end() :])
+                try:
+                    element = ET.fromstring(f"<r>{bare}</r>")
+                except ET.ParseError as e:
+                    raise IngestionError(f"XML parse error: {e}") from e
+                rows.append([*xml_fields(element).items()] if len(element) or (element.text or "").strip() else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["k", "fields"])
+
+    rows = pieces.mapInArrow(parse, "k bigint, fields map<string,string>").filter(F.col("fields").isNotNull())
+    names = rows.select("k", F.posexplode(F.map_keys("fields")).alias("j", "name")).groupBy("name").agg(F.min(F.struct("k", "j")).alias("first")).orderBy("first").collect()
+    return rows.select(*[F.coalesce(F.try_element_at("fields", F.lit(r["name"])), F.lit("")).alias(r["name"]) for r in names])
+
+
+PARSERS = {"json": json_rows, "xml": xml_rows}
 
 
 def convert(spark: SparkSession, path: str, table_index: int = 0, iso_dates: bool = False) -> DataFrame:
@@ -189,22 +343,56 @@ def convert(spark: SparkSession, path: str, table_index: int = 0, iso_dates: boo
         return read_csv(spark, path)
     if kind == "xls":
         raise ConfigurationError("legacy .xls workbooks are not supported; save the file as .xlsx")
+    if kind == "xlsx":
+        return xlsx_table(spark, path, table_index, iso_dates)
     if kind not in PARSERS:
         raise ConfigurationError(f"files of type '{kind}' cannot be converted")
-    parse = partial(PARSERS[kind], iso_dates=iso_dates) if kind == "xlsx" else PARSERS[kind]
-    out = pa.schema([("k", pa.int64()), ("cells", pa.list_(pa.string()))])
+    own = json_table(spark, path, table_index) if kind == "json" else xml_table(spark, path)
+    if own is not None:
+        return own
+    parse, out = PARSERS[kind], pa.schema([("k", pa.int64()), ("cells", pa.list_(pa.string()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in (x.as_py() for b in batches for x in b.column(0)):
-            numbered = enumerate(parse(data, table_index))
-            while some := list(islice(numbered, ROWS)):
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some), out)], schema=out)
+            yield from _batches(enumerate(parse(data, table_index)), out)
 
     cells = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "k bigint, cells array<string>")
-    names = cells.filter("k = 0").collect()[0]["cells"]
+    names = _unique(cells.filter("k = 0").collect()[0]["cells"], path)
+    return cells.filter("k > 0").select(*[F.col("cells")[i].alias(n) for i, n in enumerate(names)])
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some), schema)], schema=schema)
+
+
+def _unique(names: list[str], path: str) -> list[str]:
     if len(set(names)) != len(names):
         raise ConfigurationError(f"{path} has repeated column names: {', '.join(names)}")
-    return cells.filter("k > 0").select(*[F.col("cells")[i].alias(n) for i, n in enumerate(names)])
+    return names
+
+
+def xlsx_table(spark: SparkSession, path: str, sheet: int = 0, iso_dates: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
+    """A workbook's sheet; the first row with cells is its header.  Large workbooks are read by several tasks."""
+    file, out = spark.read.format("binaryFile").load(path), pa.schema([("k", pa.int64()), ("cells", pa.list_(pa.string()))])
+    parts = min(MOST_PARTS, max(1, math.ceil(file.select("length").first()[0] / part_bytes)))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data in ((p.as_py(), x.as_py()) for b in batches for p, x in zip(b.column(0), b.column(1))):
+            yield from _batches(sheet_rows(data, sheet, iso_dates, part, parts), out)
+
+    each = [file.select(F.lit(k).alias("part"), "content") for k in range(parts)]
+    cells = reduce(DataFrame.union, each).mapInArrow(rows, "k bigint, cells array<string>")
+    filled = F.size("cells") > 0
+    told = cells.agg(F.max(F.size("cells")).alias("width"), F.min(F.when(filled, F.struct("k", "cells"))).alias("header")).first()
+    if told["header"] is None:
+        raise ValidationError("the sheet is empty")
+    names = [*told["header"]["cells"], *[""] * (told["width"] - len(told["header"]["cells"]))]
+    if not any(names):
+        raise ValidationError("the sheet's header has no column names")
+    _unique(names, path)
+    body = cells.filter(F.col("k") > told["header"]["k"])
+    return body.select(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
 def prepare_source(spark: SparkSession, location: Location, uploaded: str, table_index: int = 0, iso_dates: bool = False) -> tuple[str, list[str]]:

@@ -103,6 +103,54 @@ def test_xml(spark, tmp_path):
     assert rows(got)[0] == ("1", "Ann", "") and rows(got)[1][1:] == ("", "m")
 
 
+def test_json_by_the_reader_and_by_the_parser(spark, tmp_path):
+    """Arrays of objects with values of all kinds: the reader's rows are the parser's."""
+    import random
+
+    rng = random.Random(1)
+    values = [None, "", "x", "[1]", "null", 'q"u\\o', "é😀", 0, -7, 12345678901, 1.5, True, False, [], [1, "a"], {"b": 1, "a": [None]}, {}]
+    objects = [{k: rng.choice(values) for k in rng.sample(["a", "b b", "c.d", "e"], rng.randint(1, 4))} for _ in range(60)]
+    for k, root in enumerate((objects, {"n": 1, "z": objects[:3], "y": objects, "x": [], "w": objects[5:9] + [7]}, [{"a": 1}])):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(root, indent=k))
+        for table in range(1 if isinstance(root, list) else 4):
+            want = None if isinstance(root, dict) and not table else [*convert.json_rows(path.read_bytes(), table)]
+            got = convert.json_table(spark, str(path), table)
+            if want is None:
+                assert got is None
+                continue
+            assert got.columns == want[0] and [list(r) for r in got.collect()] == want[1:]
+            assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "odd.json").write_text('[{"a": 1}, 5]')
+    assert convert.json_table(spark, str(tmp_path / "odd.json"), 0) is None and rows(convert.convert(spark, str(tmp_path / "odd.json"))) == [("1",), ("",)]
+    for bad in ("", "[]", "{", "5"):
+        (tmp_path / "bad.json").write_text(bad)
+        assert convert.json_table(spark, str(tmp_path / "bad.json"), 0) is None
+
+
+@pytest.mark.parametrize("part", [50, 1 << 20])
+def test_xml_by_parts_and_as_a_whole(spark, tmp_path, part):
+    import random
+
+    rng = random.Random(part)
+    record = lambda k: f'<p:R id="{k}">' + "".join(f"<p:{t} x='a'>{rng.choice([' v ', 'é&amp;', '<q>1</q><q>2</q>', ''])}</p:{t}>" for t in rng.sample(["A", "B", "C", "B"], 3)) + "</p:R>" if k % 7 else "<p:R></p:R>"
+    text = '<?xml version="1.0"?>\n<p:root xmlns:p="u"><Head><A>no</A></Head>\n' + "\n".join(map(record, range(80))) + "<Foot/></p:root>"
+    (tmp_path / "a.xml").write_text(text)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k, v in zip(before, (part, 0)):
+        spark.conf.set(k, v)
+    try:
+        got = convert.xml_table(spark, str(tmp_path / "a.xml"))
+        want = [*convert.xml_rows(text.encode(), 0)]
+        assert got.columns == want[0] and sorted(map(list, got.collect())) == sorted(want[1:])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for odd in (text.replace("<Foot/>", "<!-- > -->"), text.replace("<Foot/>", "<p:R><p:R><A>1</A></p:R></p:R>"), text.replace("<Foot/>", "<R><A>1</A></R>"), text.replace("<Foot/>", '<Foot a="x>y"/>'), "<a/>"):
+        (tmp_path / "odd.xml").write_text(odd)
+        assert convert.xml_table(spark, str(tmp_path / "odd.xml")) is None
+
+
 def workbook(cells):
     sheet = "".join(f'<row r="{r}">{"".join(cs)}</row>' for r, cs in cells)
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -127,6 +175,35 @@ def test_xlsx(spark, tmp_path):
     assert rows(csv.generic_ingestion(spark, where, "a.XLSX").data)[0][0] == "7"
 
 
+def test_a_sheet_in_ranges(spark, tmp_path, monkeypatch):
+    """Several tasks each take stretches of rows: as one task takes all, with gaps, rows without numbers and odd attributes."""
+    def cell(r, c):
+        return f'<c r="{"ABC"[c]}{r}"><v>{r}{c}</v></c>' if (r + c) % 3 else f'<c r="{"ABC"[c]}{r}" t="inlineStr" x14:q="1"><is><t>t&lt;{r}</t></is></c>'
+
+    numbers = [r for r in range(1, 20_000) if r % 7 or r < 8]
+    cells = [(r, ['<c r="A1" t="s"><v>0</v></c>', '<c r="B1" t="s"><v>1</v></c>', '<c r="C1" t="inlineStr"><is><t>k</t></is></c>'] if r == 1 else [cell(r, c) for c in range(3) if (r + c) % 5]) for r in numbers]
+    (tmp_path / "big.xlsx").write_bytes(workbook(cells))
+    monkeypatch.setattr(convert, "PIECE", 777)
+    whole, parts = (convert.xlsx_table(spark, str(tmp_path / "big.xlsx"), part_bytes=n) for n in (1 << 30, 60_000))
+    assert whole.rdd.getNumPartitions() == 1 and parts.rdd.getNumPartitions() > 3
+    got = [tuple(r) for r in whole.collect()]
+    assert len(got) == 19_997 and sorted(got) == sorted(tuple(r) for r in parts.collect())
+    assert got[12] == ("", "", "") and got[0] == ("20", "t<2", "22") and got[2] == ("40", "", "t<4")
+
+
+def test_shared_strings_and_sheets_are_not_held_as_trees(tmp_path):
+    """A sheet of some 12 MB is taken apart in a fraction of that memory."""
+    import tracemalloc
+
+    row = "".join(f'<c r="{c}{{0}}" t="s"><v>1</v></c>' for c in "ABCDEFGH")
+    data = workbook([(r, [row.format(r)]) for r in range(1, 40_000)])
+    tracemalloc.start()
+    n = sum(len(cells) for _, cells in convert.sheet_rows(data, 0, part=3, parts=4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 8 * sum((r - 1) // convert.ROWS % 4 == 3 for r in range(1, 40_000)) and peak < 8e6
+
+
 def test_dates_of_workbooks():
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     styles = f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/><numFmt numFmtId="165" formatCode="&quot;days&quot; 0.0"/><numFmt numFmtId="166" formatCode="[Red]0"/></numFmts>'
