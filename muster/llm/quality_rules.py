@@ -9,7 +9,7 @@ that sums are exact and do not depend on the order of rows.
 Only the buckets of n-grams are hashed, as the method says.  Words are compared as they are: a text's words are numbered
 in the order in which they come up, and repeated windows are found over these numbers.
 
-Defined results: a null text counts as empty (no words, base_failed); texts of any length are taken whole; a document
+Defined results: a null text counts as empty (no words, base_failed); bytes that aren't UTF-8 count as U+FFFD in word_chars; texts of any length are taken whole; a document
 without n-grams has score 0; a score equal to ``LEAST`` keeps; labels that repeat, or name no document, or have a null
 identifier or quality, change nothing; with no trusted documents all scores are 0; repeated rows give repeated rows; an
 empty table gives none.  ``keep_good`` carries all columns through, whatever their names.
@@ -82,7 +82,7 @@ def counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
             dup += 1
         elif line.strip():
             seen.add(line)
-    return len(words), len(text.translate(None, SPACE).decode()), len(text) - len(text.translate(None, SYMBOLS)), dup, repeat_words(words)
+    return len(words), len(text.translate(None, SPACE).decode(errors="replace")), len(text) - len(text.translate(None, SYMBOLS)), dup, repeat_words(words)
 
 
 def with_trusted(docs: DataFrame, labels: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:

@@ -1,12 +1,12 @@
 """Token counts of sections or fields by offsets.
 
-A document is encoded once, as a whole.  Its tokens' character spans are joined with the spans of its sections; a token
+A document is encoded once, as a whole, by the library.  Its tokens' character spans are joined with the spans of its sections; a token
 that crosses a boundary is allocated by a rule: ``first`` (the section of its first character), ``last`` (of its last)
 or ``most`` (the section with most of its characters, the earlier of two equals).  So the counts of the sections add up
 to the document's.  A token that holds only part of a character's bytes spans that whole character.
 
 Defined results: a null text counts as empty and has one empty section without tokens; a null field counts as empty;
-texts of any length are taken whole; repeated rows give repeated rows; an empty table gives none; columns but those
+bytes that aren't UTF-8 count as U+FFFD; texts of any length are taken whole; repeated rows give repeated rows; an empty table gives none; columns but those
 named are not looked at.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer
@@ -54,11 +54,17 @@ def allocate(first: np.ndarray, last: np.ndarray, starts: np.ndarray, rule: str
     return own, cross
 
 
+def _utf8(c: Column) -> Column:
+    """Text whose bytes that aren't UTF-8 are replaced."""
+    return F.make_valid_utf8(c.cast("string"))
+
+
 def _counted(rows: DataFrame, starts_of: Callable, ranks_path: str, pattern: str, rule: str, key: str, stable: str | None) -> DataFrame:
     """rows: k, t (bytes) and perhaps more for starts_of(text, *more), which gives the bytes at which sections start."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}, not {rule!r}")
     tokenizer(ranks_path, pattern, stable)  # mistakes show here, not in a task
+    key = f"{key}_id" if key in ("section", "char_start", "char_end", "n_tokens", "n_crossing") else key
     names = [key, "section", "char_start", "char_end", "n_tokens", "n_crossing"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +74,7 @@ def _counted(rows: DataFrame, starts_of: Callable, ranks_path: str, pattern: str
             which, cols = [], [[] for _ in range(5)]
             for row, (text, *more) in enumerate(zip(*[c.to_pylist() for c in b.columns[1:]])):
                 begin = starts_of(text, *more)
-                ids = t.encode(text.decode())
+                ids = t.whole.encode_ordinary(text.decode())
                 first, last, char = spans(text, size[ids]) if text else (np.zeros(0, np.int64),) * 3
                 stop = np.append(char, char[-1] + 1 if len(char) else 0)  # characters before each byte
                 starts = stop[begin]
@@ -84,14 +90,14 @@ def _counted(rows: DataFrame, starts_of: Callable, ranks_path: str, pattern: str
 
 
 def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, starts_of: Callable[[bytes], np.ndarray] = line_starts, rule: str = "first", id_col: str = "doc_id", text_col: str = "text", stable: str | None = None) -> DataFrame:
-    """One row for each section of each text: id, section (from 0), char_start, char_end, n_tokens, n_crossing (those of
+    """One row for each section of each text: id (under its own name, with ``_id`` if another column has that), section (from 0), char_start, char_end, n_tokens, n_crossing (those of
     n_tokens that cross a boundary)."""
-    return _counted(docs.select(F.col(f"`{id_col}`").alias("k"), text_bytes(text_col).alias("t")), starts_of, ranks_path, pattern, rule, id_col, stable)
+    return _counted(docs.select(F.col(f"`{id_col}`").alias("k"), _utf8(text_bytes(text_col)).cast("binary").alias("t")), starts_of, ranks_path, pattern, rule, id_col, stable)
 
 
 def field_tokens(rows: DataFrame, fields: list[str], ranks_path: str, pattern: str, rule: str = "first", id_col: str = "doc_id", stable: str | None = None) -> DataFrame:
     """The same for fields of a row, encoded as one text with ``BETWEEN`` after each but the last."""
-    parts = [text_of(c) for c in fields]
+    parts = [_utf8(text_of(c)) for c in fields]
     sizes = F.array(*[F.octet_length(p) + len(BETWEEN) for p in parts])
 
     def starts_of(text: bytes, lengths: list[int]) -> np.ndarray:

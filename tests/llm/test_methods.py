@@ -93,6 +93,47 @@ def test_bpe_of_documents(spark, texts, library):
         assert t.encode(long) == library.encode_ordinary(long)
 
 
+@pytest.mark.parametrize("text", ["漢字かな交じり文" * 500, "1234567890" * 500, " " * 5000, "abcdefgh" * 1000, "x" * 4000, "\n" * 3000, "Donaudampfschifffahrtsgesellschaft" * 100])
+def test_long_matches_go_through_joins(library, monkeypatch, text):
+    """What is merged at once is a leaf or a window, of bounded size unless a text is all alike."""
+    t, joins, sizes = bpe.Tokenizer(RANKS, P.PATTERN), [], []
+    joined, merged = t.joined, t.merged
+    monkeypatch.setattr(t, "joined", lambda a, b: joins.append(1) or joined(a, b))
+    monkeypatch.setattr(t, "merged", lambda data: sizes.append(len(data)) or merged(data))
+    assert t.encode(text) == library.encode_ordinary(text)
+    assert len(joins) >= len(text) // bpe.LEAF - 1
+    if len(set(text)) > 1:
+        assert max(sizes) < 10 * bpe.LEAF
+
+
+@given(st.text("ab", max_size=400) | st.text("aehnrst", max_size=400) | st.text(st.sampled_from("é漢😀1 \n"), max_size=300))
+@settings(deadline=None, max_examples=150)
+def test_halves_of_a_match(library, text):
+    """Any bytes, cut anywhere: leaves, windows and fits give what merging all at once gives."""
+    t, data = bpe.tokenizer(RANKS, P.PATTERN), text.encode()
+    want = library._encode_single_piece(data) if data else []
+    assert t.merged(data) == want and (not data or t.halved(data) == want)
+    for k in range(1, len(data), 37):
+        assert t.joined(t.merged(data[:k]), t.merged(data[k:])) == want
+
+
+def test_bytes_that_are_no_text(spark, labels):
+    docs = spark.sql("SELECT 1L AS doc_id, cast(X'61FF6220C3' AS string) AS text, 'en' AS lang, 'src0' AS source")
+    (row,) = bpe.round_trip(docs, RANKS, P.PATTERN).collect()
+    assert bytes(row.decoded).decode() == "a\ufffdb \ufffd"
+    assert quality_rules.quality_rules(docs, labels).first().word_chars == 4
+    assert token_counts.section_tokens(docs, RANKS, P.PATTERN).first().char_end == 5
+    assert token_counts.field_tokens(docs, ["text", "lang"], RANKS, P.PATTERN).count() == 2
+
+
+@pytest.mark.parametrize("name", ["section", "n_tokens"])
+def test_sections_of_an_identifier_with_a_name_of_theirs(spark, name):
+    docs = spark.createDataFrame([("a", "one\ntwo"), ("b", None)], f"{name} string, text string")
+    got = token_counts.section_tokens(docs, RANKS, P.PATTERN, id_col=name)
+    assert got.columns == [f"{name}_id", "section", "char_start", "char_end", "n_tokens", "n_crossing"]
+    assert [tuple(r)[:2] for r in got.orderBy(f"{name}_id", "section").collect()] == [("a", 0), ("a", 1), ("b", 0)]
+
+
 def test_patterns_need_their_own_places():
     with pytest.raises(ValueError):
         bpe.Tokenizer(RANKS, r"\S+|\s+")
