@@ -15,7 +15,9 @@ and the URL are not looked at, whatever their names.
 
 from __future__ import annotations
 
+import csv
 from functools import lru_cache
+from importlib import resources
 
 import ahocorasick
 import pandas as pd
@@ -25,13 +27,17 @@ from pyspark.sql import functions as F
 from .common import table, text_of
 
 LIMIT = 2.0
-#: A small example of a vocabulary; give a table of your own (columns term and weight) or a dictionary.
-VOCABULARY = {
-    **dict.fromkeys(("casino", "casinos", "cialis", "escort", "escorts", "hentai", "malware", "phishing", "porn", "porno", "sexcam", "viagra", "warez", "xxx"), LIMIT),
-    **dict.fromkeys(("adult", "bets", "jackpot", "pills", "poker", "sex", "slots", "spam"), 1.5),
-    **dict.fromkeys(("ads", "bet", "bonus", "cheap", "coupon", "deals", "free", "loans", "pill", "prize", "promo", "sponsor", "track", "tracker", "winner"), 1.0),
-    **dict.fromkeys(("cash", "click", "deal", "farm", "loan", "win", "x"), 0.5),
-}
+#: Bytes of a vocabulary's terms at most: every task gets them.
+MOST_VOCABULARY = 8 << 20
+
+
+def vocabulary_file(name: str = "url_terms.csv") -> dict[str, float]:
+    """A table of terms and weights beside this module; its first lines tell where it comes from."""
+    lines = resources.files(__package__).joinpath("vocabulary", name).read_text("utf-8").splitlines()
+    return {r["term"]: float(r["weight"]) for r in csv.DictReader(x for x in lines if not x.startswith("#"))}
+
+
+VOCABULARY = vocabulary_file()
 #: (host, path, verdict) of the production query.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -59,9 +65,18 @@ def lower(c: Column) -> Column:
     return F.translate(c, *LOWER)
 
 
-def listed(vocabulary: dict[str, float] | DataFrame) -> tuple[tuple[str, float], ...]:
-    """Terms in order, lower-cased, with their weights.  A vocabulary is made by hand, so it fits in a task; its table is read here."""
-    rows = vocabulary.items() if isinstance(vocabulary, dict) else ((r["term"], r["weight"]) for r in vocabulary.select("term", "weight").filter("term is not null and weight is not null").collect())
+def listed(vocabulary: dict[str, float] | DataFrame, most_bytes: int = MOST_VOCABULARY) -> tuple[tuple[str, float], ...]:
+    """Terms in order, lower-cased, with their weights.  A vocabulary is made by hand, so it fits in a task; its table is measured
+    before it is read, and one of more than ``most_bytes`` is a ValueError."""
+    if isinstance(vocabulary, DataFrame):
+        terms = vocabulary.select("term", "weight").filter("term is not null and weight is not null")
+        size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0))).first()[0]
+        rows = [(r["term"], r["weight"]) for r in terms.collect()] if size <= most_bytes else []
+    else:
+        rows = [*vocabulary.items()]
+        size = sum(len(t.encode()) + 16 for t, _ in rows)
+    if size > most_bytes:
+        raise ValueError(f"the vocabulary has {size} bytes; tasks take {most_bytes} at most")
     out: dict[str, float] = {}
     for term, weight in rows:
         term = "".join(c.lower() if c.isascii() else c for c in term)

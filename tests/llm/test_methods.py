@@ -432,3 +432,11 @@ def test_a_text_of_a_third_of_the_rows_is_compared_where_it_is(spark, most_broad
     for k, t in rows:
         by_text.setdefault(t, []).append(k)
     assert got == {k: (max(by_text[t]), len(by_text[t])) for k, t in rows}
+
+
+def test_vocabularies_are_measured_before_tasks_get_them(spark):
+    assert len(url_filter.vocabulary_file()) == len(url_filter.VOCABULARY) > 40 and set(url_filter.VOCABULARY.values()) == {2.0, 1.5, 1.0, 0.5}
+    terms = spark.range(100).selectExpr("concat('term', id) AS term", "1.0D AS weight")
+    assert len(url_filter.listed(terms)) == 100
+    with pytest.raises(ValueError, match="bytes"):
+        url_filter.listed(terms, most_bytes=1000)
