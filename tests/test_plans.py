@@ -3,12 +3,13 @@ import json
 import pytest
 
 from muster.context import visible
-from muster.errors import ConfigurationError, ConflictError, StepError, ValidationError
+from muster.errors import ConfigurationError, ConflictError, LogicError, StepError, ValidationError
 from muster.plans.manifest import REGISTRY, Environment, Manifest
 from muster.plans.run_log import ConfigStore, RunLog, last_page, listed
 from muster.plans.runner import Outcome, run, run_steps, validate, validate_pipeline
 from muster.sources.csv import Location
 from muster.sources.clients import Response
+from muster.streaming import stateful
 from muster.streaming.micro import stream
 
 #: Moorings of a harbour: what the boats' owners have told, one row a visit.
@@ -200,5 +201,33 @@ def test_stream(env, spark, tmp_path):
     rows = stream(spark.readStream.schema(source.schema).parquet(str(tmp_path / "in")), steps, env)
     rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("1", "E")]
-    with pytest.raises(ConfigurationError):
+    for bad in ((("show_data", {}),), (("scd_type_2", {"entity_column": "id", "date_column": "v", "tie_break": ["v"]}), ("drop_column", {"columns": ["id"]}))):
+        with pytest.raises(ConfigurationError):
+            stream(rows, manifest(*bad), env)
+    with pytest.raises(LogicError):
         stream(rows, manifest(("scd_type_2", {})), env)
+
+
+def test_stateful_steps_of_a_stream(spark, small, tmp_path):
+    """Rows are marked by their key, and then make a history of its changes."""
+    rows = spark.read.parquet(f"{small}/customer.parquet").selectExpr("c_custkey", "string(c_custkey) AS id", "c_mktsegment AS segment", "c_acctbal AS balance")
+    rows.write.parquet(str(tmp_path / "in"))
+    steps = manifest(("identity_deduplicator", {"columns": ["segment"], "employee_id_column": "id", "order_column": "c_custkey"}), ("regex_replace", {"column": "segment", "pattern": "U.*", "replacement": ""}), ("scd_type_2", {"entity_column": "canonical_id", "date_column": "balance", "tie_break": ["c_custkey"]}))
+    before = {k: spark.conf.get(k, None) for k in stateful.STATE}
+    for k, v in stateful.STATE.items():
+        spark.conf.set(k, v)
+    try:
+        source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        marked = stream(source, manifest(*[(s.action_type, s.config) for s in steps.actions[:2]]), Environment(spark))
+        marked.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "a")).trigger(availableNow=True).start(str(tmp_path / "marked")).awaitTermination()
+        again = spark.readStream.schema(marked.schema).parquet(str(tmp_path / "marked"))
+        changes = stream(again, manifest(("scd_type_2", steps.actions[2].config)), Environment(spark))
+        changes.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "b")).trigger(availableNow=True).start(str(tmp_path / "changes")).awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = stateful.latest(spark.read.parquet(str(tmp_path / "changes")), "canonical_id", ["c_custkey"])
+    segments = rows.select("segment").distinct().count()
+    assert got.count() == rows.count() and got.filter("is_current").count() == segments == got.select("canonical_id").distinct().count()
+    assert marked.columns == [*rows.columns, "canonical_id", "is_duplicate"] and changes.columns == ["canonical_id", "effective_from", "c_custkey", "effective_to", "is_current", "version"]
+    assert stream(source, steps, Environment(spark)).columns == changes.columns
