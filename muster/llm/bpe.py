@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,13 +60,17 @@ class Tokenizer:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern, self.stable = regex.compile(pattern), regex.compile(stable)
-        self.whole = tiktoken.Encoding("whole texts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.merger = tiktoken.Encoding("one match", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.ranks, self.known, self.fits = ranks, {}, {}
 
+    @cached_property
+    def whole(self) -> tiktoken.Encoding:
+        """The library for whole texts; it holds a vocabulary of its own."""
+        return tiktoken.Encoding("whole texts", pat_str=self.pattern.pattern, mergeable_ranks=self.ranks, special_tokens={})
+
     def encode(self, text: str) -> list[int]:
         return self.part(text, 0, len(text))
 
