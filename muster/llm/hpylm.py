@@ -10,21 +10,23 @@ weight (strength + discount * tables) times the parent's probability.  Predictiv
 How it runs on Spark.  Texts are cut into words once, in chunks of bounded size: a row of packed arrays instead of a row for
 each token.  Words get numbers by their hash's part of the vocabulary, where they are compared as they are.  A chunk sends its distinct triples with their counts to buckets by
 the middle word, so the restaurants of a word and of all pairs that end in it are one bucket's, and a common triple costs one
-entry for each chunk.  A word with more than ``BUCKET_TOKENS`` occurrences has several such restaurants, one for each class of
-the words before it, in buckets of their own; each still has that many customers.  The start of texts, before which there is
-nothing, stays one restaurant: with more than ``BUCKET_TOKENS`` training texts its dishes are dealt to buckets by the first
-word, each of which knows all its customers and takes the tables of the others from the round before.  What remains common to
+entry for each chunk.  Where a word (or the start of texts) has more than ``BUCKET_TOKENS`` occurrences, the dishes of its
+restaurant and of those of its pairs are dealt to several buckets by the dish.  They stay one restaurant each: after a round
+buckets add up, by pair, the customers and tables that each has, and in the next one each knows all customers and takes the tables
+of the others as they were.  The model is thus the same whatever the size of the table; a table of any size has one restaurant
+for a context, and one discount and strength for a level.  What remains common to
 buckets besides is the root.  A first round samples each bucket
-with a root of its own and sends the root's customers to buckets by word, where the root is sampled; what it says of each word
+with a root and parts of restaurants of its own and sends the root's customers to buckets by word, where the root is sampled; what it says of each word
 goes back, and a second round samples again and answers the chunks' triples.  Within a round a bucket sees the root change by
-its own customers only, which is the usual approximation of distributed Gibbs sampling; predictions use a root with exact
-totals, so probabilities add up to 1.  Rounds are repeated from their seeds rather than stored, and all that is drawn depends on words and counts alone: the
+its own customers only, which is the usual approximation of distributed Gibbs sampling; predictions use a root and restaurants with exact
+numbers of customers, so probabilities add up to 1 but for tables that others have moved since.  Rounds are repeated from their seeds rather than stored, and all that is drawn depends on words and counts alone: the
 same table gives the same scores however it is partitioned, equal texts get equal scores, and a lost executor changes nothing.
 
 Within a scan a bucket's dishes are drawn in ``TURNS`` turns dealt anew.  Dishes of up to ``SMALL`` customers draw their tables
 outright, larger ones by Metropolis steps that keep the same distribution, with proposals from all over it, so they do not
-creep away from where they were.  The start is one table for each dish of a restaurant.  Discounts are n1 / (n1 + 2 n2) of the
-counts, strengths those of ``GRID`` that make the burnt-in seating likeliest after a scan, both for each bucket and level (the root has one discount and strength 1).
+creep away from where they were.  The start is one table for each dish of a restaurant.  Discounts are n1 / (n1 + 2 n2) of a level's
+counts, strengths those of ``GRID`` that make the seating likeliest after a scan of the first round (where parts of a restaurant
+count as several); buckets send what both follow from along with the root's customers, and use their own in the first round (the root's strength is 1).
 
 Defined results: a null text counts as empty and has one token, the end; a null identifier is not held out; repeated
 rows are repeated in training and in the result; texts of any length are taken whole; words are compared as they are; with no
@@ -38,7 +40,7 @@ import math
 import uuid
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 from itertools import count
 
@@ -60,8 +62,8 @@ CHUNK_BYTES = 8 << 20
 BUCKET_TOKENS, PART_TOKENS = 1_000_000, 1 << 21
 #: Numbers of what is no known word; those of words are larger, and odd if the word was seen once.
 START, UNKNOWN, FIRST = 0, 2, 4
-#: What stands for a part of the root in what buckets say of the start of texts.
-STARTS = -1
+#: The word before, in what buckets tell each other of a whole word's restaurant instead of one of its pairs'; it is no word.
+WHOLE = 1
 #: Dishes of up to so many customers draw their tables outright; Metropolis steps of larger ones; turns of a scan.
 SMALL, STEPS, TURNS = 256, 3, 8
 GRID = (0.1, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
@@ -204,9 +206,7 @@ class Triples:
         pair, self.w = pair[keys // size], names[keys % size]
         self.v, self.u = names[pair // size], names[pair % size]
         cut = np.array([hot.get(x, 1) for x in names.tolist()])[pair // size]
-        part = mixed(np.where(self.v == START, self.w, self.u)) % cut
-        self.bucket = mixed(self.v * 1_000_003 + part) % buckets
-        self.part = np.where(self.v == START, 0, part)  # its parts are dishes of one restaurant
+        self.bucket = mixed(self.v * 1_000_003 + mixed(self.w) % cut) % buckets
 
     def sent(self, chunk: int, train: np.ndarray) -> Iterator[dict]:
         """A row for each bucket: triples in order, with their counts in training."""
@@ -217,7 +217,7 @@ class Triples:
         for lo, hi in zip(cuts, cuts[1:]):
             at = order[lo:hi]
             yield {
-                "bucket": int(b[lo]), "chunk": chunk, "v": packed(self.v[at], True), "part": packed(self.part[at], True), "u": packed(self.u[at], True), "w": packed(self.w[at]), "c": packed(counts[at]),
+                "bucket": int(b[lo]), "chunk": chunk, "v": packed(self.v[at], True), "u": packed(self.u[at], True), "w": packed(self.w[at]), "c": packed(counts[at]),
             }
 
 
@@ -229,7 +229,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return (y >> np.uint64(33)).astype(np.int64)
 
 
-SENT = "bucket bigint, chunk bigint, v binary, part binary, u binary, w binary, c binary"
+SENT = "bucket bigint, chunk bigint, v binary, u binary, w binary, c binary"
 
 
 class Seating:
@@ -460,17 +460,15 @@ class Bucket:
     """The restaurants of a bucket: triples i in restaurants of pairs (customers c, tables t), which are dishes k in
     restaurants of words (customers c1, tables t1).
 
-    ``starts`` is (all customers, all tables, all tables at the parent, own tables, own tables at the parent) of the start of
-    texts, if it is dealt to several buckets; but for the first, None in the first round, when the others are taken to have as
-    many tables for a customer."""
+    ``hot`` are the words whose restaurants have dishes in several buckets; ``hear`` tells of those elsewhere."""
 
-    def __init__(self, rows: pa.Table, seed: int, discounts: tuple[float, float] | None = None, strengths: tuple[float, float] | None = None, starts: tuple | None = None) -> None:
+    def __init__(self, rows: pa.Table, seed: int, discounts: tuple[float, float] | None = None, strengths: tuple[float, float] | None = None, hot: Collection[int] = ()) -> None:
         rows = rows.sort_by("chunk")
-        lists = {x: [unpacked(b, x in ("v", "part", "u")) for b in rows[x].to_pylist()] for x in ("v", "part", "u", "w", "c")}
+        lists = {x: [unpacked(b, x in ("v", "u")) for b in rows[x].to_pylist()] for x in ("v", "u", "w", "c")}
         self.chunks, self.each = rows["chunk"].to_pylist(), np.array([len(x) for x in lists["w"]])
-        v, part, u, w, c = (np.concatenate(lists[x]) for x in ("v", "part", "u", "w", "c"))
+        v, u, w, c = (np.concatenate(lists[x]) for x in ("v", "u", "w", "c"))
         del lists
-        room, v = np.unique(v * (int(part.max(initial=0)) + 1) + part, return_inverse=True)
+        room, v = np.unique(v, return_inverse=True)
         self.names, w = np.unique(w, return_inverse=True)
         wide = int(u.max(initial=0)) + 1
         pair, of = np.unique(v * wide + u, return_inverse=True)
@@ -480,35 +478,52 @@ class Bucket:
         self.room_of_pair = pair // wide
         dish, self.dish = np.unique(self.room_of_pair[self.pair] * len(self.names) + w, return_inverse=True)
         self.room, self.word = dish // len(self.names), dish % len(self.names)
-        self.n_rooms, self.rng = len(room), np.random.default_rng([seed, int(rows["bucket"][0].as_py())])
+        self.number = int(rows["bucket"][0].as_py())
+        self.n_rooms, self.rng = len(room), np.random.default_rng([seed, self.number])
 
         self.t = np.minimum(self.c, 1)
         self.c1 = np.bincount(self.dish, self.t, len(dish)).astype(np.int64)
         self.t1 = np.minimum(self.c1, 1)
+        own = np.isin(room, np.fromiter(hot, np.int64, len(hot)))
+        self.rooms, self.pairs = np.flatnonzero(own), np.flatnonzero(own[self.room_of_pair])  # shared with other buckets
+        self.shared = np.append(room[self.room_of_pair[self.pairs]], room[self.rooms]), np.append(pair[self.pairs] % wide, np.full(len(self.rooms), WHOLE))
         self.of_pair = np.bincount(self.pair, self.c, len(pair)).astype(np.int64)
-        self.elsewhere, self.shared = (0, 0), starts is not None and len(room) > 0 and room[0] == START
-        if self.shared:  # the first room and the first pair
-            own, (everyone, *told) = int(self.of_pair[0]), starts
-            if told[0] is None:
-                k = (everyone - own) / max(own, 1)
-                self.elsewhere = (int(k * self.t[self.pair == 0].sum()), int(k * self.t1[self.room == 0].sum()))
-            else:
-                self.elsewhere = (told[0] - told[2], told[1] - told[3])
-            self.of_pair[0] = everyone
+        self.elsewhere = np.zeros((2, len(self.shared[0])), np.int64)  # customers and tables of the shared pairs, then rooms
         self._total()
         self.many = np.flatnonzero(self.c > 1)  # a lone customer has a table of its own in any seating
-        self.d = discounts or (_discount(self.c1), _discount(self.c))
-        self.strengths, self.s = strengths, strengths or (1.0, 1.0)
+        self.ones = [int((x == k).sum()) for x in (self.c1, self.c) for k in (1, 2)]
+        self.d = discounts or (_discount_of(*self.ones[:2]), _discount_of(*self.ones[2:]))
+        self.strengths, self.s, self.likely = strengths, strengths or (1.0, 1.0), np.zeros(2 * len(GRID), np.int64)
+
+    def _own_shared(self) -> np.ndarray:
+        """Customers and tables that the shared pairs and rooms have here."""
+        n = len(self.of_pair)
+        pairs = [np.bincount(self.pair, x, n)[self.pairs] for x in (self.c, self.t)]
+        rooms = [np.bincount(self.room, x, self.n_rooms)[self.rooms] for x in (self.c1, self.t1)]
+        return np.concatenate([pairs, rooms], axis=1).astype(np.int64)
+
+    def _shared_parts(self, parts: int) -> np.ndarray:
+        """Which part adds up each shared pair or room."""
+        v, u = self.shared
+        return mixed(v * 1_000_003 + u) % parts
+
+    def hear(self, said: dict[int, dict], parts: int) -> None:
+        """Takes over what shared restaurants have in other buckets."""
+        part = self._shared_parts(parts)
+        for p in np.unique(part).tolist():
+            self.elsewhere[:, part == p] = unpacked(said[-1 - p]["own"]).reshape(2, -1)
+        self.of_pair[self.pairs] += self.elsewhere[0, : len(self.pairs)]
+        self._total()
 
     def _total(self) -> None:
         """Tables of each pair; customers and tables of each word."""
         self.tables = np.bincount(self.pair, self.t, len(self.of_pair)).astype(np.int64)
         self.of_room = np.bincount(self.room, self.c1, self.n_rooms).astype(np.int64)
         self.tables1 = np.bincount(self.room, self.t1, self.n_rooms).astype(np.int64)
-        if self.shared:
-            self.tables[0] += self.elsewhere[0]
-            self.of_room[0] += self.elsewhere[0]
-            self.tables1[0] += self.elsewhere[1]
+        n = len(self.pairs)
+        self.tables[self.pairs] += self.elsewhere[1, :n]
+        self.of_room[self.rooms] += self.elsewhere[0, n:]
+        self.tables1[self.rooms] += self.elsewhere[1, n:]
 
     def own(self) -> np.ndarray:
         """Customers that the names have in the root from here."""
@@ -562,7 +577,8 @@ class Bucket:
         for k in range(scans):
             self.scan(root)
             if self.strengths is None and not k:
-                self.s = (_strength(self.d[0], self.of_room, self.tables1), _strength(self.d[1], self.of_pair, self.tables))
+                both = [_likely(self.d[0], self.of_room, self.tables1), _likely(self.d[1], self.of_pair, self.tables)]
+                self.s, self.likely = tuple(GRID[int(np.argmax(x))] for x in both), np.concatenate(both)
 
     def probability(self, root: Root) -> np.ndarray:
         (d1, d2), (s1, s2), p = self.d, self.s, root.probability()[self.word]
@@ -571,11 +587,15 @@ class Bucket:
 
     def to_root(self, parts: int) -> Iterator[dict]:
         """The customers that words (but those seen once, which have one each) have in the root, for each of its parts; also of
-        words without any here, since texts that are held out ask for them."""
+        words without any here, since texts that are held out ask for them.  Negative parts are those of shared restaurants; one
+        of them also gets what discounts and strengths follow from."""
         n = self.own()
         yield from _by_part(self.names, parts, lambda at: {"c": packed(n[at])})
-        if self.shared:
-            yield {"part": STARTS, "words": packed(self.names[:0]), "c": packed([int(self.t[self.pair == 0].sum()), int(self.t1[self.room == 0].sum())])}
+        part, own, words = self._shared_parts(parts), self._own_shared(), np.stack(self.shared)
+        levels = [*self.ones, *self.likely.tolist()]
+        for p in sorted({self.number % parts, *np.unique(part).tolist()}):
+            at = part == p
+            yield {"part": -1 - p, "words": packed(words[:, at].ravel()), "c": packed(own[:, at].ravel()), "levels": levels if p == self.number % parts else None}
 
 
 def _by_part(names: np.ndarray, parts: int, more) -> Iterator[dict]:
@@ -593,32 +613,26 @@ def _turns(c: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.where(c > SMALL, turn % 2, turn)
 
 
-def _discount(counts: np.ndarray) -> float:
-    return _discount_of(int((counts == 1).sum()), int((counts == 2).sum()))
-
-
 def _discount_of(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-def _strength(d: float, customers: np.ndarray, tables: np.ndarray) -> float:
-    """Of GRID, that under which these restaurants are likeliest."""
+def _likely(d: float, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """How likely these restaurants are under each strength of GRID, as whole millionths of logarithms, whose sums are exact."""
     many, wide = customers > 1, int(tables.max(initial=0)) + 1
     both, times = np.unique(customers[many] * wide + tables[many], return_counts=True)
     c, t = both // wide, both % wide
     logs = [float((times * (log_gamma(s / d + t) - math.lgamma(s / d + 1) - log_gamma(s + c) + math.lgamma(s + 1))).sum()) for s in GRID]
-    return GRID[int(np.argmax(logs))]
+    return np.rint(np.array(logs) * MICRO).astype(np.int64)
 
 
-ROOT = "part bigint, bucket array<bigint>, words binary, asked array<binary>, own array<binary>, c binary, ones bigint, twos bigint, total bigint"
+ROOT = "part bigint, bucket array<bigint>, words binary, asked array<binary>, own array<binary>, c binary, ones bigint, twos bigint, total bigint, levels array<bigint>"
 
 
 def root_part(rows: pa.Table, schema: pa.Schema) -> pa.Table:
     """A part of the root: its words and customers, and which of them each bucket has."""
-    if rows["part"][0].as_py() == STARTS:
-        all_ = np.sum([unpacked(b) for b in rows["c"].to_pylist()], axis=0)
-        row = {"part": STARTS, "bucket": rows["bucket"].to_pylist(), "words": packed(all_[:0]), "asked": [], "own": rows["c"].to_pylist(), "c": packed(all_), "ones": 0, "twos": 0, "total": 0}
-        return pa.Table.from_pylist([row], schema)
+    if rows["part"][0].as_py() < 0:
+        return shared_part(rows, schema)
     words = [unpacked(b, True) for b in rows["words"].to_pylist()]
     known, at = np.unique(np.concatenate(words), return_inverse=True)
     c = np.bincount(at, np.concatenate([unpacked(b) for b in rows["c"].to_pylist()]), len(known)).astype(np.int64)
@@ -627,6 +641,18 @@ def root_part(rows: pa.Table, schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist([row], schema)
 
 
+def shared_part(rows: pa.Table, schema: pa.Schema) -> pa.Table:
+    """For each bucket, the customers and tables that its shared pairs and rooms have elsewhere; sums of the levels' figures."""
+    keys = [unpacked(b).reshape(2, -1) for b in rows["words"].to_pylist()]
+    (v, u), own = np.concatenate(keys, axis=1), np.concatenate([unpacked(b).reshape(2, -1) for b in rows["c"].to_pylist()], axis=1)
+    _, at = np.unique(v * (int(u.max(initial=0)) + 1) + u, return_inverse=True)
+    elsewhere = np.stack([np.bincount(at, x).astype(np.int64)[at] if len(at) else x for x in own]) - own
+    told = [packed(x.ravel()) for x in np.split(elsewhere, np.cumsum([k.shape[1] for k in keys])[:-1], axis=1)]
+    levels = np.sum([x for x in rows["levels"].to_pylist() if x is not None] or [[0] * (4 + 2 * len(GRID))], axis=0)
+    row = {"part": rows["part"][0].as_py(), "bucket": rows["bucket"].to_pylist(), "words": packed(v[:0]), "asked": [], "own": told, "c": packed(v[:0]), "ones": 0, "twos": 0, "total": 0, "levels": levels.tolist()}
+    return pa.Table.from_pylist([row], schema)
+
+
 def root_tables(row: dict, model: dict, scans: int, samples: int) -> list[np.ndarray]:
     """Tables of the part's words in each sample, with the root's number of tables held at what the samples before gave."""
     c, rng, out = unpacked(row["c"].as_py()), np.random.default_rng([model["seed"], 1, int(row["part"].as_py())]), []
@@ -658,10 +684,10 @@ def score(docs: DataFrame, rounds: int = ROUNDS, scans: int = SCANS, samples: in
     discard(spark, path)
     discard(spark, numbers_path)
     trained = int(texts.select(F.coalesce(F.sum(F.expr("size(filter(held, h -> not h))")), F.lit(0))).first()[0])
-    if trained > bucket_tokens:
+    if trained > bucket_tokens:  # each text has one token after the start
         hot[START] = -(-trained // bucket_tokens)
     buckets = max(16, -(-n // bucket_tokens))
-    lower = (discounts and discounts[1:], strengths and strengths[1:])
+    given = (discounts and discounts[1:], strengths and strengths[1:])
 
     def sends() -> DataFrame:
         def run(row: dict) -> Iterator[dict]:
@@ -670,19 +696,24 @@ def score(docs: DataFrame, rounds: int = ROUNDS, scans: int = SCANS, samples: in
 
         return _map(texts.select("chunk", "held", "sizes", "seq", "words"), run, SENT)
 
-    to_root, to_chunks = "part bigint, bucket bigint, words binary, c binary", "chunk bigint, bucket bigint, logs binary"
+    to_root, to_chunks = "part bigint, bucket bigint, words binary, c binary, levels array<bigint>", "chunk bigint, bucket bigint, logs binary"
     root_schema, up_schema, answer_schema = map(_arrow, (ROOT, to_root, to_chunks))
 
-    def root_after(up: DataFrame) -> tuple[dict, DataFrame]:
-        """The root, sampled from the customers that buckets send: its totals, and what it says to each bucket."""
+    def root_after(up: DataFrame, lower: tuple | None = None) -> tuple[dict, DataFrame]:
+        """The root, sampled from the customers that buckets send: its totals, and what it says to each bucket; also the
+        discounts and strengths of the lower levels, unless these are known."""
         root = written(up.groupBy("part").applyInArrow(lambda rows: root_part(rows, root_schema), ROOT), "lm-root")
         free_shuffles(spark)
         ones, twos, customers = map(int, root.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("ones", "twos", "total")]).first())
-        model = {"d": discounts[0] if discounts else _discount_of(ones + once, twos), "s": strengths[0] if strengths else 1.0, "base": 1 / (v + 1), "seed": seed, "tables": v, "customers": customers + once}
+        model = {"d": discounts[0] if discounts else _discount_of(ones + once, twos), "s": strengths[0] if strengths else 1.0, "base": 1 / (v + 1), "seed": seed, "tables": v, "customers": customers + once, "lower": lower}
+        if lower is None:
+            a, b, c, d, *likely = root.filter("part < 0").agg(*[F.coalesce(F.sum(F.col("levels")[k]), F.lit(0)) for k in range(4 + 2 * len(GRID))]).first()
+            best = tuple(GRID[int(np.argmax(likely[k : k + len(GRID)]))] for k in (0, len(GRID)))
+            model["lower"] = (given[0] or (_discount_of(a, b), _discount_of(c, d)), given[1] or best)
 
         def tables(model: dict) -> list[int]:
             """The root's tables in each sample."""
-            own = _map(root.filter(F.col("part") != STARTS).select("part", "c"), lambda r: [{"k": k, "t": int(t.sum())} for k, t in enumerate(root_tables(r, model, scans, samples))], "k int, t bigint")
+            own = _map(root.filter("part >= 0").select("part", "c"), lambda r: [{"k": k, "t": int(t.sum())} for k, t in enumerate(root_tables(r, model, scans, samples))], "k int, t bigint")
             got = {r.k: r.t for r in own.groupBy("k").agg(F.sum("t").alias("t")).collect()}
             return [once + got.get(k, 0) for k in range(samples)]
 
@@ -690,8 +721,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS, scans: int = SCANS, samples: in
         model["totals"] = tables(model)
 
         def down(row: dict) -> Iterator[dict]:
-            if row["part"].as_py() == STARTS:
-                yield from ({"bucket": b, "part": STARTS, "own": own, "c": row["c"].as_py(), "t": []} for b, own in zip(row["bucket"].as_py(), row["own"].as_py()))
+            if row["part"].as_py() < 0:
+                yield from ({"bucket": b, "part": row["part"].as_py(), "own": own, "c": row["c"].as_py(), "t": []} for b, own in zip(row["bucket"].as_py(), row["own"].as_py()))
                 return
             c, ts = unpacked(row["c"].as_py()), root_tables(row, model, scans, samples)
             for b, asked, own in zip(row["bucket"].as_py(), row["asked"].as_py(), row["own"].as_py()):
@@ -700,10 +731,9 @@ def score(docs: DataFrame, rounds: int = ROUNDS, scans: int = SCANS, samples: in
 
         return model, _map(root, down, "bucket bigint, part bigint, own binary, c binary, t array<binary>")
 
-    def root_of(names: np.ndarray, said: pa.Table, model: dict) -> list[Root]:
+    def root_of(names: np.ndarray, rows: dict[int, dict], model: dict) -> list[Root]:
         """The root in each sample, as a bucket with these names sees it."""
         seen_once, out = ((names >= FIRST) & (names % 2 == 1)).astype(np.float64), []
-        rows = {x["part"]: x for x in said.to_pylist()}
         for k in range(samples):
             c, t, own = seen_once.copy(), seen_once.copy(), seen_once.copy()
             for x in _by_part(names, parts, lambda at: {"at": at}):
@@ -713,22 +743,23 @@ def score(docs: DataFrame, rounds: int = ROUNDS, scans: int = SCANS, samples: in
             out.append(Root(c - model["d"] * t + back, 1 - model["d"] * np.where(c > 0, t / np.maximum(c, 1), 1), own, model["s"] + model["customers"], back))
         return out
 
-    def starts_of(said: pa.Table) -> tuple | None:
-        row = next((x for x in said.to_pylist() if x["part"] == STARTS), None)
-        return (trained, *unpacked(row["c"]).tolist(), *unpacked(row["own"]).tolist()) if row else None
+    def told_bucket(rows: pa.Table, said: pa.Table, seed: int, model: dict) -> tuple[Bucket, list[Root]]:
+        b, parts_said = Bucket(rows, seed, *model["lower"], hot), {x["part"]: x for x in said.to_pylist()}
+        b.hear(parts_said, parts)
+        return b, root_of(b.names, parts_said, model)
 
     def upward(b: Bucket, rows: pa.Table) -> pa.Table:
         return pa.Table.from_pylist([x | {"bucket": rows["bucket"][0].as_py()} for x in b.to_root(parts)], up_schema)
 
     def first(rows: pa.Table) -> pa.Table:
-        b = Bucket(rows, seed, *lower, (trained, None) if START in hot else None)
+        b = Bucket(rows, seed, *given, hot)
         b.burn_in(b.own_root(), scans)
         return upward(b, rows)
 
     def again(k: int, model: dict):
         def run(rows: pa.Table, said: pa.Table) -> pa.Table:
-            b = Bucket(rows, seed + k, *lower, starts_of(said))
-            b.burn_in(root_of(b.names, said, model)[-1], scans)
+            b, roots = told_bucket(rows, said, seed + k, model)
+            b.burn_in(roots[-1], scans)
             return upward(b, rows)
 
         return run
@@ -736,11 +767,10 @@ def score(docs: DataFrame, rounds: int = ROUNDS, scans: int = SCANS, samples: in
     free_shuffles(spark)
     model, told = root_after(sends().groupBy("bucket").applyInArrow(first, to_root))
     for k in range(1, rounds - 1):
-        model, told = root_after(sends().groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(again(k, model), to_root))
+        model, told = root_after(sends().groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(again(k, model), to_root), model["lower"])
 
     def answers(rows: pa.Table, said: pa.Table) -> pa.Table:
-        b = Bucket(rows, seed, *lower, starts_of(said))
-        roots = root_of(b.names, said, model)
+        b, roots = told_bucket(rows, said, seed, model)
         b.burn_in(roots[0], scans)
         p = np.zeros(len(b.c))
         for r in roots:

@@ -122,11 +122,13 @@ def plain(tiny):
     return probes, *plain_sampler(tiny, probes, DISCOUNTS, STRENGTHS, 400, 100)
 
 
-def test_scores_are_those_of_a_plain_sampler(spark, tiny, plain):
-    """Within what the one root that the last round uses may differ from the average over many."""
+@pytest.mark.parametrize("bucket_tokens", [1_000_000, 60])
+def test_scores_are_those_of_a_plain_sampler(spark, tiny, plain, bucket_tokens):
+    """Within what the one root that the last round uses may differ from the average over many; with restaurants in one bucket
+    and in several."""
     probes, want, _ = plain
     docs = [*zip(SEEN, tiny), *zip(HELD, probes)]
-    got = {r.doc_id: r.score for r in hpylm.score(spark.createDataFrame(docs, "doc_id bigint, text string"), rounds=3, scans=10, samples=50, discounts=DISCOUNTS, strengths=STRENGTHS).collect()}
+    got = {r.doc_id: r.score for r in hpylm.score(spark.createDataFrame(docs, "doc_id bigint, text string"), rounds=3, scans=10, samples=50, discounts=DISCOUNTS, strengths=STRENGTHS, bucket_tokens=bucket_tokens).collect()}
     apart = [(got[i] - x) / (len(t.split()) + 1) for i, t, x in zip(HELD, probes, want)]
     assert max(map(abs, apart)) < 0.06 and abs(sum(apart)) / len(apart) < 0.03, apart
 
@@ -137,7 +139,7 @@ def test_customers_are_those_of_a_plain_sampler(tiny, plain):
     counts = Counter((names[v], names[u], names[w]) for t in tiny for u, v, w in zip(["^", "^", *t.split()], ["^", *t.split()], [*t.split(), "</s>"]))
     keys = np.array(sorted(counts))
     c = np.array([counts[tuple(k)] for k in keys.tolist()])
-    row = {"bucket": 0, "chunk": 1, "v": hpylm.packed(keys[:, 0], True), "part": hpylm.packed(c * 0, True), "u": hpylm.packed(keys[:, 1], True), "w": hpylm.packed(keys[:, 2]), "c": hpylm.packed(c)}
+    row = {"bucket": 0, "chunk": 1, "v": hpylm.packed(keys[:, 0], True), "u": hpylm.packed(keys[:, 1], True), "w": hpylm.packed(keys[:, 2]), "c": hpylm.packed(c)}
     b, rng, base = hpylm.Bucket(pa.Table.from_pylist([row]), 1, DISCOUNTS[1:], STRENGTHS[1:]), np.random.default_rng(0), 1 / 10
     t0, seen = np.ones(len(b.names), np.int64), []
     for k in range(800):
@@ -157,7 +159,7 @@ def test_customers_are_those_of_a_plain_sampler(tiny, plain):
 
 @pytest.mark.parametrize("bucket_tokens", [1_000_000, 40])
 def test_probabilities_of_short_texts(spark, bucket_tokens):
-    """Of all texts of no, one and two words, with one restaurant for a word and with several; sums to 1 are tested by bucket."""
+    """Of all texts of no, one and two words, with restaurants in one bucket and in several; sums to 1 are tested by bucket."""
     texts = ["a b a c", "a b", "b a", "c", "a b c d e a b"] * 30
     words = [*sorted({w for t in texts for w in t.split()}), "unseen"]
     probes = ["", *words, *[f"{x} {y}" for x in words for y in words]]
@@ -235,7 +237,7 @@ def test_totals_of_a_bucket_hold():
     keys = np.unique(rng.integers(0, 6, (400, 3)) * [1, 1, 1], axis=0)
     v, u, w = (keys[:, k] * 2 + 4 for k in (0, 1, 2))
     c = rng.integers(0, 400, len(v))
-    row = {"bucket": 3, "chunk": 1, "v": hpylm.packed(v, True), "part": hpylm.packed(v * 0, True), "u": hpylm.packed(u, True), "w": hpylm.packed(w), "c": hpylm.packed(c)}
+    row = {"bucket": 3, "chunk": 1, "v": hpylm.packed(v, True), "u": hpylm.packed(u, True), "w": hpylm.packed(w), "c": hpylm.packed(c)}
     b = hpylm.Bucket(pa.Table.from_pylist([row]), 1)
     b.burn_in(b.own_root(), 3)
     assert (b.t <= b.c).all() and ((b.t > 0) == (b.c > 0)).all() and (b.t > 1).any()
@@ -261,6 +263,45 @@ def test_totals_of_a_bucket_hold():
     assert np.allclose(list(full.values()), 1)
 
 
+def test_a_restaurant_in_several_buckets_is_one():
+    """Customers, tables and probabilities of restaurants whose dishes lie in three buckets, against the same in one bucket."""
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, [2, 6, 40], (600, 3)), axis=0)
+    v, u, w = (keys[:, k] * 2 + 4 for k in range(3))
+    c, hot, parts = rng.integers(0, 30, len(v)), [4, 6], 2
+
+    def bucket(number, at, **more):
+        row = {"bucket": number, "chunk": 1, "v": hpylm.packed(v[at], True), "u": hpylm.packed(u[at], True), "w": hpylm.packed(w[at]), "c": hpylm.packed(c[at])}
+        return hpylm.Bucket(pa.Table.from_pylist([row]), 1, (0.5, 0.6), (1.0, 1.0), **more)
+
+    whole, cut = bucket(0, np.full(len(v), True)), [bucket(k, w // 2 % 3 == k, hot=hot) for k in range(3)]
+    schema, up = hpylm._arrow(hpylm.ROOT), hpylm._arrow("part bigint, bucket bigint, words binary, c binary, levels array<bigint>")
+    said, levels = [{} for _ in cut], []
+    for p in range(parts):
+        rows = [x | {"bucket": b.number} for b in cut for x in b.to_root(parts) if x["part"] == -1 - p]
+        row = hpylm.root_part(pa.Table.from_pylist(rows, up), schema).to_pylist()[0]
+        levels.append(row["levels"])
+        for k, own in zip(row["bucket"], row["own"]):
+            said[k][-1 - p] = {"own": own}
+    assert np.sum(levels, axis=0)[:4].tolist() == whole.ones
+    root, sums = whole.own_root(), np.zeros(len(whole.of_pair))
+    p = root.probability()
+    all_pairs = {(x, y): k for k, (x, y) in enumerate(sorted(set(zip(v.tolist(), u.tolist()))))}
+    for b, told in zip(cut, said):
+        b.hear(told, parts)
+        at = [all_pairs[k] for k in zip(*(x[: len(b.pairs)].tolist() for x in b.shared))]
+        assert len(at) == len(b.of_pair) and (b.of_pair == whole.of_pair[at]).all() and (b.tables == whole.tables[at]).all()
+        assert (b.of_room == whole.of_room).all() and (b.tables1 == whole.tables1).all()
+        own = np.searchsorted(whole.names, b.names)
+        seen = hpylm.Root(root.weight[own], root.gain[own], root.own[own], root.total, 1.0)
+        sums += np.bincount(np.array(at)[b.pair], b.probability(seen), len(sums))
+    assert np.allclose(sums, np.bincount(whole.pair, whole.probability(root), len(sums))) and p.sum() < 1
+    before = [(b.of_pair.copy(), b.elsewhere.copy()) for b in cut]
+    for b in cut:
+        b.burn_in(b.own_root(), 2)
+    assert all((b.of_pair == x).all() and (b.elsewhere == y).all() for b, (x, y) in zip(cut, before))
+
+
 def test_packing():
     rng = np.random.default_rng(0)
     for a in (np.zeros(0, np.int64), np.array([7]), rng.integers(-(2**40), 2**40, 1000), np.sort(rng.integers(0, 2**50, 1000))):
