@@ -7,9 +7,10 @@ share of the first t slots deviates from t w / W by less than one block.  The wi
 is scheduled, W being a parameter's size, and the rest is arithmetic on block numbers, whatever the number of documents.
 A source that has run out leaves its slots empty; the others keep theirs, and positions close the gaps.
 
-Within a source documents come in the order of md5(doc_id), doc_id and a hash of the row, so only rows that are the same in
-all columns (but maps) tie, and a task that runs again numbers rows as before.  Ranks are counted over ranges of the hash, so a
-source with a third of all rows is spread over as many tasks as it needs; rows with equal identifiers share a range.
+Within a source documents come in the order of md5(doc_id), a hash of the row and doc_id, so only rows that are the same in
+all columns (but maps) tie, and a task that runs again numbers rows as before.  Ranks are counted over ranges of md5(doc_id), so a
+source with a third of all rows is spread over as many tasks as it needs.  Identifiers that alone hold ``HEAVY`` times a range's
+share of rows (null may be one) get ranges of their own by the hash of the row; only rows that are the same share one of these.
 
 Defined results: sources that are not listed, and null, share the weight ``other`` and count as one source; no row is
 dropped or repeated; a null doc_id hashes as the empty text; repeated rows get ranks of their own; an empty table gives
@@ -19,8 +20,9 @@ no rows; texts are carried along whole.  ``interleaved`` carries all columns thr
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,6 +33,8 @@ TARGET = {"src0": 20} | {f"src{i}": 4 for i in range(1, 20)}
 OTHER, BLOCK = 4, 64
 #: Documents in a range of hashes, about; ranges of a source at most.
 RANGE_ROWS, RANGE_BITS = 1024, 16
+#: An identifier with so many times the rows of a range has its own; a source has 2 ** RANGE_BITS / HEAVY of them at most.
+HEAVY = 8
 NAMES = ("block_no", "slot", "release", "deadline", "position")
 
 
@@ -45,6 +49,32 @@ def period(weights: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def ranged(rows: DataFrame, held: dict[int, int]) -> tuple[DataFrame, list[str]]:
+    """Rows (s, h, x, ...) with the columns that name their range, whose order is that of h and x."""
+
+    def by_source(values: dict[int, int]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("s"))
+
+    bits = {s: min(RANGE_BITS, math.ceil(math.log2(max(1, n / RANGE_ROWS)))) for s, n in held.items()}  # a large source has more ranges
+    rows = rows.withColumn("r", F.call_function("shiftright", F.conv(F.substring("h", 1, 4), 16, 10).cast("int"), by_source({s: 16 - b for s, b in bits.items()})))
+    least = by_source({s: HEAVY * max(RANGE_ROWS, n >> bits[s]) for s, n in held.items()})
+    large = rows.groupBy("s", "r").count().filter(F.col("count") > least).select("s", "r").collect()
+    if not large:
+        return rows, ["s", "r"]
+    spark = rows.sparkSession
+    theirs = rows.join(F.broadcast(spark.createDataFrame(large, "s int, r int")), ["s", "r"], "left_semi")
+    heavy = theirs.groupBy("s", "r", "h").count().filter(F.col("count") > least).collect()
+    of = defaultdict(list)
+    for k in heavy:
+        of[k["s"], k["r"]].append((k["h"], min(RANGE_BITS, math.ceil(math.log2(k["count"] / RANGE_ROWS)))))
+    cuts = spark.createDataFrame([(*k, [h for h, _ in sorted(v)], [b for _, b in sorted(v)]) for k, v in of.items()], "s int, r int, hashes array<string>, bits array<int>")
+    at = F.array_position("hashes", F.col("h"))  # 0: not heavy; the heavy ones of a range come between the others
+    rows = rows.join(F.broadcast(cuts), ["s", "r"], "left")
+    place = F.coalesce(2 * F.size(F.filter("hashes", lambda y: y < F.col("h"))) + (at > 0).cast("int"), F.lit(0))
+    piece = F.when(at > 0, F.call_function("shiftright", F.col("x"), 64 - F.element_at("bits", at.cast("int")))).otherwise(F.lit(0).cast("bigint"))
+    return rows.withColumns({"place": place, "piece": piece}).drop("hashes", "bits"), ["s", "r", "place", "piece"]
+
+
 def scheduled(docs: DataFrame, target: dict[str, int] = TARGET, other: int = OTHER, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """``row`` (a struct of all columns of docs, so none can clash), block_no, slot, release, deadline and position."""
     names, all_columns = list(target), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
@@ -60,14 +90,12 @@ def scheduled(docs: DataFrame, target: dict[str, int] = TARGET, other: int = OTH
     if not present:
         return docs.select(all_columns, *[F.lit(None).cast("bigint").alias(n) for n in NAMES])
 
-    bits = {s: min(RANGE_BITS, math.ceil(math.log2(max(1, n / RANGE_ROWS)))) for s, n in held.items()}  # a large source has more ranges
-    away = F.element_at(F.create_map(*[F.lit(x) for s, b in bits.items() for x in (s, 16 - b)]), F.col("s"))
-    rows = rows.withColumn("r", F.call_function("shiftright", F.conv(F.substring("h", 1, 4), 16, 10).cast("int"), away))
-    sizes = rows.groupBy("s", "r").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("s", "r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o"))
-    own = Window.partitionBy("s", "r").orderBy("h", "id", "x")
-    rows = rows.withColumn("k", F.row_number().over(own) - 1).join(offsets, ["s", "r"])  # rows are dealt by these already
+    rows, keys = ranged(rows, held)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("s").orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o"))
+    own = Window.partitionBy(*keys).orderBy("h", "x", "id")
+    rows = rows.withColumn("k", F.row_number().over(own) - 1).join(offsets, keys)  # rows are dealt by these already
     rank = F.col("o") + F.col("k")
 
     plan, so_far = [], [0] * len(present)

@@ -422,6 +422,27 @@ def test_mixing_makes_no_more_files_than_asked(spark):
     assert got.rdd.getNumPartitions() == 7 and got.count() == 5000
 
 
+def test_mixing_splits_rows_that_share_an_identifier(spark, monkeypatch):
+    """Null and the empty text, whose hash is the same, and another identifier hold most rows; the order is that of a plain sort."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 16)
+    ids = [None] * 1500 + [""] * 500 + ["often"] * 700 + [str(k) for k in range(900)]
+    rows = [(i, f"text {k}", ["src0", "src1"][k % 7 == 0]) for k, i in enumerate(ids)] + [("often", "a copy", "src0")] * 3
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string").repartition(5)
+    hashed = docs.select("source", F.md5(F.coalesce("doc_id", F.lit(""))).alias("h"), F.xxhash64("doc_id", "text", "source").alias("x"), F.coalesce("doc_id", F.lit("")).alias("id"), "text")
+    plain = {}
+    for r in sorted(hashed.collect(), key=lambda r: (r.h, r.x, r.id)):
+        plain.setdefault(r.source, []).append(r.text)
+    got = {}
+    for r in mixing.scheduled(docs, block=8).orderBy("position").collect():
+        got.setdefault(r.row.source, []).append(r.row.text)
+    assert got == plain
+    s = F.when(F.col("source") == "src0", 0).otherwise(1)
+    held = {k: len(plain[f"src{k}"]) for k in (0, 1)}
+    cut, keys = mixing.ranged(hashed.withColumn("s", s), held)
+    sizes = [r["count"] for r in cut.groupBy(*keys).count().collect()]
+    assert len(keys) == 4 and sum(sizes) == len(rows) and max(sizes) <= 16 * mixing.HEAVY
+
+
 @pytest.mark.parametrize("most_broadcast", [0, 1 << 20])
 def test_a_text_of_a_third_of_the_rows_is_compared_where_it_is(spark, most_broadcast):
     """Neither way shuffles it but once for each task; weak digests are found out."""
