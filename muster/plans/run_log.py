@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from dataclasses import asdict
 from datetime import UTC, datetime, timedelta
@@ -18,6 +19,8 @@ CONFIG = "name string, image string, cron string, organizationId string, custome
 SETTINGS = "organizationId string, default_auth string, at timestamp, n int"
 #: A run that has been running for longer no longer stands in the way of another.
 STALE = timedelta(hours=12)
+#: Turns before the last whose files are kept.
+KEPT_TURNS = 20
 
 
 def latest(events: DataFrame, *key: str) -> DataFrame:
@@ -75,17 +78,20 @@ class RunLog:
     def __init__(self, spark: SparkSession, path: str, organization: str, company: str) -> None:
         self.events, self.organization, self.company = Events(spark, path, RUN), organization, company
         self.open: dict[str, dict] = {}
+        self.turns: dict[str, int] = {}
 
     def begin(self, manifest) -> str:
         """A new run, unless one of the company is running.
 
-        A mark file, of which the file system lets only one be made, keeps two from beginning at once; a stale one is replaced."""
-        fs, mark = self._mark()
-        if fs.exists(mark) and fs.getFileStatus(mark).getModificationTime() < (datetime.now(UTC) - STALE).timestamp() * 1000:
-            fs.delete(mark, False)
-        if self.active() or not fs.createNewFile(mark):
+        Runs take turns, each of which is a file that the file system lets only one process make.  The last turn is open until
+        its run adds an end to it or it is stale, and the next can be taken only then, so no file that another run may need is deleted."""
+        last, is_open = self._last_turn()
+        if is_open or self.active() or not self._made(f"{last + 1}"):
+            raise ConflictError("a run is already in progress")
+        if self._last_turn()[0] != last + 1:  # this process saw the turns before so late that others have come and gone
             raise ConflictError("a run is already in progress")
         run_id = str(uuid.uuid4())
+        self.turns[run_id] = last + 1
         self.open[run_id] = {"id": run_id, "organization_id": self.organization, "customer_company_id": self.company, "started_at": datetime.now(UTC), "manifest_snapshot": manifest.to_json(), "warnings": []}
         self.events.append(**self.open[run_id], status="running")
         return run_id
@@ -98,11 +104,35 @@ class RunLog:
         had = self.open.pop(run_id) | {"warnings": [(w.action_id, w.message, w.count, w.detail) for w in outcome.warnings]}
         self.events.append(**had, status=outcome.status, finished_at=datetime.now(UTC), rows_processed=outcome.rows, error_message=outcome.error, error_action_id=outcome.error_action)
 
-        fs, mark = self._mark()
-        fs.delete(mark, False)
-
-    def _mark(self) -> tuple:
-        return self.events.at(f"{self.events.path}-marks/{self.organization}/{self.company}")
+        turn = self.turns.pop(run_id)
+        self._made(f"{turn}.end")
+        for old in (f"{turn - KEPT_TURNS}", f"{turn - KEPT_TURNS}.end"):
+            fs, path = self._turn(old)
+            fs.delete(path, False)
+
+    def _last_turn(self) -> tuple[int, bool]:
+        """Number of the last turn (0: none yet), and whether its run goes on."""
+        fs, folder = self._turn()
+        files = {f.getPath().getName(): f.getModificationTime() for f in fs.listStatus(folder)} if fs.exists(folder) else {}
+        last = max((int(name) for name in files if name.isdigit()), default=0)
+        since = (datetime.now(UTC) - STALE).timestamp() * 1000
+        return last, last > 0 and f"{last}.end" not in files and files[f"{last}"] >= since
+
+    def _made(self, name: str) -> bool:
+        """Makes a file; False if there is one.  Hadoop's local file system looks first and then writes, so Python makes local ones."""
+        fs, path = self._turn(name)
+        if fs.getScheme() != "file":
+            return fs.createNewFile(path)
+        local = path.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            open(local, "x").close()
+        except FileExistsError:
+            return False
+        return True
+
+    def _turn(self, name: str = "") -> tuple:
+        return self.events.at(f"{self.events.path}-turns/{self.organization}/{self.company}/{name}".rstrip("/"))
 
     def runs(self) -> DataFrame:
         mine = self.events.read().filter((F.col("organization_id") == self.organization) & (F.col("customer_company_id") == self.company))

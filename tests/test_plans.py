@@ -1,9 +1,11 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
 from muster.context import visible
 from muster.errors import ConfigurationError, ConflictError, LogicError, StepError, ValidationError
+from muster.plans import run_log
 from muster.plans.manifest import REGISTRY, Environment, Manifest
 from muster.plans.run_log import ConfigStore, RunLog, last_page, listed
 from muster.plans.runner import Outcome, run, run_steps, validate, validate_pipeline
@@ -79,16 +81,46 @@ def test_tables_that_sinks_keep_are_let_go(env, spark):
 
 
 def test_two_runs_cannot_begin_at_once(spark, tmp_path):
-    """The mark of a run that another process has just begun stands in the way before its first record is there."""
+    """The turn of a run that another process has just begun stands in the way before its first record is there."""
     log, other = (RunLog(spark, str(tmp_path / "runs"), "org", "co") for _ in range(2))
-    fs, mark = other._mark()
-    assert fs.createNewFile(mark)
+    assert other._made("1")
     with pytest.raises(ConflictError):
         log.begin(manifest())
-    fs.setTimes(mark, 1000, 1000)  # a stale mark is replaced
+    fs, turn = other._turn("1")
+    fs.setTimes(turn, 1000, 1000)  # a stale turn is passed over
     run_id = log.begin(manifest())
     log.end(run_id, Outcome("success", 1, []))
-    assert not fs.exists(mark) and log.begin(manifest())
+    assert log._last_turn() == (2, False) and log.begin(manifest()) and log._last_turn() == (3, True)
+
+
+def test_one_of_many_replaces_a_stale_run(spark, tmp_path):
+    logs = [RunLog(spark, str(tmp_path / "runs"), "org", "co") for _ in range(6)]
+    assert logs[0]._made("1")
+    fs, turn = logs[0]._turn("1")
+    fs.setTimes(turn, 1000, 1000)
+
+    def begin(log):
+        try:
+            return log.begin(manifest())
+        except ConflictError:
+            return None
+
+    with ThreadPoolExecutor(len(logs)) as pool:
+        begun = list(pool.map(begin, logs))
+    assert sum(x is not None for x in begun) == 1 and logs[0].count() == 1
+
+
+def test_a_late_process_does_not_begin(spark, tmp_path, monkeypatch):
+    """It has seen turns that are long gone, whose files are no longer there."""
+    monkeypatch.setattr(run_log, "KEPT_TURNS", 2)
+    log, late = (RunLog(spark, str(tmp_path / "runs"), "org", "co") for _ in range(2))
+    for _ in range(5):
+        log.end(log.begin(manifest()), Outcome("success", 1, []))
+    seen = iter([(1, False)])
+    monkeypatch.setattr(late, "_last_turn", lambda: next(seen, None) or log._last_turn())
+    with pytest.raises(ConflictError):
+        late.begin(manifest())
+    assert log.begin(manifest())
 
 
 def test_pages_of_runs(spark):
