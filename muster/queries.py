@@ -414,31 +414,30 @@ def generic_ingestion_line_feeds(spark, sf):
     return out(generic_ingestion(spark, where, "texts.csv"))
 
 
-def _file(lines: DataFrame, before: str, after: str, name: str, between: str = "") -> str:
-    """One file of these lines (column ``line``, in any order) between two others."""
-    spark, folder = lines.sparkSession, scratch(lines.sparkSession, "file")
+def _upload(lines: DataFrame, before: str, after: str, name: str, between: str = "") -> str:
+    """An upload of these lines (column ``line``, in any order) between two others, in parts: a task writes each."""
+    spark, at = lines.sparkSession, f"{scratch(lines.sparkSession, 'file')}/{name}"
     ends = lambda x: spark.createDataFrame([(x,)], "line string").coalesce(1)
-    body = lines.coalesce(1).select(F.concat(F.when(F.monotonically_increasing_id() > 0, F.lit(between)).otherwise(F.lit("")), "line").alias("line"))
-    ends(before).union(body).union(ends(after)).coalesce(1).write.text(folder)
-    part = spark._jvm.org.apache.hadoop.fs.Path(spark.read.text(folder).inputFiles()[0])
-    to = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    part.getFileSystem(spark._jsc.hadoopConfiguration()).rename(part, to)
-    return f"{folder}/{name}"
+    if between:  # all lines but the first come after it
+        first = lines.select(F.monotonically_increasing_id().alias("k")).agg(F.min("k")).first()[0]
+        lines = lines.select(F.concat(F.when(F.monotonically_increasing_id() == first, F.lit("")).otherwise(F.lit(between)), "line").alias("line"))
+    ends(before).union(lines).union(ends(after)).write.text(at)
+    return at
 
 
 @query("""SELECT l_orderkey::VARCHAR AS key, l_linenumber::VARCHAR AS line, l_returnflag AS flag, '{"state":"' || l_linestatus || '"}' AS more,
   CASE WHEN l_linenumber = 1 THEN '' ELSE 'x' END AS note FROM lineitem""")
 def convert_json_array(spark, sf):
-    """All of lineitem as one array of objects."""
+    """All of lineitem as one array of objects, uploaded in parts."""
     t = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey AS key", "l_linenumber AS line", "l_returnflag AS flag", "struct(l_linestatus AS state) AS more", "if(l_linenumber = 1, '', 'x') AS note")
-    return convert(spark, _file(t.select(F.to_json(F.struct("*")).alias("line")), "[", "]", "lines.json", ","))
+    return convert(spark, _upload(t.select(F.to_json(F.struct("*")).alias("line")), "[", "]", "lines.json", ","))
 
 
 @query("SELECT o_orderkey::VARCHAR AS key, o_orderstatus AS status FROM orders")
 def convert_json_longest(spark, sf):
-    """The longer of two arrays of a root object."""
+    """The longer of two arrays of a root object that is uploaded in parts."""
     t = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey AS key", "o_orderstatus AS status")
-    return convert(spark, _file(t.select(F.to_json(F.struct("*")).alias("line")), '{"few":[{"a":1}],"n":5,"rows":[', "]}", "orders.json", ","), 1)
+    return convert(spark, _upload(t.select(F.to_json(F.struct("*")).alias("line")), '{"few":[{"a":1}],"n":5,"rows":[', "]}", "orders.json", ","), 1)
 
 
 @query("SELECT o_orderkey::VARCHAR AS key, o_orderstatus AS status, (o_custkey + 0.25)::VARCHAR AS amount FROM orders")
@@ -471,10 +470,10 @@ def convert_xlsx_sheet(spark, sf):
 
 @query("""SELECT o_orderkey::VARCHAR AS Key, o_orderstatus AS Status, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'a & b ' || o_custkey END AS Note FROM orders""")
 def convert_xml_records(spark, sf):
-    """All of orders as elements with a prefix, cut up among tasks."""
+    """All of orders as elements with a prefix, uploaded in parts and cut up among tasks."""
     t = spark.read.parquet(f"{sf}/orders.parquet")
     one = F.concat(F.lit('<o:Order id="1"><o:Key>'), "o_orderkey", F.lit("</o:Key><o:Status> "), "o_orderstatus", F.lit(" </o:Status>"), F.when(F.expr("o_orderkey % 3 = 0"), "<o:Note/>").otherwise(F.concat(F.lit("<o:Note><b>a &amp; b</b>"), "o_custkey", F.lit("</o:Note>"))), F.lit("</o:Order>"))
-    got = convert(spark, _file(t.select(one.alias("line")), '<o:Orders xmlns:o="u"><Head>x</Head>', "</o:Orders>", "orders.xml"))
+    got = convert(spark, _upload(t.select(one.alias("line")), '<o:Orders xmlns:o="u"><Head>x</Head>', "</o:Orders>", "orders.xml"))
     return got.select("Key", "Status", "Note")
 
 

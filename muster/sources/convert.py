@@ -1,7 +1,7 @@
 """Convert uploaded files to tables of strings: CSV, XLSX, JSON, XML, and tables that were recognised in documents.
 
-Spark reads the bytes by its own file systems.  JSON is read by its JSON reader, XML by tasks that each parse the records of
-a part of the file; a workbook, and what these ways can't tell, is parsed by a task as a whole.
+Spark reads the bytes by its own file systems.  JSON and XML are read by tasks that each take the records of a part of the file;
+a workbook, and what these ways can't tell, is parsed by a task as a whole.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from ..context import quoted
 from ..errors import ConfigurationError, IngestionError, ValidationError
+from . import parts
 from .csv import Location, checked_filename, read_csv, stem
 
 DOCUMENTS = ("pdf", "png", "jpg", "jpeg", "tiff", "tif")
@@ -250,36 +250,17 @@ def _variant_text(v: Column) -> Column:
 
 
 def json_table(spark: SparkSession, path: str, table: int) -> DataFrame | None:
-    """What ``json_rows`` makes of a file, by Spark's reader: a first pass finds the fields, or the lengths of the root object's
-    arrays, a second one makes the rows.  None for files that this can't be told of: the parser then names what is wrong.
-
-    Values are variants, each with a bounded size; the file as a whole has none."""
-    reader = spark.read.option("multiLine", True)
-    root = _first_character(spark, path)
-    fields = reader.option("primitivesAsString", True).json(path).schema.fields
-    plain = all(re.fullmatch(r"[^`'\\\]]+", f.name) for f in fields)
-    if root not in ("[", "{") or not fields or not plain or any(f.name == "_corrupt_record" for f in fields):
-        return None
-    if root == "[":
-        names, corrupt = sorted(f.name for f in fields), "_corrupt_record"
-        rows = reader.schema(", ".join([*[f"`{n}` variant" for n in names], f"{corrupt} string"])).json(path)
-        first = rows.limit(1).select(corrupt, *[F.col(f"`{n}`").isNotNull().alias(n) for n in names]).first()
-        if first is None or first[corrupt] is not None:
-            return None
-        return rows.select(*[_variant_text(F.col(f"`{n}`")).alias(n) for n in names if first[n]])  # fields of the first object
-    arrays = sorted(f.name for f in fields if isinstance(f.dataType, ArrayType))
-    if table >= len(arrays):
-        return None
-    rows = reader.schema(", ".join(f"`{n}` array<variant>" for n in arrays)).json(path)
-    sizes = rows.select(*[F.size(f"`{n}`").alias(n) for n in arrays]).first()
-    chosen = sorted(arrays, key=lambda n: sizes[n])[table]
-    if sizes[chosen] < 1:
-        return None
-    keys = rows.select(F.json_object_keys(F.to_json(F.get(f"`{chosen}`", F.lit(0))))).first()[0]
-    if not keys or not all(re.fullmatch(r"[^'\\\]]+", k) for k in keys):
+    """What ``json_rows`` makes of a file, by tasks that each read a part of it.  None for files that this can't be told of: the
+    parser then names what is wrong.
+
+    Values are variants, each with a bounded size; neither the file nor its arrays have one."""
+    root = next((c for f in parts.files(spark, path) if (c := _first_character(spark, f["path"]))), "")
+    found = parts.json_elements(spark, path, root, table) if root in ("[", "{") else None
+    if found is None or not all(re.fullmatch(r"[^`'\\\]]+", n) for n in found[0]):
         return None
-    rows = rows.select(F.explode(f"`{chosen}`").alias("v"))
-    return rows.select(*[_variant_text(F.try_variant_get("v", f"$['{k}']", "variant")).alias(k) for k in sorted(keys)])
+    names, elements = found
+    rows = elements.select(F.from_json("text", ", ".join(f"`{n}` variant" for n in names)).alias("v"))
+    return rows.select(*[_variant_text(F.col(f"v.`{n}`")).alias(n) for n in names])
 
 
 #: What a file that is cut at the ends of its records mustn't hold: marks in which anything may stand.
@@ -335,7 +316,7 @@ PARSERS = {"json": json_rows, "xml": xml_rows}
 
 
 def convert(spark: SparkSession, path: str, table_index: int = 0, iso_dates: bool = False) -> DataFrame:
-    """The table in a file by the file's extension; all columns are strings.
+    """The table in a file by the file's extension; all columns are strings.  JSON and XML may also come in parts, as a folder.
 
     Dates in workbooks are the numbers that they are stored as; with iso_dates, ISO dates or date-times."""
     kind = extension(path)
@@ -353,10 +334,10 @@ def convert(spark: SparkSession, path: str, table_index: int = 0, iso_dates: boo
     parse, out = PARSERS[kind], pa.schema([("k", pa.int64()), ("cells", pa.list_(pa.string()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data in (x.as_py() for b in batches for x in b.column(0)):
-            yield from _batches(enumerate(parse(data, table_index)), out)
+        whole = b"".join(x["content"] for x in sorted((x for b in batches for x in b.to_pylist()), key=lambda x: x["path"]))
+        yield from _batches(enumerate(parse(whole, table_index)), out)
 
-    cells = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "k bigint, cells array<string>")
+    cells = spark.read.format("binaryFile").load(path).select("path", "content").coalesce(1).mapInArrow(rows, "k bigint, cells array<string>")
     names = _unique(cells.filter("k = 0").collect()[0]["cells"], path)
     return cells.filter("k > 0").select(*[F.col("cells")[i].alias(n) for i, n in enumerate(names)])
 

@@ -320,3 +320,34 @@ def test_retry():
 
     with pytest.raises(OSError):
         Retry(sleep=pauses.append).run(fails)
+
+
+@pytest.mark.parametrize("part", [150, 1 << 20])
+def test_json_by_parts(spark, tmp_path, part):
+    """Blocks that end in texts, marks and nested values, and an upload in parts: as the parser has it, by tasks that hold no array."""
+    objects = [{"a": k, "b": {"x": [{"y": "}],{["}, k], "z": 'q"\\'}, "c": ["}", "\\\"}", None][k % 3]} for k in range(16)]
+    root = {"n": 1, "o": {"p": {"q": [1]}, "r": 2}, "few": [{"a": 1}], "none": [], "rows": objects[:9] + [7, None] + objects[9:], "s": "}]"}
+    texts = {"array": json.dumps(objects, separators=(",", ":")), "object": json.dumps(root, indent=1)}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k, v in zip(before, (part, 0)):
+        spark.conf.set(k, v)
+    try:
+        for name, text in texts.items():
+            (tmp_path / f"{name}.json").write_text(text)
+            (tmp_path / f"{name}-parts.json").mkdir()
+            for k in range(5):
+                (tmp_path / f"{name}-parts.json" / f"part-{k}").write_text(text[k * len(text) // 5 : (k + 1) * len(text) // 5])
+            want = [*convert.json_rows(text.encode(), 2)]
+            for path in (f"{name}.json", f"{name}-parts.json"):
+                got = convert.json_table(spark, str(tmp_path / path), 2)
+                assert got.columns == want[0] and sorted(map(list, got.collect())) == sorted(want[1:])
+        for k, odd in enumerate(() if part < 1000 else ('[{"a":1}{"a":2}]', '[{"a":1},]', '[{"a":1}]]', '[{"a":1}}', '{"a":[{"b":1}],"a":[{"b":2}]}', '{"a":[{"b":1}] "c":1}', '{"a":[{"b":1}],"c":x}', '[{"a":1},{"a":"}]', '[{"a":1,"a":2}]', '{"a":[{"b":1}}]')):
+            (tmp_path / f"odd{k}.json").write_text(odd)
+            assert convert.json_table(spark, str(tmp_path / f"odd{k}.json"), 0) is None
+        (tmp_path / "odd-parts.json").mkdir()
+        for k, text in enumerate(('[{"a":', "1},5]")):
+            (tmp_path / "odd-parts.json" / f"part-{k}").write_text(text)
+        assert rows(convert.convert(spark, str(tmp_path / "odd-parts.json"))) == [("1",), ("",)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
