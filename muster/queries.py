@@ -26,6 +26,8 @@ from .sources.sage import employees
 from .sources.workday import workers
 from .streaming import stateful
 
+#: Rows of a workbook that a task writes, besides its header.
+WORKBOOK_ROWS = 100_000
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 #: Countries that nations' keys stand for, in phone numbers.
@@ -442,30 +444,35 @@ def convert_json_longest(spark, sf):
 
 @query("SELECT o_orderkey::VARCHAR AS key, o_orderstatus AS status, (o_custkey + 0.25)::VARCHAR AS amount FROM orders")
 def convert_xlsx_sheet(spark, sf):
-    """All of orders as a sheet, written by a task and read by ranges of rows."""
+    """All of orders as sheets, which hold 1,048,576 rows at most by their format: tasks write workbooks and read them."""
     folder = scratch(spark, "workbook")
     t = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").cast("bigint"), "o_orderstatus", (F.col("o_custkey") + F.lit(0.25)).cast("double").alias("amount"))
 
     def write(batches):
+        import uuid
+        from itertools import chain, islice
+
         import pyarrow as pa
         import pyarrow.fs
 
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(base)
         relation = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-        with fs.open_output_stream(f"{base}/orders.xlsx") as to, zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("xl/workbook.xml", f'<workbook xmlns="{SHEET[1:-1]}" xmlns:r="{relation}"><sheets><sheet name="S" sheetId="1" r:id="a"/></sheets></workbook>')
-            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/></Relationships>')
-            with z.open("xl/worksheets/sheet1.xml", "w") as entry:
-                entry.write(f'<worksheet xmlns="{SHEET[1:-1]}"><sheetData><row r="1">'.encode() + b"".join(b'<c t="inlineStr"><is><t>%s</t></is></c>' % n for n in (b"key", b"status", b"amount")) + b"</row>")
-                for b in batches:
-                    for k, s, a in zip(*[c.to_pylist() for c in b.columns]):
+        rows, row, name = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns])), None, None
+        while name is None or (row := next(rows, None)):
+            name = f"orders-{uuid.uuid4().hex}.xlsx"
+            with fs.open_output_stream(f"{base}/{name}") as to, zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("xl/workbook.xml", f'<workbook xmlns="{SHEET[1:-1]}" xmlns:r="{relation}"><sheets><sheet name="S" sheetId="1" r:id="a"/></sheets></workbook>')
+                z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/></Relationships>')
+                with z.open("xl/worksheets/sheet1.xml", "w") as entry:
+                    entry.write(f'<worksheet xmlns="{SHEET[1:-1]}"><sheetData><row r="1">'.encode() + b"".join(b'<c t="inlineStr"><is><t>%s</t></is></c>' % n for n in (b"key", b"status", b"amount")) + b"</row>")
+                    for k, s, a in islice(chain([row] if row else [], rows), WORKBOOK_ROWS):
                         entry.write(f'<row><c><v>{k}</v></c><c t="inlineStr"><is><t>{s}</t></is></c><c><v>{a}</v></c></row>'.encode())
-                entry.write(b"</sheetData></worksheet>")
-        yield pa.RecordBatch.from_pydict({"n": [1]})
+                    entry.write(b"</sheetData></worksheet>")
+            yield pa.RecordBatch.from_pydict({"name": [name]})
 
-    t.coalesce(1).mapInArrow(write, "n bigint").collect()
-    return xlsx_table(spark, f"{folder}/orders.xlsx", part_bytes=1 << 16)
+    names = [r["name"] for r in t.mapInArrow(write, "name string").collect()]
+    return xlsx_table(spark, [f"{folder}/{n}" for n in names])
 
 
 @query("""SELECT o_orderkey::VARCHAR AS Key, o_orderstatus AS Status, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'a & b ' || o_custkey END AS Note FROM orders""")

@@ -31,8 +31,8 @@ from .csv import Location, checked_filename, read_csv, stem
 
 DOCUMENTS = ("pdf", "png", "jpg", "jpeg", "tiff", "tif")
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-#: Number formats of the file format that show dates or times; rows that a task hands on at once.
-BUILT_IN_DATES, ROWS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}, 4096
+#: Number formats of the file format that show dates or times; rows that a task hands on, and parses, at once.
+BUILT_IN_DATES, ROWS, TOGETHER = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}, 4096, 256
 #: Bytes of a sheet that are unpacked at once; of a workbook for which a task more takes part, and tasks at most.
 PIECE, PART_BYTES, MOST_PARTS = 1 << 20, 8 << 20, 16
 ROW, NUMBER, PREFIXED = re.compile(rb"<row(?:\s[^>]*)?(?<!/)>.*?</row>|<row(?:\s[^>]*)?/>", re.S), re.compile(rb'<row\s[^>]*?\br="(\d+)"'), re.compile(rb"\s[\w.\-]+:[\w.\-]+=(?:\"[^\"]*\"|'[^']*')")
@@ -156,7 +156,7 @@ def sheet_rows(data: bytes, sheet: int, iso_dates: bool = False, part: int = 0,
         name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
         with z.open(name) as entry:
             prefixed = re.search(rb"<\w+:worksheet", entry.read(4096)) is not None
-        last = 0
+        last, held = 0, []
         with z.open(name) as entry:
             if prefixed:
                 rows = ((int(x.get("r") or 0), x) for _, x in ET.iterparse(entry) if x.tag == f"{SHEET}row")
@@ -165,12 +165,25 @@ def sheet_rows(data: bytes, sheet: int, iso_dates: bool = False, part: int = 0,
             for k, (number, row) in enumerate(rows):
                 number = number or last + 1
                 if k // ROWS % parts == part:
-                    yield from ((n, []) for n in range(last + 1, number))
-                    element = row if prefixed else ET.fromstring(b'<x xmlns="' + SHEET[1:-1].encode() + b'">' + PREFIXED.sub(b"", row) + b"</x>")
-                    yield number, _cells(element, shared, dates, from_1904)
                     if prefixed:
+                        yield from ((n, []) for n in range(last + 1, number))
+                        yield number, _cells(row, shared, dates, from_1904)
                         row.clear()
+                    else:
+                        held.append((last, number, row))
+                if len(held) == TOGETHER or held and k // ROWS % parts != part:
+                    yield from _parsed(held, shared, dates, from_1904)
+                    held = []
                 last = max(last, number)
+            yield from _parsed(held, shared, dates, from_1904)
+
+
+def _parsed(rows: list[tuple[int, int, bytes]], shared: Texts, dates: set[int], from_1904: bool) -> Iterator[tuple[int, list[str]]]:
+    """Numbers and cells of rows, each with the last number before it; gaps are rows without cells."""
+    elements = ET.fromstring(b'<x xmlns="' + SHEET[1:-1].encode() + b'">' + PREFIXED.sub(b"", b"".join(r for _, _, r in rows)) + b"</x>")
+    for (last, number, _), element in zip(rows, elements):
+        yield from ((n, []) for n in range(last + 1, number))
+        yield number, _cells(element, shared, dates, from_1904)
 
 
 def json_text(v: object) -> str:
@@ -353,27 +366,46 @@ def _unique(names: list[str], path: str) -> list[str]:
     return names
 
 
-def xlsx_table(spark: SparkSession, path: str, sheet: int = 0, iso_dates: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
-    """A workbook's sheet; the first row with cells is its header.  Large workbooks are read by several tasks."""
-    file, out = spark.read.format("binaryFile").load(path), pa.schema([("k", pa.int64()), ("cells", pa.list_(pa.string()))])
-    parts = min(MOST_PARTS, max(1, math.ceil(file.select("length").first()[0] / part_bytes)))
+def xlsx_table(spark: SparkSession, path: str | list[str], sheet: int = 0, iso_dates: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
+    """A workbook's sheet, or the rows of several workbooks with the same header; the first row with cells is a sheet's header.
+
+    Tasks each read some of the workbooks; large ones are read by several tasks."""
+    file, out = spark.read.format("binaryFile").load(path), pa.schema([("book", pa.int64()), ("k", pa.int64()), ("cells", pa.list_(pa.string()))])
+    parts = min(MOST_PARTS, max(1, math.ceil(file.agg(F.max("length")).first()[0] / part_bytes)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data in ((p.as_py(), x.as_py()) for b in batches for p, x in zip(b.column(0), b.column(1))):
-            yield from _batches(sheet_rows(data, sheet, iso_dates, part, parts), out)
-
-    each = [file.select(F.lit(k).alias("part"), "content") for k in range(parts)]
-    cells = reduce(DataFrame.union, each).mapInArrow(rows, "k bigint, cells array<string>")
-    filled = F.size("cells") > 0
-    told = cells.agg(F.max(F.size("cells")).alias("width"), F.min(F.when(filled, F.struct("k", "cells"))).alias("header")).first()
-    if told["header"] is None:
+        for book, part, data in (tuple(x.as_py() for x in row) for b in batches for row in zip(*b.columns)):
+            yield from _batches(((book, *row) for row in sheet_rows(data, sheet, iso_dates, part, parts)), out)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The width of each workbook's part, and its first row with cells."""
+        for b in batches:
+            for book, part, data in zip(*[c.to_pylist() for c in b.columns]):
+                width, head = 0, (None, None)
+                for k, cells in sheet_rows(data, sheet, iso_dates, part, parts):
+                    width, head = max(width, len(cells)), (k, cells) if cells and not width else head
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((book, width, *head), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())))], names=["book", "width", "k", "cells"])
+
+    each = reduce(DataFrame.union, [file.select(F.xxhash64("path").alias("book"), F.lit(k).alias("part"), "content") for k in range(parts)])
+    cells = each.mapInArrow(rows, "book bigint, k bigint, cells array<string>")
+    seen, heads = each.mapInArrow(look, "book bigint, width bigint, k bigint, cells array<string>").collect(), {}
+    for r in seen:
+        heads[r["book"]] = min((x for x in (heads.get(r["book"]), r["k"] and (r["k"], r["cells"])) if x), default=None)
+    if not heads or not all(heads.values()):
         raise ValidationError("the sheet is empty")
-    names = [*told["header"]["cells"], *[""] * (told["width"] - len(told["header"]["cells"]))]
+    headers, width = {tuple(cells) for _, cells in heads.values()}, max(r["width"] for r in seen)
+    if len(headers) > 1:
+        raise ConfigurationError(f"the workbooks have {len(headers)} different headers")
+    names = [*headers.pop()]
+    names += [""] * (width - len(names))
     if not any(names):
         raise ValidationError("the sheet's header has no column names")
-    _unique(names, path)
-    body = cells.filter(F.col("k") > told["header"]["k"])
-    return body.select(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
+    _unique(names, str(path))
+    first = {k for k, _ in heads.values()}
+    if len(first) > 1:
+        after = spark.createDataFrame([(book, k) for book, (k, _) in heads.items()], "book bigint, head bigint")
+        cells = cells.join(F.broadcast(after), "book").filter("k > head")
+    return cells.filter(F.col("k") > min(first)).select(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
 def prepare_source(spark: SparkSession, location: Location, uploaded: str, table_index: int = 0, iso_dates: bool = False) -> tuple[str, list[str]]:

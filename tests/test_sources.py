@@ -191,6 +191,17 @@ def test_a_sheet_in_ranges(spark, tmp_path, monkeypatch):
     assert got[12] == ("", "", "") and got[0] == ("20", "t<2", "22") and got[2] == ("40", "", "t<4")
 
 
+def test_workbooks_with_one_header(spark, tmp_path):
+    """Several workbooks are one table, wherever their headers are; other headers are refused."""
+    head, row = ['<c t="s"><v>0</v></c>', '<c t="s"><v>1</v></c>'], lambda k: [f"<c><v>{k}</v></c>"]
+    for name, cells in (("a", [(1, head), (2, row(1))]), ("b", [(3, head), (4, row(2)), (5, row(3))]), ("c", [(1, head)]), ("d", [(1, head[:1])])):
+        (tmp_path / f"{name}.xlsx").write_bytes(workbook(cells))
+    got = convert.xlsx_table(spark, [str(tmp_path / f"{n}.xlsx") for n in "abc"])
+    assert got.columns == ["id", "name"] and sorted(rows(got)) == [("1", ""), ("2", ""), ("3", "")]
+    with pytest.raises(ConfigurationError, match="different headers"):
+        convert.xlsx_table(spark, [str(tmp_path / f"{n}.xlsx") for n in "ad"])
+
+
 def test_shared_strings_and_sheets_are_not_held_as_trees(tmp_path):
     """A sheet of some 12 MB is taken apart in a fraction of that memory."""
     import tracemalloc
