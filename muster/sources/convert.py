@@ -22,7 +22,6 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..context import quoted
 from ..errors import ConfigurationError, IngestionError, ValidationError
@@ -277,52 +276,119 @@ def json_table(spark: SparkSession, path: str, table: int) -> DataFrame | None:
 
 
 #: What a file that is cut at the ends of its records mustn't hold: marks in which anything may stand.
-ODD_XML = ("<![CDATA[", "<!--", "<!DOCTYPE", "<!ENTITY")
-NAME = r"(?:[\w.\-]+:)?[\w.\-]+"
+ODD = (b"<![CDATA[", b"<!--", b"<!DOCTYPE", b"<!ENTITY")
+
+
+TAG = re.compile(rb"<(/?)((?:[\w.\-]+:)?[\w.\-]+)([^<>]*)>")
+TAGS = "file bigint, block bigint, name string, depth bigint, n bigint, first bigint, empty boolean, odd boolean"
+
+
+def _tags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block the elements that open, by depth (from the block's begin) and name; a row without a name says by how much the
+    depth changes, how many bytes there are, and whether a tag is open at its end (``empty``)."""
+    seen: dict[tuple[int, int], list] = {}
+
+    def take(s: list, data: bytes) -> None:
+        s[1] |= any(x in data for x in ODD)
+        for m in TAG.finditer(data):
+            close, name, rest = m.groups()
+            if close:
+                s[0] -= 1
+                continue
+            own = s[4].setdefault((name, s[0]), [0, len(s[4]), False])
+            own[0] += 1
+            if rest:
+                s[1] |= bool(rest.count(b"'") % 2 or rest.count(b'"') % 2)
+            if rest.endswith(b"/"):
+                own[2] = True
+            else:
+                s[0] += 1
+
+    for key, data in parts.stretches(batches, b">"):
+        s = seen.setdefault(key, [0, False, 1, b"", {}])
+        s[2] += len(data)
+        whole = s[3] + data
+        end = whole.rfind(b">") + 1
+        take(s, whole[:end])
+        s[3] = whole[end:]
+    for key, s in seen.items():
+        take(s, s[3] + b">")
+        found = [(*key, None, s[0], s[2], 0, b"<" in s[3], s[1]), *((*key, name.decode(), depth, *own, False) for (name, depth), own in s[4].items())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 3, pa.bool_(), pa.bool_()))], names=[x.split()[0] for x in TAGS.split(", ")])
+
+
+def _record(listed: list, told: list) -> str | None:
+    """The name of the root's most frequent children, if files can be cut after each of them."""
+    blocks = parts.in_order(listed, [{**r.asDict(), "bytes": r["n"]} for r in told if r["name"] is None])
+    follows = parts.ended(listed, blocks)
+    if not follows or any(b["odd"] for b in blocks):
+        return None
+    depth, base = 0, {}
+    for k, b in enumerate(blocks):
+        first, last = not k or blocks[k - 1]["file"] != b["file"], k + 1 == len(blocks) or blocks[k + 1]["file"] != b["file"]
+        if first and depth > 1 or last and b["empty"] and not follows[b["file"]]:  # an element, or a tag, lies in two files
+            return None
+        base[b["file"], b["block"]] = k, depth
+        depth += b["depth"]
+    names: dict[str, dict] = {}
+    for r in told:
+        if r["name"] is not None:
+            at, begin = base[r["file"], r["block"]]
+            x = names.setdefault(r["name"], {"n": 0, "all": 0, "first": (at, r["first"]), "empty": False})
+            x["n"] += r["n"] if begin + r["depth"] == 1 else 0
+            x["all"] += r["n"]
+            x["first"], x["empty"] = min(x["first"], (at, r["first"])), x["empty"] or r["empty"]
+    if depth or not names:
+        return None
+    record, most = min(names.items(), key=lambda x: (-x[1]["n"], x[1]["first"]))
+    local = lambda x: x.rpartition(":")[2]
+    top = {local(k): x["n"] for k, x in names.items() if x["n"]}
+    if not most["n"] or most["all"] != most["n"] or most["empty"] or Counter(map(local, names))[local(record)] > 1 or [*top.values()].count(most["n"]) > 1:
+        return None
+    return record
 
 
 def xml_table(spark: SparkSession, path: str) -> DataFrame | None:
     """What ``xml_rows`` makes of a file, by tasks that each read a part of it: Spark's text reader cuts the file at every
     ``>`` to count the root's children, and at the end of every record to parse records.  None for files that can't be cut so:
-    with comments and the like, records in records, or one name with several prefixes."""
-    tags = spark.read.option("lineSep", ">").text(path)
-    where = tags.metadataColumn("_metadata")
-    tags = tags.select(where["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.concat("value", F.lit(">")).alias("v"))
-    tag = F.regexp_extract("v", rf"<(/?)({NAME})[^<>]*?(/?)>$", 0)
-    tags = tags.select("block", "at", F.regexp_extract("v", rf"<(/?{NAME})[^<>]*>$", 1).alias("name"), (F.substring(tag, -2, 2) == "/>").alias("empty"), (F.greatest(*[F.contains("v", F.lit(x)) for x in ODD_XML]) | F.greatest(*[(F.length(tag) - F.length(F.replace(tag, F.lit(q), F.lit("")))) % 2 == 1 for q in "'\""])).alias("odd"))
-    tags = tags.withColumn("step", F.when((F.col("name") == "") | F.col("empty"), 0).when(F.startswith("name", F.lit("/")), -1).otherwise(1))
-    in_block = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    depth = tags.withColumn("depth", F.coalesce(F.sum("step").over(in_block), F.lit(0)))
-    blocks = depth.groupBy("block").agg(F.sum("step").alias("d"))
-    blocks = blocks.select("block", F.coalesce(F.sum("d").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    depth = depth.join(blocks, "block").withColumn("depth", F.col("depth") + F.col("base"))
-    opened = depth.filter((F.col("name") != "") & ~F.startswith("name", F.lit("/")))
-    found = opened.groupBy("name").agg(F.count_if(F.col("depth") == 1).alias("n"), F.count("*").alias("all"), F.min(F.struct("block", "at")).alias("first"), F.max("empty").alias("empty")).orderBy(F.desc("n"), "first").limit(1000).collect()
-    if not found or not found[0]["n"] or tags.filter("odd").limit(1).count():
+    with comments and the like, records in records, one name with several prefixes, or uploads with a record in two of their parts."""
+    listed = parts.files(spark, path)
+    record = _record(listed, parts.pieces(spark, path, ">").mapInArrow(_tags, TAGS).collect())
+    if record is None:
         return None
-    record, locals_ = found[0]["name"], Counter(r["name"].rpartition(":")[2] for r in found)
-    top = {r["name"].rpartition(":")[2]: r["n"] for r in found if r["n"]}
-    if found[0]["all"] != found[0]["n"] or found[0]["empty"] or locals_[record.rpartition(":")[2]] > 1 or list(top.values()).count(found[0]["n"]) > 1:
-        return None
-    pieces = spark.read.option("lineSep", f"</{record}>").text(path).select(F.monotonically_increasing_id().alias("k"), "value")
-    pieces = pieces.filter(F.contains("value", F.lit(f"<{record}")))
+    pieces = parts.pieces(spark, path, f"</{record}>").select(F.monotonically_increasing_id().alias("k"), "value", "file", "block")
+    pieces = pieces.filter(F.rlike("value", F.lit(rf"<{re.escape(record)}[\s>]")))
+    begin, tag = re.compile(rf"<{re.escape(record)}(?=[\s>])[^<>]*>"), re.compile(r"<(/?)(?:[\w.\-]+:)?([\w.\-]+)[^<>]*?(/?)>")
+
+    def records(b: pa.RecordBatch) -> list[list | None]:
+        """The fields of each record; None for those without any content."""
+        rows = []
+        for text in b.column(1).to_pylist():
+            try:
+                element = ET.fromstring(f"<r>{tag.sub(r'<\1\2\3>', text[begin.search(text).end() :])}</r>")
+            except ET.ParseError as e:
+                raise IngestionError(f"XML parse error: {e}") from e
+            rows.append([*xml_fields(element).items()] if len(element) or (element.text or "").strip() else None)
+        return rows
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for text in b.column(1).to_pylist():
-                begin = re.search(rf"<{re.escape(record)}(?=[\s>])[^<>]*>", text)
-                bare = re.sub(rf"<(/?)(?:[\w.\-]+:)?([\w.\-]+)[^<>]*?(/?)>", r"<\1\2\3>", text[begin.end() :])
-                try:
-                    element = ET.fromstring(f"<r>{bare}</r>")
-                except ET.ParseError as e:
-                    raise IngestionError(f"XML parse error: {e}") from e
-                rows.append([*xml_fields(element).items()] if len(element) or (element.text or "").strip() else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["k", "fields"])
-
-    rows = pieces.mapInArrow(parse, "k bigint, fields map<string,string>").filter(F.col("fields").isNotNull())
-    names = rows.select("k", F.posexplode(F.map_keys("fields")).alias("j", "name")).groupBy("name").agg(F.min(F.struct("k", "j")).alias("first")).orderBy("first").collect()
-    return rows.select(*[F.coalesce(F.try_element_at("fields", F.lit(r["name"])), F.lit("")).alias(r["name"]) for r in names])
+            yield pa.RecordBatch.from_arrays([pa.array(records(b), pa.map_(pa.string(), pa.string()))], names=["fields"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Where each name is first in a task's blocks."""
+        seen: dict[tuple, tuple] = {}
+        for b in batches:
+            for k, file, block, row in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), records(b)):
+                for j, (name, _) in enumerate(row or ()):
+                    seen[file, name] = min(seen.get((file, name), (block, k, j)), (block, k, j))
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[(*x, *at) for x, at in seen.items()])], names=["file", "name", "block", "k", "j"])
+
+    found, at = pieces.mapInArrow(look, "file bigint, name string, block bigint, k bigint, j bigint").collect(), {f["file"]: k for k, f in enumerate(listed)}
+    names = dict.fromkeys(r["name"] for r in sorted(found, key=lambda r: (at[r["file"]], r["block"], r["k"], r["j"])))
+    rows = pieces.mapInArrow(parse, "fields map<string,string>").filter(F.col("fields").isNotNull())
+    return rows.select(*[F.coalesce(F.try_element_at("fields", F.lit(n)), F.lit("")).alias(n) for n in names])
 
 
 PARSERS = {"json": json_rows, "xml": xml_rows}

@@ -151,6 +151,19 @@ def test_xml_by_parts_and_as_a_whole(spark, tmp_path, part):
         assert convert.xml_table(spark, str(tmp_path / "odd.xml")) is None
 
 
+def test_xml_in_parts(spark, tmp_path):
+    """An upload in parts whose files have their own blocks, and one with a record in two of its parts."""
+    text = '<p:Rs xmlns:p="u"><Head>x</Head>\n' + "\n".join(f"<p:R><p:{'AB'[k > 9]}>{k}</p:{'AB'[k > 9]}><p:C>c</p:C></p:R>" for k in range(30)) + "</p:Rs>"
+    lines, want = text.splitlines(keepends=True), [*convert.xml_rows(text.encode(), 0)]
+    for name, cuts in (("parts", (len(lines[0]), len("".join(lines[:20])))), ("cut", (len("".join(lines[:3])) + 20,))):
+        (tmp_path / f"{name}.xml").mkdir()
+        for k, (lo, hi) in enumerate(zip((0, *cuts), (*cuts, None))):
+            (tmp_path / f"{name}.xml" / f"part-{k}").write_text(text[lo:hi])
+        got = convert.convert(spark, str(tmp_path / f"{name}.xml"))
+        assert got.columns == want[0] and sorted(map(list, got.collect())) == sorted(want[1:])
+    assert convert.xml_table(spark, str(tmp_path / "parts.xml")) is not None and convert.xml_table(spark, str(tmp_path / "cut.xml")) is None
+
+
 def workbook(cells):
     sheet = "".join(f'<row r="{r}">{"".join(cs)}</row>' for r, cs in cells)
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
