@@ -76,14 +76,13 @@ def identities(rows: DataFrame, columns: list[str], id_column: str = "employee_i
 
 
 class _History(StatefulProcessor):
-    """Retains the dates and ties of each entity's rows, in order, and how often they have changed."""
+    """Retains the dates and ties of each entity's rows, in order; how many there are is the version."""
 
     def __init__(self, key: StructType, date_column: str, ties: list[str]) -> None:
         self.key, self.names = key, [date_column, *ties]
 
     def init(self, handle) -> None:
         self.kept = handle.getListState("keys", self.key)
-        self.version = handle.getValueState("version", StructType([StructField("n", LongType())]))
 
     @staticmethod
     def order(row: tuple) -> tuple:
@@ -91,11 +90,11 @@ class _History(StatefulProcessor):
         return tuple((x is not None, 0 if x is None else x) for x in row)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        version = (self.version.get()[0] if self.version.exists() else 0) + 1
         plain = lambda row: tuple(None if x is None or x is pd.NaT or x != x else x.to_pydatetime() if isinstance(x, pd.Timestamp) else x for x in row)
         had = [plain(r) for r in self.kept.get()]
-        new = [plain(r) for part in rows for r in part[self.names].astype(object).itertuples(index=False)]
+        new = [plain(r) for part in rows for r in zip(*[part[c].tolist() for c in self.names])]
         merged = sorted([*had, *new], key=self.order)
+        version = len(merged)
         # What a new row says of itself, and what it changes in the row before it.
         touched, orders = set(), [self.order(r) for r in merged]
         for r in new:
@@ -105,10 +104,10 @@ class _History(StatefulProcessor):
                 at += 1
                 touched.add(at)
         self.kept.put(merged)
-        self.version.update((version,))
-        out = [(*key, *merged[k], merged[k + 1][0] if k + 1 < len(merged) else None, k, version) for k in sorted(touched) if k >= 0]
-        frame = pd.DataFrame([r[: -2] + (r[-3] is None, version) for r in out], columns=["entity", *self.names, "effective_to", "is_current", "version"])
-        yield frame.astype({c: object for c in ("effective_to", *self.names)})
+        at = sorted(k for k in touched if k >= 0)
+        columns = {c: pd.Series([merged[k][j] for k in at], dtype=object) for j, c in enumerate(self.names)}
+        to = [merged[k + 1][0] if k + 1 < len(merged) else None for k in at]
+        yield pd.DataFrame({"entity": [key[0]] * len(at), **columns, "effective_to": pd.Series(to, dtype=object), "is_current": [x is None for x in to], "version": version})
 
     def close(self) -> None:
         pass

@@ -61,3 +61,30 @@ def test_history_of_a_shuffled_stream(spark, state, small, tmp_path, kind):
     assert changes.count() > rows.count() and changes.filter("not is_current").count() < 3 * rows.count()
     with pytest.raises(LogicError):
         stateful.history(rows, "user_id", "d")
+
+
+def test_history_asks_its_state_twice_for_an_entity():
+    """One read and one write for an entity's rows of a micro-batch, and versions that grow."""
+    import pandas as pd
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    calls, kept = [], []
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return iter(list(kept))
+
+        def put(self, rows):
+            calls.append("put")
+            kept[:] = rows
+
+    class Handle:
+        def getListState(self, name, schema):  # noqa: N802
+            return State()
+
+    step = stateful._History(StructType([StructField("d", LongType()), StructField("t", LongType())]), "d", ["t"])
+    step.init(Handle())
+    versions = [next(step.handleInputRows((1,), iter([pd.DataFrame({"d": [d, d + 1], "t": [d, d]})]), None)) for d in (5, 1)]
+    assert calls == ["get", "put"] * 2 and versions[0]["version"].max() < versions[1]["version"].min()
+    assert versions[1][["d", "effective_to", "is_current"]].values.tolist() == [[1, 2, False], [2, 5, False]]
